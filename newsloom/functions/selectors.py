@@ -15,10 +15,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.columns import let
-from newsloom.functions.markup import NODE, NODES, inner_text, is_text, joined_text, subtree
+from newsloom.functions.markup import NODE, NODES, is_text, joined_text, subtree
 from newsloom.functions.text import collapse, strip
 
-Predicate = Callable[[Column, Column], Column]  # (nodes, node) -> boolean
+
+
+class Loose:
+    """A node list with gaps, as cleanup leaves it: positions are no longer indexes."""
+
+    def __init__(self, array: Column) -> None:
+        self.array = array
+
+
+Nodes = Column | Loose
+Predicate = Callable[[Nodes, Column], Column]
+
+
+def _list(nodes: Nodes) -> Column:
+    return nodes.array if isinstance(nodes, Loose) else nodes
+
+
+def _below(nodes: Nodes, node: Column) -> Column:
+    if isinstance(nodes, Loose):
+        return F.filter(nodes.array, lambda n: (node["pre"] <= n["pre"]) & (n["pre"] <= node["last"]))
+    return subtree(nodes, node)
+
+
+def _text_of(nodes: Nodes, node: Column) -> Column:
+    return joined_text(_below(nodes, node))
+
 
 _IDENT = r"(?:\\.|[\w-]|[^\x00-\x7F])+"
 _COMPOUND = re.compile(
@@ -92,8 +117,8 @@ def _attribute_test(node: Column, name: str, op: str | None, value: str) -> Colu
     return present & F.coalesce(test, F.lit(False))
 
 
-def _own_text(nodes: Column, node: Column) -> Column:
-    return joined_text(F.filter(subtree(nodes, node), lambda n: n["parent"] == node["pre"]))
+def _own_text(nodes: Nodes, node: Column) -> Column:
+    return joined_text(F.filter(_below(nodes, node), lambda n: n["parent"] == node["pre"]))
 
 
 def _pseudo(name: str, argument: str | None) -> Predicate:
@@ -121,11 +146,11 @@ def _pseudo(name: str, argument: str | None) -> Predicate:
         return lambda nodes, n: n["last"] == n["pre"]
     text = _plain((argument or "").strip().strip("\"'"))
     if name == "contains":
-        return lambda nodes, n: F.lower(inner_text(nodes, n)).contains(text.lower())
+        return lambda nodes, n: F.lower(_text_of(nodes, n)).contains(text.lower())
     if name in ("containsown", "contains-own"):
         return lambda nodes, n: F.lower(_own_text(nodes, n)).contains(text.lower())
     if name == "matches":
-        return lambda nodes, n: inner_text(nodes, n).rlike(text)
+        return lambda nodes, n: _text_of(nodes, n).rlike(text)
     if name in ("matchesown", "matches-own"):
         return lambda nodes, n: _own_text(nodes, n).rlike(text)
     if name == "not":
@@ -135,7 +160,7 @@ def _pseudo(name: str, argument: str | None) -> Predicate:
         inner = [_steps(part.strip(), relative=True) for part in _split(argument or "", ",")]
         child_only = name == "haschild"
 
-        def has(nodes: Column, n: Column) -> Column:
+        def has(nodes: Nodes, n: Column) -> Column:
             found = []
             for steps in inner:
                 if child_only:
@@ -185,7 +210,7 @@ def _compound(text: str) -> tuple[Predicate, int]:
     if at == 0:
         raise SelectorError(f"cannot read selector at {text!r}")
 
-    def predicate(nodes: Column, n: Column) -> Column:
+    def predicate(nodes: Nodes, n: Column) -> Column:
         out = ~is_text(n)
         for test in tests:
             out = out & test(nodes, n)
@@ -241,7 +266,7 @@ def _related(combinator: str, anchor: Column, node: Column) -> Column:
     return same & ((node["sib"] == anchor["sib"] + 1) if combinator == "+" else (node["sib"] > anchor["sib"]))
 
 
-def _walk(nodes: Column, steps, anchors: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+def _walk(nodes: Nodes, steps, anchors: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     (combinator, predicate), rest = steps[0], steps[1:]
 
     def matched(bound: Column) -> Column:
@@ -251,18 +276,18 @@ def _walk(nodes: Column, steps, anchors: Column, keep: Callable[[Column], Column
                 cheap = keep(n) & cheap
             return cheap & F.exists(bound, lambda a: _related(combinator, a, n))
 
-        found = F.filter(nodes, test)
+        found = F.filter(_list(nodes), test)
         return _walk(nodes, rest, found, keep) if rest else found
 
     return let(anchors, matched)
 
 
-def css(nodes: Column, selector: str) -> Column:
+def css(nodes: Nodes, selector: str) -> Column:
     """Nodes matching a CSS selector list, distinct, in document order."""
     groups = [_steps(part.strip()) for part in _split(selector, ",")]
 
     def one(steps) -> Column:
-        first = F.filter(nodes, lambda n: steps[0][1](nodes, n))
+        first = F.filter(_list(nodes), lambda n: steps[0][1](nodes, n))
         return _walk(nodes, steps[1:], first) if len(steps) > 1 else first
 
     found = one(groups[0])
@@ -294,7 +319,7 @@ def _attribute_node(node: Column, name: str) -> Column:
     return F.struct(*[fields.get(f, node[f]).alias(f) for f in NODE.names])
 
 
-def _xpath_value(text: str, nodes: Column, n: Column) -> Column:
+def _xpath_value(text: str, nodes: Nodes, n: Column) -> Column:
     """String value of an expression inside a predicate."""
     text = text.strip()
     if text[:1] in "\"'":
@@ -313,9 +338,9 @@ def _xpath_value(text: str, nodes: Column, n: Column) -> Column:
     if text.startswith("@"):
         return F.coalesce(F.try_element_at(n["attrs"], F.lit(text[1:].lower())), F.lit(""))
     if text in (".", "string()"):
-        return inner_text(nodes, n)
+        return _text_of(nodes, n)
     if text == "text()":
-        texts = F.filter(subtree(nodes, n), lambda t: is_text(t) & (t["parent"] == n["pre"]))
+        texts = F.filter(_below(nodes, n), lambda t: is_text(t) & (t["parent"] == n["pre"]))
         return F.coalesce(F.try_element_at(texts, F.lit(1))["text"], F.lit(""))
     found = xpath(nodes, text if text.startswith(".") else "./" + text, n)
     return F.coalesce(let(found, lambda f: F.when(F.size(f) > 0, node_value(nodes, F.try_element_at(f, F.lit(1))))), F.lit(""))
@@ -341,7 +366,7 @@ def _logical(text: str, word: str) -> list[str]:
     return parts + [text[start:]]
 
 
-def _xpath_test(text: str, nodes: Column, n: Column) -> Column:
+def _xpath_test(text: str, nodes: Nodes, n: Column) -> Column:
     text = text.strip()
     for word in ("or", "and"):
         parts = _logical(text, word)
@@ -415,7 +440,7 @@ def _xpath_steps(path: str) -> list[tuple[bool, str | None, str, list[str]]]:
     return steps
 
 
-def xpath(nodes: Column, path: str, scope: Column | None = None) -> Column:
+def xpath(nodes: Nodes, path: str, scope: Column | None = None) -> Column:
     """XPath matches in document order; inside ``scope`` nothing outside it can be reached."""
     unions = _split(path.strip(), "|")
     if len(unions) > 1:
@@ -436,9 +461,9 @@ def xpath(nodes: Column, path: str, scope: Column | None = None) -> Column:
             return advance(current, rest[1:])
         if test.startswith("@"):
             name = test[1:].lower()
-            pool = current if current is not None else nodes
+            pool = current if current is not None else _list(nodes)
             if deep:
-                pool = F.filter(nodes, lambda n: confined(n) & F.exists(current, lambda a: (a["pre"] <= n["pre"]) & (n["pre"] <= a["last"]))) if current is not None else nodes
+                pool = F.filter(_list(nodes), lambda n: confined(n) & F.exists(current, lambda a: (a["pre"] <= n["pre"]) & (n["pre"] <= a["last"]))) if current is not None else _list(nodes)
             return F.transform(
                 F.filter(pool, lambda n: F.coalesce(F.map_contains_key(n["attrs"], F.lit(name)), F.lit(False))),
                 lambda n: _attribute_node(n, name),
@@ -467,7 +492,7 @@ def xpath(nodes: Column, path: str, scope: Column | None = None) -> Column:
                     return F.exists(bound, lambda a: _inside(n, a))
                 return F.exists(bound, lambda a: n["parent"] == a["pre"])
 
-            found = F.filter(nodes, lambda n: confined(n) & kind(n) & related(n))
+            found = F.filter(_list(nodes), lambda n: confined(n) & kind(n) & related(n))
             return narrow(found, predicates)
 
         def narrow(found: Column, left: list[str]) -> Column:
@@ -492,11 +517,11 @@ def xpath(nodes: Column, path: str, scope: Column | None = None) -> Column:
 # ------------------------------------------------------------------ values
 
 
-def node_value(nodes: Column, node: Column) -> Column:
+def node_value(nodes: Nodes, node: Column) -> Column:
     """Trimmed text of a match: of the attribute or text node itself, or of the element's subtree."""
     own = F.startswith(node["tag"], F.lit("@")) | is_text(node)
-    return strip(F.when(own, node["text"]).otherwise(inner_text(nodes, node)))
+    return strip(F.when(own, node["text"]).otherwise(_text_of(nodes, node)))
 
 
-def select(nodes: Column, selector: str, kind: str = "css") -> Column:
+def select(nodes: Nodes, selector: str, kind: str = "css") -> Column:
     return xpath(nodes, selector) if kind == "xpath" else css(nodes, selector)

@@ -42,6 +42,8 @@ def _fold_pairs() -> tuple[str, str]:
 
 
 _FOLD_FROM, _FOLD_TO = _fold_pairs()
+# Capital sigma would otherwise lower to its final form at the end of a word.
+_FOLD_FROM, _FOLD_TO = _FOLD_FROM + "\u03a3", _FOLD_TO + "\u03c3"
 _DOTTED_I, _SHIELD = "\u0130", "\uE0F0"
 
 

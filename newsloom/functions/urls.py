@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.columns import col, let, nested
+from newsloom.functions.columns import col, groups, let, nested
 from newsloom.functions.text import strip
 
-REFERENCE = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\\?[^#]*)?(?:#(.*))?$"
+# Scheme, '//' with authority, path, '?' with query, fragment.
+REFERENCE = "(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\\?[^#]*)?(?:#(.*))?$"
 SAFE_PATH = "^(?:[A-Za-z0-9\\-._~!$&'()*+,;=:@\\[\\]/]|%[0-9A-Fa-f]{2})*$"
 HOST = "^(?:\\[[0-9A-Fa-f:.]+\\]|[^\\s\"<>\\\\^`{|}%@\\[\\]:]+)(?::[0-9]*)?$"
 BAD_PERCENT = "%(?![0-9A-Fa-f]{2})"
 MAX_URL = 8192
-
-
-def _part(value: Column, index: int) -> Column:
-    return F.regexp_extract(value, REFERENCE, index)
+MAX_PAGE_URL = 1 << 20
 
 
 def _encode_path(path: Column) -> Column:
@@ -59,39 +57,45 @@ def _remove_dots(path: Column) -> Column:
 
 def resolve_url(base: Column | str, raw: Column | str) -> Column:
     """``raw`` against ``base``: an http(s) address without credentials or fragment, or ''."""
+    base = col(base)
 
-    def build(ref: Column) -> Column:
-        b = col(base)
-        scheme, host, path, query = (_part(ref, i) for i in (1, 2, 3, 4))
-        has_scheme = scheme != ""
-        has_host = ref.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
-        own = has_scheme | has_host
-        base_path = _part(b, 3)
+    def build(both: Column) -> Column:
+        ref, scheme, authority, path, query = (both["r"][i] for i in range(5))
+        own_host = authority != ""
+        own = (scheme != "") | own_host
+        base_path = both["b"][2]
         merged = (
             F.when(path == "", F.when(own, F.lit("")).otherwise(base_path))
             .when(F.startswith(path, F.lit("/")), path)
             .when(own, F.concat(F.lit("/"), path))
             .otherwise(F.concat(F.regexp_extract(base_path, "^(.*/)?", 0), path))
         )
-        absolute = F.when(merged == "", merged).when(F.startswith(merged, F.lit("/")), merged).otherwise(F.concat(F.lit("/"), merged))
-        out_scheme = F.lower(F.when(has_scheme, scheme).otherwise(_part(b, 1)))
-        out_host = F.when(own, host).otherwise(_part(b, 2))
-        out_query = F.when(~own & (path == "") & (query == ""), _part(b, 4)).otherwise(query)
-        opaque = has_scheme & ~has_host
-        colon_first = ~has_scheme & ~has_host & path.rlike("^[^/]*:")
-        bad = (
-            ref.rlike("[\\x00-\\x1F\\x7F]")
-            | path.rlike(BAD_PERCENT)
-            | _part(ref, 5).rlike(BAD_PERCENT)
-            | opaque
-            | colon_first
-            | ~out_scheme.isin("http", "https")
-            | ~out_host.rlike(HOST)
+        absolute = F.when((merged == "") | F.startswith(merged, F.lit("/")), merged).otherwise(F.concat(F.lit("/"), merged))
+        return F.struct(
+            F.lower(F.when(scheme != "", scheme).otherwise(both["b"][0])).alias("scheme"),
+            F.substring(F.when(own, authority).otherwise(both["b"][1]), 3, MAX_PAGE_URL).alias("host"),
+            let(absolute, lambda p: _remove_dots(_encode_path(p))).alias("path"),
+            F.when(~own & (path == "") & (query == ""), both["b"][3]).otherwise(query).alias("query"),
+            (
+                ((scheme != "") & ~own_host)
+                | (~own & path.rlike("^[^/]*:"))
+                | path.rlike(BAD_PERCENT)
+                | both["r"][5].rlike(BAD_PERCENT)
+            ).alias("bad"),
+        )
+
+    def parse(ref: Column) -> Column:
+        parts = F.struct(F.concat(F.array(ref), groups(ref, REFERENCE, 5)).alias("r"), groups(base, REFERENCE, 5).alias("b"))
+        address = let(
+            let(parts, build),
+            lambda u: F.when(
+                ~u["bad"] & u["scheme"].isin("http", "https") & u["host"].rlike(HOST),
+                F.concat(u["scheme"], F.lit("://"), u["host"], u["path"], u["query"]),
+            ).otherwise(F.lit("")),
         )
-        address = let(absolute, lambda p: F.concat(out_scheme, F.lit("://"), out_host, _remove_dots(_encode_path(p)), out_query))
-        return F.when((ref == "") | bad, F.lit("")).otherwise(address)
+        return F.when((ref == "") | ref.rlike("[\\x00-\\x1F\\x7F]"), F.lit("")).otherwise(address)
 
-    return F.coalesce(let(strip(raw), build), F.lit(""))
+    return F.coalesce(let(strip(raw), parse), F.lit(""))
 
 
 def is_http_url(value: Column | str) -> Column:
