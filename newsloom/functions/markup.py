@@ -244,26 +244,31 @@ def absolute_addresses(nodes: Column, base: Column) -> Column:
     from newsloom.functions.images import content_image
 
     def fixed(node: Column) -> Column:
-        own = F.transform_values(
-            node["attrs"], lambda k, v: F.when(k.isin("href", "src"), resolve_url(base, v)).otherwise(v)
+        image = node["tag"] == "img"
+        listed = F.when(
+            image & ~F.map_contains_key(node["attrs"], F.lit("src")),
+            F.map_concat(node["attrs"], F.create_map(F.lit("src"), F.lit(""))),
+        ).otherwise(node["attrs"])
+        attrs = F.transform_values(
+            listed,
+            lambda k, v: F.when(image & (k == "src"), content_image(node, base))
+            .when(k.isin("href", "src"), resolve_url(base, v))
+            .otherwise(v),
         )
-        address = content_image(node, base)
-        image = F.when(
-            F.map_contains_key(own, F.lit("src")), F.transform_values(own, lambda k, v: F.when(k == "src", address).otherwise(v))
-        ).otherwise(F.map_concat(own, F.create_map(F.lit("src"), address)))
-        attrs = (
-            F.when(node["tag"] == "img", image)
-            .when(F.map_contains_key(node["attrs"], F.lit("href")) | F.map_contains_key(node["attrs"], F.lit("src")), own)
-            .otherwise(node["attrs"])
+        touched = image | F.map_contains_key(node["attrs"], F.lit("href")) | F.map_contains_key(node["attrs"], F.lit("src"))
+        return F.struct(
+            *[F.when(touched, attrs).otherwise(node["attrs"]).alias(f) if f == "attrs" else node[f].alias(f) for f in NODE.names]
         )
-        return F.struct(*[attrs.alias("attrs") if f == "attrs" else node[f].alias(f) for f in NODE.names])
 
     return F.transform(nodes, lambda n: F.when(is_text(n), n).otherwise(fixed(n)))
 
 
-def shows_anything(nodes: Column) -> Column:
-    """Sanitised block shows text or an image with an address."""
+def shows_anything(nodes: Column, base: Column | None = None) -> Column:
+    """The block shows text or an image with an address (its automatic one when ``base`` is given)."""
+    from newsloom.functions.images import content_image
+
+    def image_shows(n: Column) -> Column:
+        return (content_image(n, base) if base is not None else F.coalesce(attr(n, "src"), F.lit(""))) != ""
+
     kept = without_subtrees(nodes, lambda n: n["tag"].isin(*SKIP_CONTENT))
-    return F.exists(
-        kept, lambda n: (is_text(n) & (strip(n["text"]) != "")) | ((n["tag"] == "img") & (F.coalesce(attr(n, "src"), F.lit("")) != ""))
-    )
+    return F.exists(kept, lambda n: (is_text(n) & (strip(n["text"]) != "")) | ((n["tag"] == "img") & image_shows(n)))

@@ -155,11 +155,11 @@ def field_sample(raw: Column) -> Column:
             .when(~absolute & relative_query, F.regexp_replace(text, "[?#].*$", ""))
             .otherwise(text)
         )
-        shown = collapse(redact(shown))
-        cut = F.when(
-            (F.char_length(shown) > 120) | (F.octet_length(shown) > 320),
-            F.concat(clip_bytes(F.left(shown, F.lit(119)), 317), F.lit(ELLIPSIS)),
-        ).otherwise(shown)
-        return F.concat(kind, quoted(cut))
+
+        def bounded(clean: Column) -> Column:
+            cut = F.concat(clip_bytes(F.left(clean, F.lit(119)), 317), F.lit(ELLIPSIS))
+            return F.when((F.char_length(clean) > 120) | (F.octet_length(clean) > 320), cut).otherwise(clean)
+
+        return F.concat(kind, quoted(let(collapse(redact(shown)), bounded)))
 
     return let(strip(raw), sample)

@@ -96,16 +96,19 @@ def _value(nodes: Column, node: Column, spec: Field, default_attr: str = "") ->
 
 def mismatch(name: str, expected: str, raw: Column, node: Column, attribute: Column) -> Column:
     """'<name> expected <expected> but received <what>' for a field that gave nothing usable."""
-    present = F.coalesce(F.map_contains_key(node["attrs"], attribute), F.lit(False))
-    quoted = field_sample(attribute)
-    nothing = (
-        F.when(node.isNull(), F.lit("nothing (selector matched no nodes)"))
-        .when((attribute == "") | _is_attribute(node), F.lit("nothing (selected value is empty)"))
-        .when(present, F.concat(F.lit("nothing (selected element's "), quoted, F.lit(" attribute is empty)")))
-        .otherwise(F.concat(F.lit("nothing (selected element has no "), quoted, F.lit(" attribute)")))
-    )
-    received = F.when(strip(raw) != "", field_sample(raw)).otherwise(nothing)
-    return F.concat(F.lit(f"{name} expected {expected} but received "), received)
+
+    def received(a: Column) -> Column:
+        present = F.coalesce(F.map_contains_key(node["attrs"], a), F.lit(False))
+        tail = F.when(present, F.lit(" attribute is empty)")).otherwise(F.lit(" attribute)"))
+        lead = F.when(present, F.lit("nothing (selected element's ")).otherwise(F.lit("nothing (selected element has no "))
+        return (
+            F.when(strip(raw) != "", field_sample(raw))
+            .when(node.isNull(), F.lit("nothing (selector matched no nodes)"))
+            .when((a == "") | _is_attribute(node), F.lit("nothing (selected value is empty)"))
+            .otherwise(F.concat(lead, field_sample(a), tail))
+        )
+
+    return F.concat(F.lit(f"{name} expected {expected} but received "), let(attribute, received))
 
 
 # ----------------------------------------------------- descriptions, cleanup
@@ -142,15 +145,14 @@ def block_markup(nodes: Column, root: Column, base: Column, recipe: Recipe) -> C
         shown = markup.without_subtrees(block, lambda n: n["tag"].isin(*markup.SKIP_CONTENT))
         html = markup.sanitized(block)
         text = markup.readable_text(shown, kept_blocks)
-        if recipe.remove:
-            original = markup.absolute_addresses(markup.subtree(nodes, root), base)
-            emptied = ~markup.shows_anything(block) & markup.shows_anything(original)
-        else:
-            emptied = F.lit(False)
-        return F.struct(
-            F.when(emptied, F.lit("")).otherwise(html).alias("html"),
-            F.when(emptied, F.lit("")).otherwise(text).alias("text"),
-            emptied.alias("emptied"),
+        emptied = (
+            ~markup.shows_anything(block) & markup.shows_anything(markup.subtree(nodes, root), base) if recipe.remove else F.lit(False)
+        )
+        return let(
+            F.struct(html.alias("html"), text.alias("text"), emptied.alias("emptied")),
+            lambda b: F.when(
+                b["emptied"], F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(True).alias("emptied"))
+            ).otherwise(b),
         )
 
     return let(markup.absolute_addresses(cleaned_block(nodes, root, recipe), base), publish)
