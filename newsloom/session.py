@@ -15,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Legacy web encodings (windows-1252, Shift_JIS ...) for decode().
     "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
     # Pages are large cells: keep Arrow batches small so a task holds few of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
