@@ -8,7 +8,7 @@ test. Nothing here shuffles: pages stay where they were read.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,9 +104,10 @@ def readable_text(nodes: Column, blocks: tuple[str, ...] = ENTRY_BLOCKS) -> Colu
     return collapse(let(without_subtrees(nodes, lambda n: n["tag"].isin(*SKIPPED_TEXT)), visible))
 
 
-def visible_text(html: Column | str, blocks: tuple[str, ...] = ENTRY_BLOCKS) -> Column:
-    """Readable text of markup held in a column; markup without tags needs no parse."""
-    return readable_text(page_nodes(col(html)), blocks)
+def with_visible_text(df: DataFrame, html: str, name: str, blocks: tuple[str, ...] = ENTRY_BLOCKS) -> DataFrame:
+    """Readable text of a markup column. The parse gets its own projection, as a lambda cannot hold one."""
+    parsed = df.withColumn("_nodes", page_nodes(html))
+    return parsed.withColumn(name, readable_text(F.col("_nodes"), blocks)).drop("_nodes")
 
 
 # ---------------------------------------------------------------- sanitizing

@@ -471,14 +471,12 @@ def field_coverage(captures: DataFrame, recipe: Recipe, probes: dict[str, str])
     parsed = captures.select(markup.page_nodes("html").alias("nodes"))
     nodes = F.col("nodes")
 
+    def holds(matches: Column):
+        return lambda card: F.exists(matches, lambda m: (card["pre"] < m["pre"]) & (m["pre"] <= card["last"]))
+
     def counts(c: Column) -> Column:
-        return F.struct(
-            F.size(c["cards"]).alias("cards"),
-            *[
-                F.size(F.filter(c["cards"], lambda k, n=n: F.exists(c[n], lambda m: (k["pre"] < m["pre"]) & (m["pre"] <= k["last"])))).alias(n)
-                for n in probes
-            ],
-        )
+        held = [F.size(F.filter(c["cards"], holds(c[name]))).alias(name) for name in probes]
+        return F.struct(F.size(c["cards"]).alias("cards"), *held)
 
     context = F.struct(css(nodes, recipe.items).alias("cards"), *[css(nodes, s).alias(n) for n, s in probes.items()])
     per_page = parsed.select(pin(let(context, counts)).alias("c"))

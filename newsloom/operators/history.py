@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.markup import FILTER_BLOCKS, visible_text
+from newsloom.functions.markup import FILTER_BLOCKS, with_visible_text
 from newsloom.functions.rules import RuleSet, decide
 from newsloom.functions.text import readable
 from newsloom.operators.groups import top_n
@@ -143,7 +143,7 @@ def last_new_backfill(feeds: DataFrame, items: DataFrame) -> DataFrame:
 
 def with_description(items: DataFrame) -> DataFrame:
     """Stored markup's readable text for description rules; parsed once, only where needed."""
-    return items.withColumn("description", visible_text("html", FILTER_BLOCKS))
+    return with_visible_text(items, "html", "description", FILTER_BLOCKS)
 
 
 def apply_filter(items: DataFrame, rules: RuleSet, description: str = "description") -> DataFrame:

@@ -141,7 +141,7 @@ def base_resolve(spark, folder):
 @query(
     "P3_css_select",
     f"""WITH {B.SQL_NAV} SELECT 'nav li a' AS selector, count(*) AS matches, sum(length(title)) AS chars FROM nav
- UNION ALL SELECT 'article h1', count(*), sum(length({B.H1_SQL})) FROM pages
+ UNION ALL SELECT 'article h1', count(*), sum(length(trim({B.H1_SQL}))) FROM pages
  UNION ALL SELECT 'div.ad', count(*), sum(length(trim({B.unescape_sql("regexp_extract(html,'(?s)<div class=\"ad\">(.*?)</div>',1)")}))) FROM pages
  UNION ALL SELECT 'nav li:nth-of-type(2) > a', count(*), sum(length(title)) FROM nav WHERE pos=1
  UNION ALL SELECT 'li:not(:first-child):has(a)', count(*), sum(length(title)) FROM nav WHERE pos>0""",
@@ -166,7 +166,10 @@ def xpath_select(spark, folder):
     return found.select("page_id", F.posexplode("v").alias("pos", "value"))
 
 
-@query("P5_project_fields", f"WITH {B.SQL_NAV} SELECT page_id, pos, title, link AS url FROM cards")
+@query(
+    "P5_project_fields",
+    f"WITH {B.SQL_NAV} SELECT page_id, min(pos) AS pos, arg_min(title, pos) AS title, link AS url FROM cards GROUP BY page_id, link",
+)
 def project_fields(spark, folder):
     p = extract.read_pages(B.captures(spark, folder), NAV)
     return p.select("page_id", F.explode("cards").alias("c")).select("page_id", F.col("c.pos").alias("pos"), F.col("c.title").alias("title"), F.col("c.url").alias("url"))
@@ -516,7 +519,7 @@ SQL_VISIBLE = B.unescape_sql(
 
 @query("P32_visible_text", "SELECT page_id, replace(replace(" + SQL_VISIBLE + ",'&copy;','©'),'&middot;','·') AS body FROM pages")
 def visible(spark, folder):
-    return B.pages(spark, folder).select("page_id", markup.visible_text("html", markup.FILTER_BLOCKS).alias("body"))
+    return markup.with_visible_text(B.pages(spark, folder), "html", "body", markup.FILTER_BLOCKS).select("page_id", "body")
 
 
 @query(
