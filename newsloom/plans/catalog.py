@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-from newsloom.plans import q_pages  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from newsloom.plans import q_history, q_pages, refresh  # noqa: F401
 from newsloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+from newsloom.session import tune
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return refresh.front_documents(tune(spark), folder)
