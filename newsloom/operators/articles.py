@@ -114,8 +114,8 @@ def draining(feeds: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def retry_delay(count: Column) -> Column:
-    doubled = F.shiftleft(F.lit(RETRY_FIRST).cast("long"), F.greatest(F.least(count - 1, F.lit(5)), F.lit(0)).cast("int"))
-    return F.least(doubled, F.lit(RETRY_MAX))
+    doublings = F.greatest(F.least(count - 1, F.lit(5)), F.lit(0))
+    return F.least(F.pow(F.lit(2), doublings).cast("long") * RETRY_FIRST, F.lit(RETRY_MAX))
 
 
 def article_memory(memory: DataFrame, tries: DataFrame, listed: DataFrame, now: Column) -> DataFrame:

@@ -29,7 +29,7 @@ def jitter(feed_id: Column) -> Column:
 
 def backoff(failures: Column, retry_after: Column) -> Column:
     """Seconds until the next try after ``failures`` in a row."""
-    doubled = F.least(F.shiftleft(F.lit(1).cast("long"), F.least(failures, F.lit(10)).cast("int")) * 60, F.lit(DAY))
+    doubled = F.least(F.pow(F.lit(2), F.least(failures, F.lit(10))).cast("long") * 60, F.lit(DAY))
     return F.greatest(doubled, F.coalesce(retry_after, F.lit(0)))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import rules as R
+from newsloom.functions.columns import pin
 from newsloom.functions.text import fold
 
 NODE_SCHEMA = "set_id string, side string, node_id int, parent_id int, depth int, op string, field string, ordinal int"
@@ -42,65 +43,51 @@ def rule_tables(spark: SparkSession, sets: dict[str, R.RuleSet]) -> tuple[DataFr
     return spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(keywords, KEYWORD_SCHEMA)
 
 
+def set_arrays(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """One row per rule set holding its nodes; bounded by the rule limits (128 nodes, 500 keywords)."""
+    words = keywords.groupBy("set_id", "node_id").agg(F.collect_list(fold("keyword")).alias("keywords"))
+    full = nodes.join(words, ["set_id", "node_id"], "left")
+    node = F.struct("node_id", "parent_id", "depth", "side", "op", "field", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return full.groupBy("set_id").agg(F.collect_list(node).alias("nodes"))
+
+
 def evaluate_rules(items: DataFrame, nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """items(set_id, item_id, title, description, url) -> (set_id, item_id, include, exclude) verdicts.
 
-    Each item meets its own set's keywords through an equi-join on set_id, as one array per
-    set, so hits are counted per item without emitting an item x keyword row. Trees then close
-    bottom-up, at most eight levels. The per-set arrays are bounded by the rule limits.
+    Every item meets its own set once, as an array, and the tree closes bottom-up inside the
+    row: no item x keyword row exists and nothing is shuffled by item.
     """
     folded = items.select("set_id", "item_id", fold("title").alias("title"), fold("description").alias("description"), fold("url").alias("link"))
-    per_leaf = (
-        nodes.filter(F.col("op").isin(*R.LEAVES))
-        .join(keywords.select("set_id", "node_id", fold("keyword").alias("keyword")), ["set_id", "node_id"])
-        .groupBy("set_id", "node_id", "parent_id", "depth", "side", "op", "field")
-        .agg(F.collect_list("keyword").alias("keywords"))
-    )
-    per_set = per_leaf.groupBy("set_id").agg(
-        F.collect_list(F.struct("node_id", "parent_id", "depth", "side", "op", "field", "keywords")).alias("leaves")
-    )
-    def test(leaf):
-        value = F.when(leaf["field"] == "title", F.col("title")).when(leaf["field"] == "description", F.col("description")).otherwise(F.col("link"))
-        hit = lambda k: F.contains(value, k)
-        return F.when(leaf["op"] == "contains_any", F.exists(leaf["keywords"], hit)).otherwise(F.forall(leaf["keywords"], hit))
-
-    values = folded.join(per_set, "set_id").select(
-        "set_id",
-        "item_id",
-        F.inline(
-            F.transform(
-                "leaves",
-                lambda l: F.struct(
-                    l["node_id"].alias("node_id"), l["parent_id"].alias("parent_id"), l["depth"].alias("depth"), l["side"].alias("side"), test(l).alias("value")
-                ),
-            )
-        ),
-    )
-    groups = nodes.filter(F.col("op").isin(*R.GROUPS)).select(
-        "set_id", "side", F.col("node_id").alias("g_id"), F.col("parent_id").alias("g_parent"), F.col("op").alias("g_op")
-    )
-    level = values
-    for depth in range(R.MAX_DEPTH, 1, -1):
-        deeper = level.filter(F.col("depth") == depth)
-        rest = level.filter(F.col("depth") != depth)
-        closed = (
-            deeper.groupBy("set_id", "item_id", "side", F.col("parent_id").alias("g_id"))
-            .agg(F.bool_and("value").alias("every"), F.bool_or("value").alias("some"))
-            .join(groups, ["set_id", "side", "g_id"])
-            .select(
-                "set_id",
-                "item_id",
-                F.col("g_id").alias("node_id"),
-                F.col("g_parent").alias("parent_id"),
-                F.lit(depth - 1).alias("depth"),
-                "side",
-                F.when(F.col("g_op") == "all", F.col("every")).otherwise(F.col("some")).alias("value"),
-            )
+    joined = folded.join(set_arrays(nodes, keywords), "set_id")
+
+    def leaf_value(n: Column) -> Column:
+        value = F.when(n["field"] == "title", F.col("title")).when(n["field"] == "description", F.col("description")).otherwise(F.col("link"))
+
+        def hit(keyword: Column) -> Column:
+            return F.contains(value, keyword)
+
+        return F.when(n["op"] == "contains_any", F.exists(n["keywords"], hit)).when(n["op"] == "contains_all", F.forall(n["keywords"], hit))
+
+    def state(n: Column, value: Column) -> Column:
+        return F.struct(*[n[f].alias(f) for f in ("node_id", "parent_id", "depth", "side", "op")], value.alias("value"))
+
+    def close(values: Column, depth: Column) -> Column:
+        def group_value(n: Column) -> Column:
+            below = F.transform(F.filter(values, lambda c: c["parent_id"] == n["node_id"]), lambda c: c["value"])
+            return F.when(n["op"] == "all", F.forall(below, lambda v: v)).otherwise(F.exists(below, lambda v: v))
+
+        return F.transform(
+            values, lambda n: state(n, F.when((n["depth"] == depth) & n["op"].isin(*R.GROUPS), group_value(n)).otherwise(n["value"]))
         )
-        level = rest.unionByName(closed)
-    return level.groupBy("set_id", "item_id").agg(
-        F.max(F.when(F.col("side") == "include", F.col("value"))).alias("include"),
-        F.max(F.when(F.col("side") == "exclude", F.col("value"))).alias("exclude"),
+
+    leaves = F.transform("nodes", lambda n: state(n, leaf_value(n)))
+    closed = F.aggregate(F.sequence(F.lit(R.MAX_DEPTH), F.lit(1), F.lit(-1)), leaves, close)
+
+    def root(side: str) -> Column:
+        return F.get(F.transform(F.filter("tree", lambda n: (n["parent_id"] == 0) & (n["side"] == side)), lambda n: n["value"]), F.lit(0))
+
+    return joined.select("set_id", "item_id", pin(closed).alias("tree")).select(
+        "set_id", "item_id", root("include").alias("include"), root("exclude").alias("exclude")
     )
 
 

@@ -86,7 +86,7 @@ def batch(spark: SparkSession, folder: str, which: str) -> DataFrame:
     else:
         p = p.filter(n % 3 != 0)
     address = F.regexp_replace("url", "#.*$", "")
-    return p.select(
+    listed = p.select(
         "page_id",
         F.regexp_extract("url", HOST, 1).alias("feed_id"),
         address.alias("key"),
@@ -97,6 +97,10 @@ def batch(spark: SparkSession, folder: str, which: str) -> DataFrame:
         F.when(n % 6 == 0, F.concat(F.lit("<p>Full "), n.cast("string"), F.lit("</p>"))).otherwise("").alias("content_full"),
         F.when(n % 5 != 0, F.timestamp_seconds(F.lit(1704067200) + n * 3600)).alias("published"),
     )
+    # Captures that differ only in their fragment are one story; the first page wins.
+    rest = [c for c in listed.columns if c not in ("feed_id", "key")]
+    first = listed.groupBy("feed_id", "key").agg(F.min_by(F.struct(*rest), "page_id").alias("s"))
+    return first.select("feed_id", "key", "s.*")
 
 
 def _batch_sql(name: str, title: str, where: str) -> str:
@@ -105,7 +109,8 @@ def _batch_sql(name: str, title: str, where: str) -> str:
   regexp_replace(url,'#.*$','') AS url, regexp_extract(html,'(?s)<article>(.*)</article>',1) AS html,
   CASE WHEN page_id % 4 = 1 THEN 'https://img.example.org/' || page_id || '.png' ELSE '' END AS image,
   CASE WHEN page_id % 6 = 0 THEN '<p>Full ' || page_id || '</p>' ELSE '' END AS content_full,
-  CASE WHEN page_id % 5 <> 0 THEN 1704067200 + page_id * 3600 END AS published FROM pages WHERE {where})"""
+  CASE WHEN page_id % 5 <> 0 THEN 1704067200 + page_id * 3600 END AS published FROM pages WHERE {where}
+ QUALIFY row_number() OVER (PARTITION BY regexp_extract(url,'^https?://([^/?#]+)',1), regexp_replace(url,'#.*$','') ORDER BY page_id)=1)"""
 
 
 SQL_BATCHES = (

@@ -56,9 +56,12 @@ def recipe_feeds(documents: DataFrame, text: str = "value") -> DataFrame:
     body = F.col(text)
     parsed = documents.withColumn("_doc", F.from_json(body, DOCUMENT, {"mode": "PERMISSIVE"})).withColumn("_unknown", unknown_keys(body))
     count = F.coalesce(F.size("_doc.feeds"), F.lit(0))
+    # Inside brackets, anything after the first document is either a second element or a syntax error.
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
+    single = F.coalesce(F.size(wrapped) == 1, F.lit(False)) & F.json_object_keys(body).isNotNull()
     error = (
         F.when(F.octet_length(body) > MAX_BYTES, "could not read recipe file (maximum 2 MiB)")
-        .when(F.json_object_keys(body).isNull(), "recipe file must contain one JSON document")
+        .when(~single, "recipe file must contain one JSON document")
         .when(F.size("_unknown") > 0, "unknown field")
         .when(F.coalesce(F.col("_doc.format") != FORMAT, F.lit(True)), "unsupported recipe format")
         .when(F.coalesce(F.col("_doc.version") != VERSION, F.lit(True)), "unsupported recipe version")
@@ -95,7 +98,11 @@ def export_recipes(feeds: DataFrame) -> DataFrame:
         ),
         F.lit("}"),
     )
-    quoted = lambda c: F.substring(F.to_json(F.struct(F.col(c).alias("v"))), F.lit(5), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 5)
+
+    def quoted(name: str) -> Column:
+        wrapped = F.to_json(F.struct(F.col(name).alias("v")))
+        return F.regexp_extract(wrapped, '(?s)^\\{"v":(.*)\\}$', 1)
+
     recipe = F.concat(
         F.lit('{"mode":'), quoted("mode"), F.lit(',"type":'), quoted("type"), F.lit(',"items":'), quoted("items"),
         F.when(F.coalesce("include", "exclude").isNotNull(), rules).otherwise(""), F.lit("}"),
