@@ -52,8 +52,13 @@ def carry_forward(df: DataFrame, group: list[str], ts: str, order: list[str], va
     return joined.withColumn(name, F.coalesce("_local", "_carry")).drop("_chunk", "_value", "_local", "_carry")
 
 
-def streaks(df: DataFrame, group: list[str], ts: str, order: list[str], failed: Column, name: str = "streak") -> DataFrame:
-    """Consecutive failures up to and including each row; a success resets to 0."""
+def streaks(
+    df: DataFrame, group: list[str], ts: str, order: list[str], failed: Column, name: str = "streak", initial: Column | None = None
+) -> DataFrame:
+    """Consecutive failures up to and including each row; a success resets to 0.
+
+    ``initial`` is the streak each group starts with, as carried over from earlier rows.
+    """
     inner = Window.partitionBy(*group, "_chunk").orderBy(ts, *order)
     local = (
         df.withColumn("_chunk", _chunk(ts))
@@ -66,13 +71,16 @@ def streaks(df: DataFrame, group: list[str], ts: str, order: list[str], failed:
         F.bool_or(~F.col("_failed")).alias("_reset"),
     )
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.withColumn("_sum", F.coalesce(F.sum("_tail").over(before), F.lit(0)))
     # Failures before the last chunk that saw a success do not count.
+    carried = summary.withColumn("_sum", F.coalesce(F.sum("_tail").over(before), F.lit(0)))
     carried = carried.withColumn("_base", F.last(F.when(F.col("_reset"), F.col("_sum")), ignorenulls=True).over(before))
-    carried = carried.select(*group, "_chunk", (F.col("_sum") - F.coalesce("_base", F.lit(0))).alias("_carry"))
+    carried = carried.select(
+        *group, "_chunk", (F.col("_sum") - F.coalesce("_base", F.lit(0))).alias("_carry"), F.col("_base").isNull().alias("_fresh")
+    )
     joined = local.join(carried, [*group, "_chunk"])
-    value = F.when(F.col("_ok").isNull(), F.col("_rn") + F.col("_carry")).otherwise(F.col("_rn") - F.col("_ok"))
-    return joined.withColumn(name, value.cast("long")).drop("_chunk", "_failed", "_rn", "_ok", "_carry")
+    start = F.lit(0) if initial is None else F.when(F.col("_fresh"), F.coalesce(initial, F.lit(0))).otherwise(0)
+    value = F.when(F.col("_ok").isNull(), F.col("_rn") + F.col("_carry") + start).otherwise(F.col("_rn") - F.col("_ok"))
+    return joined.withColumn(name, value.cast("long")).drop("_chunk", "_failed", "_rn", "_ok", "_carry", "_fresh")
 
 
 def _anchor_fold(pdf: pd.DataFrame, width: int) -> pd.DataFrame:

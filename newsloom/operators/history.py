@@ -39,7 +39,9 @@ def merge_items(items: DataFrame, batch: DataFrame, feeds: DataFrame, now: Colum
     Both sides are hashed by (feed_id, key), which is unique on each, so a feed with
     any number of stories spreads over all tasks.
     """
-    change = feeds.select("feed_id", change_time(F.col("last_changed"), now).alias("_at"))
+    # ``now`` may be a column of the feed row, so each feed can be merged at its own time.
+    change = feeds.select("feed_id", change_time(F.col("last_changed"), now).alias("_at"), now.alias("_now"))
+    now = F.col("_now")
     fresh = batch.select(
         "feed_id",
         "key",
@@ -112,7 +114,8 @@ def change_summary(merged: DataFrame, kept: DataFrame, feeds: DataFrame, now: Co
         F.count_if(gone).alias("removed"),
         F.count_if(gone & ~F.col("inserted")).alias("removed_published"),
     )
-    state = feeds.select("feed_id", F.col("last_changed").alias("_was"), F.col("last_new").alias("_new"))
+    state = feeds.select("feed_id", F.col("last_changed").alias("_was"), F.col("last_new").alias("_new"), now.alias("_now"))
+    now = F.col("_now")
     moved = (F.col("inserted") > 0) | (F.col("changed") > 0) | (F.col("removed_published") > 0)
     return per_feed.join(state, "feed_id").select(
         "feed_id",

@@ -103,21 +103,57 @@ def story_gaps(items: DataFrame) -> DataFrame:
     return previous.withColumn("gap_s", F.unix_timestamp("first_seen") - F.unix_timestamp("previous"))
 
 
-def alert_edges(runs: DataFrame, n: int = ALERT_AFTER) -> DataFrame:
-    """'failing' when a streak reaches n, 'recovered' on the success after one of n or more."""
-    counted = failure_streaks(runs)
-    before = carry_forward(counted, ["feed_id"], "ended", ["run_id"], F.col("streak"), "before", inclusive=False)
+def alert_edges(runs: DataFrame, n: int = ALERT_AFTER, state: DataFrame | None = None) -> DataFrame:
+    """'failing' when a streak reaches n, 'recovered' on the success after one of n or more.
+
+    ``state(feed_id, failures, reported)`` carries streaks over from earlier runs. A feed whose
+    failing was reported also recovers when an edit has reset its count since.
+    """
     failed = F.col("error") != ""
-    kind = F.when(failed & (F.col("streak") == n), "failing").when(~failed & (F.col("before") >= n), "recovered")
+    if state is None:
+        runs = runs.withColumn("_had", F.lit(0)).withColumn("_reported", F.lit(False))
+    else:
+        carried = state.select("feed_id", F.col("failures").alias("_had"), F.col("reported").alias("_reported"))
+        runs = runs.join(carried, "feed_id", "left").na.fill({"_had": 0, "_reported": False})
+    counted = streaks(runs, ["feed_id"], "ended", ["run_id"], failed, initial=F.col("_had"))
+    before = carry_forward(counted, ["feed_id"], "ended", ["run_id"], F.col("streak"), "_before", inclusive=False)
+    before = carry_forward(before, ["feed_id"], "ended", ["run_id"], F.when(~failed, F.lit(1)), "_succeeded", inclusive=False)
+    earlier = F.coalesce("_before", "_had")
+    answered = F.col("_reported") & F.col("_succeeded").isNull()
+    kind = F.when(failed & (F.col("streak") == n), "failing").when(~failed & ((earlier >= n) | answered), "recovered")
     return (
         before.withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
         .select(
-            "feed_id", "run_id", "ended", "kind", F.when(F.col("kind") == "failing", F.col("streak")).otherwise(F.col("before")).alias("failures"), "error",
+            "feed_id",
+            "run_id",
+            "ended",
+            "kind",
+            F.when(F.col("kind") == "failing", F.col("streak")).otherwise(earlier).alias("failures"),
+            "error",
         )
     )
 
 
+def streak_state(runs: DataFrame, state: DataFrame, n: int = ALERT_AFTER) -> DataFrame:
+    """state(feed_id, failures, reported) after more runs."""
+    failed = F.col("error") != ""
+    joined = runs.join(state.select("feed_id", F.col("failures").alias("_had")), "feed_id", "left").na.fill({"_had": 0})
+    counted = streaks(joined, ["feed_id"], "ended", ["run_id"], failed, initial=F.col("_had"))
+    latest = counted.groupBy("feed_id").agg(
+        F.max_by("streak", F.struct("ended", "run_id")).alias("_streak"),
+        F.bool_or(~failed).alias("_succeeded"),
+    )
+    both = state.join(latest, "feed_id", "full_outer")
+    quiet = F.col("_streak").isNull()
+    reported = F.when(quiet, F.col("reported")).otherwise(
+        (F.col("_streak") >= n) | (~F.col("_succeeded") & F.coalesce("reported", F.lit(False)))
+    )
+    return both.select(
+        "feed_id", F.coalesce("_streak", "failures").cast("long").alias("failures"), reported.alias("reported")
+    )
+
+
 def describe_event() -> Column:
     count = F.when(F.col("failures") == 1, "1 refresh").otherwise(F.concat(F.col("failures").cast("string"), F.lit(" refreshes")))
     reason = F.when(F.col("error") != "", F.concat(F.lit(" Error: "), F.col("error"))).otherwise("")
