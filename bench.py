@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from newsloom.functions.rules import leaf  # noqa: E402
 from newsloom.functions.text import fold  # noqa: E402
-from newsloom.plans import catalog, refresh  # noqa: E402
+from newsloom.plans import bindings, catalog, refresh  # noqa: E402
 from newsloom.session import local_session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,7 +50,7 @@ def keywords(count: int):
 
     def run(spark, folder):
         words = [f"nomatch{i:04d}x" for i in range(count)]
-        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        docs = bindings.spread(spark.read.parquet(f"{folder}/documents.parquet"))
         return docs.select("doc_id", leaf(fold("text"), "contains_any", words).alias("hit"))
 
     return run

@@ -12,7 +12,8 @@ from newsloom.functions.columns import col, let, nested
 
 # White space as Unicode defines it for field splitting.
 SPACE = "\\t\\n\\x0B\\f\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-SPACE_RUN = f"[{SPACE}]+"
+# A run that is not already one plain space; texts are mostly single spaces, which stay untouched.
+SPACE_RUN = f"[{SPACE.replace(' ', '', 1)}][{SPACE}]*| [{SPACE}]+"
 ELLIPSIS = "\u2026"
 
 
@@ -49,8 +50,15 @@ _DOTTED_I, _SHIELD = "\u0130", "\uE0F0"
 
 def fold(value: Column | str) -> Column:
     """Collapsed white space and Unicode simple case folding (no accent removal, sharp s stays)."""
-    shielded = F.translate(collapse(value), _FOLD_FROM + _DOTTED_I, _FOLD_TO + _SHIELD)
-    return F.translate(F.lower(shielded), _SHIELD, _DOTTED_I)
+
+
+    def folded(text: Column) -> Column:
+        shielded = F.translate(text, _FOLD_FROM + _DOTTED_I, _FOLD_TO + _SHIELD)
+        special = F.translate(F.lower(shielded), _SHIELD, _DOTTED_I)
+        # Per-character translation is slow and almost never needed.
+        return F.when(text.rlike(f"[{_FOLD_FROM}{_DOTTED_I}]"), special).otherwise(F.lower(text))
+
+    return let(collapse(value), folded)
 
 
 def fold_text(value: str) -> str:

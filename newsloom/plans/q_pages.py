@@ -591,7 +591,7 @@ def selector_union(spark, folder):
     "SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text,'[\\s\\x{A0}]+',' ','g'))),'µ','μ')) AS digest FROM documents",
 )
 def fold_text(spark, folder):
-    return B.table(spark, folder, "documents").select("doc_id", F.sha2(F.encode(text.fold("text"), "UTF-8"), 256).alias("digest"))
+    return B.spread(B.table(spark, folder, "documents")).select("doc_id", F.sha2(F.encode(text.fold("text"), "UTF-8"), 256).alias("digest"))
 
 
 @query(
@@ -602,7 +602,7 @@ def fold_text(spark, folder):
 def leaf_contains(spark, folder):
     from newsloom.functions.rules import leaf
 
-    d = B.table(spark, folder, "documents").select("doc_id", pin(text.fold("text")).alias("t"))
+    d = B.spread(B.table(spark, folder, "documents")).select("doc_id", pin(text.fold("text")).alias("t"))
     many = [f"w{i}x" for i in range(99)] + ["Is  and"]
     return d.select(
         "doc_id",
@@ -619,7 +619,7 @@ def leaf_contains(spark, folder):
  '(?i)\\b(password|access[_-]?token|refresh[_-]?token|api[_-]?key)\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s,;]+)','\\1=[redacted]','g'),'[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{80}-\\x{9F}]','�','g')) AS digest FROM documents""",
 )
 def redact_text(spark, folder):
-    d = B.table(spark, folder, "documents")
+    d = B.spread(B.table(spark, folder, "documents"))
     made = F.concat(F.lit("see https://a.example/x?y Cookie: a=b; c\npassword = 'x y', doc "), F.col("doc_id").cast("string"))
     return d.select("doc_id", text.redact(made, 512).alias("head"), F.sha2(F.encode(text.redact("text"), "UTF-8"), 256).alias("digest"))
 
