@@ -110,56 +110,64 @@ def is_image_address(value: Column | str) -> Column:
     return F.coalesce(let(strip(col(value)), check), F.lit(False))
 
 
-def lazy_address(base: Column, value: Column) -> Column:
-    def resolved(address: Column) -> Column:
-        return F.when(F.octet_length(address) > MAX_IMAGE_ADDRESS, F.lit("")).otherwise(address)
+# How a candidate may be used: as it stands, as one of a list, or only when it looks like an image.
+DIRECT, LISTED, LAZY = 0, 1, 2
 
-    return F.when(is_image_address(value), let(resolve_url(base, value), resolved)).otherwise(F.lit(""))
 
+def _tagged(values: Column, kind: int) -> Column:
+    return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("kind")))
 
-def srcset_address(base: Column, value: Column, lazy: bool = False) -> Column:
-    """The last usable candidate, normally the largest; '' when none is."""
 
-    def address(candidate: Column) -> Column:
-        if lazy:
-            return lazy_address(base, candidate)
-        return let(
-            resolve_url(base, candidate),
-            lambda a: F.when(F.octet_length(a) > MAX_IMAGE_ADDRESS, F.lit("")).otherwise(a),
+def _present(attrs: Column, names: tuple[str, ...]) -> Column:
+    """Values of the attributes an element has, in the order of ``names``."""
+    listed = F.expr("array(" + ",".join(f"'{n}'" for n in names) + ")")
+    return F.filter(F.transform(listed, lambda k: F.try_element_at(attrs, k)), lambda v: v.isNotNull())
+
+
+def _from_sets(values: Column) -> Column:
+    """Candidates of srcset values, the last (normally the largest) of each first."""
+    return F.flatten(F.transform(values, lambda v: F.reverse(srcset_candidates(v))))
+
+
+def _usual(attrs: Column) -> Column:
+    return F.concat(
+        _tagged(_present(attrs, USUAL_ATTRIBUTES), DIRECT), _tagged(_from_sets(_present(attrs, USUAL_SRCSETS)), LISTED)
+    )
+
+
+def _lazy(attrs: Column) -> Column:
+    sets = F.filter(_present(attrs, LAZY_SRCSETS), lambda v: F.octet_length(v) <= MAX_LAZY_SRCSET)
+    return _tagged(F.concat(_present(attrs, LAZY_ATTRIBUTES), _from_sets(sets)), LAZY)
+
+
+def _first_usable(base: Column, candidates: Column) -> Column:
+    def address(c: Column) -> Column:
+        def usable(resolved: Column) -> Column:
+            too_long = (c["kind"] != DIRECT) & (F.octet_length(resolved) > MAX_IMAGE_ADDRESS)
+            return F.when(too_long, F.lit("")).otherwise(resolved)
+
+        return F.when((c["kind"] == LAZY) & ~is_image_address(c["value"]), F.lit("")).otherwise(
+            let(resolve_url(base, c["value"]), usable)
         )
 
-    usable = F.filter(F.transform(srcset_candidates(value), address), lambda a: a != "")
-    found = F.coalesce(F.try_element_at(usable, F.lit(-1)), F.lit(""))
-    if lazy:
-        return F.when(F.octet_length(value) > MAX_LAZY_SRCSET, F.lit("")).otherwise(found)
-    return found
+    return F.coalesce(first_of(F.filter(F.transform(candidates, address), lambda a: a != "")), F.lit(""))
 
 
-def _first_usable(attrs: Column, names: tuple[str, ...], address) -> Column:
-    keys = F.filter(F.array(*[F.lit(n) for n in names]), lambda k: F.map_contains_key(attrs, k))
-    return first_of(F.filter(F.transform(keys, lambda k: address(F.try_element_at(attrs, k))), lambda a: a != ""))
+def srcset_address(base: Column, value: Column) -> Column:
+    """The last usable candidate of a srcset value, or ''."""
+    return _first_usable(base, _tagged(F.reverse(srcset_candidates(value)), LISTED))
 
 
 def content_image(node: Column, base: Column) -> Column:
     """Address from the attributes images normally keep it in."""
-    attrs = node["attrs"]
-    return F.coalesce(
-        _first_usable(attrs, USUAL_ATTRIBUTES, lambda v: resolve_url(base, v)),
-        _first_usable(attrs, USUAL_SRCSETS, lambda v: srcset_address(base, v)),
-        F.lit(""),
-    )
+    return _first_usable(base, _usual(node["attrs"]))
 
 
 def story_image(node: Column, base: Column) -> Column:
     """Usual attributes first; an img element then its lazy-loading attributes."""
     attrs = node["attrs"]
-    usual = content_image(node, base)
-    lazy = F.coalesce(
-        _first_usable(attrs, LAZY_ATTRIBUTES, lambda v: lazy_address(base, v)),
-        _first_usable(attrs, LAZY_SRCSETS, lambda v: srcset_address(base, v, lazy=True)),
-        F.lit(""),
-    )
-    return let(usual, lambda u: F.when((u != "") | (node["tag"] != "img"), u).otherwise(lazy))
+    usual = _usual(attrs)
+    return _first_usable(base, F.when(node["tag"] == "img", F.concat(usual, _lazy(attrs))).otherwise(usual))
 
 
 def image_tag(address: Column) -> Column:

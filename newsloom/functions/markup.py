@@ -264,12 +264,9 @@ def absolute_addresses(nodes: Column, base: Column) -> Column:
     return F.transform(nodes, lambda n: F.when(is_text(n), n).otherwise(fixed(n)))
 
 
-def shows_anything(nodes: Column, base: Column | None = None) -> Column:
-    """The block shows text or an image with an address (its automatic one when ``base`` is given)."""
-    from newsloom.functions.images import content_image
-
-    def image_shows(n: Column) -> Column:
-        return (content_image(n, base) if base is not None else F.coalesce(attr(n, "src"), F.lit(""))) != ""
-
+def shows_anything(nodes: Column) -> Column:
+    """The block, its addresses resolved, shows text or an image with an address."""
     kept = without_subtrees(nodes, lambda n: n["tag"].isin(*SKIP_CONTENT))
-    return F.exists(kept, lambda n: (is_text(n) & (strip(n["text"]) != "")) | ((n["tag"] == "img") & image_shows(n)))
+    return F.exists(
+        kept, lambda n: (is_text(n) & (strip(n["text"]) != "")) | ((n["tag"] == "img") & (F.coalesce(attr(n, "src"), F.lit("")) != ""))
+    )

@@ -18,7 +18,7 @@ from newsloom.functions.columns import first_of, let, pin
 from newsloom.functions.markup import attr, is_text
 from newsloom.functions.rules import RuleSet, decide
 from newsloom.functions.selectors import Loose, css, node_value, xpath
-from newsloom.functions.text import collapse, ellipsize, escape_html, field_sample, redact, sha, strip
+from newsloom.functions.text import collapse, ellipsize, escape_html, field_sample, quoted, redact, sha, strip
 from newsloom.functions.urls import MAX_URL, resolve_url
 
 # Size limits of one story, one page and one page's diagnostics.
@@ -94,7 +94,7 @@ def _value(nodes: Column, node: Column, spec: Field, default_attr: str = "") ->
     return F.coalesce(F.when(node.isNotNull(), picked), F.lit(""))
 
 
-def mismatch(name: str, expected: str, raw: Column, node: Column, attribute: Column) -> Column:
+def mismatch(name: str, expected: str, raw: Column, node: Column, attribute: Column | str) -> Column:
     """'<name> expected <expected> but received <what>' for a field that gave nothing usable."""
 
     def received(a: Column) -> Column:
@@ -105,10 +105,11 @@ def mismatch(name: str, expected: str, raw: Column, node: Column, attribute: Col
             F.when(strip(raw) != "", field_sample(raw))
             .when(node.isNull(), F.lit("nothing (selector matched no nodes)"))
             .when((a == "") | _is_attribute(node), F.lit("nothing (selected value is empty)"))
-            .otherwise(F.concat(lead, field_sample(a), tail))
+            .otherwise(F.concat(lead, quoted(a), tail))
         )
 
-    return F.concat(F.lit(f"{name} expected {expected} but received "), let(attribute, received))
+    held = F.lit(attribute) if isinstance(attribute, str) else attribute
+    return F.concat(F.lit(f"{name} expected {expected} but received "), let(held, received))
 
 
 # ----------------------------------------------------- descriptions, cleanup
@@ -141,21 +142,36 @@ def block_markup(nodes: Column, root: Column, base: Column, recipe: Recipe) -> C
     """struct(html, text, emptied) of a selected block after cleanup, resolution and sanitizing."""
     kept_blocks = tuple(t for t in markup.FILTER_BLOCKS if t in markup.PLAIN_TAGS)
 
-    def publish(block: Column) -> Column:
-        shown = markup.without_subtrees(block, lambda n: n["tag"].isin(*markup.SKIP_CONTENT))
-        html = markup.sanitized(block)
-        text = markup.readable_text(shown, kept_blocks)
-        emptied = (
-            ~markup.shows_anything(block) & markup.shows_anything(markup.subtree(nodes, root), base) if recipe.remove else F.lit(False)
+    def published(block: Column) -> Column:
+        return let(
+            markup.without_subtrees(block, lambda n: n["tag"].isin(*markup.SKIP_CONTENT)),
+            lambda shown: F.struct(
+                markup.sanitized(shown).alias("html"),
+                markup.readable_text(shown, kept_blocks).alias("text"),
+                markup.shows_anything(shown).alias("shows"),
+            ),
+        )
+
+    def outcome(whole: Column) -> Column:
+        """``whole`` is the block with resolved addresses; rules read the page as it was written."""
+        if not recipe.remove:
+            return let(published(whole), lambda b: F.struct(b["html"].alias("html"), b["text"].alias("text"), F.lit(False).alias("emptied")))
+        left = F.transform(cleaned_block(nodes, root, recipe), lambda n: n["pre"])
+        block = let(
+            left,
+            lambda kept: F.when(F.size(kept) == F.size(whole), whole).otherwise(
+                F.filter(whole, lambda n: F.array_contains(kept, n["pre"]))
+            ),
         )
         return let(
-            F.struct(html.alias("html"), text.alias("text"), emptied.alias("emptied")),
-            lambda b: F.when(
-                b["emptied"], F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(True).alias("emptied"))
-            ).otherwise(b),
+            F.struct(published(block).alias("b"), markup.shows_anything(whole).alias("before")),
+            lambda s: F.when(
+                ~s["b"]["shows"] & s["before"],
+                F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(True).alias("emptied")),
+            ).otherwise(F.struct(s["b"]["html"].alias("html"), s["b"]["text"].alias("text"), F.lit(False).alias("emptied"))),
         )
 
-    return let(markup.absolute_addresses(cleaned_block(nodes, root, recipe), base), publish)
+    return let(markup.absolute_addresses(markup.subtree(nodes, root), base), outcome)
 
 
 # ---------------------------------------------------------------- the cards
@@ -246,11 +262,11 @@ def _story(s: Column, recipe: Recipe) -> Column:
 
     skip = F.when(
         s["title"] == "",
-        F.concat(F.lit(" skipped: empty title; "), mismatch("Title", "non-empty text", s["title"], n["title"], F.lit(recipe.title.attr))),
+        F.concat(F.lit(" skipped: empty title; "), mismatch("Title", "non-empty text", s["title"], n["title"], recipe.title.attr)),
     ).otherwise(
         F.concat(
             F.lit(" skipped: missing or unsafe item URL; "),
-            mismatch("Link", "an HTTP(S) URL", s["raw_link"], n["link"], F.lit(recipe.link.attr or "href")),
+            mismatch("Link", "an HTTP(S) URL", s["raw_link"], n["link"], recipe.link.attr or "href"),
         )
     )
     warnings = [note(skip, reason.isNotNull())]
@@ -258,7 +274,7 @@ def _story(s: Column, recipe: Recipe) -> Column:
     if recipe.content.selector:
         warnings.append(note(F.lit(": cleanup removed the whole description; content omitted"), valid & s["content"]["emptied"]))
         blank = ~s["content"]["emptied"] & (strip(s["content"]["html"]) == "")
-        text = mismatch("Content", "text or safe HTML", s["raw_content"], n["content"], F.lit(recipe.content.attr))
+        text = mismatch("Content", "text or safe HTML", s["raw_content"], n["content"], recipe.content.attr)
         warnings.append(note(F.concat(F.lit(": "), text, F.lit("; content omitted")), valid & blank))
     if recipe.image.selector:
         held = F.filter(
