@@ -53,18 +53,22 @@ def carry_forward(df: DataFrame, group: list[str], ts: str, order: list[str], va
 
 
 def streaks(
-    df: DataFrame, group: list[str], ts: str, order: list[str], failed: Column, name: str = "streak", initial: Column | None = None
+    df: DataFrame, group: list[str], ts: str, order: list[str], failed: Column, initial: Column | None = None
 ) -> DataFrame:
-    """Consecutive failures up to and including each row; a success resets to 0.
+    """Adds ``streak`` (failures in a row up to and including a row; a success resets to 0),
+    ``before`` (the streak just before the row) and ``succeeded`` (a success came earlier).
 
     ``initial`` is the streak each group starts with, as carried over from earlier rows.
+    One pass gives all three, because every pass reads its input twice: rows and chunk summary.
     """
     inner = Window.partitionBy(*group, "_chunk").orderBy(ts, *order)
+    last_ok = F.max(F.when(~F.col("_failed"), F.col("_rn")))
     local = (
         df.withColumn("_chunk", _chunk(ts))
         .withColumn("_failed", failed)
         .withColumn("_rn", F.row_number().over(inner))
-        .withColumn("_ok", F.max(F.when(~F.col("_failed"), F.col("_rn"))).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_ok", last_ok.over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_ok_before", last_ok.over(inner.rowsBetween(Window.unboundedPreceding, -1)))
     )
     summary = local.groupBy(*group, "_chunk").agg(
         (F.max("_rn") - F.coalesce(F.max(F.when(~F.col("_failed"), F.col("_rn"))), F.lit(0))).alias("_tail"),
@@ -79,8 +83,41 @@ def streaks(
     )
     joined = local.join(carried, [*group, "_chunk"])
     start = F.lit(0) if initial is None else F.when(F.col("_fresh"), F.coalesce(initial, F.lit(0))).otherwise(0)
-    value = F.when(F.col("_ok").isNull(), F.col("_rn") + F.col("_carry") + start).otherwise(F.col("_rn") - F.col("_ok"))
-    return joined.withColumn(name, value.cast("long")).drop("_chunk", "_failed", "_rn", "_ok", "_carry", "_fresh")
+    reach = F.col("_carry") + start
+
+    def count(last_ok: str, rows: Column) -> Column:
+        return (rows - F.coalesce(F.col(last_ok), -reach)).cast("long")
+
+    return (
+        joined.withColumn("streak", count("_ok", F.col("_rn")))
+        .withColumn("before", count("_ok_before", F.col("_rn") - 1))
+        .withColumn("succeeded", F.col("_ok_before").isNotNull() | ~F.col("_fresh"))
+        .drop("_chunk", "_failed", "_rn", "_ok", "_ok_before", "_carry", "_fresh")
+    )
+
+
+def busy_spans(seconds: DataFrame, width: int) -> DataFrame:
+    """seconds(stream, second), distinct -> adds ``span``: the second that opened the row's busy span.
+
+    A span ends where the next second is ``width`` or more away.
+    """
+    inner = Window.partitionBy("stream", "_chunk").orderBy("second")
+    local = (
+        seconds.withColumn("_chunk", F.floor(F.col("second") / CHUNK_SECONDS))
+        .withColumn("_gap", F.col("second") - F.lag("second").over(inner))
+        .withColumn("_open", F.max(F.when(F.col("_gap") >= width, F.col("second"))).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    summary = local.groupBy("stream", "_chunk").agg(
+        F.min("second").alias("_first"), F.max("second").alias("_end"), F.max("_open").alias("_newest")
+    )
+    chunks = Window.partitionBy("stream").orderBy("_chunk")
+    linked = summary.withColumn("_prev", F.lag("_end").over(chunks))
+    opens = F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") >= width)
+    linked = linked.withColumn("_head", F.when(opens, F.col("_first")))
+    newest = F.last(F.coalesce("_newest", "_head"), ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    carried = linked.select("stream", "_chunk", F.coalesce("_head", newest).alias("_carry"))
+    joined = local.join(carried, ["stream", "_chunk"])
+    return joined.select("stream", "second", F.coalesce("_open", "_carry").alias("span"))
 
 
 def _anchor_fold(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -101,10 +138,7 @@ def anchored_windows(events: DataFrame, stream: Column, ts: str, width: int) ->
     so the ordered fold only ever sees the distinct seconds of one busy span.
     """
     keyed = events.withColumn("stream", stream).withColumn("second", F.unix_timestamp(F.col(ts).cast("timestamp")))
-    seconds = keyed.select("stream", "second").distinct().withColumn("_ts", F.timestamp_seconds("second"))
-    previous = carry_forward(seconds, ["stream"], "_ts", [], F.col("second"), "_prev", inclusive=False)
-    starts = F.when(F.col("_prev").isNull() | (F.col("second") - F.col("_prev") >= width), F.col("second"))
-    spans = carry_forward(previous, ["stream"], "_ts", [], starts, "span").select("stream", "span", "second")
+    spans = busy_spans(keyed.select("stream", "second").distinct(), width)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return _anchor_fold(pdf, width)

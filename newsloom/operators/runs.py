@@ -76,7 +76,7 @@ def run_rollup(runs: DataFrame) -> DataFrame:
 
 
 def failure_streaks(runs: DataFrame) -> DataFrame:
-    return streaks(runs, ["feed_id"], "ended", ["run_id"], F.col("error") != "")
+    return streaks(runs, ["feed_id"], "ended", ["run_id"], F.col("error") != "").drop("before", "succeeded")
 
 
 def current_streaks(runs: DataFrame) -> DataFrame:
@@ -116,20 +116,17 @@ def alert_edges(runs: DataFrame, n: int = ALERT_AFTER, state: DataFrame | None =
         carried = state.select("feed_id", F.col("failures").alias("_had"), F.col("reported").alias("_reported"))
         runs = runs.join(carried, "feed_id", "left").na.fill({"_had": 0, "_reported": False})
     counted = streaks(runs, ["feed_id"], "ended", ["run_id"], failed, initial=F.col("_had"))
-    before = carry_forward(counted, ["feed_id"], "ended", ["run_id"], F.col("streak"), "_before", inclusive=False)
-    before = carry_forward(before, ["feed_id"], "ended", ["run_id"], F.when(~failed, F.lit(1)), "_succeeded", inclusive=False)
-    earlier = F.coalesce("_before", "_had")
-    answered = F.col("_reported") & F.col("_succeeded").isNull()
-    kind = F.when(failed & (F.col("streak") == n), "failing").when(~failed & ((earlier >= n) | answered), "recovered")
+    answered = F.col("_reported") & ~F.col("succeeded")
+    kind = F.when(failed & (F.col("streak") == n), "failing").when(~failed & ((F.col("before") >= n) | answered), "recovered")
     return (
-        before.withColumn("kind", kind)
+        counted.withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
         .select(
             "feed_id",
             "run_id",
             "ended",
             "kind",
-            F.when(F.col("kind") == "failing", F.col("streak")).otherwise(earlier).alias("failures"),
+            F.when(F.col("kind") == "failing", F.col("streak")).otherwise(F.col("before")).alias("failures"),
             "error",
         )
     )
