@@ -252,6 +252,8 @@ def _steps(text: str, relative: bool = False) -> list[tuple[str, Predicate]]:
                 raise SelectorError(f"cannot read selector at {text[at:]!r}")
             combinator = gap.group(1) or " "
             at += gap.end()
+            if at >= len(text):
+                raise SelectorError(f"selector ends with a combinator: {text!r}")
     if not steps:
         raise SelectorError("empty selector")
     return steps

@@ -440,23 +440,24 @@ def filter_examples(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
 def article_bodies(articles: DataFrame, recipe: Recipe, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """article_pages(url, html) -> body or failure reason. Never touches identity, date or link."""
     spec = recipe.article or Field()
-    parsed = articles.select(*keep, markup.page_nodes("html").alias("nodes"))
+    parsed = articles.select(*dict.fromkeys((*keep, "url")), markup.page_nodes("html").alias("nodes"))
     nodes = F.col("nodes")
-    base = page_base(nodes, F.col("url"))
     first = first_of(xpath(nodes, spec.selector) if recipe.kind == "xpath" else css(nodes, spec.selector))
-    context = F.struct(base.alias("base"), first.alias("node"))
-
-    def body(c: Column) -> Column:
-        if spec.attr:
-            return F.struct(escape_html(F.coalesce(attr(c["node"], spec.attr), F.lit(""))).alias("html"), F.lit("").alias("text"), F.lit(False).alias("emptied"))
-        return block_markup(nodes, c["node"], c["base"], recipe)
+    nothing = F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(None).cast("boolean").alias("emptied"))
+    if spec.attr:
+        # An attribute holds markup of its own: it is parsed and sanitized as it stands.
+        stated = F.when(first.isNotNull(), F.coalesce(attr(first, spec.attr), F.lit("")))
+        held = parsed.select(*keep, pin(stated).alias("stated"))
+        inner = held.select(*keep, "stated", markup.page_nodes("stated").alias("nodes"))
+        body = F.struct(markup.sanitized(nodes).alias("html"), markup.readable_text(nodes).alias("text"), F.lit(False).alias("emptied"))
+        out = inner.select(*keep, pin(F.when(F.col("stated").isNull(), nothing).otherwise(body)).alias("out"))
+    else:
+        context = F.struct(page_base(nodes, F.col("url")).alias("base"), first.alias("node"))
 
-    def outcome(c: Column) -> Column:
-        return F.when(
-            c["node"].isNull(), F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(None).cast("boolean").alias("emptied"))
-        ).otherwise(body(c))
+        def outcome(c: Column) -> Column:
+            return F.when(c["node"].isNull(), nothing).otherwise(block_markup(nodes, c["node"], c["base"], recipe))
 
-    out = parsed.select(*keep, pin(let(context, outcome)).alias("out"))
+        out = parsed.select(*keep, pin(let(context, outcome)).alias("out"))
     failure = (
         F.when(F.col("out.emptied").isNull(), F.lit("article selector matched nothing on the item page"))
         .when(F.col("out.emptied"), F.lit("article body is empty after cleanup"))
