@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # Legacy web encodings (windows-1252, Shift_JIS ...) for decode().
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
+    # One analyzer pass resolves one level of nested lambdas; description plans nest deeply.
+    "spark.sql.analyzer.maxIterations": "400",
+    "spark.sql.optimizer.maxIterations": "400",
     # Pages are large cells: keep Arrow batches small so a task holds few of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }

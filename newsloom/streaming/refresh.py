@@ -72,7 +72,7 @@ def fold_captures(listings: DataFrame, items: DataFrame, feeds: DataFrame) -> Da
 
 def needs_order(listings: DataFrame, items: DataFrame, feeds: DataFrame, keep: int) -> DataFrame:
     """Feeds whose captures must be merged one after the other: retention would cut in between,
-    or two captures share a second or precede the feed's last change."""
+    two captures share a second, or one is not later than the feed's last change."""
     keys = listings.select("feed_id", "key").unionByName(items.select("feed_id", "key")).distinct()
     size = keys.groupBy("feed_id").agg(F.count("*").alias("n"))
     times = listings.select("feed_id", "at", "page_id").distinct().groupBy("feed_id").agg(
@@ -82,7 +82,7 @@ def needs_order(listings: DataFrame, items: DataFrame, feeds: DataFrame, keep: i
     late = F.coalesce(F.col("first") <= F.col("last_changed"), F.lit(False))
     crowded = F.col("n") > keep
     tied = F.col("captures") > F.col("seconds")
-    return joined.filter((F.col("captures") > 1) & (crowded | tied | late)).select("feed_id")
+    return joined.filter(((F.col("captures") > 1) & (crowded | tied)) | late).select("feed_id")
 
 
 class RefreshStream:
@@ -152,9 +152,30 @@ class RefreshStream:
         state.commit(batch)
 
     def _summary(self, merged: DataFrame, kept: DataFrame, feeds: DataFrame, listings: DataFrame) -> DataFrame:
+        """Change times of folded feeds: those of the stories themselves, or of the capture that made retention cut."""
+        flags = merged.select("feed_id", "key", "inserted", "changed", "first_seen", F.col("last_changed").alias("moved")).join(
+            kept.select("feed_id", "key", F.lit(True).alias("kept")), ["feed_id", "key"], "left"
+        )
+        stays = F.col("kept").isNotNull()
+        counts = flags.groupBy("feed_id").agg(
+            F.count_if(F.col("inserted") & stays).alias("inserted"),
+            F.count_if(F.col("changed") & stays).alias("changed"),
+            F.count_if(~stays).alias("removed"),
+            F.count_if(~stays & ~F.col("inserted")).alias("cut"),
+            F.max(F.when((F.col("inserted") | F.col("changed")) & stays, F.col("moved"))).alias("moved"),
+            F.max(F.when(F.col("inserted") & stays, F.col("first_seen"))).alias("newest"),
+        )
         times = listings.groupBy("feed_id").agg(F.max("at").alias("now"))
-        return history.change_summary(merged, kept, feeds.join(times, "feed_id"), F.col("now")).select(
-            "feed_id", "inserted", "changed", "removed", "last_changed", "last_new"
+        state = feeds.select("feed_id", F.col("last_changed").alias("_was"), F.col("last_new").alias("_new"))
+        joined = counts.join(times, "feed_id").join(state, "feed_id")
+        first = F.when(F.col("_was").isNull(), F.coalesce("moved", "now"))
+        return joined.select(
+            "feed_id",
+            "inserted",
+            "changed",
+            "removed",
+            F.greatest("_was", "moved", F.when(F.col("cut") > 0, F.col("now")), first).alias("last_changed"),
+            F.coalesce("newest", "_new").alias("last_new"),
         )
 
     def _in_order(self, batch: int, listings: DataFrame, items: DataFrame, feeds: DataFrame, stored: DataFrame, summary: DataFrame):

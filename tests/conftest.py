@@ -10,7 +10,7 @@ from newsloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", 8)
+    return local_session("*", 4)
 
 
 @pytest.fixture(scope="session")
