@@ -139,7 +139,7 @@ def effective_filters(feeds: DataFrame, links: DataFrame, filters: DataFrame) ->
     feeds(feed_id, own_include, own_exclude); filters(filter_id, include, exclude): JSON of one rule or NULL.
     Parts whose root already uses the joining operator are spliced, as text, into the group.
     """
-    linked = links.join(F.broadcast(filters), "filter_id").select("feed_id", "position", "include", "exclude")
+    linked = links.join(filters, "filter_id").select("feed_id", "position", "include", "exclude")
     parts = linked.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "include", "exclude"))).alias("parts"))
     joined = feeds.join(parts, "feed_id", "left")
 

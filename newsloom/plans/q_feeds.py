@@ -222,22 +222,10 @@ def search(spark, folder):
     return FD.library_search_sort(B.event_feeds(spark, folder), "D  1", "quiet", "failures", B.at(B.NOW)).select("feed_id", "title")
 
 
-@query(
-    "T2_library_order",
-    f"WITH {B.SQL_FEEDS} SELECT string_agg(feed_id, ' ' ORDER BY u) AS natural, string_agg(feed_id, ' ' ORDER BY CASE WHEN enabled THEN next_run END NULLS LAST, u) AS by_next_run FROM feeds",
-)
-def order(spark, folder):
-    """Natural title order and next-run order of all feeds, as position-tagged lists."""
-    f = B.event_feeds(spark, folder).select("feed_id", "enabled", "next_run", FD.natural_key(F.col("title")).alias("k"))
-    return f.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "feed_id"))), lambda s: s["feed_id"]), " ").alias("natural"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.when(F.col("enabled"), F.unix_timestamp("next_run")).otherwise(99999999999).alias("n"), "k", "feed_id"))), lambda s: s["feed_id"]
-            ),
-            " ",
-        ).alias("by_next_run"),
-    )
+@query("T2_natural_order", f"WITH {B.SQL_FEEDS} SELECT feed_id, 'feed ' || lpad(feed_id,20,'0') AS sort_key FROM feeds")
+def natural_order(spark, folder):
+    """The key by which titles sort with their numbers in numeric order."""
+    return B.event_feeds(spark, folder).select("feed_id", FD.natural_key(F.col("title")).alias("sort_key"))
 
 
 @query(

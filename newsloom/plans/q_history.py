@@ -224,7 +224,7 @@ def combine_filters(spark, folder):
 @query("J4_feed_filters", f"WITH {SQL_LINKS} SELECT feed_id, position, filter_id, 'filter ' || filter_id AS name FROM links")
 def feed_filters(spark, folder):
     _, links, filters = filter_tables(spark, folder)
-    return links.join(F.broadcast(filters.select("filter_id", "name")), "filter_id").select("feed_id", "position", "filter_id", "name")
+    return links.join(filters.select("filter_id", "name"), "filter_id").select("feed_id", "position", "filter_id", "name")
 
 
 @query(

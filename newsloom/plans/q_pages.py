@@ -122,6 +122,57 @@ def feed_stories(spark, folder):
     return E.feed_stories(feed_docs(spark, folder)).select("doc_id", "ord", "title", "url", "key", "image", "published", "html")
 
 
+def entry_rows(spark, folder):
+    return E.entry_stories(E.entry_fields(E.explode_entries(E.feed_documents(feed_docs(spark, folder)))), Recipe())
+
+
+@query("P25_entry_link", SQL_DOCS + " SELECT doc_id, ord, url, false AS bad FROM docs WHERE ord<1000")
+def entry_link(spark, folder):
+    return entry_rows(spark, folder).select("doc_id", "ord", "url", F.col("bad_link").alias("bad"))
+
+
+@query(
+    "P26_entry_description",
+    SQL_DOCS + f" SELECT doc_id, ord, 'About ' || trim(regexp_replace(title,'\\s+',' ','g')) AS body, false AS emptied FROM docs WHERE ord<1000",
+)
+def entry_description(spark, folder):
+    """The chosen description at text level."""
+    return entry_rows(spark, folder).select("doc_id", "ord", F.col("text").alias("body"), "emptied")
+
+
+@query("P28_entry_identity", SQL_DOCS + " SELECT doc_id, ord, 'guid:' || sha256('p' || page_id) AS key, CAST(NULL AS VARCHAR) AS reason FROM docs WHERE ord<1000")
+def entry_identity(spark, folder):
+    return entry_rows(spark, folder).select("doc_id", "ord", "key", "reason")
+
+
+@query("P29_entry_image", SQL_DOCS + " SELECT doc_id, ord, image FROM docs WHERE ord<1000")
+def entry_image(spark, folder):
+    return entry_rows(spark, folder).select("doc_id", "ord", "image")
+
+
+@query("P30_entry_dates", SQL_DOCS + " SELECT doc_id, ord, coalesce(published,0) AS published FROM docs WHERE ord<1000")
+def entry_dates(spark, folder):
+    return entry_rows(spark, folder).select("doc_id", "ord", "published")
+
+
+@query(
+    "C1_text_scalars",
+    """SELECT doc_id, CASE WHEN length(source || lang)>4 THEN left(source || lang,3) || '…' ELSE source || lang END AS short, length(text) - length(replace(text,chr(10),'')) AS line_breaks,
+ replace(replace(replace(replace(replace(left(text,200),'&','&amp;'),chr(39),'&#39;'),'<','&lt;'),'>','&gt;'),'"','&#34;') AS escaped, 'a' || doc_id || ' b' AS one_line, 'q' || chr(92) || '"' || doc_id || chr(92) || 'n' AS label FROM documents""",
+)
+def text_scalars(spark, folder):
+    """Truncation, escaping and one-line functions over every document."""
+    n = F.col("doc_id").cast("string")
+    return B.spread(B.table(spark, folder, "documents")).select(
+        "doc_id",
+        text.ellipsize(F.concat("source", "lang"), 4).alias("short"),
+        (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("line_breaks"),
+        text.escape_html(F.left("text", F.lit(200))).alias("escaped"),
+        text.one_line(F.concat(F.lit("a"), n, F.lit("\r\nb"))).alias("one_line"),
+        text.escape_label(F.concat(F.lit('q"'), n, F.lit("\n"))).alias("label"),
+    )
+
+
 # ---------------------------------------------------------------- selection
 
 

@@ -48,4 +48,4 @@ class StateTables:
         """Append-only outputs of every committed batch."""
         log = self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits").select("batch")
         rows = self.spark.read.schema(schema + ", batch long").parquet(f"{self.root}/{name}")
-        return rows.join(F.broadcast(log), "batch", "left_semi")
+        return rows.join(log, "batch", "left_semi")
