@@ -138,8 +138,9 @@ SQL_TREE_X = """(contains(lower(title),'the') AND (contains(lower(url),'page') O
 @query("F3_rule_tree", f"WITH {B.SQL_STORED} SELECT key, {SQL_TREE} AS include, {SQL_TREE_X} AS exclude FROM stored")
 def rule_tree(spark, folder):
     """The data-driven form: trees as rows, evaluated level by level."""
-    nodes, words = RS.rule_tables(spark, {"tree": TREE})
-    items = B.stored_items(spark, folder).select(F.lit("tree").alias("set_id"), F.col("key").alias("item_id"), "title", F.lit("").alias("description"), "url")
+    nodes, words = RS.rule_tables(spark, {"tree0": TREE, "tree1": TREE})
+    own_set = F.concat(F.lit("tree"), (F.length("feed_id") % 2).cast("string"))
+    items = B.stored_items(spark, folder).select(own_set.alias("set_id"), F.col("key").alias("item_id"), "title", F.lit("").alias("description"), "url")
     return RS.evaluate_rules(items, nodes, words).select(F.col("item_id").alias("key"), "include", "exclude")
 
 

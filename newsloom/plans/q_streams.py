@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +10,14 @@ from pyspark.sql import functions as F
 from newsloom.plans import bindings as B
 from newsloom.plans.refresh import FRONT
 from newsloom.plans.registry import query
+from newsloom.session import shared_folder
 from newsloom.streaming.alerts import EdgeStream
 from newsloom.streaming.refresh import RefreshStream, run_available
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run's state: in the shared folder a cluster names, local only in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="newsloom-", dir=os.environ.get("TMPDIR"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run's state and checkpoint."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
