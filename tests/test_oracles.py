@@ -39,4 +39,4 @@ def test_entry_renders_documents(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLES)
