@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from newsloom.llm import mixing, neardup
+from newsloom.llm import covertree, mixing, neardup, vectordup
 
 QUERIES = {
+    "op2_embedding_neardup": vectordup.op2_embedding_neardup,
     "op3_mixing": mixing.op3_mixing,
+    "op7_top_products": covertree.op7_top_products,
     "op10_minhash": neardup.op10_minhash,
 }
 
 ORACLES = {
+    "op2_embedding_neardup": vectordup.SQL,
     "op3_mixing": mixing.SQL,
+    "op7_top_products": covertree.SQL,
 }
