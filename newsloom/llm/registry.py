@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import covertree, mixing, neardup, vectordup
+from newsloom.llm import covertree, language, mixing, neardup, toxicity, vectordup
 
 QUERIES = {
     "op2_embedding_neardup": vectordup.op2_embedding_neardup,
     "op3_mixing": mixing.op3_mixing,
     "op7_top_products": covertree.op7_top_products,
+    "op8_language": language.op8_language,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": neardup.op10_minhash,
 }
 

@@ -42,10 +42,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each text the number of its first word (n + 1 values)."""
+def word_spans(data: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each text the number of its first word (n + 1 values).
+
+    space tells for each of the 256 byte values whether it parts words.
+    """
     inside = np.zeros(len(data) + 2, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     first = inside[1:] & ~inside[:-1]
     last = inside[:-1] & ~inside[1:]
     # A text border inside a run of letters parts two words.
