@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import covertree, language, mixing, neardup, toxicity, vectordup
+from newsloom.llm import covertree, language, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_embedding_neardup": vectordup.op2_embedding_neardup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": linededup.op4_line_dedup,
+    "op6_token_counts": tokencount.op6_token_counts,
     "op7_top_products": covertree.op7_top_products,
     "op8_language": language.op8_language,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -16,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_embedding_neardup": vectordup.SQL,
     "op3_mixing": mixing.SQL,
+    "op4_line_dedup": linededup.SQL,
     "op7_top_products": covertree.SQL,
 }
