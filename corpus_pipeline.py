@@ -6,11 +6,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.common import table
+from newsloom.llm.linededup import cleaned
 from newsloom.llm.mixing import mix
 from newsloom.llm.neardup import one_of_each
+from newsloom.llm.packing import pack
+from newsloom.llm.toxicity import without_toxic
 from newsloom.session import shared_folder, tune
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the folder's labels scores under the threshold."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines whose template recurs; a document of nothing else goes."""
+    return cleaned(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return one_of_each(docs)
@@ -21,7 +35,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup), ("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, with their token ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Trained scores, signatures and token ids are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None

@@ -78,8 +78,12 @@ class Shard:
         return np.bincount(np.concatenate([self.owner[r] for r in runs]), weights=np.concatenate([self.weight[r] for r in runs]), minlength=self.count)
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece; sequences count from 0."""
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, names: list | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of every piece; sequences count from 0.
+
+    Documents of the same name are repeats and no neighbours of each other.
+    """
+    name = np.unique([-1 if n is None else n for n in names or range(len(docs))], return_inverse=True)[1]
     pieces, sequence = [], 0
     start = []
     for d, ids in enumerate(docs):
@@ -105,7 +109,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             used = take(seed, window, 0)
             if used < window:
                 near = index.scores(seed)
-                near[left == 0] = 0
+                near[(left == 0) | (name == name[seed])] = 0
                 some = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS] if len(near) > NEIGHBOURS else np.arange(len(near))
                 some = [d for d in some[np.lexsort((some, -near[some]))] if near[d] > 0]
                 for d in some:
@@ -128,7 +132,7 @@ def _pack(idf: np.ndarray, mean: float, kind: str, window: int):
     def shard(key: tuple, rows: pa.Table) -> pa.RecordBatch:
         doc_ids = rows.column("doc_id").to_pylist()
         docs = [np.frombuffer(i, dtype=kind) for i in rows.column("ids").to_pylist()]
-        pieces = pack_shard(docs, idf, mean, window)
+        pieces = pack_shard(docs, idf, mean, window, doc_ids)
         d, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
         ids = [docs[a][b : b + n].astype("<u4").tobytes() for a, b, n in zip(d, start, length, strict=True)]
         return pa.record_batch(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import covertree, language, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
+from newsloom.llm import covertree, language, licenses, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_embedding_neardup": vectordup.op2_embedding_neardup,
     "op3_mixing": mixing.op3_mixing,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_licenses": licenses.op5_licenses,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_top_products": covertree.op7_top_products,
     "op8_language": language.op8_language,
