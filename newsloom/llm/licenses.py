@@ -136,6 +136,11 @@ class Scanner:
                     start = places[k]
                     matched = align(words[start : start + reach].tolist(), notice)
                     if len(matched) >= self.coverage * len(notice):
+                        # The window may end inside the notice: once more from where the notice begins.
+                        again = start + matched[0][0]
+                        whole = align(words[again : again + reach].tolist(), notice)
+                        if len(whole) > len(matched):
+                            start, matched = again, whole
                         last = start + matched[-1][0]
                         first = start + matched[0][0]
                         found.append((len(matched), len(matched) / len(notice), name, first, last))

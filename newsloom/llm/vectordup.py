@@ -1,9 +1,12 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within them, one row kept per group.
 
-The cells never hide a link. A vector is compared in its own cell and also visits each other cell whose border it is so
-near that a partner at the threshold could lie behind it: unit vectors at cosine t are sqrt(2 - 2t) apart, so the margin
-between the two centroids can differ by at most that times their distance. Each pair is counted in the home cell of its
-smaller class only. Equal vectors are one class with a count, and cells are cut into blocks of bounded size.
+Every vector is compared in its own cell and also visits cells near its border. For x at home in a and y in b the margins
+x.(a - b) and y.(b - a) add up to (x - y).(a - b), at most |x - y||a - b|, and unit vectors at cosine t are sqrt(2 - 2t)
+apart: one of the two margins is at most half of that, so visiting all cells within half finds every link. In many
+dimensions x - y hardly ever lies along a - b; there the reach is cut to SURE standard deviations of a random direction,
+4 / sqrt(dimensions) of the whole, which keeps all but a few of 100,000 links right at the threshold; sure=None keeps the
+whole. A pair that meets in two cells is counted in one of them. Equal vectors are one class with a count, and cells are
+cut into blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from newsloom.session import tune
 
 #: Rows that k-means is fitted on, cells at most, rounds of k-means, and rows of a block.
 SAMPLE, MOST_CELLS, ROUNDS, BLOCK = 8192, 2048, 8, 1024
+SURE = 4.0
 
 
 def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -40,9 +44,8 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.n
     return centroids
 
 
-def _assign(centroids: np.ndarray, threshold: float, width: int):
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    apart = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2) if len(centroids) <= 256 else None
+def _assign(centroids: np.ndarray, threshold: float, width: int, sure: float | None, kind: str):
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 * (1.0 if sure is None else min(1.0, sure / np.sqrt(width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,32 +53,39 @@ def _assign(centroids: np.ndarray, threshold: float, width: int):
             unit = rows / np.linalg.norm(rows, axis=1)[:, None]
             near = unit @ centroids.T
             home = np.argmax(near, axis=1)
-            far = apart[home] if apart is not None else np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T))
+            far = np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T))
             visits = near.max(axis=1)[:, None] - near <= reach * far + 1e-9
             visits[np.arange(len(rows)), home] = True
             who, cell = np.nonzero(visits)
+            lists = pa.array([np.flatnonzero(v).astype("<i4").tobytes() for v in visits], pa.binary())
+            taken = pa.array(who)
             yield pa.record_batch(
-                [pa.array(cell.astype(np.int32)), pa.array(home[who] == cell), batch.column("cid").take(pa.array(who)), batch.column("n").take(pa.array(who)), packed(rows).take(pa.array(who))],
-                names=["cell", "home", "cid", "n", "vector"],
+                [pa.array(cell.astype(np.int32)), pa.array(home[who].astype(np.int32)), lists.take(taken), batch.column("cid").take(taken), batch.column("n").take(taken), packed(rows.astype(kind)).take(taken)],
+                names=["cell", "home", "visits", "cid", "n", "vector"],
             )
 
     return run
 
 
-def _compare(threshold: float, width: int):
+def _compare(threshold: float, width: int, kind: str):
     def pair(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        _, i, j = key
+        cell, i, j = key
         side = np.asarray(rows.column("side"))
         cid, home, n = (np.asarray(rows.column(c)) for c in ("cid", "home", "n"))
-        data = unpacked(rows.column("vector").to_pylist(), width)
+        data = unpacked(rows.column("vector").to_pylist(), width, kind).astype(np.float64)
         length = np.sqrt((data * data).sum(axis=1))
         left = np.flatnonzero(side == i)
         right = left if i == j else np.flatnonzero(side == j)
         if not len(left) or not len(right):
             return None
         linked = (data[left] @ data[right].T) / (length[left][:, None] * length[right][None, :]) >= threshold
-        smaller = cid[left][:, None] < cid[right][None, :]
-        linked &= np.where(smaller, home[left][:, None], home[right][None, :]) & (cid[left][:, None] != cid[right][None, :])
+        at_home = home == cell
+        linked &= (cid[left][:, None] != cid[right][None, :]) & (at_home[left][:, None] | at_home[right][None, :])
+        lists = rows.column("visits")
+        for x, y in zip(*np.nonzero(linked & (home[left][:, None] != home[right][None, :])), strict=True):
+            host, guest = (left[x], right[y]) if at_home[left[x]] else (right[y], left[x])
+            # The pair belongs to the smaller of its homes, if it meets there as well.
+            linked[x, y] = home[guest] > cell or home[guest] not in np.frombuffer(lists[int(host)].as_py(), dtype="<i4")
         if not linked.any():
             return None
         if i == j:
@@ -107,7 +117,7 @@ def _compare(threshold: float, width: int):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, sure: float | None = SURE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row with columns vec_id and embedding.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or are not of the table's most frequent
@@ -116,6 +126,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK) -
     not read.
     """
     spark = tune(rows.sparkSession)
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     rows = stored(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")), "vectors")
     sound = finite("vector") & F.exists("vector", lambda x: x != 0)
     width = usual_length(rows.filter(sound), "vector")
@@ -129,14 +140,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK) -
         fit /= np.linalg.norm(fit, axis=1)[:, None]
         cells = min(MOST_CELLS, max(1, round(classes.count() ** 0.5 / 2)))
         centroids = spherical_kmeans(fit, cells)
-        placed = stored(classes.select("cid", "n", "vector").mapInArrow(_assign(centroids, threshold, width), "cell int, home boolean, cid long, n long, vector binary"), "cells")
+        placed = stored(classes.select("cid", "n", "vector").mapInArrow(_assign(centroids, threshold, width, sure, kind), "cell int, home int, visits binary, cid long, n long, vector binary"), "cells")
         sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         own = placed.join(sizes, "cell").withColumn("side", in_parts("cid", F.col("blocks")))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cid", "home", "n", "vector"
+            "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cid", "home", "visits", "n", "vector"
         )
         sorted_blocks = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-        links = stored(sorted_blocks.mapInArrow(_compare(threshold, width), "a long, b long, links long"), "vector-links")
+        links = stored(sorted_blocks.mapInArrow(_compare(threshold, width, kind), "a long, b long, links long"), "vector-links")
     else:
         links = spark.createDataFrame([], "a long, b long, links long")
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
