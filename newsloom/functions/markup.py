@@ -66,7 +66,7 @@ def inner_text(nodes: Column, node: Column) -> Column:
 # Elements without readable text, and elements that end a run of text.
 SKIPPED_TEXT = ("head", "script", "style", "template")
 ENTRY_BLOCKS = tuple(
-    "address article blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li ol p pre "
+    "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li ol p pre "
     "section table td th tr ul".split()
 )
 FILTER_BLOCKS = tuple(

@@ -128,7 +128,9 @@ def article_memory(memory: DataFrame, tries: DataFrame, listed: DataFrame, now:
         tries.select("feed_id", "key", "version", "outcome", "kept"), ["feed_id", "key", "version"], "full_outer"
     )
     outcome = F.col("outcome")
-    fault = outcome == "fault"
+    # A try before its time is due to the story's first hour: its failure is put off, not counted.
+    due = F.col("tried").isNull() | F.col("retry").isNull() | (F.col("retry") <= now)
+    fault = (outcome == "fault") & due
     count = F.coalesce("count", F.lit(0)) + F.when(fault, 1).otherwise(0)
     next_retry = F.timestamp_seconds(F.unix_timestamp(now) + retry_delay(count))
     stored = outcome == "stored"

@@ -224,13 +224,13 @@ def audit_snapshot(live: dict[str, DataFrame], copy: dict[str, DataFrame]) -> Da
     parts = []
     for name, frame in live.items():
         other = copy[name]
-        sides = [
-            f.select(F.lit(side).alias("side"), F.xxhash64(*sorted(frame.columns)).alias("h")) for side, f in ((0, frame), (1, other))
-        ]
-        counted = sides[0].unionByName(sides[1]).agg(
-            F.count_if(F.col("side") == 0).alias("live_rows"),
-            F.count_if(F.col("side") == 1).alias("copy_rows"),
-            F.bit_xor(F.col("h")).alias("difference"),
+        sides = [f.select(F.lit(side).alias("side"), F.xxhash64(*sorted(frame.columns)).alias("h")) for side, f in ((0, frame), (1, other))]
+        # Equal rows are counted, so that two of a kind can't stand for two of another.
+        per_row = sides[0].unionByName(sides[1]).groupBy("h").agg(F.count_if(F.col("side") == 0).alias("live"), F.count_if(F.col("side") == 1).alias("copy"))
+        counted = per_row.agg(
+            F.coalesce(F.sum("live"), F.lit(0)).alias("live_rows"),
+            F.coalesce(F.sum("copy"), F.lit(0)).alias("copy_rows"),
+            F.count_if(F.col("live") != F.col("copy")).alias("difference"),
         )
         if name == "feeds":
             orphans = counted.select(F.lit(0).cast("long").alias("orphans"))

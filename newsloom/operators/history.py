@@ -116,14 +116,15 @@ def change_summary(merged: DataFrame, kept: DataFrame, feeds: DataFrame, now: Co
     )
     state = feeds.select("feed_id", F.col("last_changed").alias("_was"), F.col("last_new").alias("_new"), now.alias("_now"))
     now = F.col("_now")
-    moved = (F.col("inserted") > 0) | (F.col("changed") > 0) | (F.col("removed_published") > 0)
+    # A first success publishes a document even without stories.
+    moved = (F.col("inserted") > 0) | (F.col("changed") > 0) | (F.col("removed_published") > 0) | F.col("_was").isNull()
     return per_feed.join(state, "feed_id").select(
         "feed_id",
         "inserted",
         "changed",
         "removed",
         moved.alias("output_changed"),
-        F.when(moved | F.col("_was").isNull(), change_time(F.col("_was"), now)).otherwise(F.col("_was")).alias("last_changed"),
+        F.when(moved, change_time(F.col("_was"), now)).otherwise(F.col("_was")).alias("last_changed"),
         F.when(F.col("inserted") > 0, now).otherwise(F.col("_new")).alias("last_new"),
     )
 
@@ -155,14 +156,28 @@ def apply_filter(items: DataFrame, rules: RuleSet, description: str = "descripti
     return items.withColumn("reason", decide(rules, F.col("title"), text, F.col("url")))
 
 
-def prune_history(items: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed) stories under the rules; histories over the limit are refused, not cut."""
-    counts = items.groupBy("feed_id").agg(F.count("*").alias("_n"))
-    sized = items.join(counts, "feed_id")
-    judged = apply_filter(sized, rules).withColumn(
-        "reason", F.when(F.col("_n") > PRUNE_LIMIT, F.lit(None)).otherwise(F.col("reason"))
-    )
-    return judged.filter(F.col("reason").isNull()).drop("reason", "_n"), judged.filter(F.col("reason").isNotNull()).drop("_n")
+def prune_history(items: DataFrame, rules: RuleSet, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) stories under the rules.
+
+    With a limit, feeds with a longer history keep it whole; ``refused_prunes`` lists them.
+    """
+    judged = apply_filter(items, rules)
+    if limit is not None:
+        refused = refused_prunes(items, limit).select("feed_id", F.lit(True).alias("_refused"))
+        judged = judged.join(refused, "feed_id", "left").withColumn("reason", F.when(F.col("_refused").isNull(), F.col("reason"))).drop("_refused")
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
+
+
+def refused_prunes(items: DataFrame, limit: int = PRUNE_LIMIT) -> DataFrame:
+    """Feeds whose history is too long to prune in one edit, with its length."""
+    return items.groupBy("feed_id").agg(F.count("*").alias("items")).filter(F.col("items") > limit)
+
+
+def pruned_feeds(feeds: DataFrame, removed: DataFrame, now: Column) -> DataFrame:
+    """Feeds whose published stories a prune removed get a new change time."""
+    hit = removed.select("feed_id").distinct().withColumn("_hit", F.lit(True))
+    moved = F.when(F.col("_hit").isNotNull(), change_time(F.col("last_changed"), now)).otherwise(F.col("last_changed"))
+    return feeds.join(hit, "feed_id", "left").withColumn("last_changed", moved).drop("_hit")
 
 
 def clear_bodies(items: DataFrame, edits: DataFrame, runs: DataFrame, feeds: DataFrame, now: Column) -> DataFrame:

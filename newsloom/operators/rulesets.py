@@ -133,15 +133,26 @@ def lint_rules(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     return flags.select("set_id", "nodes", "depth", "keywords", F.array_join(found, ",").alias("violations"))
 
 
-def effective_filters(feeds: DataFrame, links: DataFrame, filters: DataFrame) -> DataFrame:
+MAX_LINKS = 16
+
+
+def effective_filters(feeds: DataFrame, links: DataFrame, filters: DataFrame, most: int = MAX_LINKS) -> DataFrame:
     """Per feed, own rules and library filters joined side by side as JSON parts in link order.
 
     feeds(feed_id, own_include, own_exclude); filters(filter_id, include, exclude): JSON of one rule or NULL.
-    Parts whose root already uses the joining operator are spliced, as text, into the group.
+    Parts whose root already uses the joining operator are spliced, as text, into the group. A feed whose links name an
+    unknown filter, one filter twice or more than ``most`` has no rules but a failure.
     """
-    linked = links.join(filters, "filter_id").select("feed_id", "position", "include", "exclude")
-    parts = linked.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "include", "exclude"))).alias("parts"))
+    known = filters.select("filter_id", "include", "exclude", F.lit(True).alias("_known"))
+    linked = links.join(known, "filter_id", "left")
+    parts = linked.groupBy("feed_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "include", "exclude"))).alias("parts"),
+        F.count_if(F.col("_known").isNull()).alias("_missing"),
+        (F.count("*") - F.count_distinct("filter_id")).alias("_repeated"),
+        F.count("*").alias("_links"),
+    )
     joined = feeds.join(parts, "feed_id", "left")
+    failure = F.when(F.col("_missing") > 0, "unknown filter").when(F.col("_repeated") > 0, "repeated filter").when(F.col("_links") > most, "too many filters")
 
     def side(name: str, op: str):
         own = F.filter(F.array(F.col(f"own_{name}")), lambda v: v.isNotNull())
@@ -151,13 +162,16 @@ def effective_filters(feeds: DataFrame, links: DataFrame, filters: DataFrame) ->
         )
         every = F.concat(own, shared)
         head = f'{{"op":"{op}","rules":['
-        spliced = F.transform(
-            every,
-            lambda v: F.when(F.startswith(v, F.lit(head)), F.substring(v, F.lit(len(head) + 1), F.length(v) - len(head) - 2)).otherwise(v),
-        )
+
+        def inner(v):
+            rules = F.get_json_object(v, "$.rules")
+            return F.when((F.get_json_object(v, "$.op") == op) & rules.isNotNull(), F.substring(rules, F.lit(2), F.length(rules) - 2)).otherwise(v)
+
+        spliced = F.transform(every, inner)
         return F.when(F.size(every) == 1, every[0]).when(F.size(every) > 1, F.concat(F.lit(head), F.array_join(spliced, ","), F.lit("]}")))
 
-    return joined.select("feed_id", side("include", "all").alias("include"), side("exclude", "any").alias("exclude"))
+    sound = failure.isNull()
+    return joined.select("feed_id", F.when(sound, side("include", "all")).alias("include"), F.when(sound, side("exclude", "any")).alias("exclude"), failure.alias("failure"))
 
 
 def filter_usage(filters: DataFrame, links: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def gauges(spark, folder):
     return FD.library_gauges(B.event_feeds(spark, folder), B.event_items(spark, folder), B.at(B.NOW))
 
 
-SQL_SAMPLES = f"""SELECT feed_id, title, s.metric, s.value FROM (SELECT f.*, coalesce(i.n,0) AS items FROM feeds f LEFT JOIN (SELECT feed_id, count(*) AS n FROM eitems GROUP BY feed_id) i USING (feed_id) ORDER BY title, feed_id LIMIT 1000) f,
+SQL_SAMPLES = f"""SELECT feed_id, title, s.metric, s.value FROM (SELECT f.*, coalesce(i.n,0) AS items FROM feeds f LEFT JOIN (SELECT feed_id, count(*) AS n FROM eitems GROUP BY feed_id) i USING (feed_id)) f,
  LATERAL (VALUES ('feed_items', f.items), ('feed_failures', f.failures), ('feed_enabled', f.enabled::INT), ('feed_last_success_timestamp_seconds', coalesce(f.last_success,0)), ('feed_last_changed_timestamp_seconds', coalesce(f.last_changed,0)), ('feed_last_new_story_timestamp_seconds', coalesce(f.last_new,0))) s(metric, value)"""
 
 
@@ -319,8 +319,8 @@ def recipe_documents(spark, folder):
     c = B.table(spark, folder, "customer")
     k = F.col("c_custkey")
     feed = F.concat(
-        F.lit('{"title":"'), F.col("c_name"), F.lit('","url":"https://c.example/'), k.cast("string"), F.lit('","interval":'), (k % 1000 * 60).cast("string"),
-        F.lit(',"recipe":{"type":"'), F.when(k % 7 == 0, "xpath").otherwise("css"), F.lit('","items":"nav li","title":{"selector":"'), F.when(k % 11 == 0, "").otherwise("a"),
+        F.lit('{"title":"'), F.col("c_name"), F.lit('","url":"https://c.example/'), k.cast("string"), F.lit('","interval":'), F.when(k % 17 == 0, "null").otherwise((k % 1000 * 60).cast("string")),
+        F.lit(',"recipe":{"type":"'), F.when(k % 7 == 0, "xpath").otherwise("css"), F.lit('","items":"nav li'), F.when(k % 19 == 0, "[").otherwise(""), F.lit('","title":{"selector":"'), F.when(k % 11 == 0, "").otherwise("a"),
         F.lit('"},"timezone":"'), F.when(k % 13 == 0, "Mars/Base").otherwise("Europe/Paris"), F.lit('","quiet_days":'), F.when(k % 5 == 0, "8").otherwise("7"), F.lit("}}"),
     )
     docs = c.groupBy(F.floor(k / 20).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", feed.alias("x")))), lambda s: s["x"]), ",").alias("body"))
@@ -333,7 +333,7 @@ def recipe_documents(spark, folder):
 
 @query(
     "S2_recipes_scan",
-    """WITH c AS (SELECT c_custkey//20 AS doc_id, row_number() OVER (PARTITION BY c_custkey//20 ORDER BY c_custkey) - 1 AS n, c_name AS title, c_custkey%1000*60 AS interval_s FROM customer)
+    """WITH c AS (SELECT c_custkey//20 AS doc_id, row_number() OVER (PARTITION BY c_custkey//20 ORDER BY c_custkey) - 1 AS n, c_name AS title, CASE WHEN c_custkey%17<>0 THEN c_custkey%1000*60 END AS interval_s FROM customer)
  SELECT doc_id, n, title, interval_s, false AS enabled, CAST(NULL AS VARCHAR) AS error FROM c WHERE doc_id%6 IN (0,5)
  UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, false, CASE doc_id%6 WHEN 1 THEN 'unsupported recipe format' WHEN 2 THEN 'unsupported recipe version' WHEN 3 THEN 'unknown field' ELSE 'recipe file must contain one JSON document' END FROM c WHERE doc_id%6 NOT IN (0,5)""",
 )
@@ -344,7 +344,7 @@ def recipes_scan(spark, folder):
 
 @query(
     "M9_recipe_lint",
-    """WITH c AS (SELECT c_custkey AS k, c_custkey//20 AS doc_id FROM customer), v AS (SELECT k, unnest([CASE WHEN k%1000=0 OR k%1000*60>604800 THEN 'interval' END, CASE WHEN k%11=0 THEN 'required' END, CASE WHEN k%13=0 THEN 'zone' END, CASE WHEN k%5=0 THEN 'quiet' END, CASE WHEN k%7=0 AND k%11<>0 THEN 'relative' END]) AS rule FROM c WHERE doc_id%6 IN (0,5))
+    """WITH c AS (SELECT c_custkey AS k, c_custkey//20 AS doc_id FROM customer), v AS (SELECT k, unnest([CASE WHEN k%17=0 OR k%1000=0 OR k%1000*60>604800 THEN 'interval' END, CASE WHEN k%19=0 THEN 'selector' END, CASE WHEN k%11=0 THEN 'required' END, CASE WHEN k%13=0 THEN 'zone' END, CASE WHEN k%5=0 THEN 'quiet' END, CASE WHEN k%7=0 AND k%11<>0 THEN 'relative' END]) AS rule FROM c WHERE doc_id%6 IN (0,5))
  SELECT 'https://c.example/' || k AS feed_id, rule FROM v WHERE rule IS NOT NULL""",
 )
 def recipe_lint(spark, folder):
@@ -354,12 +354,17 @@ def recipe_lint(spark, folder):
 
 @query(
     "M10_leftover_selector_lint",
-    """SELECT 'f' || c_custkey AS feed_id, 'content' AS field, CASE WHEN c_custkey%4=0 THEN 'warned' ELSE 'refused' END AS action FROM customer WHERE c_custkey%2=0""",
+    """SELECT 'f' || c_custkey AS feed_id, 'content' AS field, CASE WHEN c_custkey%8=0 THEN 'warned' ELSE 'refused' END AS action FROM customer WHERE c_custkey%4<3""",
 )
 def leftover_lint(spark, folder):
     c = B.table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("feed_id"), F.lit("content").alias("field"))
-    new = c.withColumn("selector", F.when(F.col("c_custkey") % 2 == 0, ".summary").otherwise(".//div[@class='summary']"))
-    stored = c.withColumn("selector", F.when(F.col("c_custkey") % 4 == 0, " .summary ").otherwise(".//p"))
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("c"), k.cast("string"))
+    new = c.withColumn(
+        "selector",
+        F.when(k % 4 == 0, ".summary").when(k % 4 == 1, F.concat(F.lit(".//h2 "), name)).when(k % 4 == 2, F.concat(F.lit("//div, //"), name)).otherwise(F.concat(F.lit(".//div[@class='a, b c' and "), name, F.lit("] | ./p[1]"))),
+    )
+    stored = c.withColumn("selector", F.when(k % 8 == 0, " .summary ").otherwise(".//p"))
     return RC.lint_leftovers(new, stored)
 
 

@@ -14,7 +14,9 @@ from newsloom.plans import bindings as B
 from newsloom.plans import render
 from newsloom.plans.registry import query
 
-SQL_KEPT = B.SQL_MERGED + ",\nkept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published DESC, key) AS place FROM merged) WHERE place<=3)"
+SQL_KEPT = B.SQL_MERGED + ",\nkept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published DESC, key) AS place FROM merged) WHERE place<=500)"
+#: Retention short enough to remove stories of the test tables.
+SQL_SHORT = SQL_KEPT.replace("place<=500", "place<=3")
 DIGEST = "sha256(title || '|' || url || '|' || html || '|' || image || '|' || content_full)"
 
 
@@ -41,12 +43,12 @@ def dedup(spark, folder):
     return m.select("key", F.when(F.col("inserted"), "new").otherwise("changed").alias("kind"))
 
 
-@query("W1_retain_items", f"WITH {SQL_KEPT} SELECT feed_id, key, published FROM kept")
+@query("W1_retain_items", f"WITH {SQL_SHORT} SELECT feed_id, key, published FROM kept")
 def retain(spark, folder):
-    return B.kept_items(spark, folder).select("feed_id", "key", "published")
+    return B.kept_items(spark, folder, 3).select("feed_id", "key", "published")
 
 
-@query("U2_retention_except", f"WITH {SQL_KEPT} SELECT m.feed_id, m.key FROM merged m LEFT JOIN kept k ON m.feed_id=k.feed_id AND m.key=k.key WHERE k.key IS NULL")
+@query("U2_retention_except", f"WITH {SQL_SHORT} SELECT m.feed_id, m.key FROM merged m LEFT JOIN kept k ON m.feed_id=k.feed_id AND m.key=k.key WHERE k.key IS NULL")
 def retention_except(spark, folder):
     m = B.merged_items(spark, folder)
     return H.retention_except(m, H.retain_items(m, 3)).select("feed_id", "key")
@@ -54,7 +56,7 @@ def retention_except(spark, folder):
 
 @query(
     "A9_change_summary",
-    f"""WITH {SQL_KEPT}, f AS (SELECT m.feed_id, m.inserted, m.changed, k.key IS NULL AS gone FROM merged m LEFT JOIN kept k ON m.feed_id=k.feed_id AND m.key=k.key),
+    f"""WITH {SQL_SHORT}, f AS (SELECT m.feed_id, m.inserted, m.changed, k.key IS NULL AS gone FROM merged m LEFT JOIN kept k ON m.feed_id=k.feed_id AND m.key=k.key),
  g AS (SELECT feed_id, count(*) FILTER (WHERE inserted AND NOT gone) AS inserted, count(*) FILTER (WHERE changed AND NOT gone) AS changed, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE gone AND NOT inserted) AS rp FROM f GROUP BY feed_id)
  SELECT feed_id, inserted, changed, removed, inserted>0 OR changed>0 OR rp>0 AS output_changed, CASE WHEN inserted>0 OR changed>0 OR rp>0 THEN {B.T2} ELSE {B.T1} END AS last_changed, CASE WHEN inserted>0 THEN {B.T2} ELSE {B.T1} END AS last_new FROM g""",
 )
@@ -200,7 +202,7 @@ def _sql_text(value: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def _combined_sql() -> str:
+def _combined_sql(bad_links: bool = False) -> str:
     """Expected effective rules per link pattern, from the driver-side combination."""
     lib = {i: RuleSet(f.get("include"), f.get("exclude")) for i, f in B.library_filters(None).items()}
     own = RuleSet(exclude={"op": "contains_any", "field": "link", "keywords": ["/x"]})
@@ -209,15 +211,24 @@ def _combined_sql() -> str:
         rows[k] = R.combine(own, [lib[i] for i in ids])
     inc = " ".join(f"WHEN {k} THEN {_sql_text(RS.rule_json(s.include))}" for k, s in rows.items())
     exc = " ".join(f"WHEN {k} THEN {_sql_text(RS.rule_json(s.exclude))}" for k, s in rows.items())
-    return f"WITH {B.SQL_HOSTS} SELECT feed_id, CASE length(feed_id)%4 {inc} END AS include, CASE length(feed_id)%4 {exc} END AS exclude FROM hosts"
+    if not bad_links:
+        return f"WITH {B.SQL_HOSTS} SELECT feed_id, CASE length(feed_id)%4 {inc} END AS include, CASE length(feed_id)%4 {exc} END AS exclude FROM hosts"
+    failure = "CASE WHEN length(feed_id)%5=1 THEN 'unknown filter' WHEN length(feed_id)%5=2 AND length(feed_id)%4<3 THEN 'repeated filter' END"
+    return f"""WITH {B.SQL_HOSTS}, h AS (SELECT feed_id, {failure} AS failure FROM hosts)
+ SELECT feed_id, CASE WHEN failure IS NULL THEN CASE length(feed_id)%4 {inc} END END AS include, CASE WHEN failure IS NULL THEN CASE length(feed_id)%4 {exc} END END AS exclude, failure FROM h"""
 
 
 OWN = RS.rule_json({"op": "contains_any", "field": "link", "keywords": ["/x"]})
 
 
-@query("F7_combine_filters", _combined_sql())
+@query("F7_combine_filters", _combined_sql(True))
 def combine_filters(spark, folder):
+    """Some feeds link a filter that is gone, some link one twice."""
     feeds, links, filters = filter_tables(spark, folder)
+    n = F.length("feed_id")
+    gone = feeds.filter(n % 5 == 1).select("feed_id", F.lit(9).alias("position"), F.lit(99).alias("filter_id"))
+    twice = links.filter((n % 5 == 2) & (F.col("position") == 0)).withColumn("position", F.lit(8))
+    links = links.unionByName(gone).unionByName(twice)
     own = feeds.select("feed_id", F.lit(None).cast("string").alias("own_include"), F.lit(OWN).alias("own_exclude"))
     return RS.effective_filters(own, links, filters.drop("name"))
 
@@ -318,9 +329,10 @@ def memory_intersect(spark, folder):
     "ST6_article_memory",
     f"""WITH {B.SQL_RUNS}, s AS (SELECT feed_id, 'k'||run_id AS key, run_id%4=0 AND run_id%40<>0 AS had, run_id%6 AS cnt, CASE WHEN run_id%5<>0 THEN {B.NOW_S}-3600+(run_id%5)*1800 ELSE 0 END AS retry, {B.NOW_S}-(run_id%17)*600 AS tried, run_id%8=0 AS unkept,
  CASE kind WHEN 'error' THEN 'fault' WHEN 'view' THEN 'deferred' WHEN 'purchase' THEN 'stored' END AS outcome, run_id%2=0 AS kept, run_id FROM runs),
- n AS (SELECT *, CASE WHEN had THEN cnt ELSE 0 END + CASE WHEN outcome='fault' THEN 1 ELSE 0 END AS c2 FROM s)
+ n0 AS (SELECT *, coalesce(outcome='fault',false) AND (NOT had OR retry<={B.NOW_S}) AS fault FROM s),
+ n AS (SELECT *, CASE WHEN had THEN cnt ELSE 0 END + CASE WHEN fault THEN 1 ELSE 0 END AS c2 FROM n0)
  SELECT key, CASE WHEN outcome IS NULL THEN tried ELSE {B.NOW_S} END AS tried, CASE WHEN outcome='stored' THEN 0 ELSE c2 END AS count,
-  CASE WHEN outcome='stored' THEN 0 WHEN outcome='fault' THEN {B.NOW_S}+least(3600*(1<<greatest(least(c2-1,5),0)::INT),86400) WHEN had THEN retry ELSE 0 END::BIGINT AS retry,
+  CASE WHEN outcome='stored' THEN 0 WHEN fault THEN {B.NOW_S}+least(3600*(1<<greatest(least(c2-1,5),0)::INT),86400) WHEN had THEN retry ELSE 0 END::BIGINT AS retry,
   CASE WHEN outcome IS NULL THEN unkept ELSE outcome='stored' END AS unkept
  FROM n WHERE (had OR outcome IS NOT NULL) AND (outcome IS NULL OR outcome<>'stored' OR NOT kept)""",
 )
@@ -337,25 +349,28 @@ def article_memory(spark, folder):
 
 @query(
     "J3_attach_articles",
-    f"WITH {B.SQL_BATCHES}, a AS (SELECT regexp_replace(url,'#.*$','') AS url, CASE WHEN page_id%8=3 THEN '' ELSE 'body ' || page_id END AS body, CASE WHEN page_id%8=3 THEN 'failed' END AS failure FROM pages WHERE page_id%5<>0) SELECT b.key, coalesce(a.body,'') AS content_full, a.failure FROM batch_old b LEFT JOIN a ON b.url=a.url",
+    f"""WITH {B.SQL_BATCHES} SELECT key, CASE WHEN page_id%4=0 OR page_id%8=3 OR page_id%5=0 THEN '' ELSE 'body ' || url END AS content_full, CASE WHEN page_id%4=0 THEN NULL WHEN page_id%8=3 THEN 'failed' WHEN page_id%5=0 THEN 'gone' END AS failure FROM batch_old""",
 )
 def attach_articles(spark, folder):
-    p = B.table(spark, folder, "pages").filter(F.col("page_id") % 5 != 0)
-    bad = F.col("page_id") % 8 == 3
-    bodies = p.select(F.regexp_replace("url", "#.*$", "").alias("url"), F.when(bad, "").otherwise(F.concat(F.lit("body "), F.col("page_id").cast("string"))).alias("body"), F.when(bad, "failed").alias("failure"))
-    return A.attach_articles(B.batch(spark, folder, "old"), bodies).select("key", "content_full", "failure")
+    """Every story but each fourth is queued; some pages failed, some are gone."""
+    b = B.batch(spark, folder, "old")
+    n = F.col("page_id")
+    failure = F.when(n % 8 == 3, "failed").when(n % 5 == 0, "gone")
+    bodies = b.select("url", F.when(failure.isNull(), F.concat(F.lit("body "), F.col("url"))).otherwise("").alias("body"), failure.alias("failure")).dropDuplicates(["url"])
+    return A.attach_articles(b, bodies, b.filter(n % 4 != 0)).select("key", "content_full", "failure")
 
 
 def progress(spark, folder):
-    r = B.runs(spark, folder).filter(F.col("run_id") % 7 < 3)
+    r = B.runs(spark, folder)
+    stored = F.col("run_id") % 7 != 2
     key = F.concat(F.lit("k"), F.col("run_id").cast("string")).alias("key")
-    before = r.filter(F.col("run_id") % 7 != 2).select("feed_id", key, (F.col("run_id") % 14 == 0).alias("has_body"))
-    after = r.filter(F.col("run_id") % 7 != 2).select("feed_id", key, (F.col("run_id") % 7 == 0).alias("has_body"))
+    before = r.select("feed_id", key, F.when(stored, F.col("run_id") % 14 == 0).alias("has_body"))
+    after = r.select("feed_id", key, F.when(stored, F.col("run_id") % 7 == 0).alias("has_body"))
     run = r.select("feed_id", key, F.when(F.col("run_id") % 7 == 0, "fetched").otherwise("left").alias("state"))
     return A.article_progress(r.select("feed_id", key), before, after, run)
 
 
-SQL_PROGRESS = B.SQL_RUNS + """, g AS (SELECT feed_id, count(*) FILTER (WHERE run_id%7<>0) AS left_n, count(*) FILTER (WHERE run_id%7=0) AS fetched, count(*) FILTER (WHERE run_id%14=0) AS had, count(*) FILTER (WHERE run_id%7=0) AS has, count(*) FILTER (WHERE run_id%7=1) AS open_n FROM runs WHERE run_id%7<3 GROUP BY feed_id)"""
+SQL_PROGRESS = B.SQL_RUNS + """, g AS (SELECT feed_id, count(*) FILTER (WHERE run_id%7<>0) AS left_n, count(*) FILTER (WHERE run_id%7=0) AS fetched, count(*) FILTER (WHERE run_id%14=0) AS had, count(*) FILTER (WHERE run_id%7=0) AS has, count(*) FILTER (WHERE run_id%7 NOT IN (0,2)) AS open_n FROM runs GROUP BY feed_id)"""
 
 
 @query("A7_article_progress", f'WITH {SQL_PROGRESS} SELECT feed_id, left_n AS "left", fetched, had, has, open_n AS "open", left_n>0 AND fetched>0 AND has>had AND open_n>0 AS backlog FROM g')
@@ -446,8 +461,8 @@ def changed_documents(spark, folder):
 
 @query(
     "flagship_feeds",
-    f"""WITH {B.SQL_NAV}, u AS (SELECT feed_id, link, title, row_number() OVER (PARTITION BY feed_id, link ORDER BY page_id, pos) AS k FROM cards WHERE NOT contains(lower(title),'the')),
- r AS (SELECT feed_id, link, title, row_number() OVER (PARTITION BY feed_id ORDER BY link) AS place FROM u WHERE k=1) SELECT feed_id, count(*) AS items, string_agg(link, ' ' ORDER BY link) AS links FROM r WHERE place<=3 GROUP BY feed_id""",
+    f"""WITH {B.SQL_NAV}, u AS (SELECT feed_id, link, title, row_number() OVER (PARTITION BY feed_id, link ORDER BY page_id, pos) AS k FROM cards WHERE NOT contains(lower(title),'the') AND page_id%11<>0 AND page_id%13<>0),
+ r AS (SELECT feed_id, link, title, row_number() OVER (PARTITION BY feed_id ORDER BY link) AS place FROM u WHERE k=1) SELECT feed_id, count(*) AS items, string_agg(link, ' ' ORDER BY link) AS links FROM r WHERE place<=500 GROUP BY feed_id""",
 )
 def flagship_check(spark, folder):
     from newsloom.plans.refresh import front_items

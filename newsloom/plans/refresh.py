@@ -27,13 +27,14 @@ def to_batch(stories: DataFrame) -> DataFrame:
 
 def refresh(captures: DataFrame, recipe: Recipe, items: DataFrame, feeds: DataFrame, now: Column, keep: int = history.MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(merged rows with flags, retained items) after one capture batch."""
-    pages = extract.read_pages(captures, recipe)
+    # Bodies of failed and unchanged fetches are no listings.
+    pages = extract.read_pages(captures.filter(F.col("status") == 200), recipe)
     merged = history.merge_items(items, to_batch(extract.stories(pages)), feeds, now)
     return merged, history.retain_items(merged, keep)
 
 
-def front_items(spark: SparkSession, folder: str, keep: int = 3) -> DataFrame:
-    """Stories of the navigation cards per host, filtered, merged into an empty history, the first few kept."""
+def front_items(spark: SparkSession, folder: str, keep: int = history.MAX_ITEMS) -> DataFrame:
+    """Stories of the navigation cards per host, filtered, merged into an empty history, the newest kept."""
     feeds = B.host_feeds(spark, folder, None)
     return refresh(B.captures(spark, folder), FRONT, B.empty_items(spark), feeds, B.at(B.FIRST), keep)[1]
 

@@ -17,7 +17,6 @@ ATOM_NS = "http://www.w3.org/2005/Atom"
 MEDIA_NS = "http://search.yahoo.com/mrss/"
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
 MAX_OUTLINES = 1000
-MAX_SERIES = 1000
 FEED_TAG = "newsloom:feed"
 
 
@@ -239,9 +238,9 @@ def library_samples(feeds: DataFrame, now: Column, prefix: str = "newsloom") ->
     )
 
 
-def feed_samples(feeds: DataFrame, prefix: str = "newsloom") -> DataFrame:
-    """Six series for each of the first 1000 feeds by title."""
-    first = feeds.orderBy("title", "feed_id").limit(MAX_SERIES)
+def feed_samples(feeds: DataFrame, prefix: str = "newsloom", most: int | None = None) -> DataFrame:
+    """Six series for each feed, or for the first ``most`` by title."""
+    first = feeds if most is None else feeds.orderBy("title", "feed_id").limit(most)
     labels = F.concat(F.lit('{feed="'), escape_label("title"), F.lit('",id="'), escape_label("feed_id"), F.lit('"}'))
     when = lambda c: F.coalesce(F.unix_timestamp(c), F.lit(0))
     series = {
@@ -264,16 +263,21 @@ def feed_samples(feeds: DataFrame, prefix: str = "newsloom") -> DataFrame:
     )
 
 
-def render_metrics(feeds: DataFrame, now: Column, prefix: str = "newsloom") -> DataFrame:
-    """Exposition lines, one row each, with their metric."""
-    samples = library_samples(feeds, now, prefix).unionByName(feed_samples(feeds, prefix))
+def render_metrics(feeds: DataFrame, now: Column, prefix: str = "newsloom", most: int | None = None) -> DataFrame:
+    """Exposition lines, one row each, with their metric; feeds beyond ``most`` are counted in a series of their own."""
+    samples = library_samples(feeds, now, prefix).unionByName(feed_samples(feeds, prefix, most))
+    if most is not None:
+        omitted = feeds.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("value"))
+        samples = samples.unionByName(omitted.select(F.lit(f"{prefix}_feeds_omitted").alias("metric"), F.lit("").alias("labels"), "value"))
     return samples.select("metric", F.concat("metric", "labels", F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
 def changed_only(new_docs: DataFrame, published: DataFrame) -> DataFrame:
     """Documents whose bytes changed since the previous publication."""
-    old = published.select("feed_id", F.col("etag").alias("_etag"))
-    return new_docs.join(old, "feed_id", "left").filter(F.col("_etag").isNull() | (F.col("_etag") != F.col("etag"))).drop("_etag")
+    old = published.select("feed_id", F.col("etag").alias("_etag"), F.lit(True).alias("_known"))
+    # A document that could not be rendered has no etag; it changed if one was published before.
+    changed = F.col("_known").isNull() | ~F.col("_etag").eqNullSafe(F.col("etag"))
+    return new_docs.join(old, "feed_id", "left").filter(changed).drop("_etag", "_known")
 
 
 def publish_decision(new_docs: DataFrame, held: DataFrame) -> DataFrame:

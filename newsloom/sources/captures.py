@@ -114,13 +114,18 @@ def _meta_charset(head: Column) -> Column:
     return first_of(F.filter(F.transform(tags, name), lambda n: n.isNotNull()))
 
 
+# The grammar of an XML declaration: EncodingDecl ::= S 'encoding' Eq quote EncName quote, after the version.
+_S = "[\\x20\\x09\\x0D\\x0A]"
+XML_ENCODING = f"^{_S}*<[?]xml(?:{_S}+version{_S}*={_S}*(?:'[^'<>]*'|\"[^\"<>]*\"))?{_S}+encoding{_S}*={_S}*(['\"])([A-Za-z][A-Za-z0-9._-]*)\\1"
+
+
 def declared_charset(body: Column, content_type: Column, xml: bool = False) -> Column:
     """Encoding name from the header, else from the start of the document; NULL when none is known."""
     header = _lookup(F.regexp_extract(F.lower(F.coalesce(content_type, F.lit(""))), "charset\\s*=\\s*[\"']?([^\"'\\s;]+)", 1))
     head = F.decode(F.substring(body, 1, PRESCAN_BYTES), "ISO-8859-1")
     if xml:
         declared = _lookup(
-            F.regexp_extract(head, "^[ \\t\\r\\n]*<\\?xml[ \\t\\r\\n][^>]*?\\bencoding[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"']([A-Za-z][A-Za-z0-9._-]{0,39})[\"']", 1)
+            F.regexp_extract(head, XML_ENCODING, 2)
         )
     else:
         declared = _meta_charset(head)

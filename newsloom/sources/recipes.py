@@ -158,7 +158,8 @@ def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
         ("title", "feed title is required (maximum 200 characters)", (strip(text(F.col("title"))) == "") | (F.octet_length("title") > 200)),
         ("url length", "source URL is too long", F.octet_length("url") > 4096),
         ("url", "source URL must be an HTTP(S) address without credentials", ~is_http_url("url")),
-        ("interval", "refresh interval must be 60-604800 seconds", ~F.col("interval_s").between(60, 604800)),
+        ("interval", "refresh interval must be 60-604800 seconds", ~F.coalesce(F.col("interval_s").between(60, 604800), F.lit(False))),
+        ("selector", "selector has unbalanced brackets, parentheses or quotes", F.exists(F.array(*[v for _, v in selectors], text(full["selector"])), unbalanced) | F.exists(remove, unbalanced)),
         ("quiet", "quiet_days must be one of the listed choices", ~F.coalesce(r["quiet_days"], F.lit(0)).isin(*QUIET_CHOICES)),
         ("agent", "User-Agent must be at most 256 printable ASCII characters without space around it", (F.octet_length(agent) > 256) | ~agent.rlike("^[ -~]*$") | (F.trim(agent) != agent)),
         ("language", "Accept-Language must list at most 10 language ranges", (accept != "") & ((F.octet_length(accept) > 128) | ~accept.rlike(f"^{language}(?: *, *{language}){{0,9}}$"))),
@@ -172,9 +173,24 @@ def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
     return zoned.select("feed_id", F.inline(found))
 
 
+def unbalanced(selector: Column) -> Column:
+    """Brackets, parentheses or quotes that don't pair up outside of quoted text."""
+    bare = F.regexp_replace(F.coalesce(selector, F.lit("")), "\"[^\"]*\"|'[^']*'", "")
+    differ = lambda a, b: F.regexp_count(bare, F.lit(a)) != F.regexp_count(bare, F.lit(b))
+    return differ("\\[", "\\]") | differ("\\(", "\\)") | bare.rlike("[\"']")
+
+
 def looks_leftover(selector: Column) -> Column:
-    """An XPath whose first complete expression ends before the text does, as a CSS class selector's does."""
-    return F.coalesce(selector, F.lit("")).rlike("^\\s*\\.[A-Za-z_-]") | F.coalesce(selector, F.lit("")).rlike("^\\s*\\.\\s+[A-Za-z.#]")
+    """An XPath whose first complete expression ends before the text does, as a CSS selector's does.
+
+    Quoted text, predicates and arguments are taken out; what is left of an XPath has neither a comma nor two names with
+    only space between them, unless one is an operator, nor a name right after a leading point.
+    """
+    bare = F.regexp_replace(F.coalesce(selector, F.lit("")), "\"[^\"]*\"|'[^']*'", "")
+    for _ in range(4):
+        bare = F.regexp_replace(bare, "\\[[^\\[\\]]*\\]|\\([^()]*\\)", "")
+    bare = F.regexp_replace(bare, "\\s+(?:and|or|div|mod)\\s+", "|")
+    return bare.rlike("^\\s*\\.\\s*[A-Za-z_#-]") | bare.rlike("[,#>]") | bare.rlike("[A-Za-z0-9_*.-]\\s+[A-Za-z0-9_*.]")
 
 
 def lint_leftovers(new: DataFrame, stored: DataFrame) -> DataFrame:

@@ -132,7 +132,10 @@ class RefreshStream:
             F.col("captured_at").alias("ended"),
             "status",
             F.col("items").cast("long").alias("count"),
-            F.when(F.col("status") == 304, "").otherwise(F.coalesce("error", F.lit(""))).alias("error"),
+            F.when(F.col("status") == 304, "")
+            .when(F.col("status") != 200, F.concat(F.lit("http status "), F.col("status").cast("string")))
+            .otherwise(F.coalesce("error", F.lit("")))
+            .alias("error"),
             F.lit(0).cast("long").alias("retry_after"),
         )
         runs = state.write("runs", batch, runs)
