@@ -16,13 +16,14 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 21
-_POWER = np.ones(_PIECE, dtype=np.uint64)
-_POWER[1:] = _BASE
-np.multiply.accumulate(_POWER, out=_POWER)
-_BACK = np.ones(_PIECE, dtype=np.uint64)
-_BACK[1:] = pow(_BASE, -1, 2**64)
-np.multiply.accumulate(_BACK, out=_BACK)
+#: Bytes hashed at once. Powers are made anew for each call, as tables of this module would travel with every task.
+_PIECE = 1 << 18
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.ones(count, dtype=np.uint64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,6 +62,8 @@ def word_spans(data: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(begin), dtype=np.uint64)
+    size = min(_PIECE, len(data) + 1)
+    power, back = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
     at = 0
     while at < len(begin):
         base = begin[at]
@@ -69,14 +72,14 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
             value = 0
             for k in range(base, end[at], _PIECE - 1):
                 part = data[k : min(k + _PIECE - 1, end[at])]
-                value = (value * _BASE + int((_BYTE[part] * _POWER[: len(part)]).sum(dtype=np.uint64))) & (2**64 - 1)
+                value = (value * _BASE + int((_BYTE[part] * power[: len(part)]).sum(dtype=np.uint64))) & (2**64 - 1)
             out[at] = value
         else:
             part = data[base : end[upto - 1]]
             total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[part] * _POWER[: len(part)], out=total[1:])
+            np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
             b, e = begin[at:upto] - base, end[at:upto] - base
-            out[at:upto] = (total[e] - total[b]) * _BACK[b]
+            out[at:upto] = (total[e] - total[b]) * back[b]
         at = upto
     return mix(out + (end - begin).astype(np.uint64))
 
