@@ -299,15 +299,9 @@ def css(nodes: Nodes, selector: str) -> Column:
 
 
 def document_union(found: Column) -> Column:
-    """Distinct nodes in document order. Maps cannot be sorted or hashed, so order by ``pre`` alone."""
-    return F.array_sort(
-        F.aggregate(
-            found,
-            F.array().cast(NODES),
-            lambda done, n: F.when(F.exists(done, lambda m: m["pre"] == n["pre"]), done).otherwise(F.concat(done, F.array(n))),
-        ),
-        lambda a, b: a["pre"] - b["pre"],
-    )
+    """Distinct nodes in document order. Maps cannot be sorted or hashed, so order by ``pre`` alone; equal ones are neighbours then."""
+    ordered = F.array_sort(found, lambda a, b: a["pre"] - b["pre"])
+    return let(ordered, lambda s: F.filter(s, lambda n, i: (i == 0) | (F.get(s, i - 1)["pre"] != n["pre"])))
 
 
 # ------------------------------------------------------------------- XPath
