@@ -81,11 +81,14 @@ def _compare(threshold: float, width: int, kind: str):
         linked = (data[left] @ data[right].T) / (length[left][:, None] * length[right][None, :]) >= threshold
         at_home = home == cell
         linked &= (cid[left][:, None] != cid[right][None, :]) & (at_home[left][:, None] | at_home[right][None, :])
-        lists = rows.column("visits")
-        for x, y in zip(*np.nonzero(linked & (home[left][:, None] != home[right][None, :])), strict=True):
-            host, guest = (left[x], right[y]) if at_home[left[x]] else (right[y], left[x])
-            # The pair belongs to the smaller of its homes, if it meets there as well.
-            linked[x, y] = home[guest] > cell or home[guest] not in np.frombuffer(lists[int(host)].as_py(), dtype="<i4")
+        apart = np.nonzero(linked & (home[left][:, None] != home[right][None, :]))
+        if len(apart[0]):
+            # A pair belongs to the smaller of its homes, if it meets there as well.
+            homes, which = np.unique(home, return_inverse=True)
+            visited = np.array([np.isin(homes, np.frombuffer(v, dtype="<i4")) for v in rows.column("visits").to_pylist()])
+            x, y = left[apart[0]], right[apart[1]]
+            host, guest = np.where(at_home[x], x, y), np.where(at_home[x], y, x)
+            linked[apart] = (home[guest] > cell) | ~visited[host, which[guest]]
         if not linked.any():
             return None
         if i == j:
