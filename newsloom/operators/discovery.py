@@ -11,7 +11,6 @@ from newsloom.functions.markup import page_nodes
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # How likely an element is a card, by tag.
 TAG_SCORES = {"article": 12, "li": 10, "tr": 10, "p": 4, "div": 2, "a": 1}
-MAX_NODES = 12000
 
 
 def _signature(nodes: Column, node: Column) -> Column:
@@ -28,8 +27,10 @@ def _signature(nodes: Column, node: Column) -> Column:
     return F.concat_ws(" > ", name(above(parent)), name(parent), name(node))
 
 
-def discover_cards(captures: DataFrame) -> DataFrame:
-    """page_id, selector, count, score, place: groups of alike elements that look like cards.
+def discover_cards(captures: DataFrame, most_nodes: int | None = None, least_depth: int = 3) -> DataFrame:
+    """page_id, selector, count, score: groups of alike elements that look like cards.
+
+    Pages of any size are searched; with most_nodes, larger ones are left to ``too_large``.
 
     A group has more than one member, at most one heading and 1 to 12 links in each.
     Elements are grouped per page with partial aggregation, so only one row per
@@ -46,13 +47,14 @@ def discover_cards(captures: DataFrame) -> DataFrame:
                 held("links").alias("links"), held("heads").alias("heads"), held("images").alias("images"),
             )
 
-        return F.transform(F.filter(nodes, lambda n: n["tag"].isin(*TAG_SCORES) & (n["depth"] >= 3)), one)
+        return F.transform(F.filter(nodes, lambda n: n["tag"].isin(*TAG_SCORES) & (n["depth"] >= least_depth)), one)
 
     def positions(*tags: str) -> Column:
         return F.transform(F.filter(nodes, lambda n: n["tag"].isin(*tags)), lambda n: n["pre"])
 
     marks = F.struct(positions("a").alias("links"), positions(*HEADINGS).alias("heads"), positions("img").alias("images"))
-    profiled = parsed.filter(F.size("nodes") <= MAX_NODES).select("page_id", pin(let(marks, profile)).alias("found"))
+    searched = parsed if most_nodes is None else parsed.filter(F.size("nodes") <= most_nodes)
+    profiled = searched.select("page_id", pin(let(marks, profile)).alias("found"))
     rows = profiled.select("page_id", F.explode("found").alias("f")).select("page_id", "f.*")
     base = F.lit(0.0)
     for tag, score in TAG_SCORES.items():
@@ -70,6 +72,12 @@ def discover_cards(captures: DataFrame) -> DataFrame:
     return grouped.filter(good).select("page_id", "selector", "count", F.round(score, 2).alias("score"))
 
 
+def too_large(captures: DataFrame, most_nodes: int) -> DataFrame:
+    """Pages with more nodes than a search with that limit looks at."""
+    sized = captures.select("page_id", pin(F.size(page_nodes("html"))).alias("nodes"))
+    return sized.filter(F.col("nodes") > most_nodes)
+
+
 def best_cards(found: DataFrame) -> DataFrame:
     """The best proposal of each page."""
     best = F.max_by(F.struct("selector", "count", "score"), F.struct("score", "count", "selector"))
