@@ -71,7 +71,9 @@ def run_rollup(runs: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == 304).alias("not_modified"),
         F.max_by("status", "run_id").alias("last_status"),
         F.max("count").alias("max_count"),
+        F.avg("count").alias("mean_count"),
         F.sum("count").alias("stories"),
+        *([F.max("duration_ms").alias("max_duration_ms"), F.avg("duration_ms").alias("mean_duration_ms")] if "duration_ms" in runs.columns else []),
     )
 
 

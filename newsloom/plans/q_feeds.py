@@ -38,10 +38,10 @@ def latest_reading(spark, folder):
 @query(
     "A4_run_rollup",
     f"""WITH {B.SQL_RUNS} SELECT feed_id, count(*) AS attempts, count(*) FILTER (WHERE error='') AS successes, count(*) FILTER (WHERE error<>'') AS failures, count(*) FILTER (WHERE status=304) AS not_modified,
- arg_max(status,run_id) AS last_status, max(count) AS max_count, sum(count)::BIGINT AS stories FROM runs GROUP BY feed_id""",
+ arg_max(status,run_id) AS last_status, max(count) AS max_count, sum(count)::BIGINT / count(*) AS mean_count, sum(count)::BIGINT AS stories, max(run_id%3600*1000) AS max_duration_ms, sum(run_id%3600*1000)::BIGINT / count(*) AS mean_duration_ms FROM runs GROUP BY feed_id""",
 )
 def run_rollup(spark, folder):
-    return RN.run_rollup(B.runs(spark, folder))
+    return RN.run_rollup(B.runs(spark, folder).withColumn("duration_ms", F.col("run_id") % 3600 * 1000))
 
 
 def traced(spark, folder):
@@ -390,3 +390,24 @@ def recipe_export(spark, folder):
     return RC.export_recipes(full).select(F.sha2(F.encode("doc", "UTF-8"), 256).alias("digest"), "failure")
 
 
+
+
+@query(
+    "K4_export_round_trip",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey//20 AS doc_id, c_name FROM customer)
+ SELECT c_name AS title, 'https://c.example/' || k AS url, CASE WHEN k%17<>0 THEN k%1000*60 END AS interval_s, CASE WHEN k%7=0 THEN 'xpath' ELSE 'css' END AS type, 'nav li' || CASE WHEN k%19=0 THEN '[' ELSE '' END AS items,
+  CASE WHEN k%11=0 THEN '' ELSE 'a' END AS title_selector, CASE WHEN k%13=0 THEN 'Mars/Base' ELSE 'Europe/Paris' END AS timezone, CASE WHEN k%5=0 THEN 8 ELSE 7 END AS quiet_days,
+  CASE WHEN k%3=0 THEN '{"field":"title","keywords":["' || c_name || '"],"op":"contains_any"}' END AS exclude FROM c WHERE doc_id%6 IN (0,5)""",
+)
+def export_round_trip(spark, folder):
+    """Imported recipes, with rules added to some, exported to files and read again."""
+    rows = RC.explode_feeds(RC.recipe_feeds(recipe_documents(spark, folder)), ["doc_id"]).filter(F.col("error").isNull())
+    k = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    rule = F.concat(F.lit('{"op":"contains_any","field":"title","keywords":["'), F.col("title"), F.lit('"]}'))
+    feeds = rows.select(F.col("url").alias("feed_id"), "title", "url", "interval_s", "recipe", F.lit(None).cast("string").alias("include"), F.when(k % 3 == 0, rule).alias("exclude"))
+    again = RC.explode_feeds(RC.recipe_feeds(RC.export_recipe_files(feeds, 50), "doc"), ["file"])
+    r = F.col("recipe")
+    return again.select(
+        "title", "url", "interval_s", r["type"].alias("type"), r["items"].alias("items"), r["title"]["selector"].alias("title_selector"), r["timezone"].alias("timezone"), r["quiet_days"].alias("quiet_days"),
+        F.to_json(r["filters"]["exclude"]).alias("exclude"),
+    )

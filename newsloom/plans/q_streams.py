@@ -11,6 +11,7 @@ from newsloom.plans import bindings as B
 from newsloom.plans.refresh import FRONT
 from newsloom.plans.registry import query
 from newsloom.session import shared_folder
+from newsloom.streaming import keyed
 from newsloom.streaming.alerts import EdgeStream
 from newsloom.streaming.refresh import RefreshStream, run_available
 
@@ -84,3 +85,39 @@ def edges_stream(spark, folder):
     return handler.edges().select("feed_id", "run_id", "kind")
 
 
+@query(
+    "ST2_feed_state_stream",
+    f"""WITH {B.SQL_RUNS}, o AS (SELECT *, run_id%7*3000 AS retry, bool_or(error='' AND status<>304) OVER (PARTITION BY feed_id ORDER BY ended, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM runs),
+ f AS (SELECT *, error<>'' OR (status=304 AND NOT coalesce(had,false)) AS failed FROM o),
+ i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY feed_id ORDER BY ended, run_id ROWS UNBOUNDED PRECEDING) AS island FROM f),
+ s AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY feed_id, island ORDER BY ended, run_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures, max(CASE WHEN NOT failed THEN ended END) OVER (PARTITION BY feed_id) AS ok FROM i)
+ SELECT feed_id, failures, ended AS last_attempt, coalesce(ok,0) AS last_success,
+  (ended + CASE WHEN failed THEN greatest(least((1<<least(failures,10)::INT)*60,86400), retry) ELSE 900*(1+cast(feed_id AS BIGINT)%4) END + ('0x' || sha256(feed_id)[1:2])::BIGINT % 30)::BIGINT AS next_run,
+  CASE WHEN error<>'' THEN error WHEN failed THEN 'source returned 304 before a first success' ELSE '' END AS error
+ FROM s QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY ended DESC, run_id DESC)=1""",
+)
+def feed_state_stream(spark, folder):
+    """Every run of the events in three deliveries by time, through the keyed state of its feed."""
+    u = F.col("feed_id").cast("long")
+    rows = B.runs(spark, folder).select("feed_id", "run_id", "ended", "status", "error", (F.col("run_id") % 7 * 3000).alias("retry_after"), (900 * (1 + u % 4)).alias("interval_s"))
+    first, second = rows.select(F.unix_timestamp("ended").alias("s")).approxQuantile("s", [0.33, 0.66], 0.01)
+    s = F.unix_timestamp("ended")
+    out = keyed.run_slices(spark, [rows.filter(s <= first), rows.filter((s > first) & (s <= second)), rows.filter(s > second)], keyed.feed_states, scratch(spark, "feed-states"))
+    latest = out.groupBy("feed_id").agg(F.max_by(F.struct("failures", "last_attempt", "last_success", "next_run", "error"), "batch").alias("x"))
+    return latest.select("feed_id", "x.*")
+
+
+@query(
+    "ST10_story_stream",
+    f"WITH {B.SQL_MERGED} SELECT feed_id, key, 0 AS batch, 'new' AS kind FROM batch_old UNION ALL SELECT feed_id, key, 1, CASE WHEN inserted THEN 'new' ELSE 'changed' END FROM merged WHERE inserted OR changed",
+)
+def story_stream(spark, folder):
+    """The old listing, the new one and the new one again: what each publishes."""
+
+    def listing(which: str, at: str) -> DataFrame:
+        # Bodies fetched apart count only where there is one, as in a merge.
+        rows = B.batch(spark, folder, which)
+        return rows.select("feed_id", "key", F.sha2(F.encode(F.concat_ws("|", "title", "url", "html", "image"), "UTF-8"), 256).alias("digest"), F.lit(at).cast("timestamp").alias("at"))
+
+    slices = [listing("old", B.FIRST), listing("new", B.SECOND), listing("new", B.NOW)]
+    return keyed.run_slices(spark, slices, keyed.story_changes, scratch(spark, "stories")).select("feed_id", "key", "batch", "kind")

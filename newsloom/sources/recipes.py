@@ -120,6 +120,21 @@ def export_recipes(feeds: DataFrame) -> DataFrame:
     return one.select(F.when(fits, doc).alias("doc"), F.when(~fits, "recipes exceed the export limits").alias("failure"))
 
 
+def export_recipe_files(feeds: DataFrame, per_file: int = MAX_FEEDS) -> DataFrame:
+    """(file, doc): whole recipes with their effective rules in documents of about per_file feeds, which import again as they were.
+
+    feeds(feed_id, title, url, interval_s, recipe STRUCT, include, exclude): rule sides are JSON text. A feed goes to a
+    file by a hash of its id, so any number of feeds is exported and no file gathers more than its share.
+    """
+    files = max(1, -(-feeds.count() // per_file))
+    rules = F.struct(F.parse_json("include").alias("include"), F.parse_json("exclude").alias("exclude"))
+    recipe = F.col("recipe").withField("filters", F.when(F.coalesce("include", "exclude").isNotNull(), rules))
+    entry = F.to_json(F.struct("title", "url", F.col("interval_s").alias("interval"), recipe.alias("recipe")))
+    placed = feeds.select(F.pmod(F.xxhash64("feed_id"), F.lit(files)).alias("file"), F.struct("title", "feed_id", entry.alias("entry")).alias("e"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), ",")
+    return placed.groupBy("file").agg(F.concat(F.lit(f'{{"format":"{FORMAT}","version":{VERSION},"feeds":['), body, F.lit("]}")).alias("doc"))
+
+
 def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
     """feeds(feed_id, title, url, interval_s, recipe STRUCT) -> one row per violated rule.
 
