@@ -11,6 +11,7 @@ from newsloom.plans import bindings as B
 from newsloom.plans.refresh import FRONT
 from newsloom.plans.registry import query
 from newsloom.session import shared_folder
+from newsloom.sources import captures
 from newsloom.streaming import keyed
 from newsloom.streaming.alerts import EdgeStream
 from newsloom.streaming.refresh import RefreshStream, run_available
@@ -41,15 +42,17 @@ def capture_stream(spark: SparkSession, folder: str) -> DataFrame:
 SQL_LISTED = f"""WITH {B.SQL_NAV}, l AS (SELECT feed_id, link AS key, {B.T1}+page_id*60 AS t FROM cards WHERE NOT contains(lower(title),'the'))"""
 
 
-@query("S9_captures_stream", "SELECT page_id, length(html) AS chars FROM pages")
+@query("S9_captures_stream", "SELECT page_id, url, sha256(html) AS digest FROM pages")
 def captures_stream(spark, folder):
+    """Every capture once, by the digest of its body."""
     root = scratch(spark, "captures")
+    schema = spark.read.parquet(f"{folder}/pages.parquet").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.select("page_id", F.length("html").cast("long").alias("chars")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        batch.select("page_id", "url", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    run_available(capture_stream(spark, folder), keep, f"{root}/checkpoint")
-    return spark.read.schema("page_id long, chars long").parquet(f"{root}/out").select("page_id", "chars")
+    run_available(captures.captures_stream(spark, f"{folder}/pages*.parquet", schema), keep, f"{root}/checkpoint")
+    return spark.read.schema("page_id long, url string, digest string").parquet(f"{root}/out").select("page_id", "url", "digest")
 
 
 @query(

@@ -184,7 +184,7 @@ def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
         F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(message).alias("message"))) for name, message, test in checks]),
         lambda v: v.isNotNull(),
     )
-    zoned = feeds.join(F.broadcast(zones.select(F.col("zone").alias("_zone"))), F.col("recipe.timezone") == F.col("_zone"), "left")
+    zoned = feeds.join(zones.select(F.col("zone").alias("_zone")), F.col("recipe.timezone") == F.col("_zone"), "left")
     return zoned.select("feed_id", F.inline(found))
 
 
