@@ -7,6 +7,7 @@ summaries, whose number is bounded by elapsed time, carry state across chunks.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,32 +97,39 @@ def streaks(
     )
 
 
-def busy_spans(seconds: DataFrame, width: int) -> DataFrame:
-    """seconds(stream, second), distinct -> adds ``span``: the second that opened the row's busy span.
+def _chunk_exits(pdf: pd.DataFrame, width: int, length: int) -> pd.DataFrame:
+    """What a chunk makes of any window that was open before: the last window it opens, by the first second free to open one.
 
-    A span ends where the next second is ``width`` or more away.
+    Only seconds that can be the first one matter, and of neighbours with the same last window only the later.
     """
-    inner = Window.partitionBy("stream", "_chunk").orderBy("second")
-    local = (
-        seconds.withColumn("_chunk", F.floor(F.col("second") / CHUNK_SECONDS))
-        .withColumn("_gap", F.col("second") - F.lag("second").over(inner))
-        .withColumn("_open", F.max(F.when(F.col("_gap") >= width, F.col("second"))).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    summary = local.groupBy("stream", "_chunk").agg(
-        F.min("second").alias("_first"), F.max("second").alias("_end"), F.max("_open").alias("_newest")
-    )
-    chunks = Window.partitionBy("stream").orderBy("_chunk")
-    linked = summary.withColumn("_prev", F.lag("_end").over(chunks))
-    opens = F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") >= width)
-    linked = linked.withColumn("_head", F.when(opens, F.col("_first")))
-    newest = F.last(F.coalesce("_newest", "_head"), ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
-    carried = linked.select("stream", "_chunk", F.coalesce("_head", newest).alias("_carry"))
-    joined = local.join(carried, ["stream", "_chunk"])
-    return joined.select("stream", "second", F.coalesce("_open", "_carry").alias("span"))
+    seconds = np.sort(pdf["second"].to_numpy())
+    following = np.searchsorted(seconds, seconds + width)
+    last = np.arange(len(seconds))
+    for i in range(len(seconds) - 1, -1, -1):
+        if following[i] < len(seconds):
+            last[i] = last[following[i]]
+    chunk = int(pdf["chunk"].iloc[0])
+    first = np.concatenate(([True], seconds[:-1] < chunk * length + width))
+    seconds, last = seconds[first], seconds[last[first]]
+    kept = np.concatenate((last[1:] != last[:-1], [True]))
+    return pd.DataFrame({"stream": [pdf["stream"].iloc[0]], "chunk": [chunk], "seconds": [seconds[kept]], "lasts": [last[kept]]})
+
+
+def _chain(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Chunk after chunk, from when on a window may open in it."""
+    free, out = None, []
+    for row in pdf.sort_values("chunk").itertuples(index=False):
+        out.append((row.stream, row.chunk, free))
+        at = 0 if free is None else int(np.searchsorted(row.seconds, free))
+        if at < len(row.seconds):
+            free = int(row.lasts[at]) + width
+    return pd.DataFrame(out, columns=["stream", "chunk", "free"]).astype({"free": "Int64"})
 
 
 def _anchor_fold(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    anchors, current = [], None
+    free = pdf["free"].iloc[0]
+    current = None if pd.isna(free) else int(free) - width
+    anchors = []
     for second in pdf["second"].sort_values():
         if current is None or second >= current + width:
             current = second
@@ -134,15 +142,17 @@ def _anchor_fold(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
 def anchored_windows(events: DataFrame, stream: Column, ts: str, width: int) -> DataFrame:
     """Each event with the second that opened its window; a window opens at the first event it holds.
 
-    Equal seconds are merged first and a quiet span of ``width`` always ends a window,
-    so the ordered fold only ever sees the distinct seconds of one busy span.
+    Equal seconds are merged first. A chunk of time tells, for every moment at which a window may open again, which
+    window it ends with; these tables, whose number follows elapsed time alone, are chained, and every chunk then places
+    its own seconds. So no task holds more than one chunk, however long events come without a pause.
     """
+    length = max(CHUNK_SECONDS, width)
     keyed = events.withColumn("stream", stream).withColumn("second", F.unix_timestamp(F.col(ts).cast("timestamp")))
-    spans = busy_spans(keyed.select("stream", "second").distinct(), width)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _anchor_fold(pdf, width)
-
-    anchors = spans.groupBy("stream", "span").applyInPandas(fold, "stream string, second long, anchor long")
+    seconds = keyed.select("stream", "second").distinct().withColumn("chunk", F.floor(F.col("second") / length))
+    tables = seconds.groupBy("stream", "chunk").applyInPandas(
+        lambda pdf: _chunk_exits(pdf, width, length), "stream string, chunk long, seconds array<long>, lasts array<long>"
+    )
+    opened = tables.groupBy("stream").applyInPandas(lambda pdf: _chain(pdf, width), "stream string, chunk long, free long")
+    placed = seconds.join(opened, ["stream", "chunk"]).groupBy("stream", "chunk")
+    anchors = placed.applyInPandas(lambda pdf: _anchor_fold(pdf, width), "stream string, second long, anchor long")
     return keyed.join(anchors, ["stream", "second"])
-

@@ -206,6 +206,15 @@ def test_anchored_windows(spark, width):
     assert {r.second: r.anchor for r in got.select("second", "anchor").collect()} == want
 
 
+@pytest.mark.parametrize("width", [7, 60, 3600])
+def test_anchored_windows_of_a_span_that_never_pauses(spark, width):
+    """One event each second over several chunks, and a late pair after a gap."""
+    seconds = [*range(1704067200 + 11, 1704067200 + 70000), 1704067200 + 90000, 1704067200 + 90001]
+    df = spark.createDataFrame([(s,) for s in seconds], "s long").select(F.timestamp_seconds("s").alias("ended"))
+    got = {r.second: r.anchor for r in groups.anchored_windows(df, F.lit("all"), "ended", width).collect()}
+    assert got == anchors(seconds, width)
+
+
 # ----------------------------------------------------------------- streams
 
 
