@@ -23,6 +23,11 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """The row as one struct, so that its columns can't clash with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

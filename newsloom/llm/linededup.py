@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stored, table
+from newsloom.llm.common import stored, table, whole_row
 from newsloom.session import tune
 
 #: Leading tokens of a leaf, documents a template must recur in, constants a generalised template needs: number and share.
@@ -94,9 +94,10 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs without the dropped lines; documents of which nothing but blank lines is left by that go."""
-    out = dedup_lines(docs, least_docs)
+    out = dedup_lines(docs.select("doc_id", "text", whole_row(docs)), least_docs)
     empty = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "")
-    return out.filter(~F.coalesce(empty, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return out.filter(~F.coalesce(empty, F.lit(False))).select(*columns)
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD, table
+from newsloom.llm.common import WORD, table, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2, "mix-1"
@@ -77,8 +77,8 @@ def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed documents: every row as often as its plan says, with the columns of docs."""
     # The copies of one document are a few by the cap, so the repeat never fans out.
-    planned = mix_plan(docs, seed).filter(F.col("copies") > 0)
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    planned = mix_plan(docs.select("doc_id", "source", "text", whole_row(docs)), seed).filter(F.col("copies") > 0)
+    return planned.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import mixed, stored, table
+from newsloom.llm.common import mixed, stored, table, whole_row
 from newsloom.llm.language import held_out
 from newsloom.llm.words import mix, sliced, text_bytes, word_hashes, word_spans
 from newsloom.session import tune
@@ -26,6 +27,7 @@ TRAIN, FEATURES, LEAST, ROUNDS, SHRINK = 4000, 8192, 5, 200, 1e-4
 #: Bytes of the word beginnings that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 THRESHOLD = 0.3
+SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
 
 _BORDER = np.ones(256, dtype=bool)
 _BORDER[65:91] = _BORDER[97:123] = _BORDER[128:] = False
@@ -229,11 +231,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     tune(docs.sparkSession)
     model = train(docs, labels)
     # The text goes through a task once: each row carries its own columns beside the score.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("text").cast("string").alias("text"), whole)
-    kind = docs.select(whole).schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(model, threshold), f"row {kind}, score double, offending array<struct<start:long,end:long,score:double>>")
-    return scored.filter(F.col("score") < threshold).select("row.*")
+    rows = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs))
+    schema = rows.select("_row").schema.add("score", "double").add("offending", T.ArrayType(SPAN))
+    return rows.mapInArrow(_score(model, threshold), schema).filter(F.col("score") < threshold).select("_row.*")
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from newsloom.llm import common, components, linededup, neardup, vectordup, words
 
@@ -34,7 +36,7 @@ def brute_components(texts, size, percent):
 
 
 def docs_frame(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, id long")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, id long").withColumn("n_lines", F.lit(-5))
 
 
 def doc(i, text):
@@ -134,6 +136,7 @@ def test_line_dedup_edge_cases(spark):
     assert told == sorted([(0, 1, 1, ""), (0, 1, 1, ""), (1, 0, 1, "a lin"), (1, 0, 1, "a lin"), (2, 1, 1, ""), (3, 1, 1, ""), (4, 0, 0, None), (5, 0, 1, ""), (6, 0, 2, "\t \n"), (7, 1, 2, "rest ")], key=str)
     left = linededup.cleaned(docs_frame(spark, rows))
     assert left.columns == docs_frame(spark, rows).columns and sorted(r.doc_id for r in left.collect()) == [1, 1, 4, 5, 6, 7]
+    assert {r.n_lines for r in left.collect()} == {-5}
     assert linededup.dedup_lines(docs_frame(spark, [])).count() == 0
 
 

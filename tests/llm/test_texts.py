@@ -121,6 +121,7 @@ def test_mix_repeats_documents_by_rate(spark):
         assert taken == pytest.approx(target, rel=0.06), source
     mixed = mixing.mix(frame)
     assert mixed.columns == frame.columns and mixed.count() == sum(r.copies for r in plan)
+    assert {r.size for r in mixed.select("size").distinct().collect()} == {1}
     assert sorted(map(str, mixing.mix_plan(frame).collect())) == sorted(map(str, plan))
     assert mixing.mix(docs_frame(spark, [])).count() == 0
 
