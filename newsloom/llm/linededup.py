@@ -1,7 +1,7 @@
 """Line dedup by log templates with DataFrame functions only.
 
-A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, with tokens that hold a digit
-taken as variable. In a leaf, a token that enough documents share at its place is constant, all others and those with
+A line, without white space around it, is cut into tokens at single spaces and goes down a tree of fixed depth: its
+number of tokens, then its leading tokens, with tokens that hold a digit taken as variable. In a leaf, a token that enough documents share at its place is constant, all others and those with
 digits are variable. A line whose constants are most of it stands for its template; any other line for itself with
 digits made variable. Templates that recur across documents are dropped from all documents but the first.
 
@@ -27,8 +27,8 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " +")
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\x0b\x0c\r"))
 
 
 def _masked(token: Column) -> Column:
@@ -36,10 +36,15 @@ def _masked(token: Column) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """k, doc_id, pos, line and leaf of every line that isn't blank."""
+    """k, doc_id, pos, line and leaf of every line that isn't blank.
+
+    Counting spaces and cutting off the leading tokens spares making the tokens of every line.
+    """
     rows = docs.select("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.withColumn("tokens", _tokens(F.col("line"))).filter(F.col("tokens")[0] != "")
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), _masked)))
+    rows = rows.withColumn("line", _bare(F.col("line"))).filter(F.col("line") != "")
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), "[^ ]*[0-9][^ ]*", ANY)
+    return rows.withColumn("leaf", F.xxhash64(spaces, lead))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     unique = stored(unique, "unique-lines")
 
     # Constants: tokens that enough documents hold at the same place of the same leaf.
-    words = unique.select("h", "leaf", "n", F.posexplode(_tokens(F.col("line"))).alias("at", "token")).withColumn("token", _masked(F.col("token")))
+    words = unique.select("h", "leaf", "n", F.posexplode(F.split("line", " ", -1)).alias("at", "token")).withColumn("token", _masked(F.col("token")))
     common = words.filter(F.col("token") != ANY).groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("constant"))
     told = words.join(common, ["leaf", "at", "token"], "left").groupBy("h").agg(
         F.sort_array(F.collect_list(F.struct("at", "token", F.coalesce("constant", F.lit(False)).alias("constant")))).alias("t"), F.first("leaf").alias("leaf")
@@ -106,19 +111,19 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL = r"""
 WITH l0 AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-l1 AS (SELECT *, string_split_regex(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +') AS tokens FROM l0),
-l2 AS (SELECT *, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM l1 WHERE tokens[1] <> ''),
+l1 AS (SELECT *, string_split(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), ' ') AS tokens FROM l0 WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+l2 AS (SELECT *, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM l1),
 l3 AS (SELECT *, len(tokens) || ' ' || array_to_string(masked[1:3], ' ') AS leaf FROM l2),
 busy AS (SELECT leaf FROM l3 GROUP BY leaf HAVING count(*) >= 4),
 seen AS (SELECT l3.* FROM l3 SEMI JOIN busy USING (leaf)),
-uniq AS (SELECT line, any_value(leaf) AS leaf, any_value(masked) AS masked, count(DISTINCT doc_id) AS n FROM seen GROUP BY line),
+uniq AS (SELECT tokens AS line, any_value(leaf) AS leaf, any_value(masked) AS masked, count(DISTINCT doc_id) AS n FROM seen GROUP BY tokens),
 words AS (SELECT line, leaf, n, unnest(masked) AS token, generate_subscripts(masked, 1) AS place FROM uniq),
 common AS (SELECT leaf, place, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 4),
 told AS (SELECT w.line, list(w.token ORDER BY w.place) AS tokens, list(c.token IS NOT NULL ORDER BY w.place) AS constant
   FROM words w LEFT JOIN common c ON w.leaf = c.leaf AND w.place = c.place AND w.token = c.token GROUP BY w.line),
 tmpl AS (SELECT line, CASE WHEN len(list_filter(constant, lambda x: x)) >= greatest(5, 0.75 * len(tokens))
    THEN list_transform(tokens, lambda x, i: CASE WHEN constant[i] THEN x ELSE '<*>' END) ELSE tokens END AS template FROM told),
-placed AS (SELECT s.doc_id, s.pos, t.template FROM seen s JOIN tmpl t USING (line)),
+placed AS (SELECT s.doc_id, s.pos, t.template FROM seen s JOIN tmpl t ON t.line = s.tokens),
 rep AS (SELECT template, min(doc_id) AS first FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 4),
 gone AS (SELECT p.doc_id, p.pos FROM placed p JOIN rep USING (template) WHERE p.doc_id <> rep.first),
 cnt AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
