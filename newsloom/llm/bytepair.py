@@ -8,6 +8,8 @@ alone. Where a space is followed by more white space or nothing, the whole text
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 
 import numpy as np
 
@@ -52,12 +54,17 @@ class BytePair:
         with open(path or vocabulary_path(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = len(ranks) + 1
-        self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code).newbyteorder("<")
         self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
         self.first, self.spaced = _Words(self, ""), _Words(self, " ")
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), dtype=self.kind).tobytes()
+        ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         head, *rest = text.split(" ")
