@@ -44,6 +44,7 @@ class Counter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.known = bool(pieces)
         for piece, score in pieces:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -55,29 +56,44 @@ class Counter:
 
     def _viterbi(self, word: str) -> int:
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if len(self.automaton):
-            for end, match in self.automaton.iter(word):
-                ends[end].append(match)
         score, pieces = [0.0] * (n + 1), [0] * (n + 1)
         run = [0] * (n + 1)  # bytes of the run of unknown characters that ends here, 0 if none does
-        for end in range(1, n + 1):
-            best, start = None, -1
-            for length, value in sorted(ends[end - 1], reverse=True):
-                total = score[end - length] + value
-                if best is None or total > best:
-                    best, start = total, end - length
-            single = any(length == 1 for length, _ in ends[end - 1])
-            if not single:
-                total = score[end - 1] + self.unknown
-                if best is None or total > best:
-                    width = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                    score[end], run[end] = total, run[end - 1] + width
-                    pieces[end] = pieces[end - 1] + (width if self.bytes else 0 if run[end - 1] else 1)
-                    continue
-            score[end], pieces[end] = best, pieces[start] + 1
+        # Matches come by their end, the longest and so the earliest start first; an end is settled when the next begins.
+        at, best, start, single = 0, None, 0, True
+        for end, (length, value) in self.automaton.iter(word) if self.known else ():
+            end += 1
+            if end != at:
+                if single:
+                    score[at], pieces[at] = best or 0.0, pieces[start] + 1 if at else 0
+                else:
+                    self._settle(word, at, best, start, score, pieces, run)
+                for skipped in range(at + 1, end):
+                    self._settle(word, skipped, None, 0, score, pieces, run)
+                at, best, single = end, None, False
+            total = score[end - length] + value
+            if best is None or total > best:
+                best, start = total, end - length
+            if length == 1:
+                single = True
+        if at:
+            if single:
+                score[at], pieces[at] = best, pieces[start] + 1
+            else:
+                self._settle(word, at, best, start, score, pieces, run)
+        for skipped in range(at + 1, n + 1):
+            self._settle(word, skipped, None, 0, score, pieces, run)
         return pieces[n]
 
+    def _settle(self, word: str, end: int, best: float | None, start: int, score: list, pieces: list, run: list) -> None:
+        """An end whose last character is no piece by itself: that character may be unknown."""
+        total = score[end - 1] + self.unknown
+        if best is None or total > best:
+            width = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            score[end], run[end] = total, run[end - 1] + width
+            pieces[end] = pieces[end - 1] + (width if self.bytes else 0 if run[end - 1] else 1)
+        else:
+            score[end], pieces[end] = best, pieces[start] + 1
+
     def word(self, word: str) -> int:
         count = self.seen.get(word)
         if count is None:
