@@ -392,13 +392,15 @@ def image_address(spark, folder):
 
 @query(
     "P17_prepend_image",
-    """SELECT page_id, CASE page_id%3 WHEN 0 THEN '<p>a</p>' WHEN 1 THEN '<p><img src="https://i.example/' || page_id || '.png?a=1&amp;b=2" alt=""></p><p>b</p>'
- ELSE '<p><img src="https://i.example/' || page_id || '.png?a=1&amp;b=2"/></p>' END AS html FROM pages""",
+    f"""WITH a AS (SELECT page_id, regexp_extract(html,'{B.ARTICLE}',1) AS body, replace(regexp_replace(url,'#.*$',''),'&','&amp;') || '.png' AS image FROM pages)
+ SELECT page_id, CASE page_id%3 WHEN 0 THEN body WHEN 1 THEN '<p><img src="' || image || '" alt=""></p>' || body ELSE body || '<p><img src="' || image || '"/></p>' END AS html FROM a""",
 )
 def prepend_image(spark, folder):
-    n, k = F.col("page_id").cast("string"), F.col("page_id") % 3
-    address = F.concat(F.lit("https://i.example/"), n, F.lit(".png?a=1&b=2"))
-    html = F.when(k == 0, "<p>a</p>").when(k == 1, "<p>b</p>").otherwise(F.concat(F.lit('<p><img src="'), text.escape_html(address), F.lit('"/></p>')))
+    """Every page's article: without an image, with one to add, and with one it shows already."""
+    k = F.col("page_id") % 3
+    address = F.concat(F.regexp_replace("url", "#.*$", ""), F.lit(".png"))
+    body = F.regexp_extract("html", B.ARTICLE, 1)
+    html = F.when(k == 2, F.concat(body, F.lit('<p><img src="'), text.escape_html(address), F.lit('"/></p>'))).otherwise(body)
     return B.table(spark, folder, "pages").select("page_id", images.with_image(html, F.when(k == 0, "").otherwise(address)).alias("html"))
 
 
@@ -579,7 +581,7 @@ def visible(spark, folder):
 )
 def media_type(spark, folder):
     ending = F.element_at(F.array(*[F.lit(e) for e in (".png", ".gif?x=.png", ".webp#y", ".svg", ".avif", ".jpeg")]), (F.col("page_id") % 6 + 1).cast("int"))
-    return B.table(spark, folder, "pages").select("page_id", images.image_media_type(F.concat(F.lit("https://i.example/"), F.col("page_id").cast("string"), ending)).alias("kind"))
+    return B.table(spark, folder, "pages").select("page_id", images.image_media_type(F.concat(F.regexp_replace("url", "[?#].*$", ""), ending)).alias("kind"))
 
 
 @query(
