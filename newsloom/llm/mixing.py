@@ -2,7 +2,8 @@
 
 Sizes are summed per source before any shuffle, targets are filled by weight under a cap (water filling over one narrow
 row per source), and every document is emitted floor(rate) times plus one Bernoulli copy whose draw is a hash of its id.
-The per-source table is the only thing that is sorted in one task or broadcast-joined by Spark's own size check.
+The per-source table, a short row each, is the only thing that is sorted in one task; it is sent to every task only up
+to a counted number of sources.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD, table, whole_row
+from newsloom.llm.common import WORD, stored, table, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2, "mix-1"
+#: Sources up to which their table, a short row each, is sent to every task; beyond it Spark picks the join.
+SENT_SOURCES = 50_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -67,7 +70,9 @@ def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count("text"))
-    targets = source_targets(docs.select("source", word_count("text").alias("size"))).withColumnRenamed("source", "_source")
+    targets = stored(source_targets(docs.select("source", word_count("text").alias("size"))).withColumnRenamed("source", "_source"), "targets")
+    if targets.count() <= SENT_SOURCES:
+        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = whole + F.when(draw("doc_id", seed) < rate - whole, 1).otherwise(0)
