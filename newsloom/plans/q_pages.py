@@ -219,10 +219,10 @@ def xpath_select(spark, folder):
 
 @query(
     "P5_project_fields",
-    f"WITH {B.SQL_NAV} SELECT page_id, min(pos) AS pos, arg_min(title, pos) AS title, link AS url FROM cards GROUP BY page_id, link",
+    f"WITH {B.SQL_NAV} SELECT page_id, min(pos) AS pos, arg_min(title, pos) AS title, link AS url FROM cards WHERE page_id%11<>0 AND page_id%13<>0 GROUP BY page_id, link",
 )
 def project_fields(spark, folder):
-    p = extract.read_pages(B.captures(spark, folder), NAV)
+    p = extract.read_pages(C.read_captures(B.captures(spark, folder)), NAV)
     return p.select("page_id", F.explode("cards").alias("c")).select("page_id", F.col("c.pos").alias("pos"), F.col("c.title").alias("title"), F.col("c.url").alias("url"))
 
 
@@ -523,23 +523,23 @@ EXCLUDE = RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": [
 
 @query(
     "A3_page_outcomes",
-    f"""WITH {B.SQL_NAV}, u AS (SELECT page_id, feed_id, pos, title, link, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS n FROM cards)
+    f"""WITH {B.SQL_NAV}, u AS (SELECT page_id, feed_id, pos, title, link, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS n FROM cards WHERE page_id%11<>0 AND page_id%13<>0)
  SELECT page_id, feed_id, count(*) AS matches, count(*) FILTER (WHERE n=1) AS valid, count(*) FILTER (WHERE n=1 AND contains(lower(title),'the')) AS filtered,
  count(*) FILTER (WHERE n=1 AND NOT contains(lower(title),'the')) AS items FROM u GROUP BY page_id, feed_id""",
 )
 def page_outcomes(spark, folder):
-    p = extract.read_pages(B.captures(spark, folder), Recipe(items="nav li", title=Field("a"), link=Field("a"), rules=RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["The"]})))
+    p = extract.read_pages(C.read_captures(B.captures(spark, folder)), Recipe(items="nav li", title=Field("a"), link=Field("a"), rules=RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["The"]})))
     return extract.page_outcomes(p).drop("warnings", "warnings_omitted", "error")
 
 
 @query(
     "F6_filter_examples",
-    f"""WITH {B.SQL_NAV}, u AS (SELECT page_id, pos, title, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS k FROM cards),
+    f"""WITH {B.SQL_NAV}, u AS (SELECT page_id, pos, title, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS k FROM cards WHERE page_id%11<>0 AND page_id%13<>0),
  d AS (SELECT page_id, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM u WHERE k=1 AND contains(lower(title),'the'))
  SELECT page_id, n, title, 'Title matched at least one of the exclude keywords.' AS reason FROM d WHERE n<=20""",
 )
 def filter_examples(spark, folder):
-    p = extract.read_pages(B.captures(spark, folder), Recipe(items="nav li", title=Field("a"), link=Field("a"), rules=RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["The"]})))
+    p = extract.read_pages(C.read_captures(B.captures(spark, folder)), Recipe(items="nav li", title=Field("a"), link=Field("a"), rules=RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["The"]})))
     return extract.filter_examples(p)
 
 

@@ -10,6 +10,7 @@ from newsloom.operators import extract, history
 from newsloom.operators.extract import Field, Recipe
 from newsloom.plans import bindings as B
 from newsloom.plans import render
+from newsloom.sources.captures import read_captures
 
 FRONT = Recipe(
     items="nav li",
@@ -28,7 +29,7 @@ def to_batch(stories: DataFrame) -> DataFrame:
 def refresh(captures: DataFrame, recipe: Recipe, items: DataFrame, feeds: DataFrame, now: Column, keep: int = history.MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(merged rows with flags, retained items) after one capture batch."""
     # Bodies of failed and unchanged fetches are no listings.
-    pages = extract.read_pages(captures.filter(F.col("status") == 200), recipe)
+    pages = extract.read_pages(read_captures(captures), recipe)
     merged = history.merge_items(items, to_batch(extract.stories(pages)), feeds, now)
     return merged, history.retain_items(merged, keep)
 
