@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import mixed, table
+from newsloom.llm.common import mixed, stored, table
 from newsloom.session import tune
 
 #: Dimensions, letters of a run, training texts taken of each language on average, runs kept in a task's table.
 DIMENSIONS, RUN, TRAIN, TABLE = 1024, 3, 2000, 32768
 UNKNOWN = "und"
+#: Languages up to which their table, a short row each, is sent to every task; beyond it Spark picks the join.
+SENT_LANGUAGES = 50_000
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -102,7 +104,9 @@ def train(docs: DataFrame, per_language: int = TRAIN) -> tuple[list[str], np.nda
     driver gets a few sums for each language.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    if counts.count() <= SENT_LANGUAGES:
+        counts = F.broadcast(counts)
     share = F.pmod(mixed("doc_id", 23), F.lit(1_000_000)) / 1_000_000.0
     taken = known.join(counts, "lang").filter(share * F.col("_n") < per_language).select("lang", "text").repartition(16)
     sums: dict[str, np.ndarray] = {}
