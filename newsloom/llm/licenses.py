@@ -32,7 +32,18 @@ NOTICES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "Apache-2.0-text": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."
+    ),
+    "Apache-2.0-short": "Released under the Apache License 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-short": "Licensed under the GPL, version 3.",
+    "GPL-3.0-title": "Licensed under the GNU GPL v3.",
+    "GPL-3.0-text": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> "
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    ),
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -42,17 +53,60 @@ NOTICES = {
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software"
     ),
+    "MIT-line": "Released under the MIT License.",
+    "MIT-terms": "This project is licensed under the terms of the MIT License.",
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
+    "BSD-2-Clause-line": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "BSD-3-Clause-line": "Released under the BSD 3-Clause License.",
+    "ISC-line": "Released under the ISC License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-line": "Released under the Mozilla Public License 2.0.",
+    "MPL-2.0-text": (
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to "
+        "the creation of, or owns Covered Software."
+    ),
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+} | {
+    f"CC-{code}-4.0-{form}": text.format(name)
+    for code, name in (
+        ("BY", "Attribution"),
+        ("BY-SA", "Attribution-ShareAlike"),
+        ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+    for form, text in (
+        ("name", "Licensed under a Creative Commons {} 4.0 International License."),
+        (
+            "text",
+            "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this "
+            "Creative Commons {} 4.0 International Public License (\"Public License\").",
+        ),
+    )
 }
 
+#: Notices of at most so many words are single lines: the words that tell one license from another must all be aligned,
+#: as the rest of such a line is the same for every license. In longer notices the word after "version" must be.
+LINE_WORDS = 14
+NAMING = frozenset("apache mit bsd isc gnu gpl mozilla cc by nc sa nd creative commons attribution noncommercial sharealike noderivatives clause".split())
+
 _BORDER = np.ones(256, dtype=bool)
 _BORDER[48:58] = _BORDER[65:91] = _BORDER[97:123] = _BORDER[128:] = False
 
@@ -111,8 +165,11 @@ class Scanner:
         for name, text in notices.items():
             data, ends = text_bytes(pa.array([text]))
             begin, end, _ = word_spans(data, ends, _BORDER)
-            self.notices.append((name, word_hashes(data, begin, end).tolist()))
-        self.known = np.unique(np.array([w for _, n in self.notices for w in n], dtype=np.uint64))
+            hashes, words = word_hashes(data, begin, end).tolist(), words_of(text)
+            naming = [w in NAMING or w.strip("v").isdigit() if len(words) <= LINE_WORDS else before == "version" for before, w in zip(["", *words], words)]
+            needed = {k for k, named in enumerate(naming) if named}
+            self.notices.append((name, hashes, needed))
+        self.known = np.unique(np.array([w for _, n, _ in self.notices for w in n], dtype=np.uint64))
 
     def find(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first byte, end byte) of the notices in one text, the longest of those that overlap."""
@@ -122,7 +179,9 @@ class Scanner:
             return []
         present = set(words[held].tolist())
         found = []
-        for name, notice in self.notices:
+        for name, notice, needed in self.notices:
+            if not all(notice[k] in present for k in needed):
+                continue
             vocabulary = set(notice)
             # At most the words of the notice that the text holds can be aligned.
             if sum(w in present for w in notice) < self.coverage * len(notice):
@@ -141,6 +200,9 @@ class Scanner:
                         whole = align(words[again : again + reach].tolist(), notice)
                         if len(whole) > len(matched):
                             start, matched = again, whole
+                        if not needed <= {b for _, b in matched}:
+                            k += 1
+                            continue
                         last = start + matched[-1][0]
                         first = start + matched[0][0]
                         found.append((len(matched), len(matched) / len(notice), name, first, last))
@@ -176,7 +238,8 @@ def _scan(notices: dict[str, str], coverage: float):
 def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id and found (license, coverage, byte span) for every row of docs.
 
-    A notice counts where at least the share coverage of its words is aligned; of notices that overlap the one with more
+    A notice counts where at least the share coverage of its words is aligned, for a single line among them those that
+    name the license and its version; of notices that overlap the one with more
     aligned words counts. A null or empty text finds nothing. Repeated rows find the same, a null doc_id stays null. An
     empty table gives none. Columns other than doc_id and text are not read.
     """

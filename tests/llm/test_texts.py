@@ -169,6 +169,22 @@ def test_license_lines_of_the_table_are_all_found(spark):
         assert {n for n, line in lines.items() if line in r.text} <= found[r.doc_id]
 
 
+def test_every_license_line_of_the_table_is_found(spark):
+    """Whole lines or sentences that say under what license a text stands, whatever they name."""
+    table = common.table(spark, "/root/testdata/sf0.01", "documents")
+    found = {r.doc_id: {f.license for f in r.found} for r in licenses.scan_licenses(table).collect()}
+    stated = {r.doc_id: re.findall(r"(?i)(?:licensed|released) under[^\n]*", r.text or "") for r in table.collect()}
+    assert all(found[i] for i, lines in stated.items() if lines)
+    mit = {i for i, lines in stated.items() if any("Released under the MIT License." in x for x in lines)}
+    assert len(mit) == 10 and all("MIT-line" in found[i] for i in mit)
+
+
+def test_lines_of_one_license_are_not_anothers(spark):
+    lines = ["Licensed under the MIT license", "Released under the Foo License.", "Licensed under CC BY-ND 4.0.", "Licensed under the GPL, version 2.", "This project is licensed under the terms of the MIT License"]
+    found = {r.doc_id: [f.license for f in r.found] for r in licenses.scan_licenses(docs_frame(spark, [doc(k, t) for k, t in enumerate(lines)])).collect()}
+    assert found == {0: ["MIT-line"], 1: [], 2: ["CC-BY-ND-4.0"], 3: [], 4: ["MIT-terms"]}
+
+
 @pytest.mark.parametrize("bytes_too", [True, False])
 def test_token_counts_are_the_unigram_tokenizers(spark, bytes_too):
     pieces = [p for p in tokencount.vocabulary() if bytes_too or not p[0].startswith("<0x")]
