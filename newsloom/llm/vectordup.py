@@ -2,11 +2,11 @@
 
 Every vector is compared in its own cell and also visits cells near its border. For x at home in a and y in b the margins
 x.(a - b) and y.(b - a) add up to (x - y).(a - b), at most |x - y||a - b|, and unit vectors at cosine t are sqrt(2 - 2t)
-apart: one of the two margins is at most half of that, so visiting all cells within half finds every link. In many
-dimensions x - y hardly ever lies along a - b; there the reach is cut to SURE standard deviations of a random direction,
-4 / sqrt(dimensions) of the whole, which keeps all but a few of 100,000 links right at the threshold; sure=None keeps the
-whole. A pair that meets in two cells is counted in one of them. Equal vectors are one class with a count, and cells are
-cut into blocks of bounded size.
+apart: one of the two margins is at most half of that, so visiting all cells within half finds every link, whatever the
+vectors. A caller who knows that differences point in random directions of all columns may cut the reach to sure standard
+deviations of one, sure / sqrt(columns) of the whole; vectors that vary in few directions lose links by that. A pair that
+meets in two cells is counted in one of them. Equal vectors are one class with a count, and the members and the visitors
+of a cell are cut into blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from newsloom.session import tune
 
 #: Rows that k-means is fitted on, cells at most, rounds of k-means, and rows of a block.
 SAMPLE, MOST_CELLS, ROUNDS, BLOCK = 8192, 2048, 8, 1024
-SURE = 4.0
 
 
 def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -120,7 +119,7 @@ def _compare(threshold: float, width: int, kind: str):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, sure: float | None = SURE) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, sure: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row with columns vec_id and embedding.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or are not of the table's most frequent
@@ -144,9 +143,13 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, s
         cells = min(MOST_CELLS, max(1, round(classes.count() ** 0.5 / 2)))
         centroids = spherical_kmeans(fit, cells)
         placed = stored(classes.select("cid", "n", "vector").mapInArrow(_assign(centroids, threshold, width, sure, kind), "cell int, home int, visits binary, cid long, n long, vector binary"), "cells")
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        own = placed.join(sizes, "cell").withColumn("side", in_parts("cid", F.col("blocks")))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        # A pair counts only where one of the two is at home, so visitors meet the blocks of members and not each other.
+        member = F.col("home") == F.col("cell")
+        parts = [F.ceil(F.count_if(m) / block).cast("int").alias(n) for m, n in ((member, "blocks"), (~member, "guests"))]
+        sizes = placed.groupBy("cell").agg(*parts).filter(F.col("blocks") > 0)
+        own = placed.join(sizes, "cell").withColumn("side", F.when(member, in_parts("cid", F.col("blocks"))).otherwise(F.col("blocks") + in_parts("cid", F.greatest("guests", F.lit(1)))))
+        last = F.when(member, F.col("blocks") + F.col("guests")).otherwise(F.col("blocks")) - 1
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
             "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cid", "home", "visits", "n", "vector"
         )
         sorted_blocks = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")

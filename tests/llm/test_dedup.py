@@ -175,6 +175,19 @@ def test_vectors_match_brute_force_in_small_blocks(spark, sure):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("shape", ["few directions", "dense group"])
+def test_border_pairs_of_wide_vectors_are_found(spark, shape):
+    """64 columns of rank 2, and one tight group that k-means cuts into many cells."""
+    rng = np.random.default_rng(8)
+    if shape == "few directions":
+        data = rng.normal(size=(600, 2)) @ rng.normal(size=(2, 64))
+    else:
+        data = rng.normal(size=64) + 0.2 * rng.normal(size=(600, 3)) @ rng.normal(size=(3, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(data)]
+    found = vectordup.near_vectors(vectors_frame(spark, [(i, v, 0, 1, 1) for i, v in rows])).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute_vectors(rows)
+
+
 def test_vectors_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0, 3.0]), (9, [1.0, 1.0]), (8, [2.0, 2.0]), (8, [2.0, 2.0]), (10, [-1.0, -1.0])]
