@@ -5,6 +5,10 @@ number of tokens, then its leading tokens, with tokens that hold a digit taken a
 digits are variable. A line whose constants are most of it stands for its template; any other line for itself with
 digits made variable. Templates that recur across documents are dropped from all documents but the first.
 
+By a count alone, the values of a variable word turn constant as the table grows. So the whole job (cleaned) also takes
+for constant only the tokens with a share of their leaf, at several shares, as a leaf may hold several templates: each
+share gives a line one more template, coarser than the last, and the line goes if any recurs.
+
 Only leaves that enough lines reach are looked at in full, equal lines are counted once with a weight, and all counting
 is partial before a shuffle, so neither a hot line nor a group of copies gathers anywhere.
 """
@@ -19,6 +23,8 @@ from newsloom.session import tune
 
 #: Leading tokens of a leaf, documents a template must recur in, constants a generalised template needs: number and share.
 DEPTH, LEAST_DOCS, LEAST_CONSTANTS, LEAST_SHARE = 3, 4, 5, 0.75
+#: Shares of a leaf's lines at which tokens are constant.
+SHARES = (1 / 2, 1 / 8, 1 / 32)
 ANY = "<*>"
 _LAST = 2**63 - 1
 
@@ -40,7 +46,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
     Counting spaces and cutting off the leading tokens spares making the tokens of every line.
     """
-    rows = docs.select("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    rows = docs.select("_k", "_x", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     rows = rows.withColumn("line", _bare(F.col("line"))).filter(F.col("line") != "")
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), "[^ ]*[0-9][^ ]*", ANY)
@@ -51,43 +57,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def _template(share: float) -> Column:
+    """The template of the tokens t if those with more than a share of 0, and at least share, are constant."""
+    constant = lambda x: (x["share"] > 0) & (x["share"] >= share)
+    constants = F.size(F.filter("t", constant))
+    general = (constants >= LEAST_CONSTANTS) & (constants >= LEAST_SHARE * F.size("t"))
+    return F.when(general, F.transform("t", lambda x: F.when(constant(x), x["token"]).otherwise(ANY))).otherwise(F.transform("t", lambda x: x["token"]))
+
+
+def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = False) -> DataFrame:
     """(k, dropped): the places of the lines that go, by a hash k of doc_id and text."""
-    lines = _exploded(_keyed(docs.select("doc_id", F.col("text").cast("string"))))
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
-    seen = lines.select("_k", "doc", "pos", "line", "leaf").join(busy, "leaf", "left_semi")
+    lines = _exploded(_keyed(docs.select("doc_id", F.col("text").cast("string"))).withColumn("_x", F.xxhash64("text")))
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= (min(2, least_docs) if whole else least_docs)).select("leaf")
+    seen = lines.select("_k", *(["_x"] if whole else []), "doc", "pos", "line", "leaf").join(busy, "leaf", "left_semi")
     seen = stored(seen.withColumn("h", F.xxhash64("line")), "lines")
     unique = seen.select("h", "_k").distinct().groupBy("h").agg(F.count("*").alias("n")).join(seen.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")), "h")
     unique = stored(unique, "unique-lines")
 
     # Constants: tokens that enough documents hold at the same place of the same leaf.
     words = unique.select("h", "leaf", "n", F.posexplode(F.split("line", " ", -1)).alias("at", "token")).withColumn("token", _masked(F.col("token")))
-    common = words.filter(F.col("token") != ANY).groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("constant"))
+    common = words.filter(F.col("token") != ANY).groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= least_docs)
+    if whole:
+        common = common.join(unique.groupBy("leaf").agg(F.sum("n").alias("all")), "leaf")
+    common = common.select("leaf", "at", "token", (F.col("m") / F.col("all") if whole else F.lit(1.0)).alias("share"))
     told = words.join(common, ["leaf", "at", "token"], "left").groupBy("h").agg(
-        F.sort_array(F.collect_list(F.struct("at", "token", F.coalesce("constant", F.lit(False)).alias("constant")))).alias("t"), F.first("leaf").alias("leaf")
+        F.sort_array(F.collect_list(F.struct("at", "token", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("t"), F.first("leaf").alias("leaf")
     )
-    constants = F.size(F.filter("t", lambda x: x["constant"]))
-    general = (constants >= LEAST_CONSTANTS) & (constants >= LEAST_SHARE * F.size("t"))
-    template = F.when(general, F.transform("t", lambda x: F.when(x["constant"], x["token"]).otherwise(ANY))).otherwise(F.transform("t", lambda x: x["token"]))
-    templates = told.select("h", F.xxhash64(template).alias("template"))
+    templates = told.select("h", F.explode(F.array_distinct(F.array(*[F.xxhash64(_template(share)) for share in (0.0, *(SHARES if whole else ()))]))).alias("template"))
 
     placed = stored(seen.select("h", "_k", "doc", "pos").join(templates, "h").select("_k", "doc", "pos", "template"), "templates")
     once = placed.select("template", "doc", "_k").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "_k")).alias("first"))
     repeated = once.filter(F.col("docs") >= least_docs).select("template", F.col("first._k").alias("first"))
-    gone = placed.join(repeated, "template").filter(F.col("_k") != F.col("first"))
+    gone = placed.join(repeated, "template").filter(F.col("_k") != F.col("first")).select("_k", "pos")
     return gone.groupBy("_k").agg(F.collect_set("pos").alias("_dropped"))
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = False) -> DataFrame:
     """docs with text without the dropped lines, and n_lines and n_dropped.
 
+    whole also takes constants by their share of the leaf, so templates generalise at every size.
     The first document of a template, by doc_id and null last, keeps it. A null text stays null with no lines, an empty
     text is one blank line; blank lines stay. Rows with the same doc_id and text are one document and treated alike. An
     empty table gives none. Other columns stay as they are, but for those named like the added ones.
     """
     tune(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
-    joined = _keyed(docs).join(dropped_lines(docs, least_docs), "_k", "left")
+    joined = _keyed(docs).join(dropped_lines(docs, least_docs, whole), "_k", "left")
     lines = _lines(F.col("text").cast("string"))
     rest = F.filter(lines, lambda line, at: ~F.array_contains("_dropped", at))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
@@ -99,7 +114,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs without the dropped lines; documents of which nothing but blank lines is left by that go."""
-    out = dedup_lines(docs.select("doc_id", "text", whole_row(docs)), least_docs)
+    out = dedup_lines(docs.select("doc_id", "text", whole_row(docs)), least_docs, whole=True)
     empty = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "")
     columns = [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.filter(~F.coalesce(empty, F.lit(False))).select(*columns)

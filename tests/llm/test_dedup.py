@@ -122,6 +122,15 @@ def test_recurring_templates_go_from_all_but_the_first(spark):
     assert found[1].key == "clash" and found[1].id == 7
 
 
+@pytest.mark.parametrize("count", [40, 1500])
+def test_templates_of_variable_words_go_at_every_size(spark, count):
+    words = [a + b for a in "abcdefghij" for b in ("lon", "ber")]
+    note = "Thanks for reading our newsletter from {} by {}"
+    rows = [doc(k, f"{'own' + chr(97 + k % 26) * (k // 26 + 1)}\n{note.format(words[k % 20] + 'city', words[(k + k // 20) % 20] + 'son')}") for k in range(count)]
+    left = [r.doc_id for r in linededup.cleaned(docs_frame(spark, rows)).collect() if "Thanks" in r.text]
+    assert left == [0]
+
+
 def test_different_lines_of_one_leaf_stay(spark):
     nouns = "apple river stone cloud tiger piano".split()
     rows = [doc(k, f"It was the {n} of {m} again") for k, (n, m) in enumerate(zip(nouns, reversed(nouns)))]
