@@ -7,7 +7,8 @@ digits made variable. Templates that recur across documents are dropped from all
 
 By a count alone, the values of a variable word turn constant as the table grows. So the whole job (cleaned) also takes
 for constant only the tokens with a share of their leaf, at several shares, as a leaf may hold several templates: each
-share gives a line one more template, coarser than the last, and the line goes if any recurs.
+share gives a line one more template, coarser than the last, and the line goes if any recurs. It also drops long lines that
+are equal in two documents of different texts; equal texts are left to near-dedup, which takes the whole document.
 
 Only leaves that enough lines reach are looked at in full, equal lines are counted once with a weight, and all counting
 is partial before a shuffle, so neither a hot line nor a group of copies gathers anywhere.
@@ -23,8 +24,8 @@ from newsloom.session import tune
 
 #: Leading tokens of a leaf, documents a template must recur in, constants a generalised template needs: number and share.
 DEPTH, LEAST_DOCS, LEAST_CONSTANTS, LEAST_SHARE = 3, 4, 5, 0.75
-#: Shares of a leaf's lines at which tokens are constant.
-SHARES = (1 / 2, 1 / 8, 1 / 32)
+#: Shares of a leaf's lines at which tokens are constant, and bytes of a line that two documents don't hold by chance.
+SHARES, LONG_LINE = (1 / 2, 1 / 8, 1 / 32), 40
 ANY = "<*>"
 _LAST = 2**63 - 1
 
@@ -89,13 +90,18 @@ def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = F
     once = placed.select("template", "doc", "_k").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "_k")).alias("first"))
     repeated = once.filter(F.col("docs") >= least_docs).select("template", F.col("first._k").alias("first"))
     gone = placed.join(repeated, "template").filter(F.col("_k") != F.col("first")).select("_k", "pos")
+    if whole:
+        long = seen.filter(F.octet_length("line") >= LONG_LINE)
+        texts = long.groupBy("h").agg(F.min(F.struct("doc", "_k", "_x")).alias("first"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).filter(F.col("lo") != F.col("hi"))
+        equal = long.join(texts.select("h", F.col("first._x").alias("first")), "h").filter(F.col("_x") != F.col("first"))
+        gone = gone.unionByName(equal.select("_k", "pos"))
     return gone.groupBy("_k").agg(F.collect_set("pos").alias("_dropped"))
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = False) -> DataFrame:
     """docs with text without the dropped lines, and n_lines and n_dropped.
 
-    whole also takes constants by their share of the leaf, so templates generalise at every size.
+    whole also takes constants by their share of the leaf, and drops long lines from the second text that holds them.
     The first document of a template, by doc_id and null last, keeps it. A null text stays null with no lines, an empty
     text is one blank line; blank lines stay. Rows with the same doc_id and text are one document and treated alike. An
     empty table gives none. Other columns stay as they are, but for those named like the added ones.

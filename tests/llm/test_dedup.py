@@ -131,6 +131,13 @@ def test_templates_of_variable_words_go_at_every_size(spark, count):
     assert left == [0]
 
 
+def test_long_lines_of_two_texts_stay_once(spark):
+    passage = "This passage of some length stands word for word in two texts that have nothing else in common"
+    rows = [doc(1, f"one\n{passage}"), doc(2, f"{passage}\ntwo"), doc(3, "short\nthree"), doc(4, "short\nfour"), doc(5, "a whole text of more than forty bytes that is here twice"), doc(6, "a whole text of more than forty bytes that is here twice")]
+    found = {r.doc_id: r.text for r in linededup.cleaned(docs_frame(spark, rows)).collect()}
+    assert found == {r[0]: r[1] for r in rows} | {2: "two"}
+
+
 def test_different_lines_of_one_leaf_stay(spark):
     nouns = "apple river stone cloud tiger piano".split()
     rows = [doc(k, f"It was the {n} of {m} again") for k, (n, m) in enumerate(zip(nouns, reversed(nouns)))]
