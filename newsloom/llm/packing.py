@@ -1,16 +1,19 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Documents become token ids once. Full windows stand alone; what is left of a document is packed with what is left of
-others. Documents are dealt to shards of a bounded number of tokens by a hash of id and text, so copies and hot sources
-spread; a shard holds an inverted index over all its documents with BM25 weights from corpus-wide document frequencies.
-The longest unused rest is the seed, its best unused neighbours that fit are taken, and the first that doesn't fit is
-cut to close the window, so only the last window of a shard has padding.
+others. Documents are dealt to shards of a bounded number of tokens by lexical likeness: a tree of median cuts through
+random projections of their weighted terms, fitted on a sample, puts like documents into one cell, and shards are equal
+stretches of the cells in tree order. A cell of many copies that is longer than a shard spreads over its stretch by a hash.
+A shard holds an inverted index over all its documents with BM25 weights from corpus-wide document frequencies. The
+longest unused rest is the seed, whose terms are all looked up; its unused neighbours are taken best first, a handful at a
+time: those that fit, then the first that doesn't fit, cut to close the window. Only the last window of a shard has padding.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,10 @@ from newsloom.llm.vectors import consecutive
 from newsloom.session import tune
 
 WINDOW, SHARD_TOKENS = 1024, 1 << 21
-#: BM25's constants, terms of a seed that are looked up (those of the highest weight), neighbours tried for a window.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 16
+#: BM25's constants, neighbours that are tried together, best first, until none is left.
+K1, B, NEIGHBOURS = 1.2, 0.75, 16
+#: Numbers of a document's sketch, rows that the tree is fitted on, cells a shard has, sampled rows a cell needs.
+SKETCH, SAMPLE, CELLS, CELL_ROWS = 32, 8192, 4, 2
 
 
 def _encode(path: str | None, end: int):
@@ -67,11 +72,7 @@ class Shard:
         self.owner, self.weight = owner[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.count = len(docs)
-        self.queries = []
-        for at, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
-            own = slice(at, at + n)
-            best = np.argpartition(-weight[own], QUERY_TERMS)[:QUERY_TERMS] if n > QUERY_TERMS else np.arange(n)
-            self.queries.append(term[own][best])
+        self.queries = np.split(term, np.cumsum(sizes)[:-1])
 
     def scores(self, doc: int) -> np.ndarray:
         runs = [slice(self.start[t], self.start[t + 1]) for t in self.queries[doc]]
@@ -110,14 +111,18 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             if used < window:
                 near = index.scores(seed)
                 near[(left == 0) | (name == name[seed])] = 0
-                some = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS] if len(near) > NEIGHBOURS else np.arange(len(near))
-                some = [d for d in some[np.lexsort((some, -near[some]))] if near[d] > 0]
-                for d in some:
-                    if 0 < left[d] <= window - used:
-                        used += take(d, window, used)
-                for d in some:
-                    if used < window and left[d]:
-                        used += take(d, window - used, used)
+                while used < window:
+                    some = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS] if len(near) > NEIGHBOURS else np.arange(len(near))
+                    some = [d for d in some[np.lexsort((some, -near[some]))] if near[d] > 0]
+                    if not some:
+                        break
+                    for d in some:
+                        if 0 < left[d] <= window - used:
+                            used += take(d, window, used)
+                    for d in some:
+                        if used < window and left[d]:
+                            used += take(d, window - used, used)
+                    near[some] = 0
                 # Without neighbours left, the shortest unused rests close the window.
                 while used < window and spare >= 0:
                     if left[order[spare]]:
@@ -128,6 +133,67 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     return pieces
 
 
+@lru_cache(maxsize=1)
+def _directions(size: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((size, SKETCH), dtype=np.float32)
+
+
+def _sketches(ids: list, idf: np.ndarray, kind: str) -> np.ndarray:
+    """Unit random projections of the documents' weighted terms."""
+    directions = _directions(len(idf))
+    out = np.zeros((len(ids), SKETCH))
+    for k, i in enumerate(ids):
+        terms = np.unique(np.frombuffer(i, dtype=kind))
+        out[k] = idf[terms] @ directions[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-300)[:, None]
+
+
+def _sampled(idf: np.ndarray, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = _sketches(batch.column("ids").to_pylist(), idf, kind)
+            yield pa.record_batch([pa.array([r.tobytes() for r in sketch], pa.binary()), batch.column("tokens")], names=["sketch", "tokens"])
+
+    return run
+
+
+class Tree:
+    """Cells of like sketches in tree order, and the stretch from 0 to 1 of all sampled tokens that each holds."""
+
+    def __init__(self, rows: np.ndarray, tokens: np.ndarray, cells: int) -> None:
+        self.depth = max(0, math.ceil(math.log2(max(1, min(cells, len(rows) // CELL_ROWS)))))
+        self.direction, self.cut = np.zeros((1 << self.depth, SKETCH)), np.zeros(1 << self.depth)
+        members = {1: np.arange(len(rows))}
+        for node in range(1, 1 << self.depth):
+            own = members[node]
+            if len(own):
+                spread = rows[own] - rows[own].mean(axis=0)
+                self.direction[node] = np.linalg.eigh(spread.T @ spread)[1][:, -1]
+                self.cut[node] = np.median(rows[own] @ self.direction[node])
+            right = rows[own] @ self.direction[node] > self.cut[node]
+            members[2 * node], members[2 * node + 1] = own[~right], own[right]
+        held = np.bincount(self.cell(rows), weights=tokens, minlength=1 << self.depth)
+        self.end = np.cumsum(held) / held.sum()
+        self.start = np.concatenate(([0.0], self.end[:-1]))
+
+    def cell(self, rows: np.ndarray) -> np.ndarray:
+        node = np.ones(len(rows), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + ((rows * self.direction[node]).sum(axis=1) > self.cut[node])
+        return node - (1 << self.depth)
+
+
+def _deal(tree: Tree, idf: np.ndarray, kind: str, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = tree.cell(_sketches(batch.column("ids").to_pylist(), idf, kind))
+            place = tree.start[cell] + np.asarray(batch.column("u")) * (tree.end - tree.start)[cell]
+            shard = np.minimum(shards - 1, (place * shards).astype(np.int64)).astype(np.int32)
+            yield pa.record_batch([pa.array(shard), batch.column("doc_id"), batch.column("ids")], names=["shard", "doc_id", "ids"])
+
+    return run
+
+
 def _pack(idf: np.ndarray, mean: float, kind: str, window: int):
     def shard(key: tuple, rows: pa.Table) -> pa.RecordBatch:
         doc_ids = rows.column("doc_id").to_pylist()
@@ -166,7 +232,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
             held[r["id"]] = r["docs"]
     idf = np.log1p((total["docs"] - held + 0.5) / (held + 0.5))
     shards = max(1, math.ceil(total["tokens"] / shard_tokens))
-    dealt = coded.select(in_parts(F.xxhash64("doc_id", "ids"), shards).alias("shard"), "doc_id", "ids")
+    key = F.xxhash64("doc_id", "ids")
+    if shards == 1:
+        dealt = coded.select(F.lit(0).alias("shard"), "doc_id", "ids")
+    else:
+        share = in_parts(key, math.ceil(total["docs"] / SAMPLE), 12) == 0
+        sample = coded.filter(share).limit(2 * SAMPLE).mapInArrow(_sampled(idf, e.kind.str), "sketch binary, tokens long").collect() or [(np.ones(SKETCH).tobytes(), 1)]
+        tree = Tree(np.array([np.frombuffer(r[0]) for r in sample]), np.array([r[1] for r in sample]), CELLS * shards)
+        numbered = coded.select((in_parts(key, 1 << 20) / (1 << 20)).alias("u"), "doc_id", "ids")
+        dealt = numbered.mapInArrow(_deal(tree, idf, e.kind.str, shards), "shard int, doc_id long, ids binary")
     sorted_shards = dealt.repartition("shard").sortWithinPartitions("shard")
     mean = max(1.0, total["tokens"] / max(1, total["docs"]))
     return sorted_shards.mapInArrow(_pack(idf, mean, e.kind.str, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

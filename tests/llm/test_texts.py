@@ -81,6 +81,29 @@ def test_packing_takes_lexical_neighbours():
     assert all(len(t) == 1 for t in by.values()) and len(by) == 8
 
 
+def test_packing_goes_on_to_the_last_neighbour():
+    """A seed of 30 terms finds 40 short rests that share one term each before an unrelated rest is taken."""
+    seed = np.arange(100, 200, dtype="<u2")
+    alike = [np.array([100 + k, 1000 + k], dtype="<u2") for k in range(40)]
+    other = [np.array([3000 + k], dtype="<u2") for k in range(20)]
+    docs = [seed, *alike, *other]
+    pieces = packing.pack_shard(docs, np.ones(4000), 3.0, window=180)
+    assert {d for d, _, _, sequence, _ in pieces if sequence == 0} == set(range(41))
+
+
+def test_packing_finds_neighbours_across_a_large_table(spark):
+    """60 topics in random order over many shards: a topic's documents lie together far more often than a hash puts them."""
+    rng = np.random.default_rng(9)
+    topics = [[f"{chr(97 + t % 26)}{chr(97 + t // 26)}{w}x" for w in range(40)] for t in range(60)]
+    rows = [doc(k, " ".join(rng.choice(topics[k % 60], 25))) for k in rng.permutation(1200).tolist()]
+    out = packing.pack(docs_frame(spark, rows), shard_tokens=1 << 12).collect()
+    shards = defaultdict(Counter)
+    for r in out:
+        shards[r.sequence_id >> 32][r.doc_id % 60] += 1
+    together = sum(n * n for c in shards.values() for n in c.values()) / len(out)
+    assert len(shards) > 10 and together > 5
+
+
 def brute_targets(sizes, share=1.5, cap=2):
     """Round by round: sources above their cap stop there and the excess goes to the others by weight."""
     names = sorted(sizes, key=lambda n: (n is None, n or ""))
