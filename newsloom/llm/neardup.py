@@ -232,7 +232,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that repeat a kept one; all columns as they are."""
+    """docs without the documents that repeat a kept one; all columns as they are.
+
+    Rows that share a kept doc_id are one document, so all of them stay, equal ones too.
+    """
     gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
