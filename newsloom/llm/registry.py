@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import covertree, language, licenses, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
+from newsloom.llm import covertree, filteraudit, language, licenses, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": neardup.op10_minhash,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_line_dedup": linededup.SQL,
     "op7_top_products": covertree.SQL,
+    "op11_filter_audit": filteraudit.SQL,
 }
