@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import covertree, filteraudit, language, licenses, linededup, mixing, neardup, packing, tokencount, toxicity, vectordup
+from newsloom.llm import compression, covertree, filteraudit, language, licenses, linededup, mixing, neardup, packing, tokencount, toxicity, vectorcodes, vectordup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": neardup.op10_minhash,
     "op11_filter_audit": filteraudit.op11_filter_audit,
+    "op12_vector_codes": vectorcodes.op12_vector_codes,
+    "op13_quality": compression.op13_quality,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op4_line_dedup": linededup.SQL,
     "op7_top_products": covertree.SQL,
     "op11_filter_audit": filteraudit.SQL,
+    "op12_vector_codes": vectorcodes.SQL,
 }
