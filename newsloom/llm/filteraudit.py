@@ -16,23 +16,26 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import in_parts, stored, table
 from newsloom.llm.vectors import consecutive
-from newsloom.llm.words import text_bytes, word_spans
+from newsloom.llm.words import sliced, text_bytes, word_spans
 from newsloom.session import tune
 
-#: Bytes of text that begin a new shard, buckets of the dictionary, rows of an Arrow batch of dictionary codes.
-SHARD, BUCKETS, CODE_ROWS = 16 << 20, 4096, 16384
+#: Bytes of text that begin a new shard, bytes looked at at once, buckets of the dictionary, rows of an Arrow batch of codes.
+SHARD, PIECE, BUCKETS, CODE_ROWS = 16 << 20, 4 << 20, 4096, 16384
 #: Fewest words, fewest distinct words and most capitals in a hundred, marks.
 WORDS, DISTINCT, CAPITALS, MARKS = 50, 65, 5, "#$%&*|"
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
-CSR = "shard long, docs array<struct<doc_id:bigint,source:string,text:binary,capitals:boolean,marks:boolean>>, words array<string>, starts binary, columns binary, counts binary"
+_FACTS = "docs array<struct<doc_id:bigint,source:string,text:binary,capitals:boolean,marks:boolean>>"
+LOCAL = f"shard long, {_FACTS}, words array<string>, width long, cells binary, counts binary"
+CSR = f"shard long, {_FACTS}, starts binary, columns binary, counts binary"
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -40,19 +43,35 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in MARKS]] = True
 
 
-def matrix(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a shard in the order they first occur, and its counts as CSR: starts, columns (rising in a row), counts."""
-    data, ends = text_bytes(texts)
-    begin, end, first = word_spans(data, ends, _BLANK)
-    places = np.zeros(len(begin) + 1, dtype=np.int64)
-    np.cumsum(end - begin, out=places[1:])
-    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data[~_BLANK[data]])])
-    coded = words.dictionary_encode()
-    width = max(len(coded.dictionary), 1)
-    cells = np.repeat(np.arange(len(texts), dtype=np.int64) * width, np.diff(first)) + coded.indices.to_numpy(zero_copy_only=False)
-    cells, counts = np.unique(cells, return_counts=True)
-    starts = np.searchsorted(cells, np.arange(len(texts) + 1, dtype=np.int64) * width)
-    return coded.dictionary.cast(pa.large_string()).cast(pa.string()), starts, (cells % width).astype(np.int32), counts.astype(np.int32)
+def matrix(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a shard, the filled cells (row * number of words + column, rising) of its matrix, and their counts."""
+    coded, rows, at = [], [], 0
+    for part in sliced(pa.record_batch([texts], names=["text"]), "text", PIECE):
+        data, ends = text_bytes(part.column(0))
+        begin, end, first = word_spans(data, ends, _BLANK)
+        places = np.zeros(len(begin) + 1, dtype=np.int64)
+        np.cumsum(end - begin, out=places[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data[~_BLANK[data]])])
+        coded.append(words.dictionary_encode())
+        rows.append(np.repeat(np.arange(at, at + part.num_rows, dtype=np.int64), np.diff(first)))
+        at += part.num_rows
+    if not coded:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shared = pa.chunked_array(coded).unify_dictionaries()
+    words = shared.chunk(0).dictionary
+    found = [np.unique(r * max(len(words), 1) + c.indices.to_numpy(zero_copy_only=False), return_counts=True) for r, c in zip(rows, shared.chunks, strict=True)]
+    cells, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return words.cast(pa.large_string()).cast(pa.string()), cells, counts
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as bytes for a shuffle: equal bytes of all of them together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def loosened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
 def _between(found: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -60,16 +79,14 @@ def _between(found: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(found, ends))
 
 
-def _facts(batch: pa.Table) -> pa.Array:
-    texts = batch.column("text").combine_chunks()
-    data, ends = text_bytes(texts)
+def _facts(batch: pa.RecordBatch) -> pa.Array:
+    data, ends = text_bytes(batch.column("text"))
     capitals = _between(np.flatnonzero((data >= 65) & (data <= 90)), ends)
     points = np.diff(ends) - _between(np.flatnonzero((data & 0xC0) == 0x80), ends)
     marks = _between(np.flatnonzero(_MARK[data]), ends)
     whole = memoryview(data)
     digests = [blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    columns = [batch.column("doc_id").combine_chunks(), batch.column("source").combine_chunks(), pa.array(digests, pa.binary())]
-    columns += [pa.array(100 * capitals > CAPITALS * points), pa.array(marks > 0)]
+    columns = [batch.column("doc_id"), batch.column("source"), pa.array(digests, pa.binary()), pa.array(100 * capitals > CAPITALS * points), pa.array(marks > 0)]
     return pa.StructArray.from_arrays(columns, ["doc_id", "source", "text", "capitals", "marks"])
 
 
@@ -80,13 +97,13 @@ def _shards(size: int):
 
         def shard() -> pa.RecordBatch:
             nonlocal number
-            rows = pa.Table.from_batches(held)
-            words, starts, columns, counts = matrix(rows.column("text").combine_chunks())
-            facts = _facts(rows)
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            words, cells, counts = matrix(rows.column("text"))
+            facts = pa.concat_arrays([_facts(part) for part in sliced(rows, "text", PIECE)])
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (facts, words)]
             number += 1
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (starts.astype(np.int64), columns, counts)]
-            return pa.record_batch([pa.array([number - 1], pa.int64()), *lists, *blobs], names=["shard", "docs", "words", "starts", "columns", "counts"])
+            blobs = [pa.array([squeezed(x)], pa.binary()) for x in (np.diff(cells, prepend=0), counts)]
+            return pa.record_batch([pa.array([number - 1], pa.int64()), *lists, pa.array([len(words)], pa.int64()), *blobs], names=["shard", "docs", "words", "width", "cells", "counts"])
 
         for batch in batches:
             sizes = np.cumsum(np.diff(text_bytes(batch.column("text"))[1]))
@@ -107,9 +124,9 @@ def _shards(size: int):
 
 
 def local_shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """CSR shards over dictionaries of their own: shard, docs, words, starts, columns, counts (binary int64, int32, int32)."""
+    """Shards over dictionaries of their own: docs, words, and the filled cells and counts, squeezed for their way."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_shards(size), CSR)
+    return rows.mapInArrow(_shards(size), LOCAL)
 
 
 def word_codes(shards: DataFrame) -> DataFrame:
@@ -129,7 +146,7 @@ def dictionary(shards: DataFrame) -> DataFrame:
 
 
 def _code_list(key: tuple, rows: pa.Table) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([key[0]], pa.int64()), pa.array([rows.column("code").to_numpy().tobytes()], pa.binary())], names=["shard", "codes"])
+    return pa.record_batch([pa.array([key[0]], pa.int64()), pa.array([squeezed(rows.column("code").to_numpy())], pa.binary())], names=["shard", "codes"])
 
 
 def _code_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +155,13 @@ def _code_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [np.frombuffer(c or b"", dtype=np.int64) for c in batch.column("codes").to_pylist()]
-        columns = [np.frombuffer(c, dtype=np.int32) for c in batch.column("columns").to_pylist()]
-        coded = pa.array([c[k].tobytes() for c, k in zip(codes, columns, strict=True)], pa.binary())
-        yield pa.record_batch([batch.column("shard"), batch.column("docs"), batch.column("starts"), coded, batch.column("counts")], names=["shard", "docs", "starts", "columns", "counts"])
+        for k in range(batch.num_rows):
+            width, codes = max(batch.column("width")[k].as_py(), 1), batch.column("codes")[k].as_py()
+            cells = np.cumsum(loosened(batch.column("cells")[k].as_py()))
+            codes = loosened(codes) if codes is not None else np.zeros(0, np.int64)
+            starts = np.searchsorted(cells, np.arange(len(batch.column("docs")[k]) + 1, dtype=np.int64) * width)
+            blobs = [starts.astype(np.int64), codes[cells % width], loosened(batch.column("counts")[k].as_py()).astype(np.int32)]
+            yield pa.record_batch([batch.column("shard").slice(k, 1), batch.column("docs").slice(k, 1), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["shard", "docs", "starts", "columns", "counts"])
 
 
 def document_terms(docs: DataFrame, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +180,7 @@ def document_terms(docs: DataFrame, size: int = SHARD) -> tuple[DataFrame, DataF
         lists = stored(codes.repartition("shard").sortWithinPartitions("shard", "place").mapInArrow(_code_lists, "shard long, codes binary"), "word-codes")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
-    return shards.drop("words").join(lists, "shard", "left").mapInArrow(_recoded, shards.drop("words").schema), shards
+    return shards.drop("words").join(lists, "shard", "left").mapInArrow(_recoded, CSR), shards
 
 
 def _failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
