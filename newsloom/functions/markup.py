@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.columns import let
+from newsloom.functions.scans import running_max
 from newsloom.functions.text import collapse, escape_html, strip
 from newsloom.functions.tokens import read_batch
 from newsloom.functions.urls import resolve_url
@@ -76,13 +77,13 @@ FILTER_BLOCKS = tuple(
 
 
 def without_subtrees(nodes: Column, drop) -> Column:
-    """``nodes`` minus every node for which ``drop`` holds and all inside it (interval anti-match)."""
-    return let(
-        F.filter(nodes, drop),
-        lambda gone: F.when(F.size(gone) == 0, nodes).otherwise(
-            F.filter(nodes, lambda n: ~F.exists(gone, lambda g: (g["pre"] <= n["pre"]) & (n["pre"] <= g["last"])))
-        ),
-    )
+    """``nodes`` minus every node for which ``drop`` holds and all inside it, in one sweep: the last place below a dropped node so far."""
+
+    def sweep(held: Column) -> Column:
+        last = running_max(F.transform(held, lambda n: F.when(drop(n), n["last"]).otherwise(-1)))
+        return F.when(F.exists(held, drop), let(last, lambda run: F.filter(held, lambda n, i: F.get(run, i) < n["pre"]))).otherwise(held)
+
+    return let(nodes, sweep)
 
 
 def readable_text(nodes: Column, blocks: tuple[str, ...] = ENTRY_BLOCKS) -> Column:

@@ -95,12 +95,12 @@ def matches(rule: dict, values: dict[str, Column]) -> Column:
 def reason_text(rule: dict, excluded: bool) -> str:
     """Why a story was dropped; never quotes keywords or source text."""
     if rule["op"] in GROUPS:
-        return "Matched the exclude rules." if excluded else "Did not match the include rules."
-    name = rule["field"].capitalize()
+        return "an exclude rule applies" if excluded else "no include rule applies"
+    name, side = rule["field"], "exclude" if excluded else "include"
     every = rule["op"] == "contains_all"
     if excluded:
-        return f"{name} matched {'all' if every else 'at least one of'} the exclude keywords."
-    return f"{name} did not match {'all' if every else 'any'} of the include keywords."
+        return f"{name} holds {'all' if every else 'some'} of the {side} keywords"
+    return f"{name} lacks {'some' if every else 'all'} of the {side} keywords"
 
 
 def decide(rules: RuleSet, title: Column, description: Column, link: Column) -> Column:
@@ -125,6 +125,43 @@ def decide(rules: RuleSet, title: Column, description: Column, link: Column) ->
     return let(folded, verdict)
 
 
+def problems(include: dict | None, exclude: dict | None) -> list[str]:
+    """What is wrong with a rule set: bounds over both sides together, and malformed nodes."""
+    found: dict[str, None] = {}
+    counts = {"nodes": 0, "keywords": 0}
+
+    def walk(rule: object, depth: int) -> None:
+        counts["nodes"] += 1
+        if depth > MAX_DEPTH:
+            found["depth"] = None
+            return
+        if not isinstance(rule, dict) or rule.get("op") not in (*GROUPS, *LEAVES):
+            found["operator"] = None
+            return
+        words, inner = rule.get("keywords") or [], rule.get("rules") or []
+        if not isinstance(words, list) or not isinstance(inner, list) or set(rule) - {"op", "rules", "field", "keywords"}:
+            found["shape"] = None
+            return
+        group = rule["op"] in GROUPS
+        counts["keywords"] += len(words)
+        if group and (not inner or words or rule.get("field")):
+            found["group"] = None
+        if not group and (inner or not words):
+            found["leaf"] = None
+        if not group and rule.get("field") not in FIELDS:
+            found["field"] = None
+        if any(not isinstance(w, str) or not w.strip() or len(w.strip()) > MAX_KEYWORD_LENGTH for w in words):
+            found["keyword text"] = None
+        for child in inner:
+            walk(child, depth + 1)
+
+    for side in (include, exclude):
+        if side is not None:
+            walk(side, 1)
+    found |= {name: None for name, most in (("nodes", MAX_NODES), ("keywords", MAX_KEYWORDS)) if counts[name] > most}
+    return list(found)
+
+
 def combine(own: RuleSet | None, shared: list[RuleSet]) -> RuleSet:
     """Own rules and library filters as one set: includes under all, excludes under any."""
 

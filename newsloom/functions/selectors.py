@@ -1,9 +1,9 @@
 """CSS and XPath selectors as Column expressions over a page's node list.
 
 A selector compiles, on the driver, to nested array filters: a compound selector
-is a predicate on a node, a combinator is an interval or parent test against the
-matches of the step before. Matching never joins or shuffles; the relational
-form (one row per node) is ``operators.dom.contains_join``.
+is a predicate on a node, a combinator asks for nodes below, beside or above the
+matches of the step before, found by running maxima and sorts over the list. Matching
+never joins or shuffles; the relational form (one row per node) is ``operators.dom.contains_join``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.columns import let
 from newsloom.functions.markup import NODE, NODES, is_text, joined_text, subtree
+from newsloom.functions.scans import among, grouped_places, marked, next_place, running_max
 from newsloom.functions.text import collapse, strip
 
 
@@ -57,6 +58,10 @@ class SelectorError(ValueError):
     """The selector is not one this library reads."""
 
 
+class NotAsData(SelectorError):
+    """The selector can be read, but not by the programs of ``functions.programs``."""
+
+
 def _plain(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text)
 
@@ -156,6 +161,9 @@ def _pseudo(name: str, argument: str | None) -> Predicate:
     if name == "not":
         tests = [_compound(part.strip())[0] for part in _split(argument or "", ",")]
         return lambda nodes, n: ~_any([t(nodes, n) for t in tests])
+    if name in ("is", "where"):
+        tests = [_compound(part.strip())[0] for part in _split(argument or "", ",")]
+        return lambda nodes, n: _any([t(nodes, n) for t in tests])
     if name in ("has", "haschild"):
         inner = [_steps(part.strip(), relative=True) for part in _split(argument or "", ",")]
         child_only = name == "haschild"
@@ -165,7 +173,9 @@ def _pseudo(name: str, argument: str | None) -> Predicate:
             for steps in inner:
                 if child_only:
                     steps = [(">", steps[0][1])] + steps[1:]
-                found.append(F.size(_walk(nodes, steps, F.array(n), lambda s: _inside(s, n))) > 0)
+                # Only what lies below the node is walked.
+                below = Loose(F.filter(_below(nodes, n), lambda s: s["pre"] != n["pre"]))
+                found.append(F.size(_walk(below, steps, F.array(n))) > 0)
             return _any(found)
 
         return has
@@ -259,29 +269,84 @@ def _steps(text: str, relative: bool = False) -> list[tuple[str, Predicate]]:
     return steps
 
 
-def _related(combinator: str, anchor: Column, node: Column) -> Column:
-    if combinator == " ":
+#: Anchors that are compared with every node one by one; more are looked up by scans.
+FEW = 8
+BELOW, CHILD, NEXT, LATER, EARLIER, PARENT, ABOVE = " ", ">", "+", "~", "preceding", "parent", "ancestor"
+
+
+def _pair(relation: str, anchor: Column, node: Column) -> Column:
+    """Whether node stands to anchor as the relation says."""
+    if relation == BELOW:
         return _inside(node, anchor)
-    if combinator == ">":
+    if relation == ABOVE:
+        return _inside(anchor, node)
+    if relation == CHILD:
         return node["parent"] == anchor["pre"]
-    same = (node["parent"] == anchor["parent"]) & (anchor["sib"] > 0)
-    return same & ((node["sib"] == anchor["sib"] + 1) if combinator == "+" else (node["sib"] > anchor["sib"]))
+    if relation == PARENT:
+        return anchor["parent"] == node["pre"]
+    same = node["parent"] == anchor["parent"]
+    if relation == NEXT:
+        return same & (anchor["sib"] > 0) & (node["sib"] == anchor["sib"] + 1)
+    return same & ((node["pre"] > anchor["pre"]) if relation == LATER else (node["pre"] < anchor["pre"]))
 
 
-def _walk(nodes: Nodes, steps, anchors: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    (combinator, predicate), rest = steps[0], steps[1:]
+def _beside(listed: Column, flags: Column, relation: str) -> Column:
+    """Flags of the nodes next to, after or before a flagged sibling: siblings meet in one sort by parent."""
+    ahead = 1 if relation != EARLIER else -1
+    rows = F.transform(listed, lambda n, i: F.struct(n["parent"].alias("parent"), (i * ahead).alias("at"), n["sib"].alias("sib"), F.get(flags, i).alias("on")))
+    if relation == NEXT:
+        # Elements only: text between two elements doesn't part them.
+        rows = F.filter(rows, lambda r: r["sib"] > 0)
+
+    def read(r: Column) -> Column:
+        def one(seen: Column):
+            def flag(x: Column, k: Column) -> Column:
+                before = F.get(r, k - 1)
+                hit = (before["on"] & (before["parent"] == x["parent"]) & (before["sib"] == x["sib"] - 1)) if relation == NEXT else F.get(seen, k - 1) == x["parent"]
+                return F.struct((x["at"] * ahead).alias("i"), F.coalesce(hit, F.lit(False)).alias("on"))
+
+            return F.transform(F.filter(F.transform(r, flag), lambda x: x["on"]), lambda x: x["i"])
+
+        found = one(r) if relation == NEXT else let(running_max(F.transform(r, lambda x: F.when(x["on"], x["parent"]))), one)
+        return marked(F.transform(listed, lambda n, i: i), found)
+
+    return let(F.array_sort(rows), read)
 
-    def matched(bound: Column) -> Column:
-        def test(n: Column) -> Column:
-            cheap = predicate(nodes, n)
-            if keep is not None:
-                cheap = keep(n) & cheap
-            return cheap & F.exists(bound, lambda a: _related(combinator, a, n))
 
-        found = F.filter(_list(nodes), test)
-        return _walk(nodes, rest, found, keep) if rest else found
+def _related(nodes: Nodes, anchors: Column, relation: str) -> Column:
+    """For every node of the list whether it stands to any anchor as the relation says."""
+    listed = _list(nodes)
 
-    return let(anchors, matched)
+    def scan(flags: Column) -> Column:
+        if relation == BELOW:
+            last = running_max(F.transform(listed, lambda n, i: F.when(F.get(flags, i), n["last"]).otherwise(-1)))
+            return let(last, lambda run: F.transform(listed, lambda n, i: F.coalesce(F.get(run, i - 1) >= n["pre"], F.lit(False))))
+        if relation == ABOVE:
+            return let(next_place(flags), lambda at: F.transform(listed, lambda n, i: F.coalesce(F.get(listed, F.get(at, i + 1))["pre"] <= n["last"], F.lit(False))))
+        return _beside(listed, flags, relation)
+
+    def far(found: Column) -> Column:
+        if relation == CHILD:
+            return among(F.transform(listed, lambda n: n["parent"]), F.transform(found, lambda a: a["pre"]))
+        if relation == PARENT:
+            return marked(F.transform(listed, lambda n: n["pre"]), F.transform(found, lambda a: a["parent"]))
+        return let(marked(F.transform(listed, lambda n: n["pre"]), F.transform(found, lambda a: a["pre"])), scan)
+
+    def choose(found: Column) -> Column:
+        near = F.transform(listed, lambda n: F.exists(found, lambda a: _pair(relation, a, n)))
+        return F.when(F.size(found) <= FEW, near).otherwise(far(found))
+
+    return let(anchors, choose)
+
+
+def _walk(nodes: Nodes, steps, anchors: Column) -> Column:
+    (combinator, predicate), rest = steps[0], steps[1:]
+
+    def match(near: Column) -> Column:
+        return F.filter(_list(nodes), lambda n, i: F.get(near, i) & predicate(nodes, n))
+
+    found = let(_related(nodes, anchors, combinator), match)
+    return _walk(nodes, rest, found) if rest else found
 
 
 def css(nodes: Nodes, selector: str) -> Column:
@@ -390,18 +455,17 @@ def _xpath_test(text: str, nodes: Nodes, n: Column) -> Column:
     return F.size(xpath(nodes, text if text.startswith(".") else "./" + text, n)) > 0
 
 
-def _position_test(text: str, found: Column, n: Column) -> Column | None:
+def _position_test(text: str) -> Callable[[Column], Column] | None:
+    """A test of struct(place, size) among the matches of one parent, or None for a predicate that isn't a position."""
     text = text.strip()
-    peers = lambda: F.filter(found, lambda m: m["parent"] == n["parent"])
-    place = lambda: F.size(F.filter(found, lambda m: (m["parent"] == n["parent"]) & (m["pre"] <= n["pre"])))
     if re.fullmatch(r"\d+", text):
-        return place() == int(text)
+        return lambda p: p["place"] == int(text)
     bound = re.fullmatch(r"position\(\)\s*(<=|>=|=|<|>)\s*(\d+)", text)
     if bound:
-        at, limit = place(), int(bound.group(2))
-        return {"=": at == limit, "<": at < limit, ">": at > limit, "<=": at <= limit, ">=": at >= limit}[bound.group(1)]
+        limit = int(bound.group(2))
+        return lambda p: {"=": p["place"] == limit, "<": p["place"] < limit, ">": p["place"] > limit, "<=": p["place"] <= limit, ">=": p["place"] >= limit}[bound.group(1)]
     if text == "last()":
-        return place() == F.size(peers())
+        return lambda p: p["place"] == p["size"]
     return None
 
 
@@ -449,6 +513,16 @@ def xpath(nodes: Nodes, path: str, scope: Column | None = None) -> Column:
     def confined(n: Column) -> Column:
         return F.lit(True) if scope is None else ((scope["pre"] <= n["pre"]) & (n["pre"] <= scope["last"]))
 
+    def within(current: Column) -> Column:
+        """The current nodes and all below them."""
+        return let(
+            _related(nodes, current, BELOW),
+            lambda near: let(
+                marked(F.transform(_list(nodes), lambda n: n["pre"]), F.transform(current, lambda a: a["pre"])),
+                lambda own: F.filter(_list(nodes), lambda n, i: confined(n) & (F.get(near, i) | F.get(own, i))),
+            ),
+        )
+
     def advance(current: Column | None, rest) -> Column:
         if not rest:
             return current
@@ -459,7 +533,7 @@ def xpath(nodes: Nodes, path: str, scope: Column | None = None) -> Column:
             name = test[1:].lower()
             pool = current if current is not None else _list(nodes)
             if deep:
-                pool = F.filter(_list(nodes), lambda n: confined(n) & F.exists(current, lambda a: (a["pre"] <= n["pre"]) & (n["pre"] <= a["last"]))) if current is not None else _list(nodes)
+                pool = F.filter(_list(nodes), lambda n: confined(n)) if current is None else within(current)
             return F.transform(
                 F.filter(pool, lambda n: F.coalesce(F.map_contains_key(n["attrs"], F.lit(name)), F.lit(False))),
                 lambda n: _attribute_node(n, name),
@@ -473,22 +547,12 @@ def xpath(nodes: Nodes, path: str, scope: Column | None = None) -> Column:
             return ~is_text(n) if test == "*" else n["tag"] == test.lower()
 
         def select(bound: Column | None) -> Column:
-            def related(n: Column) -> Column:
-                if bound is None:
-                    return F.lit(True) if deep else n["parent"] == -1
-                if test == ".." or axis == "parent":
-                    return F.exists(bound, lambda a: a["parent"] == n["pre"])
-                if axis == "ancestor":
-                    return F.exists(bound, lambda a: _inside(a, n))
-                if axis == "following-sibling":
-                    return F.exists(bound, lambda a: (a["parent"] == n["parent"]) & (n["pre"] > a["pre"]))
-                if axis == "preceding-sibling":
-                    return F.exists(bound, lambda a: (a["parent"] == n["parent"]) & (n["pre"] < a["pre"]))
-                if deep or axis == "descendant":
-                    return F.exists(bound, lambda a: _inside(n, a))
-                return F.exists(bound, lambda a: n["parent"] == a["pre"])
-
-            found = F.filter(_list(nodes), lambda n: confined(n) & kind(n) & related(n))
+            if bound is None:
+                found = F.filter(_list(nodes), lambda n: kind(n) & (F.lit(True) if deep else n["parent"] == -1))
+                return narrow(found, predicates)
+            named = {"following-sibling": LATER, "preceding-sibling": EARLIER, "ancestor": ABOVE, "parent": PARENT, "descendant": BELOW}
+            relation = PARENT if test == ".." else named.get(axis, BELOW if deep else CHILD)
+            found = let(_related(nodes, bound, relation), lambda near: F.filter(_list(nodes), lambda n, i: confined(n) & kind(n) & F.get(near, i)))
             return narrow(found, predicates)
 
         def narrow(found: Column, left: list[str]) -> Column:
@@ -496,11 +560,11 @@ def xpath(nodes: Nodes, path: str, scope: Column | None = None) -> Column:
                 return advance(found, rest[1:])
 
             def apply(bound: Column) -> Column:
-                def keep(n: Column) -> Column:
-                    position = _position_test(left[0], bound, n)
-                    return position if position is not None else _xpath_test(left[0], nodes, n)
-
-                return narrow(F.filter(bound, keep), left[1:])
+                position = _position_test(left[0])
+                if position is None:
+                    return narrow(F.filter(bound, lambda n: _xpath_test(left[0], nodes, n)), left[1:])
+                numbered = grouped_places(F.transform(bound, lambda n: n["parent"]))
+                return narrow(let(numbered, lambda at: F.filter(bound, lambda n, i: position(F.get(at, i)))), left[1:])
 
             return let(found, apply)
 

@@ -29,6 +29,14 @@ MAX_CARDS = 1000
 MAX_WARNINGS = 20
 MAX_EXAMPLES = 20
 
+# What the library says about cards and pages.
+NO_TITLE, NO_ADDRESS, SKIPPED = "no title", "no usable address", " left out: "
+WANT_TEXT, WANT_URL, WANT_CONTENT, WANT_IMAGE, WANT_DATE = "some text", "a web address", "text or markup", "an image address", "a date or an age"
+CLEANED_AWAY, CONTENT_OMITTED, IMAGE_OMITTED = ": the cleanup rules left nothing of the description", "; published without description", "; published without image"
+NO_DATE, FIRST_SEEN_USED = ": unreadable date, ", "; dated by its first listing"
+TOO_MANY, TOO_LONG, TOO_MUCH = "more than 1000 cards matched", "a story is over the size limits", "the page's stories are over 8 MiB together"
+NO_BODY, EMPTY_BODY = "the article selector found nothing", "the cleanup rules left nothing of the article"
+
 
 @dataclass(frozen=True)
 class Field:
@@ -95,21 +103,20 @@ def _value(nodes: Column, node: Column, spec: Field, default_attr: str = "") ->
 
 
 def mismatch(name: str, expected: str, raw: Column, node: Column, attribute: Column | str) -> Column:
-    """'<name> expected <expected> but received <what>' for a field that gave nothing usable."""
+    """'<name> should be <expected>, found <what>' for a field that gave nothing usable."""
 
     def received(a: Column) -> Column:
         present = F.coalesce(F.map_contains_key(node["attrs"], a), F.lit(False))
-        tail = F.when(present, F.lit(" attribute is empty)")).otherwise(F.lit(" attribute)"))
-        lead = F.when(present, F.lit("nothing (selected element's ")).otherwise(F.lit("nothing (selected element has no "))
+        tail = F.when(present, F.lit(" is empty")).otherwise(F.lit(" is missing"))
         return (
             F.when(strip(raw) != "", field_sample(raw))
-            .when(node.isNull(), F.lit("nothing (selector matched no nodes)"))
-            .when((a == "") | _is_attribute(node), F.lit("nothing (selected value is empty)"))
-            .otherwise(F.concat(lead, quoted(a), tail))
+            .when(node.isNull(), F.lit("no match"))
+            .when((a == "") | _is_attribute(node), F.lit("an empty value"))
+            .otherwise(F.concat(F.lit("attribute "), quoted(a), tail))
         )
 
     held = F.lit(attribute) if isinstance(attribute, str) else attribute
-    return F.concat(F.lit(f"{name} expected {expected} but received "), let(held, received))
+    return F.concat(F.lit(f"{name} should be {expected}, found "), let(held, received))
 
 
 # ----------------------------------------------------- descriptions, cleanup
@@ -255,27 +262,27 @@ def _story(s: Column, recipe: Recipe) -> Column:
     n = s["nodes"]
     has_link = bool(recipe.link.selector)
     key = F.when(s["url"] != "", s["url"]).otherwise(F.lit("") if has_link else sha(s["title"], "title:"))
-    reason = F.when(s["title"] == "", F.lit("empty title")).when(key == "", F.lit("missing or unsafe item URL"))
+    reason = F.when(s["title"] == "", F.lit(NO_TITLE)).when(key == "", F.lit(NO_ADDRESS))
 
     def note(text: Column, condition: Column) -> Column:
         return F.when(condition, F.array(F.concat(s["number"], text))).otherwise(F.array().cast("array<string>"))
 
     skip = F.when(
         s["title"] == "",
-        F.concat(F.lit(" skipped: empty title; "), mismatch("Title", "non-empty text", s["title"], n["title"], recipe.title.attr)),
+        F.concat(F.lit(f"{SKIPPED}{NO_TITLE}; "), mismatch("Title", WANT_TEXT, s["title"], n["title"], recipe.title.attr)),
     ).otherwise(
         F.concat(
-            F.lit(" skipped: missing or unsafe item URL; "),
-            mismatch("Link", "an HTTP(S) URL", s["raw_link"], n["link"], recipe.link.attr or "href"),
+            F.lit(f"{SKIPPED}{NO_ADDRESS}; "),
+            mismatch("Link", WANT_URL, s["raw_link"], n["link"], recipe.link.attr or "href"),
         )
     )
     warnings = [note(skip, reason.isNotNull())]
     valid = reason.isNull()
     if recipe.content.selector:
-        warnings.append(note(F.lit(": cleanup removed the whole description; content omitted"), valid & s["content"]["emptied"]))
+        warnings.append(note(F.lit(CLEANED_AWAY), valid & s["content"]["emptied"]))
         blank = ~s["content"]["emptied"] & (strip(s["content"]["html"]) == "")
-        text = mismatch("Content", "text or safe HTML", s["raw_content"], n["content"], recipe.content.attr)
-        warnings.append(note(F.concat(F.lit(": "), text, F.lit("; content omitted")), valid & blank))
+        text = mismatch("Content", WANT_CONTENT, s["raw_content"], n["content"], recipe.content.attr)
+        warnings.append(note(F.concat(F.lit(": "), text, F.lit(CONTENT_OMITTED)), valid & blank))
     if recipe.image.selector:
         held = F.filter(
             F.array(*[F.lit(a) for a in images.USUAL_ATTRIBUTES + images.USUAL_SRCSETS]),
@@ -284,19 +291,19 @@ def _story(s: Column, recipe: Recipe) -> Column:
         automatic = n["image"].isNotNull() & F.lit(recipe.image.attr == "") & ~_is_attribute(n["image"])
         attribute = F.when(automatic, F.coalesce(first_of(held), F.lit("src"))).otherwise(F.lit(recipe.image.attr))
         raw = F.when(automatic, F.coalesce(F.try_element_at(n["image"]["attrs"], first_of(held)), F.lit(""))).otherwise(s["raw_image"])
-        text = mismatch("Image", "an HTTP(S) image URL", raw, n["image"], attribute)
-        warnings.append(note(F.concat(F.lit(": "), text, F.lit("; image omitted")), valid & (s["image"] == "")))
+        text = mismatch("Image", WANT_IMAGE, raw, n["image"], attribute)
+        warnings.append(note(F.concat(F.lit(": "), text, F.lit(IMAGE_OMITTED)), valid & (s["image"] == "")))
     if recipe.date.selector:
         from_attr = (strip(s["raw_date"]) == "") & F.lit(recipe.date.attr == "") & (s["datetime"] != "")
         text = mismatch(
             "Date",
-            "a date or relative age",
+            WANT_DATE,
             F.when(from_attr, s["datetime"]).otherwise(s["raw_date"]),
             n["date"],
             F.when(from_attr, F.lit("datetime")).otherwise(F.lit(recipe.date.attr)),
         )
         warnings.append(
-            note(F.concat(F.lit(": date not recognized; "), text, F.lit("; using first-seen time")), valid & s["date"]["published"].isNull())
+            note(F.concat(F.lit(NO_DATE), text, F.lit(FIRST_SEEN_USED)), valid & s["date"]["published"].isNull())
         )
     html = images.with_image(s["content"]["html"], s["image"])
     return F.struct(
@@ -358,6 +365,11 @@ def judge_pages(found: DataFrame, rules: RuleSet, keep: tuple[str, ...]) -> Data
     unique = found.select(
         *keep, "matches", pin(F.transform(let(F.col("found"), _first_wins), lambda s: _with_verdict(s, rules))).alias("all")
     )
+    return page_errors(unique, keep)
+
+
+def page_errors(unique: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Pages with their judged stories (all) and the failure of the page, if any."""
     everything = F.col("all")
     valid = F.filter(everything, lambda s: s["reason"].isNull())
     too_big = F.exists(
@@ -371,16 +383,12 @@ def judge_pages(found: DataFrame, rules: RuleSet, keep: tuple[str, ...]) -> Data
         valid, F.lit(0).cast("long"), lambda t, s: t + (F.octet_length(s["title"]) + F.octet_length(s["html"])).cast("long")
     )
     error = (
-        F.when(F.col("matches") > MAX_CARDS, F.lit("selector matched more than 1000 items; narrow the selector"))
-        .when(too_big, F.lit("extracted item exceeds size limits; narrow content selector"))
-        .when(output > MAX_OUTPUT, F.lit("extracted output exceeds 8 MiB limit"))
+        F.when(F.col("matches") > MAX_CARDS, F.lit(TOO_MANY))
+        .when(too_big, F.lit(TOO_LONG))
+        .when(output > MAX_OUTPUT, F.lit(TOO_MUCH))
         .when(
             F.size(valid) == 0,
-            F.concat(
-                F.lit("no valid items: selector produced zero valid items ("),
-                F.col("matches").cast("string"),
-                F.lit(" matches); saved history is retained"),
-            ),
+            F.concat(F.lit("none of "), F.col("matches").cast("string"), F.lit(" matches is a story")),
         )
     )
     return unique.select(*keep, "matches", everything.alias("cards"), pin(error).alias("error"))
@@ -459,9 +467,9 @@ def article_bodies(articles: DataFrame, recipe: Recipe, keep: tuple[str, ...] =
 
         out = parsed.select(*keep, pin(let(context, outcome)).alias("out"))
     failure = (
-        F.when(F.col("out.emptied").isNull(), F.lit("article selector matched nothing on the item page"))
-        .when(F.col("out.emptied"), F.lit("article body is empty after cleanup"))
-        .when(F.octet_length("out.html") > MAX_HTML, F.lit(f"article body exceeds {MAX_HTML} bytes"))
+        F.when(F.col("out.emptied").isNull(), F.lit(NO_BODY))
+        .when(F.col("out.emptied"), F.lit(EMPTY_BODY))
+        .when(F.octet_length("out.html") > MAX_HTML, F.lit(f"the article is over {MAX_HTML} bytes"))
     )
     body_html = F.when(failure.isNull(), F.col("out.html")).otherwise(F.lit(""))
     return out.select(*keep, body_html.alias("body"), F.col("out.text").alias("text"), failure.alias("failure"))

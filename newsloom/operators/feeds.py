@@ -37,7 +37,7 @@ def apply_runs(feeds: DataFrame, runs: DataFrame) -> DataFrame:
     """Feed rows after one run each: runs(feed_id, ended, status, error, retry_after)."""
     never = F.col("last_success").isNull()
     failed = (F.col("run_error") != "") | ((F.col("status") == 304) & never)
-    message = F.when(F.col("run_error") != "", F.col("run_error")).otherwise("source returned 304 before a first success")
+    message = F.when(F.col("run_error") != "", F.col("run_error")).otherwise("unchanged (304) before any success")
     joined = feeds.join(
         runs.select("feed_id", "ended", "status", F.col("error").alias("run_error"), "retry_after"), "feed_id", "left"
     )
@@ -159,7 +159,7 @@ def apply_edits(feeds: DataFrame, edits: DataFrame, now: Column) -> tuple[DataFr
     joined = feeds.join(edits, "feed_id", "left")
     edited = F.col("new_title").isNotNull()
     switched = edited & ((F.col("kind") == "feed") != (F.col("new_kind") == "feed"))
-    refused = joined.filter(switched).select("feed_id", F.lit("a feed cannot switch between a web page and a feed source").alias("violation"))
+    refused = joined.filter(switched).select("feed_id", F.lit("pages and feed documents are different kinds of source").alias("violation"))
     applies = edited & ~switched
     published = (
         (F.col("title") != F.col("new_title"))

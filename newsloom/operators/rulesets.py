@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import rules as R
-from newsloom.functions.columns import pin
+from newsloom.functions.columns import let, pin
 from newsloom.functions.text import fold
 
 NODE_SCHEMA = "set_id string, side string, node_id int, parent_id int, depth int, op string, field string, ordinal int"
@@ -57,16 +57,13 @@ def evaluate_rules(items: DataFrame, nodes: DataFrame, keywords: DataFrame) -> D
     Every item meets its own set once, as an array, and the tree closes bottom-up inside the
     row: no item x keyword row exists and nothing is shuffled by item.
     """
-    folded = items.select("set_id", "item_id", fold("title").alias("title"), fold("description").alias("description"), fold("url").alias("link"))
-    joined = folded.join(set_arrays(nodes, keywords), "set_id")
+    joined = items.join(set_arrays(nodes, keywords), "set_id")
+    sides = joined.select("set_id", "item_id", pin(closed_sides(F.col("nodes"), F.col("title"), F.col("description"), F.col("url"))).alias("sides"))
+    return sides.select("set_id", "item_id", "sides.include", "sides.exclude")
 
-    def leaf_value(n: Column) -> Column:
-        value = F.when(n["field"] == "title", F.col("title")).when(n["field"] == "description", F.col("description")).otherwise(F.col("link"))
 
-        def hit(keyword: Column) -> Column:
-            return F.contains(value, keyword)
-
-        return F.when(n["op"] == "contains_any", F.exists(n["keywords"], hit)).when(n["op"] == "contains_all", F.forall(n["keywords"], hit))
+def closed_sides(nodes: Column, title: Column, description: Column, link: Column) -> Column:
+    """struct(include, exclude): what the rule trees of an array of nodes, with folded keywords, say of a story; NULL for no tree."""
 
     def state(n: Column, value: Column) -> Column:
         return F.struct(*[n[f].alias(f) for f in ("node_id", "parent_id", "depth", "side", "op")], value.alias("value"))
@@ -80,15 +77,26 @@ def evaluate_rules(items: DataFrame, nodes: DataFrame, keywords: DataFrame) -> D
             values, lambda n: state(n, F.when((n["depth"] == depth) & n["op"].isin(*R.GROUPS), group_value(n)).otherwise(n["value"]))
         )
 
-    leaves = F.transform("nodes", lambda n: state(n, leaf_value(n)))
-    closed = F.aggregate(F.sequence(F.lit(R.MAX_DEPTH), F.lit(1), F.lit(-1)), leaves, close)
+    def judged(texts: Column) -> Column:
+        def leaf_value(n: Column) -> Column:
+            value = F.when(n["field"] == "title", texts["title"]).when(n["field"] == "description", texts["description"]).otherwise(texts["link"])
 
-    def root(side: str) -> Column:
-        return F.get(F.transform(F.filter("tree", lambda n: (n["parent_id"] == 0) & (n["side"] == side)), lambda n: n["value"]), F.lit(0))
+            def hit(keyword: Column) -> Column:
+                return F.contains(value, keyword)
 
-    return joined.select("set_id", "item_id", pin(closed).alias("tree")).select(
-        "set_id", "item_id", root("include").alias("include"), root("exclude").alias("exclude")
-    )
+            return F.when(n["op"] == "contains_any", F.exists(n["keywords"], hit)).when(n["op"] == "contains_all", F.forall(n["keywords"], hit))
+
+        leaves = F.transform(nodes, lambda n: state(n, leaf_value(n)))
+        return F.aggregate(F.sequence(F.lit(R.MAX_DEPTH), F.lit(1), F.lit(-1)), leaves, close)
+
+    def roots(tree: Column) -> Column:
+        def root(side: str) -> Column:
+            return F.get(F.transform(F.filter(tree, lambda n: (n["parent_id"] == 0) & (n["side"] == side)), lambda n: n["value"]), F.lit(0)).alias(side)
+
+        return F.struct(root("include"), root("exclude"))
+
+    folded = F.struct(fold(F.coalesce(title, F.lit(""))).alias("title"), fold(F.coalesce(description, F.lit(""))).alias("description"), fold(F.coalesce(link, F.lit(""))).alias("link"))
+    return let(let(folded, judged), roots)
 
 
 def keep_by_rules(verdicts: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def one_run_each(spark, folder):
     f"""WITH {B.SQL_FEEDS}, r AS (SELECT feed_id, arg_max(run_id, (ended, run_id)) AS run_id FROM runs GROUP BY feed_id), n AS (SELECT f.*, x.ended, x.status, x.error AS run_error, x.run_id%7*3000 AS retry FROM feeds f JOIN r USING (feed_id) JOIN runs x ON x.run_id=r.run_id),
  s AS (SELECT *, run_error<>'' OR (status=304 AND last_success IS NULL) AS failed FROM n)
  SELECT feed_id, CASE WHEN failed THEN failures+1 ELSE 0 END AS failures, ended AS last_attempt, coalesce(CASE WHEN failed THEN last_success ELSE ended END,0) AS last_success,
-  (ended + CASE WHEN failed THEN greatest(least((1<<least(failures+1,10)::INT)*60,86400), retry) ELSE interval_s END + {JITTER})::BIGINT AS next_run, CASE WHEN run_error<>'' THEN run_error WHEN failed THEN 'source returned 304 before a first success' ELSE '' END AS error FROM s""",
+  (ended + CASE WHEN failed THEN greatest(least((1<<least(failures+1,10)::INT)*60,86400), retry) ELSE interval_s END + {JITTER})::BIGINT AS next_run, CASE WHEN run_error<>'' THEN run_error WHEN failed THEN 'unchanged (304) before any success' ELSE '' END AS error FROM s""",
 )
 def feed_state(spark, folder):
     out = FD.apply_runs(B.event_feeds(spark, folder), one_run_each(spark, folder))
@@ -278,7 +278,7 @@ def recipe_edit(spark, folder):
     return edits(spark, folder)[0].select("feed_id", "title", "version", "failures", "next_run", "last_changed")
 
 
-@query("M5_refused_edits", f"WITH {B.SQL_FEEDS} SELECT feed_id, 'a feed cannot switch between a web page and a feed source' AS violation FROM feeds WHERE u%2=0 AND u%10=8")
+@query("M5_refused_edits", f"WITH {B.SQL_FEEDS} SELECT feed_id, 'pages and feed documents are different kinds of source' AS violation FROM feeds WHERE u%2=0 AND u%10=8")
 def refused_edits(spark, folder):
     return edits(spark, folder)[1]
 
@@ -335,13 +335,55 @@ def recipe_documents(spark, folder):
     "S2_recipes_scan",
     """WITH c AS (SELECT c_custkey//20 AS doc_id, row_number() OVER (PARTITION BY c_custkey//20 ORDER BY c_custkey) - 1 AS n, c_name AS title, CASE WHEN c_custkey%17<>0 THEN c_custkey%1000*60 END AS interval_s FROM customer)
  SELECT doc_id, n, title, interval_s, false AS enabled, CAST(NULL AS VARCHAR) AS error FROM c WHERE doc_id%6 IN (0,5)
- UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, false, CASE doc_id%6 WHEN 1 THEN 'unsupported recipe format' WHEN 2 THEN 'unsupported recipe version' WHEN 3 THEN 'unknown field' ELSE 'recipe file must contain one JSON document' END FROM c WHERE doc_id%6 NOT IN (0,5)""",
+ UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, false, CASE doc_id%6 WHEN 1 THEN 'another format' WHEN 2 THEN 'another version of the format' WHEN 3 THEN 'unknown field extra' ELSE 'the file is not one JSON document' END FROM c WHERE doc_id%6 NOT IN (0,5)""",
 )
 def recipes_scan(spark, folder):
     rows = RC.explode_feeds(RC.recipe_feeds(recipe_documents(spark, folder)), ["doc_id"])
     return rows.select("doc_id", "n", "title", "interval_s", "enabled", "error")
 
 
+def mistaken_documents(spark, folder):
+    """One feed a file, from the customers: sound, with an unknown key inside a field, with text for a number, with an unknown side of the filters."""
+    k = F.col("c_custkey")
+    recipe = (
+        F.when(k % 4 == 1, '{"type":"css","items":"li","title":{"selector":"a","foo":"b"}}')
+        .when(k % 4 == 2, '{"type":"css","items":"li","title":{"selector":"a"},"settle_ms":"zz"}')
+        .when(k % 4 == 3, '{"type":"css","items":"li","title":{"selector":"a"},"filters":{"only":{"op":"any"}}}')
+        .otherwise('{"type":"css","items":"li","title":{"selector":"a"},"settle_ms":20}')
+    )
+    feed = F.concat(F.lit('{"title":"'), F.col("c_name"), F.lit('","url":"https://c.example/","interval":60,"recipe":'), recipe, F.lit("}"))
+    return B.table(spark, folder, "customer").select(k.alias("doc_id"), F.concat(F.lit(f'{{"format":"{RC.FORMAT}","version":1,"feeds":['), feed, F.lit("]}")).alias("value"))
+
+
+@query(
+    "S2_recipe_mistakes",
+    """SELECT c_custkey AS doc_id, CASE c_custkey%4 WHEN 1 THEN 'unknown field title.foo' WHEN 2 THEN 'a value of another type than its field''s' WHEN 3 THEN 'unknown field filters.only' END AS error FROM customer""",
+)
+def recipe_mistakes(spark, folder):
+    return RC.recipe_feeds(mistaken_documents(spark, folder)).select("doc_id", "error")
+
+
+@query(
+    "M9_recipe_contents",
+    """SELECT 'c' || c_custkey AS feed_id, CASE WHEN c_custkey%8 IN (1,2,3,4) THEN 'selector' ELSE 'filters' END AS rule,
+ CASE c_custkey%8 WHEN 5 THEN 'operator' WHEN 6 THEN 'depth' WHEN 7 THEN 'keyword text' ELSE '' END AS message FROM customer WHERE c_custkey%8<>0""",
+)
+def recipe_contents(spark, folder):
+    """Selectors that can't be read and filters that can't be applied, one of each kind by the customer's number."""
+    k = F.col("c_custkey")
+    deep = '{"op":"all","rules":[' * 9 + '{"op":"contains_any","field":"title","keywords":["x"]}' + "]}" * 9
+    items = F.when(k % 8 == 1, "li >").when(k % 8 == 2, "li:nope").when(k % 8 == 3, "//li[@a").when(k % 8 == 4, "li:nth-child(x)").otherwise("li:has(a), ul > li:not(.ad)")
+    rule = F.when(k % 8 == 5, '{"op":"bogus"}').when(k % 8 == 6, deep).when(k % 8 == 7, '{"op":"contains_any","field":"link","keywords":[" "]}').otherwise('{"op":"contains_any","field":"link","keywords":["x"]}')
+    text = F.concat(
+        F.lit(f'{{"format":"{RC.FORMAT}","version":1,"feeds":[{{"title":"t","url":"https://c.example/","interval":60,"recipe":{{"type":"'), F.when(k % 8 == 3, "xpath").otherwise("css"),
+        F.lit('","items":"'), items, F.lit('","title":{"selector":"'), F.when(k % 8 == 3, ".//a").otherwise("a"), F.lit('"},"filters":{"include":'), rule, F.lit("}}}]}"),
+    )
+    docs = B.table(spark, folder, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("doc_id"), text.alias("value"))
+    rows = RC.explode_feeds(RC.recipe_feeds(docs), ["doc_id"]).withColumnRenamed("doc_id", "feed_id")
+    found = RC.lint_contents(rows)
+    return found.select("feed_id", "rule", F.when(F.col("rule") == "filters", F.col("message")).otherwise("").alias("message"))
+
+
 @query(
     "M9_recipe_lint",
     """WITH c AS (SELECT c_custkey AS k, c_custkey//20 AS doc_id FROM customer), v AS (SELECT k, unnest([CASE WHEN k%17=0 OR k%1000=0 OR k%1000*60>604800 THEN 'interval' END, CASE WHEN k%19=0 THEN 'selector' END, CASE WHEN k%11=0 THEN 'required' END, CASE WHEN k%13=0 THEN 'zone' END, CASE WHEN k%5=0 THEN 'quiet' END, CASE WHEN k%7=0 AND k%11<>0 THEN 'relative' END]) AS rule FROM c WHERE doc_id%6 IN (0,5))
@@ -374,7 +416,7 @@ def _export_sql() -> str:
     combined = _combined_sql()
     head = _sql_text('{"format":"newsloom.recipes","version":1,"feeds":[')
     return f"""WITH e AS ({combined}), l AS (SELECT e.feed_id, '{{"title":"News & views: ' || e.feed_id || '","url":"https://' || e.feed_id || '/news?a=1&b=2","interval":' || length(e.feed_id)*60 || ',"recipe":{{"mode":"static","type":"css","items":"nav li","filters":{{' || concat_ws(',', '"include":' || include, '"exclude":' || exclude) || '}}}}}}' AS x FROM e)
- SELECT CASE WHEN count(*)<=1000 THEN sha256({head} || string_agg(x, ',' ORDER BY feed_id) || ']}}') END AS digest, CASE WHEN count(*)>1000 THEN 'recipes exceed the export limits' END AS failure FROM l""".replace("']}}'", "']}'")
+ SELECT CASE WHEN count(*)<=1000 THEN sha256({head} || string_agg(x, ',' ORDER BY feed_id) || ']}}') END AS digest, CASE WHEN count(*)>1000 THEN 'too many or too large for one file' END AS failure FROM l""".replace("']}}'", "']}'")
 
 
 @query("K4_recipe_export", _export_sql())

@@ -154,7 +154,7 @@ def include_exclude(spark, folder):
 
 @query(
     "F5_filter_reason",
-    f"WITH {B.SQL_STORED} SELECT key, CASE WHEN NOT {SQL_TREE} THEN 'Did not match the include rules.' WHEN {SQL_TREE_X} THEN 'Matched the exclude rules.' END AS reason FROM stored",
+    f"WITH {B.SQL_STORED} SELECT key, CASE WHEN NOT {SQL_TREE} THEN 'no include rule applies' WHEN {SQL_TREE_X} THEN 'an exclude rule applies' END AS reason FROM stored",
 )
 def filter_reason(spark, folder):
     return H.apply_filter(B.stored_items(spark, folder), TREE).select("key", "reason")

@@ -8,7 +8,7 @@ from newsloom.functions import dates, images, markup, text, urls
 from newsloom.functions.columns import first_of, pin
 from newsloom.functions.rules import RuleSet
 from newsloom.functions.selectors import css, document_union, node_value, xpath
-from newsloom.operators import discovery, dom, extract, groups
+from newsloom.operators import discovery, dom, extract, groups, keywords
 from newsloom.operators.extract import Field, Recipe
 from newsloom.plans import bindings as B
 from newsloom.plans.registry import query
@@ -97,7 +97,7 @@ def entries_scan(spark, folder):
     return e.select("doc_id", "ord", "format", F.size("children").alias("children"))
 
 
-@query("S3_document_outcomes", SQL_DOCS + " SELECT doc_id, 'rss' AS format, least(count(*),1000) AS entries, CASE WHEN count(*)>1000 THEN 'Only the first 1000 entries were read' END AS warning FROM docs GROUP BY doc_id")
+@query("S3_document_outcomes", SQL_DOCS + " SELECT doc_id, 'rss' AS format, least(count(*),1000) AS entries, CASE WHEN count(*)>1000 THEN (count(*)-1000) || ' more entries were left out' END AS warning FROM docs GROUP BY doc_id")
 def document_outcomes(spark, folder):
     return E.document_outcomes(E.feed_documents(feed_docs(spark, folder))).drop("error")
 
@@ -242,7 +242,7 @@ def broken_pages(spark, folder):
 
 @query(
     "P7_reject_cards",
-    f"WITH {B.SQL_NAV} SELECT page_id, pos+1 AS card, CASE pos WHEN 0 THEN 'missing or unsafe item URL' ELSE 'empty title' END AS reason FROM nav WHERE page_id%7=0 AND pos<2",
+    f"WITH {B.SQL_NAV} SELECT page_id, pos+1 AS card, CASE pos WHEN 0 THEN 'no usable address' ELSE 'no title' END AS reason FROM nav WHERE page_id%7=0 AND pos<2",
 )
 def reject_cards(spark, folder):
     return extract.rejected_cards(extract.read_pages(broken_pages(spark, folder), NAV))
@@ -320,7 +320,7 @@ def cleanup(spark, folder):
     return extract.stories(p).select("page_id", F.col("text").alias("body"))
 
 
-@query("P13_emptied_by_cleanup", "SELECT page_id, 'article body is empty after cleanup' AS failure FROM pages WHERE page_id%4=0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id%4<>0")
+@query("P13_emptied_by_cleanup", "SELECT page_id, 'the cleanup rules left nothing of the article' AS failure FROM pages WHERE page_id%4=0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id%4<>0")
 def emptied(spark, folder):
     """Rules that remove everything a block shows are a failure; on other pages they match nothing."""
     c = B.captures(spark, folder).withColumn(
@@ -497,7 +497,7 @@ def zone_lookup(spark, folder):
 
 @query(
     "P23_size_limits",
-    """SELECT page_id, CASE WHEN page_id%10=0 THEN 'extracted item exceeds size limits; narrow content selector' END AS error FROM pages""",
+    """SELECT page_id, CASE WHEN page_id%10=0 THEN 'a story is over the size limits' END AS error FROM pages""",
 )
 def size_limits(spark, folder):
     c = B.captures(spark, folder).withColumn(
@@ -508,7 +508,7 @@ def size_limits(spark, folder):
 
 @query(
     "T4_page_card_limit",
-    """SELECT page_id, CASE WHEN page_id%50=1 THEN 1001 ELSE 1000 END AS matches, CASE WHEN page_id%50=1 THEN 'selector matched more than 1000 items; narrow the selector' END AS error FROM pages""",
+    """SELECT page_id, CASE WHEN page_id%50=1 THEN 1001 ELSE 1000 END AS matches, CASE WHEN page_id%50=1 THEN 'more than 1000 cards matched' END AS error FROM pages""",
 )
 def page_card_limit(spark, folder):
     """Pages of 1000 and of 1001 cards: the larger ones fail whole."""
@@ -536,7 +536,7 @@ def page_outcomes(spark, folder):
     "F6_filter_examples",
     f"""WITH {B.SQL_NAV}, u AS (SELECT page_id, pos, title, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS k FROM cards WHERE page_id%11<>0 AND page_id%13<>0),
  d AS (SELECT page_id, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM u WHERE k=1 AND contains(lower(title),'the'))
- SELECT page_id, n, title, 'Title matched at least one of the exclude keywords.' AS reason FROM d WHERE n<=20""",
+ SELECT page_id, n, title, 'title holds some of the exclude keywords' AS reason FROM d WHERE n<=20""",
 )
 def filter_examples(spark, folder):
     p = extract.read_pages(C.read_captures(B.captures(spark, folder)), Recipe(items="nav li", title=Field("a"), link=Field("a"), rules=RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["The"]})))
@@ -545,8 +545,8 @@ def filter_examples(spark, folder):
 
 @query(
     "P33_field_warnings",
-    f"""WITH {B.SQL_NAV} SELECT page_id, CASE pos WHEN 0 THEN 'Match 1 skipped: missing or unsafe item URL; Link expected an HTTP(S) URL but received URL "javascript:x()"'
- ELSE 'Match 2 skipped: empty title; Title expected non-empty text but received nothing (selected value is empty)' END AS warning FROM nav WHERE page_id%7=0 AND pos<2""",
+    f"""WITH {B.SQL_NAV} SELECT page_id, CASE pos WHEN 0 THEN 'Match 1 left out: no usable address; Link should be a web address, found URL "javascript:x()"'
+ ELSE 'Match 2 left out: no title; Title should be some text, found an empty value' END AS warning FROM nav WHERE page_id%7=0 AND pos<2""",
 )
 def field_warnings(spark, folder):
     return extract.card_warnings(extract.read_pages(broken_pages(spark, folder), NAV)).select("page_id", "warning")
@@ -593,6 +593,27 @@ def card_discovery(spark, folder):
     return found.filter(F.col("selector") == "nav > ul > li").select("page_id", "selector", F.col("count").alias("cards"))
 
 
+@query(
+    "P37_card_choice",
+    f"""WITH {B.SQL_NAV}, p AS (SELECT page_id, count(*) AS n FROM nav GROUP BY page_id HAVING count(*)>1),
+ own AS (SELECT page_id, n, unnest(['article.card.c' || page_id%3, 'article.card', 'article.c' || page_id%3, 'article']) AS form FROM p),
+ forms AS (SELECT page_id, n, form AS selector FROM own UNION ALL SELECT page_id, n, form || ':has(h2)' FROM own
+  UNION ALL SELECT page_id, n, '#list article.card.c' || page_id%3 FROM p UNION ALL SELECT page_id, n, 'div.cards > article.card.c' || page_id%3 FROM p),
+ scored AS (SELECT page_id, selector, n, 12 + 4 - 0.3*5 AS score FROM forms UNION ALL SELECT page_id, 'a', n, 1 - 0.3*6 FROM p
+  UNION ALL SELECT page_id, '#list a', n, 1 - 0.3*6 FROM p UNION ALL SELECT page_id, 'article.card.c' || page_id%3 || ' > a', n, 1 - 0.3*6 FROM p),
+ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, n DESC, length(selector), selector) AS rank FROM scored)
+ SELECT page_id, selector, n AS count, round(score,2)::DOUBLE AS score, rank, rank=1 AS chosen FROM r""",
+)
+def card_choice(spark, folder):
+    """The pages' own links as cards with headings, classes, an id and a parent class: every form with its score and rank."""
+    k = (F.col("page_id") % 3).cast("string")
+    links = F.regexp_extract_all("html", F.lit(B.CARD), F.lit(0))
+    card = F.concat(F.lit('<article class="card c'), k, F.lit('"><h2>$2</h2><a href="$1">more</a></article>'))
+    cards = F.array_join(F.transform(links, lambda x: F.regexp_replace(x, F.lit(B.CARD), card)), "")
+    html = F.concat(F.lit('<main><section id="list"><div class="cards">'), cards, F.lit("</div></section></main>"))
+    return discovery.propose_cards(B.pages(spark, folder).select("page_id", html.alias("html")))
+
+
 @query(
     "P38_auto_variant",
     f"WITH {B.SQL_NAV}, p AS (SELECT page_id, count(*) AS c FROM nav GROUP BY page_id) SELECT pages.page_id, CASE WHEN pages.page_id%6=0 THEN 'rendered' ELSE 'plain' END AS variant, CASE WHEN pages.page_id%6=0 THEN 2 ELSE 1 END AS attempts FROM pages JOIN p USING (page_id)",
@@ -625,6 +646,34 @@ def structural_join(spark, folder):
     return pairs.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
+@query(
+    "J8_nested_lists",
+    """WITH RECURSIVE b AS (SELECT page_id, 2 + page_id % 40 AS deep FROM pages), l AS (SELECT page_id, unnest(range(1, deep + 1)) AS level, deep FROM b)
+ SELECT page_id, 'ul' AS a_tag, 'li' AS d_tag, sum(deep - level + 1)::BIGINT AS pairs FROM l GROUP BY page_id
+ UNION ALL SELECT page_id, 'li', 'li', sum(deep - level)::BIGINT FROM l GROUP BY page_id
+ UNION ALL SELECT page_id, 'li', 'b', sum(deep - level + 1)::BIGINT FROM l GROUP BY page_id UNION ALL SELECT page_id, 'ul', 'b', sum(deep - level + 1)::BIGINT FROM l GROUP BY page_id""",
+)
+def nested_lists(spark, folder):
+    """Lists within lists, up to 41 deep: every pair of an outer and an inner node by their tags."""
+    deep = (2 + F.col("page_id") % 40).cast("int")
+    html = F.concat(F.repeat(F.lit("<ul><li>"), deep), F.lit("<p>x</p>"), F.repeat(F.lit("<b>y</b></li></ul>"), deep))
+    n = dom.dom_nodes(B.pages(spark, folder).select("page_id", html.alias("html"))).filter(F.col("tag").isin("ul", "li", "b"))
+    pairs = dom.contains_join(n.filter(F.col("tag") != "b"), n.filter(F.col("tag") != "ul"))
+    return pairs.groupBy("page_id", "a_tag", "d_tag").agg(F.count("*").alias("pairs"))
+
+
+@query(
+    "J9_keyword_index",
+    """WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text),'[^\\p{L}]+')) AS keyword FROM conversations), k AS (SELECT keyword, replace(keyword,'µ','μ') AS word FROM w WHERE keyword<>''),
+ d AS (SELECT replace(lower(trim(regexp_replace(text,'[\\s\\x{A0}]+',' ','g'))),'µ','μ') AS t FROM documents)
+ SELECT keyword, count(t) AS hits FROM k LEFT JOIN d ON contains(t, word) GROUP BY keyword""",
+)
+def keyword_index(spark, folder):
+    """Every word of the conversations as a keyword of its own over all documents."""
+    words = B.table(spark, folder, "conversations").select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("keyword")).filter(F.col("keyword") != "").distinct()
+    return keywords.keyword_hits(B.spread(B.table(spark, folder, "documents")).select(F.col("doc_id").alias("item_id"), "text"), words)
+
+
 @query(
     "U3_selector_union",
     f"WITH {B.SQL_NAV}, c AS (SELECT page_id, count(*) AS n FROM nav GROUP BY page_id) SELECT page_id, n*2 AS matches, n AS links FROM c",

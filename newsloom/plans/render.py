@@ -176,9 +176,9 @@ def render_atom(feeds: DataFrame, items: DataFrame, public_base: str = "https://
         F.lit("</feed>"),
     )
     failure = (
-        F.when(resolve_url(F.col("url"), F.col("url")) == "", "Atom source URL: expected an absolute HTTP(S) URL without credentials")
-        .when(F.coalesce("bad_id", F.lit(False)), "Atom entry requires an absolute, stable GUID")
-        .when(F.coalesce("bad_link", F.lit(False)), "Atom entry URL: expected an absolute HTTP(S) URL without credentials")
+        F.when(resolve_url(F.col("url"), F.col("url")) == "", "the feed's address is no plain web address")
+        .when(F.coalesce("bad_id", F.lit(False)), "an entry's id is no absolute address")
+        .when(F.coalesce("bad_link", F.lit(False)), "an entry's link is no plain web address")
     )
     out = feeds.join(parts, "feed_id", "left").select("feed_id", failure.alias("failure"), doc.alias("doc"))
     out = out.withColumn("doc", F.when(F.col("failure").isNull(), F.col("doc")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.programs import problem
+from newsloom.functions.rules import problems
 from newsloom.functions.text import strip
 from newsloom.functions.urls import is_http_url
 
@@ -42,30 +47,42 @@ def unknown_keys(text: Column) -> Column:
     top = F.json_object_keys(text)
     feeds = F.from_json(F.get_json_object(text, "$.feeds"), "array<string>")
     feed_keys = F.flatten(F.transform(feeds, F.json_object_keys))
-    recipe_keys = F.flatten(F.transform(feeds, lambda f: F.coalesce(F.json_object_keys(F.get_json_object(f, "$.recipe")), F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    recipe_keys = F.flatten(F.transform(feeds, lambda f: F.coalesce(F.json_object_keys(F.get_json_object(f, "$.recipe")), none)))
     known = lambda names: F.array(*[F.lit(n) for n in names])
+    nested = {**{f: FIELD for f in ("title", "link", "date", "content", "image")}, "full_content": FULL, "filters": FILTERS}
+
+    def inner(name: str) -> Column:
+        """Unknown keys of an object inside the recipes, named by their place."""
+        keys = F.flatten(F.transform(feeds, lambda f: F.coalesce(F.json_object_keys(F.get_json_object(f, f"$.recipe.{name}")), none)))
+        return F.transform(F.array_except(F.coalesce(keys, none), known(nested[name].names)), lambda k: F.concat(F.lit(f"{name}."), k))
+
     return F.concat(
         F.array_except(top, known(DOCUMENT.names)),
         F.array_except(F.coalesce(feed_keys, F.array().cast("array<string>")), known(PORTABLE.names)),
         F.array_except(F.coalesce(recipe_keys, F.array().cast("array<string>")), known(RECIPE.names)),
+        *[inner(name) for name in nested],
     )
 
 
 def recipe_feeds(documents: DataFrame, text: str = "value") -> DataFrame:
     """Documents as text rows -> (doc rows with error) exploded to one paused feed each."""
     body = F.col(text)
-    parsed = documents.withColumn("_doc", F.from_json(body, DOCUMENT, {"mode": "PERMISSIVE"})).withColumn("_unknown", unknown_keys(body))
+    # A value of another type than its field's leaves the whole text in _bad.
+    checked = T.StructType([*DOCUMENT.fields, T.StructField("_bad", _S)])
+    parsed = documents.withColumn("_doc", F.from_json(body, checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("_unknown", unknown_keys(body))
     count = F.coalesce(F.size("_doc.feeds"), F.lit(0))
     # Inside brackets, anything after the first document is either a second element or a syntax error.
     wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
     single = F.coalesce(F.size(wrapped) == 1, F.lit(False)) & F.json_object_keys(body).isNotNull()
     error = (
-        F.when(F.octet_length(body) > MAX_BYTES, "could not read recipe file (maximum 2 MiB)")
-        .when(~single, "recipe file must contain one JSON document")
-        .when(F.size("_unknown") > 0, "unknown field")
-        .when(F.coalesce(F.col("_doc.format") != FORMAT, F.lit(True)), "unsupported recipe format")
-        .when(F.coalesce(F.col("_doc.version") != VERSION, F.lit(True)), "unsupported recipe version")
-        .when((count == 0) | (count > MAX_FEEDS), f"recipe file must contain 1-{MAX_FEEDS} feeds")
+        F.when(F.octet_length(body) > MAX_BYTES, "the file is over 2 MiB")
+        .when(~single, "the file is not one JSON document")
+        .when(F.size("_unknown") > 0, F.concat(F.lit("unknown field "), F.get("_unknown", F.lit(0))))
+        .when(F.col("_doc._bad").isNotNull(), "a value of another type than its field's")
+        .when(F.coalesce(F.col("_doc.format") != FORMAT, F.lit(True)), "another format")
+        .when(F.coalesce(F.col("_doc.version") != VERSION, F.lit(True)), "another version of the format")
+        .when((count == 0) | (count > MAX_FEEDS), f"the file lists no feed or more than {MAX_FEEDS}")
     )
     return parsed.withColumn("error", error)
 
@@ -117,7 +134,7 @@ def export_recipes(feeds: DataFrame) -> DataFrame:
     )
     doc = F.concat(F.lit(f'{{"format":"{FORMAT}","version":{VERSION},"feeds":['), F.col("body"), F.lit("]}"))
     fits = (F.col("n") <= MAX_FEEDS) & (F.octet_length(doc) <= MAX_BYTES)
-    return one.select(F.when(fits, doc).alias("doc"), F.when(~fits, "recipes exceed the export limits").alias("failure"))
+    return one.select(F.when(fits, doc).alias("doc"), F.when(~fits, "too many or too large for one file").alias("failure"))
 
 
 def export_recipe_files(feeds: DataFrame, per_file: int = MAX_FEEDS) -> DataFrame:
@@ -153,32 +170,32 @@ def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
     language = "(?:\\*|[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*) *(?:; *[qQ]=(?:0(?:\\.[0-9]{0,3})?|1(?:\\.0{0,3})?))?"
     agent, accept = text(r["user_agent"]), text(r["accept_language"])
     checks = [
-        ("mode", "fetch mode must be static, browser, auto, or flaresolverr", ~text(r["mode"]).isin("", *MODES)),
-        ("settle", "render settle time must be 0-5000 milliseconds", ~F.coalesce(r["settle_ms"], F.lit(0)).between(0, 5000)),
-        ("wait", "readiness selector exceeds 1000 characters", F.octet_length(text(r["wait_selector"])) > 1000),
-        ("type", "selector type must be css, xpath or feed", ~text(r["type"]).isin("css", "xpath", "feed")),
-        ("required", "item and title selectors are required", ~is_feed & ((strip(text(r["items"])) == "") | (strip(text(r["title"]["selector"])) == ""))),
-        ("length", "selector exceeds 1000 characters", too_long),
-        ("relative", "XPath fields must be relative, starting with .", xpath & absolute_field),
-        ("feed mode", "an RSS or Atom source is fetched as static HTTP", is_feed & ~text(r["mode"]).isin("", "static")),
-        ("feed fields", "an RSS or Atom source takes no item or field selectors", is_feed & any_selector),
-        ("full selector", "full article content needs a selector", full.isNotNull() & (strip(text(full["selector"])) == "")),
-        ("full length", "selector exceeds 1000 characters", full.isNotNull() & (F.octet_length(text(full["selector"])) > 1000)),
-        ("full attr", "attribute name exceeds 200 characters", full.isNotNull() & (F.octet_length(text(full["attr"])) > 200)),
-        ("full render", "an RSS or Atom source fetches article pages as plain HTML", is_feed & F.coalesce(full["browser"], F.lit(False))),
-        ("cleanup count", "use at most 20 cleanup rules", F.size(remove) > 20),
-        ("cleanup text", "a cleanup rule is one trimmed line of at most 1000 characters", F.exists(remove, lambda v: (v == "") | (strip(v) != v) | v.rlike("[\\r\\n]") | (F.octet_length(v) > 1000))),
-        ("cleanup xpath", "XPath cleanup rules must start with ./", xpath & F.exists(remove, lambda v: ~F.startswith(v, F.lit("./")))),
-        ("zone", "unknown time zone", (text(r["timezone"]) != "") & F.col("_zone").isNull()),
-        ("title", "feed title is required (maximum 200 characters)", (strip(text(F.col("title"))) == "") | (F.octet_length("title") > 200)),
-        ("url length", "source URL is too long", F.octet_length("url") > 4096),
-        ("url", "source URL must be an HTTP(S) address without credentials", ~is_http_url("url")),
-        ("interval", "refresh interval must be 60-604800 seconds", ~F.coalesce(F.col("interval_s").between(60, 604800), F.lit(False))),
-        ("selector", "selector has unbalanced brackets, parentheses or quotes", F.exists(F.array(*[v for _, v in selectors], text(full["selector"])), unbalanced) | F.exists(remove, unbalanced)),
-        ("quiet", "quiet_days must be one of the listed choices", ~F.coalesce(r["quiet_days"], F.lit(0)).isin(*QUIET_CHOICES)),
-        ("agent", "User-Agent must be at most 256 printable ASCII characters without space around it", (F.octet_length(agent) > 256) | ~agent.rlike("^[ -~]*$") | (F.trim(agent) != agent)),
-        ("language", "Accept-Language must list at most 10 language ranges", (accept != "") & ((F.octet_length(accept) > 128) | ~accept.rlike(f"^{language}(?: *, *{language}){{0,9}}$"))),
-        ("size", "feed configuration exceeds the 64 KiB editor limit", F.octet_length(F.to_json(F.struct("title", "url", "interval_s", "recipe"))) > MAX_CONFIG),
+        ("mode", "no such fetch mode", ~text(r["mode"]).isin("", *MODES)),
+        ("settle", "settling takes 0 to 5000 ms", ~F.coalesce(r["settle_ms"], F.lit(0)).between(0, 5000)),
+        ("wait", "the selector to wait for is over 1000 characters", F.octet_length(text(r["wait_selector"])) > 1000),
+        ("type", "no such selector type", ~text(r["type"]).isin("css", "xpath", "feed")),
+        ("required", "items and title need a selector", ~is_feed & ((strip(text(r["items"])) == "") | (strip(text(r["title"]["selector"])) == ""))),
+        ("length", "a selector is over 1000 characters", too_long),
+        ("relative", "an XPath field begins with a point", xpath & absolute_field),
+        ("feed mode", "feed documents are fetched without rendering", is_feed & ~text(r["mode"]).isin("", "static")),
+        ("feed fields", "feed documents have no selectors", is_feed & any_selector),
+        ("full selector", "articles need a selector", full.isNotNull() & (strip(text(full["selector"])) == "")),
+        ("full length", "a selector is over 1000 characters", full.isNotNull() & (F.octet_length(text(full["selector"])) > 1000)),
+        ("full attr", "an attribute name is over 200 characters", full.isNotNull() & (F.octet_length(text(full["attr"])) > 200)),
+        ("full render", "articles of feed documents are not rendered", is_feed & F.coalesce(full["browser"], F.lit(False))),
+        ("cleanup count", "more than 20 cleanup rules", F.size(remove) > 20),
+        ("cleanup text", "a cleanup rule is empty, padded, broken over lines or over 1000 characters", F.exists(remove, lambda v: (v == "") | (strip(v) != v) | v.rlike("[\\r\\n]") | (F.octet_length(v) > 1000))),
+        ("cleanup xpath", "an XPath cleanup rule begins with ./", xpath & F.exists(remove, lambda v: ~F.startswith(v, F.lit("./")))),
+        ("zone", "no such time zone", (text(r["timezone"]) != "") & F.col("_zone").isNull()),
+        ("title", "the title is empty or over 200 characters", (strip(text(F.col("title"))) == "") | (F.octet_length("title") > 200)),
+        ("url length", "the address is over 4096 characters", F.octet_length("url") > 4096),
+        ("url", "the address is no plain web address", ~is_http_url("url")),
+        ("interval", "the interval is not within a minute and a week", ~F.coalesce(F.col("interval_s").between(60, 604800), F.lit(False))),
+        ("selector", "brackets, parentheses or quotes of a selector don't pair up", F.exists(F.array(*[v for _, v in selectors], text(full["selector"])), unbalanced) | F.exists(remove, unbalanced)),
+        ("quiet", "no such choice of quiet days", ~F.coalesce(r["quiet_days"], F.lit(0)).isin(*QUIET_CHOICES)),
+        ("agent", "the user agent is padded, not ASCII or over 256 characters", (F.octet_length(agent) > 256) | ~agent.rlike("^[ -~]*$") | (F.trim(agent) != agent)),
+        ("language", "the languages are not a list of up to 10 ranges", (accept != "") & ((F.octet_length(accept) > 128) | ~accept.rlike(f"^{language}(?: *, *{language}){{0,9}}$"))),
+        ("size", "the whole configuration is over 64 KiB", F.octet_length(F.to_json(F.struct("title", "url", "interval_s", "recipe"))) > MAX_CONFIG),
     ]
     found = F.filter(
         F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(message).alias("message"))) for name, message, test in checks]),
@@ -188,6 +205,39 @@ def lint_recipes(feeds: DataFrame, zones: DataFrame) -> DataFrame:
     return zoned.select("feed_id", F.inline(found))
 
 
+def _refusals(kinds: pa.Array, selectors: pa.Array, rules: pa.Array) -> pa.Array:
+    """Selectors that can't be read and rule trees out of bounds, for every recipe of a batch."""
+    out = []
+    for kind, named, sides in zip(kinds.to_pylist(), selectors.to_pylist(), rules.to_pylist(), strict=True):
+        found = []
+        if kind in ("css", "xpath"):
+            for at in named or []:
+                text, place = (at["selector"] or "").strip(), at["place"]
+                why = problem(text, kind, place not in ("items", "full_content")) if text not in ("", ".") else None
+                found += [{"rule": "selector", "message": f"{place}: {why}"}] if why else []
+        try:
+            trees = [json.loads(s) if s else None for s in (sides["include"], sides["exclude"])]
+            found += [{"rule": "filters", "message": name} for name in problems(*trees)]
+        except ValueError:
+            found.append({"rule": "filters", "message": "shape"})
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("rule", pa.string()), ("message", pa.string())])))
+
+
+_refusals.__annotations__ = {"kinds": pa.Array, "selectors": pa.Array, "rules": pa.Array, "return": pa.Array}
+refusals = F.arrow_udf(_refusals, returnType="array<struct<rule:string,message:string>>")
+
+
+def lint_contents(feeds: DataFrame) -> DataFrame:
+    """feeds(feed_id, recipe STRUCT) -> (feed_id, rule, message) for selectors that can't be read and filters that can't be applied."""
+    r = F.col("recipe")
+    place = lambda name, c: F.struct(F.lit(name).alias("place"), c.alias("selector"))
+    named = [place("items", r["items"]), *[place(n, r[n]["selector"]) for n in ("title", "link", "date", "content", "image")], place("full_content", r["full_content"]["selector"])]
+    removed = F.transform(F.coalesce(r["remove"], F.array().cast("array<string>")), lambda v: place("remove", v))
+    sides = F.struct(*[F.to_json(r["filters"][s]).alias(s) for s in ("include", "exclude")])
+    return feeds.select("feed_id", F.explode(refusals(r["type"], F.concat(F.array(*named), removed), sides)).alias("x")).select("feed_id", "x.*")
+
+
 def unbalanced(selector: Column) -> Column:
     """Brackets, parentheses or quotes that don't pair up outside of quoted text."""
     bare = F.regexp_replace(F.coalesce(selector, F.lit("")), "\"[^\"]*\"|'[^']*'", "")

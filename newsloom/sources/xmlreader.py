@@ -30,7 +30,7 @@ DOCUMENT_ARROW = pa.struct(
         ("format", pa.string()),
         ("bases", pa.list_(pa.string())),
         ("entries", pa.list_(_ENTRY)),
-        ("truncated", pa.bool_()),
+        ("more", pa.int32()),
         ("error", pa.string()),
     ]
 )
@@ -68,7 +68,7 @@ class _Reader:
         self.channel = False
         self.bases: list[str] = []
         self.entries: list[dict] = []
-        self.truncated = False
+        self.more = 0
         self.entry = self.child = self.kid = None
         self.entry_depth = 0
         self.done = False
@@ -130,8 +130,8 @@ class _Reader:
         )
         if wanted:
             if len(self.entries) == MAX_ENTRIES:
-                self.truncated = True
-                raise _Enough
+                self.more += 1  # counted, not kept
+                return
             self.entry, self.entry_depth = {"ns": ns, "attrs": attrs, "children": []}, self.depth
 
     def content_start(self) -> int:
@@ -192,18 +192,18 @@ class _Reader:
         except _Enough:
             pass
         except _NotFeed:
-            error = "source is not an RSS or Atom feed"
+            error = "the document is no RSS, RDF or Atom feed"
         except expat.ExpatError as problem:
-            if self.done:
-                pass  # what follows the root element is not part of the feed
+            if self.done or self.more:
+                pass  # neither what follows the root element nor what follows the entries kept is part of the feed
             elif self.format is None and not text.lstrip("\ufeff \t\r\n").startswith("<?xml"):
-                error = "source is not an RSS or Atom feed"
+                error = "the document is no RSS, RDF or Atom feed"
             else:
-                error = f"feed is not well-formed XML (line {problem.lineno}); saved history is retained"
+                error = f"broken XML in line {problem.lineno}"
         if error is None and self.format is None:
-            error = "source is not an RSS or Atom feed"
+            error = "the document is no RSS, RDF or Atom feed"
         entries = [] if error else self.entries
-        return {"format": self.format, "bases": self.bases, "entries": entries, "truncated": self.truncated, "error": error}
+        return {"format": self.format, "bases": self.bases, "entries": entries, "more": self.more, "error": error}
 
 
 def read_documents(documents: pa.Array) -> pa.Array:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FEED_STATE = "failures long, last_attempt long, last_success long, next_run long, error string"
 FEED_OUT = f"feed_id string, {FEED_STATE}"
 STORY_OUT = "feed_id string, key string, kind string"
-FIRST_304 = "source returned 304 before a first success"
+FIRST_304 = "unchanged (304) before any success"
 
 
 def _delay(failures: int, retry_after: int) -> int:
