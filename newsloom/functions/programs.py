@@ -11,7 +11,9 @@ a final attribute or text(), and predicates of attributes, text, positions, not(
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -19,10 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import selectors as S
-from newsloom.functions.columns import let
-from newsloom.functions.markup import is_text, joined_text
-from newsloom.functions.scans import marked, next_place, running_max
-from newsloom.functions.text import collapse
+from newsloom.functions.scans import ROUNDS
 
 TAG, HAS, EQUAL, WORD, DASH, START, END, HOLDS, DIFFERS, NTH, ROOT, EMPTY, TEXT, NEVER, INNER, KIND, VALUE = range(17)
 OPERATORS = {None: HAS, "=": EQUAL, "~=": WORD, "|=": DASH, "^=": START, "$=": END, "*=": HOLDS, "!=": DIFFERS}
@@ -305,151 +304,187 @@ def literal(value, kind: T.DataType) -> Column:
 
 
 # ------------------------------------------------------------------- running
+#
+# The interpreter is SQL text over columns and lambda variables: a text of any size is parsed at once, while an
+# expression put together call by call takes seconds of the driver for each use.
 
+_names = itertools.count()
 
-@dataclass(frozen=True)
-class View:
-    """A run of nodes of a page in document order, the place of its first node, and those to pass over."""
 
-    nodes: Column
-    base: Column | int = 0
-    gone: Column | None = None
+def fresh() -> str:
+    """A variable name that no other part of a text uses."""
+    return f"v{next(_names)}"
 
-    def index(self, place: Column) -> Column:
-        return place - self.base
 
-    def there(self, i: Column) -> Column:
-        return F.lit(True) if self.gone is None else ~F.get(self.gone, i)
+def let_sql(value: str, body: Callable[[str], str]) -> str:
+    name = fresh()
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
 
-    def texts(self, n: Column, where=None) -> Column:
-        """Joined texts below a node."""
-        held = F.slice(self.nodes, self.index(n["pre"]) + 1, n["last"] - n["pre"] + 1)
-        kept = lambda t: self.there(self.index(t["pre"])) & (where(t) if where else F.lit(True))
-        return joined_text(held if self.gone is None and where is None else F.filter(held, kept))
-
-
-def _atom(view: View, n: Column, i: Column, a: Column, nests: Column | None) -> Column:
-    kind, value = a["kind"], a["value"]
-    held = F.try_element_at(n["attrs"], a["name"])
-    said = value != ""
-    place = F.when(a["name"] == "sib", n["sib"]).when(a["name"] == "rsib", n["rsib"]).when(a["name"] == "tsib", n["tsib"]).otherwise(n["rtsib"])
-    step = F.abs(F.nullif(a["a"], F.lit(0)))
-    ahead = (place - a["b"]) * F.signum(a["a"]).cast("int")
-    nth = F.when(a["a"] == 0, place == a["b"]).otherwise((F.pmod(place - a["b"], step) == 0) & (ahead >= 0))
-    own = lambda t: t["parent"] == n["pre"]
-
-    def compared(text: Column) -> Column:
-        return F.when(a["a"] == EQUAL, text == value).when(a["a"] == START, F.startswith(text, value)).when(a["a"] == END, F.endswith(text, value)).otherwise(F.contains(text, value))
-
-    first_text = F.coalesce(F.get(F.filter(F.slice(view.nodes, view.index(n["pre"]) + 1, n["last"] - n["pre"] + 1), lambda t: is_text(t) & own(t)), F.lit(0))["text"], F.lit(""))
-    of_value = F.when(a["name"] == "first", first_text).when(a["name"] == "even", collapse(view.texts(n))).otherwise(view.texts(n))
-    out = (
-        F.when(kind == KIND, is_text(n) == (a["name"] == "text"))
-        .when(kind == TAG, n["tag"] == value)
-        .when(kind == WORD, F.array_contains(F.split(held, "[ \\t\\n\\f\\r]+"), value) & said)
-        .when(kind == HAS, held.isNotNull())
-        .when(kind == EQUAL, held == value)
-        .when(kind == NTH, nth)
-        .when(kind == START, F.startswith(held, value) & said)
-        .when(kind == END, F.endswith(held, value) & said)
-        .when(kind == HOLDS, F.contains(held, value) & said)
-        .when(kind == DASH, (held == value) | F.startswith(held, F.concat(value, F.lit("-"))))
-        .when(kind == DIFFERS, F.coalesce(held != value, F.lit(True)))
-        .when(kind == ROOT, n["parent"] == -1)
-        .when(kind == EMPTY, n["last"] == n["pre"])
-        .when(kind == TEXT, F.contains(F.lower(F.when(a["name"] == "own", view.texts(n, own)).otherwise(view.texts(n))), value))
-        .when(kind == VALUE, compared(of_value))
-    )
-    if nests is not None:
-        out = out.when(kind == INNER, F.get(F.get(nests, a["a"]), i))
-    return F.coalesce(out, F.lit(False))
-
-
-def _holds(view: View, n: Column, i: Column, tests: Column, nests: Column | None) -> Column:
-    return F.forall(tests, lambda t: F.exists(t["alts"], lambda alt: F.forall(alt, lambda a: _atom(view, n, i, a, nests))) == t["holds"])
-
-
-def _nested(view: View, nest: Column) -> Column:
-    """Flags of the nodes that hold a match of the nested compound."""
 
-    def read(found: Column) -> Column:
-        last = running_max(F.transform(view.nodes, lambda n, i: F.when(F.get(found, i), n["pre"]).otherwise(-1)))
-        below = let(last, lambda run: F.transform(view.nodes, lambda n: F.get(run, view.index(n["last"])) > n["pre"]))
-        parents = F.transform(F.filter(view.nodes, lambda n, i: F.get(found, i)), lambda n: n["parent"])
-        return F.when(nest["child"], marked(F.transform(view.nodes, lambda n: n["pre"]), parents)).otherwise(below)
+def running_max_sql(values: str) -> str:
+    r, acc, d, x, i = (fresh() for _ in range(5))
+    return let_sql(values, lambda h: f"aggregate(filter({ROUNDS}, {r} -> {r} < size({h})), {h}, ({acc}, {d}) -> transform({acc}, ({x}, {i}) -> greatest({x}, get({acc}, {i} - {d}))))")
+
 
-    return let(F.transform(view.nodes, lambda n, i: view.there(i) & _holds(view, n, i, nest["tests"], None)), read)
+def next_place_sql(flags: str, base: str = "0") -> str:
+    """As ``scans.next_place``."""
+    f, i, x = fresh(), fresh(), fresh()
+    back = f"reverse(transform({flags}, ({f}, {i}) -> CASE WHEN {f} THEN -({i} + {base}) END))"
+    return f"transform(reverse({running_max_sql(back)}), {x} -> -{x})"
 
 
-def _beside(view: View, flags: Column, axis: Column) -> Column:
-    """Flags of the element after a flagged one, or of all later siblings of one."""
-    rows = F.transform(view.nodes, lambda n, i: F.struct(n["parent"].alias("parent"), n["sib"].alias("sib"), i.alias("i"), (F.get(flags, i) & (n["sib"] > 0)).alias("on")))
+def marked_sql(places: str, keys: str) -> str:
+    """As ``scans.marked``."""
+    k, p, e, i, h, g = (fresh() for _ in range(6))
+    both = f"array_sort(concat(transform({keys}, {k} -> named_struct('at', {k}, 'kind', 0)), transform({places}, {p} -> named_struct('at', {p}, 'kind', 1))))"
 
-    def read(r: Column) -> Column:
-        run = running_max(F.transform(r, lambda x: F.when(x["on"], x["parent"]).otherwise(-2)))
+    def read(events: str) -> str:
+        hit = f"transform({events}, ({e}, {i}) -> named_struct('kind', {e}.kind, 'hit', coalesce(get({events}, {i} - 1).at = {e}.at, false)))"
+        return f"transform(filter({hit}, {h} -> {h}.kind = 1), {g} -> {g}.hit)"
 
-        def beside(seen: Column) -> Column:
-            def one(x: Column, k: Column) -> Column:
-                before = F.get(r, k - 1)
-                follows = before["on"] & (before["parent"] == x["parent"]) & (before["sib"] == x["sib"] - 1)
-                later = F.get(seen, k - 1) == x["parent"]
-                return F.struct(x["i"].alias("i"), F.coalesce(F.when(axis == NEXT, follows).otherwise(later), F.lit(False)).alias("on"))
+    return let_sql(both, read)
 
-            return F.transform(F.array_sort(F.transform(r, one)), lambda x: x["on"])
 
-        return let(run, beside)
+@dataclass(frozen=True)
+class View:
+    """A run of nodes of a page in document order, the place of its first node, and those to pass over, all as SQL."""
 
-    return let(F.array_sort(rows), read)
+    nodes: str
+    base: str = "0"
+    gone: str | None = None
 
+    def index(self, place: str) -> str:
+        return f"({place} - {self.base})" if self.base != "0" else place
 
-def _walk(view: View, steps: Column, nests: Column) -> Column:
-    """Flags of the nodes that the steps end at, from the first node of the view."""
+    def there(self, i: str) -> str:
+        return "true" if self.gone is None else f"NOT get({self.gone}, {i})"
+
+    def below(self, n: str) -> str:
+        return f"slice({self.nodes}, {self.index(n + '.pre')} + 1, {n}.last - {n}.pre + 1)"
+
+    def texts(self, n: str, where: Callable[[str], str] | None = None) -> str:
+        """Joined texts below a node."""
+        t, u = fresh(), fresh()
+        tests = [f"{t}.tag = '#text'", *([self.there(self.index(f"{t}.pre"))] if self.gone else []), *([where(t)] if where else [])]
+        return f"array_join(transform(filter({self.below(n)}, {t} -> {' AND '.join(tests)}), {u} -> {u}.text), '')"
+
+    def places(self) -> str:
+        n = fresh()
+        return f"transform({self.nodes}, {n} -> {n}.pre)"
+
+    def flagged(self, flags: str, field: str, other: str) -> str:
+        """The field of flagged nodes, something else for the others."""
+        n, i = fresh(), fresh()
+        return f"transform({self.nodes}, ({n}, {i}) -> CASE WHEN get({flags}, {i}) THEN {n}.{field} ELSE {other} END)"
+
+    def parents(self, flags: str) -> str:
+        n, i, m = fresh(), fresh(), fresh()
+        return f"transform(filter({self.nodes}, ({n}, {i}) -> get({flags}, {i})), {m} -> {m}.parent)"
+
+
+def _atom(view: View, n: str, i: str, a: str, nests: str | None) -> str:
+    held, said = f"try_element_at({n}.attrs, {a}.name)", f"{a}.value <> ''"
+    place = f"CASE {a}.name WHEN 'sib' THEN {n}.sib WHEN 'rsib' THEN {n}.rsib WHEN 'tsib' THEN {n}.tsib ELSE {n}.rtsib END"
+    nth = let_sql(place, lambda p: f"CASE WHEN {a}.a = 0 THEN {p} = {a}.b ELSE pmod({p} - {a}.b, abs(nullif({a}.a, 0))) = 0 AND ({p} - {a}.b) * signum({a}.a) >= 0 END")
+    own = lambda t: f"{t}.parent = {n}.pre"
+    t = fresh()
+    first = f"coalesce(get(filter({view.below(n)}, {t} -> {t}.tag = '#text' AND {own(t)}), 0).text, '')"
+    even = f"trim(regexp_replace({view.texts(n)}, r'[\\s\\x{{A0}}]+', ' '))"
+    text = f"CASE {a}.name WHEN 'first' THEN {first} WHEN 'even' THEN {even} ELSE {view.texts(n)} END"
+    compared = let_sql(text, lambda x: f"CASE {a}.a WHEN {EQUAL} THEN {x} = {a}.value WHEN {START} THEN startswith({x}, {a}.value) WHEN {END} THEN endswith({x}, {a}.value) ELSE contains({x}, {a}.value) END")
+    shown = f"CASE {a}.name WHEN 'own' THEN {view.texts(n, own)} ELSE {view.texts(n)} END"
+    cases = {
+        KIND: f"({n}.tag = '#text') = ({a}.name = 'text')",
+        TAG: f"{n}.tag = {a}.value",
+        WORD: f"array_contains(split({held}, r'[ \\t\\n\\f\\r]+'), {a}.value) AND {said}",
+        HAS: f"{held} IS NOT NULL",
+        EQUAL: f"{held} = {a}.value",
+        NTH: nth,
+        START: f"startswith({held}, {a}.value) AND {said}",
+        END: f"endswith({held}, {a}.value) AND {said}",
+        HOLDS: f"contains({held}, {a}.value) AND {said}",
+        DASH: f"{held} = {a}.value OR startswith({held}, concat({a}.value, '-'))",
+        DIFFERS: f"coalesce({held} <> {a}.value, true)",
+        ROOT: f"{n}.parent = -1",
+        EMPTY: f"{n}.last = {n}.pre",
+        TEXT: f"contains(lower({shown}), {a}.value)",
+        VALUE: compared,
+        **({INNER: f"get(get({nests}, {a}.a), {i})"} if nests else {}),
+    }
+    return f"coalesce(CASE {a}.kind {' '.join(f'WHEN {kind} THEN ({test})' for kind, test in cases.items())} END, false)"
+
+
+def _holds(view: View, n: str, i: str, tests: str, nests: str | None) -> str:
+    t, alt, a = fresh(), fresh(), fresh()
+    return f"forall({tests}, {t} -> exists({t}.alts, {alt} -> forall({alt}, {a} -> {_atom(view, n, i, a, nests)})) = {t}.holds)"
+
+
+def _nested(view: View, nest: str) -> str:
+    """Flags of the nodes that hold a match of the nested compound."""
+    n, i, m = fresh(), fresh(), fresh()
+    found = f"transform({view.nodes}, ({n}, {i}) -> {view.there(i)} AND {_holds(view, n, i, f'{nest}.tests', None)})"
+
+    def read(flags: str) -> str:
+        last = running_max_sql(view.flagged(flags, "pre", "-1"))
+        below = let_sql(last, lambda run: f"transform({view.nodes}, {m} -> get({run}, {view.index(m + '.last')}) > {m}.pre)")
+        return f"CASE WHEN {nest}.child THEN {marked_sql(view.places(), view.parents(flags))} ELSE {below} END"
+
+    return let_sql(found, read)
 
-    def step(flags: Column, s: Column) -> Column:
-        axis = s["axis"]
-        places = F.transform(view.nodes, lambda n: n["pre"])
-        parents = F.transform(F.filter(view.nodes, lambda n, i: F.get(flags, i)), lambda n: n["parent"])
-        reach = (
-            F.when(axis == BELOW, F.transform(running_max(F.transform(view.nodes, lambda n, i: F.when(F.get(flags, i), n["last"]).otherwise(-1))), lambda x: x))
-        )
-        # Either the last place below an earlier flagged node, or flags as 0 and 1.
-        as_numbers = lambda f: F.transform(f, lambda x: x.cast("int"))
-        reach = reach.when(axis.isin(NEXT, LATER), as_numbers(_beside(view, flags, axis))).when(axis == PARENT, as_numbers(marked(places, parents)))
 
-        def select(r: Column) -> Column:
-            def related(n: Column, i: Column) -> Column:
-                return (
-                    F.when(axis == ANY, F.lit(True))
-                    .when(axis == TOP, n["parent"] == -1)
-                    .when(axis == CHILD, F.coalesce(F.get(flags, view.index(n["parent"])), F.lit(False)))
-                    .when(axis == BELOW, F.coalesce(F.get(r, i - 1) >= n["pre"], F.lit(False)))
-                    .otherwise(F.get(r, i) == 1)
-                )
+def _beside(view: View, flags: str, axis: str) -> str:
+    """Flags, as 0 and 1, of the element after a flagged one, or of all later siblings of one."""
+    n, i, x, k, y, z = (fresh() for _ in range(6))
+    rows = f"array_sort(transform({view.nodes}, ({n}, {i}) -> named_struct('parent', {n}.parent, 'sib', {n}.sib, 'i', {i}, 'flag', get({flags}, {i}) AND {n}.sib > 0)))"
 
-            return F.transform(view.nodes, lambda n, i: view.there(i) & related(n, i) & _holds(view, n, i, s["tests"], nests))
+    def read(r: str) -> str:
+        run = running_max_sql(f"transform({r}, {y} -> CASE WHEN {y}.flag THEN {y}.parent ELSE -2 END)")
 
-        return let(reach, select)
+        def beside(seen: str) -> str:
+            before = f"get({r}, {k} - 1)"
+            follows = f"{before}.flag AND {before}.parent = {x}.parent AND {before}.sib = {x}.sib - 1"
+            hit = f"coalesce(CASE WHEN {axis} = '{NEXT}' THEN {follows} ELSE get({seen}, {k} - 1) = {x}.parent END, false)"
+            return f"transform(array_sort(transform({r}, ({x}, {k}) -> named_struct('i', {x}.i, 'flag', int({hit})))), {z} -> {z}.flag)"
 
-    return F.aggregate(steps, F.transform(view.nodes, lambda n, i: i == 0), step)
+        return let_sql(run, beside)
+
+    return let_sql(rows, read)
+
+
+def _walk(view: View, steps: str, nests: str) -> str:
+    """Flags of the nodes that the steps end at, from the first node of the view."""
+    flags, s, n, i, f, m, j = (fresh() for _ in range(7))
+    below = running_max_sql(view.flagged(flags, "last", "-1"))
+    above = f"transform({marked_sql(view.places(), view.parents(flags))}, {f} -> int({f}))"
+    # Either the last place below an earlier flagged node, or flags as 0 and 1.
+    reach = f"CASE WHEN {s}.axis = '{BELOW}' THEN {below} WHEN {s}.axis IN ('{NEXT}', '{LATER}') THEN {_beside(view, flags, f'{s}.axis')} WHEN {s}.axis = '{PARENT}' THEN {above} END"
+
+    def select(r: str) -> str:
+        related = (
+            f"CASE {s}.axis WHEN '{ANY}' THEN true WHEN '{TOP}' THEN {n}.parent = -1 WHEN '{CHILD}' THEN coalesce(get({flags}, {view.index(n + '.parent')}), false)"
+            f" WHEN '{BELOW}' THEN coalesce(get({r}, {i} - 1) >= {n}.pre, false) ELSE get({r}, {i}) = 1 END"
+        )
+        return f"transform({view.nodes}, ({n}, {i}) -> {view.there(i)} AND {related} AND {_holds(view, n, i, f'{s}.tests', nests)})"
 
+    return f"aggregate({steps}, transform({view.nodes}, ({m}, {j}) -> {j} = 0), ({flags}, {s}) -> {let_sql(reach, select)})"
 
-def hits(view: View, prog: Column) -> Column:
-    """Places and attributes a program selects, distinct, in document order."""
 
-    def run(nests: Column) -> Column:
-        def path(p: Column) -> Column:
-            def pick(flags: Column) -> Column:
-                picked = F.filter(view.nodes, lambda n, i: F.get(flags, i) & ((p["attr"] == "") | F.coalesce(F.map_contains_key(n["attrs"], p["attr"]), F.lit(False))))
-                return F.transform(picked, lambda n: F.struct(n["pre"].alias("at"), p["attr"].alias("attr")))
+def hits(view: View, prog: str) -> str:
+    """Places and attributes a program selects, distinct, in document order, as SQL."""
+    x, p, n, i, m, h, k = (fresh() for _ in range(7))
 
-            return let(_walk(view, p["steps"], nests), pick)
+    def run(nests: str) -> str:
+        def pick(flags: str) -> str:
+            wanted = f"get({flags}, {i}) AND ({p}.attr = '' OR coalesce(map_contains_key({n}.attrs, {p}.attr), false))"
+            return f"transform(filter({view.nodes}, ({n}, {i}) -> {wanted}), {m} -> named_struct('at', {m}.pre, 'attr', {p}.attr))"
 
-        found = F.array_sort(F.flatten(F.transform(prog["paths"], path)))
-        return let(found, lambda f: F.filter(f, lambda h, i: (i == 0) | (F.get(f, i - 1)["at"] != h["at"])))
+        found = f"array_sort(flatten(transform({prog}.paths, {p} -> {let_sql(_walk(view, f'{p}.steps', nests), pick)})))"
+        return let_sql(found, lambda f: f"filter({f}, ({h}, {k}) -> {k} = 0 OR get({f}, {k} - 1).at <> {h}.at)")
 
-    return let(F.transform(prog["nests"], lambda x: _nested(view, x)), run)
+    return let_sql(f"transform({prog}.nests, {x} -> {_nested(view, x)})", run)
 
 
-def first_places(view: View, found: Column) -> Column:
+def first_places(view: View, found: str) -> str:
     """For each node of the view the first hit from it on, NULL if there is none."""
-    return next_place(marked(F.transform(view.nodes, lambda n: n["pre"]), F.transform(found, lambda h: h["at"])), view.base)
+    h = fresh()
+    return next_place_sql(marked_sql(view.places(), f"transform({found}, {h} -> {h}.at)"), view.base)

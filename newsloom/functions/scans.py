@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.columns import let
 
-#: Distances of the rounds; arrays are shorter than the last.
-ROUNDS = [1 << k for k in range(31)]
+#: Distances of the rounds; arrays are shorter than the last. As text, since a plan with many scans is built quickly only so.
+ROUNDS = f"array({','.join(str(1 << k) for k in range(31))})"
 
 
 def running_max(values: Column) -> Column:
     """For each place the largest value up to and with it; nulls are passed over."""
 
     def scan(held: Column) -> Column:
-        # The rounds are in order, so those shorter than the array are a slice of them.
-        rounds = F.filter(F.array(*[F.lit(r) for r in ROUNDS]), lambda r: r < F.size(held))
+        rounds = F.filter(F.expr(ROUNDS), lambda r: r < F.size(held))
         return F.aggregate(rounds, held, lambda acc, r: F.transform(acc, lambda x, i: F.greatest(x, F.get(acc, i - r))))
 
     return let(values, scan)
@@ -30,7 +29,7 @@ def running_sum(values: Column) -> Column:
     """For each place the sum of the values up to and with it."""
 
     def scan(held: Column) -> Column:
-        rounds = F.filter(F.array(*[F.lit(r) for r in ROUNDS]), lambda r: r < F.size(held))
+        rounds = F.filter(F.expr(ROUNDS), lambda r: r < F.size(held))
         return F.aggregate(rounds, held, lambda acc, r: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - r), F.lit(0))))
 
     return let(values, scan)

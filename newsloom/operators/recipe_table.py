@@ -9,7 +9,7 @@ the same for one recipe and for a million.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,8 @@ from newsloom.functions import dates, images, markup
 from newsloom.functions import rules as R
 from newsloom.functions.columns import first_of, let, pin
 from newsloom.functions.markup import attr, is_text
-from newsloom.functions.programs import NOTHING, PROGRAM, View, first_places, hits, program
-from newsloom.functions.scans import marked, next_place, running_max
-from newsloom.functions.selectors import SelectorError, _attribute_node, node_value
+from newsloom.functions.programs import PROGRAM, View, first_places, fresh, hits, let_sql, marked_sql, next_place_sql, program, running_max_sql
+from newsloom.functions.selectors import SelectorError, node_value
 from newsloom.functions.text import collapse, escape_html, fold_text, strip
 from newsloom.functions.urls import resolve_url
 from newsloom.operators import extract as X
@@ -139,52 +138,45 @@ def compile_recipes(recipes: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- reading
 
 
-def _found(nodes: Column, card: Column, recipe: Column, nexts: Column) -> Column:
-    """The node that each field selects inside a card, NULL for none."""
+#: Position of a field among the fields of a recipe.
+TITLE, LINK, DATE, BODY, IMAGE = range(5)
+_PAGE = View("nodes")
 
-    def field(f: Column, k: Column) -> Column:
-        place = F.get(F.get(nexts, k), card["pre"] + 1)
-        inside = F.when(place <= card["last"], F.get(nodes, place))
 
-        def of_path(hit: Column) -> Column:
-            node = F.get(nodes, hit["at"])
-            return F.when(hit["attr"] == "", node).when(hit.isNotNull(), let(node, lambda n: _named_attribute(n, hit["attr"])))
+def _matched() -> Column:
+    """Cards of a page, and for every field the next match from each place on; SQL over the columns nodes and recipe."""
+    f, g = fresh(), fresh()
+    paged = f"recipe.kind <> 'xpath' AND size({f}.program.paths) > 0"
+    places = let_sql(hits(_PAGE, f"{f}.program"), lambda h: first_places(_PAGE, h))
+    nexts = f"transform(recipe.fields, {f} -> CASE WHEN {paged} THEN {places} END)"
+    pictures = f"CASE WHEN NOT get(recipe.fields, {IMAGE}).stated THEN {next_place_sql(f'transform(nodes, {g} -> {g}.tag = {chr(39)}img{chr(39)})')} END"
+    return F.expr(f"named_struct('cards', {hits(_PAGE, 'recipe.items')}, 'nexts', {nexts}, 'pictures', {pictures})")
 
-        scoped = let(F.get(hits(View(markup.subtree(nodes, card), card["pre"]), f["program"]), F.lit(0)), of_path)
-        return F.when(f["program"]["itself"], card).when(recipe["kind"] == "xpath", scoped).otherwise(inside)
 
-    return F.transform(recipe["fields"], field)
+def _picked() -> Column:
+    """What every card's fields select; a page over the card limit fails whole, so its cards are not read. SQL over nodes, recipe and m."""
+    hit, position, f, k = (fresh() for _ in range(4))
+    named = ", ".join(
+        f"'{c}', " + {"tag": "concat('@', {h}.attr)", "text": "try_element_at({n}.attrs, {h}.attr)", "attrs": "cast(map() AS map<string,string>)"}.get(c, f"{{n}}.{c}") for c in markup.NODE.names
+    )
 
+    def field(card: str) -> str:
+        place = f"get(get(m.nexts, {k}), {card}.pre + 1)"
+        inside = f"CASE WHEN {place} <= {card}.last THEN get(nodes, {place}) END"
 
-def _named_attribute(node: Column, name: Column) -> Column:
-    fields = {"tag": F.concat(F.lit("@"), name), "text": F.try_element_at(node["attrs"], name), "attrs": F.create_map().cast("map<string,string>")}
-    return F.struct(*[fields.get(f, node[f]).alias(f) for f in markup.NODE.names])
+        def of_hit(h: str) -> str:
+            return let_sql(f"get(nodes, {h}.at)", lambda n: f"CASE WHEN {h}.attr = '' THEN {n} WHEN {h}.attr IS NOT NULL THEN named_struct({named.format(h=h, n=n)}) END")
 
+        scoped = let_sql(f"slice(nodes, {card}.pre + 1, {card}.last - {card}.pre + 1)", lambda below: let_sql(f"get({hits(View(below, f'{card}.pre'), f'{f}.program')}, 0)", of_hit))
+        return f"CASE WHEN {f}.program.itself THEN {card} WHEN recipe.kind = 'xpath' THEN {scoped} ELSE {inside} END"
 
-def _matched(nodes: Column, recipe: Column) -> Column:
-    """Cards of a page, and for every field the next match from each place on."""
-    view = View(nodes)
-    paged = lambda f: (recipe["kind"] != "xpath") & (F.size(f["program"]["paths"]) > 0)
-    nexts = F.transform(recipe["fields"], lambda f: F.when(paged(f), let(hits(view, f["program"]), lambda h: first_places(view, h))))
-    return F.struct(hits(view, recipe["items"]).alias("cards"), nexts.alias("nexts"))
+    def read(card: str) -> str:
+        place = f"get(m.pictures, {card}.pre + 1)"
+        found = f"transform(recipe.fields, ({f}, {k}) -> {field(card)})"
+        return f"named_struct('pos', {position}, 'found', {found}, 'picture', CASE WHEN {place} <= {card}.last THEN get(nodes, {place}) END)"
 
-
-def _picked(nodes: Column, recipe: Column, matched: Column) -> Column:
-    """What every card's fields select; a page over the card limit fails whole, so its cards are not read."""
-    pictures = F.when(~F.get(recipe["fields"], 4)["stated"], next_place(F.transform(nodes, lambda n: n["tag"] == "img")))
-
-    def cards(images_at: Column) -> Column:
-        def card(hit: Column, position: Column) -> Column:
-            def read(c: Column) -> Column:
-                place = F.get(images_at, c["pre"] + 1)
-                return F.struct(position.alias("pos"), _found(nodes, c, recipe, matched["nexts"]).alias("found"), F.when(place <= c["last"], F.get(nodes, place)).alias("picture"))
-
-            return let(F.get(nodes, hit["at"]), read)
-
-        readable = F.when(F.size(matched["cards"]) <= X.MAX_CARDS, matched["cards"]).otherwise(F.slice(matched["cards"], 1, 0))
-        return F.transform(readable, card)
-
-    return let(pictures, cards)
+    readable = f"CASE WHEN size(m.cards) <= {X.MAX_CARDS} THEN m.cards ELSE slice(m.cards, 1, 0) END"
+    return F.expr(f"transform({readable}, ({hit}, {position}) -> {let_sql(f'get(nodes, {hit}.at)', read)})")
 
 
 def _said(nodes: Column, recipe: Column, cards: Column) -> Column:
@@ -205,21 +197,17 @@ def _said(nodes: Column, recipe: Column, cards: Column) -> Column:
     return F.transform(cards, values)
 
 
-def swept(block: Column, rules: Column) -> Column:
-    """Which nodes of a block its cleanup programs remove, rule after rule, never the block's own node."""
-    none = F.transform(block, lambda n: F.lit(False))
-
-    def sweep(gone: Column, rule: Column) -> Column:
-        base = F.get(block, F.lit(0))["pre"]
-        chosen = F.transform(F.filter(hits(View(block, base, gone), rule), lambda h: h["at"] != base), lambda h: h["at"])
-
-        def below(flags: Column) -> Column:
-            last = running_max(F.transform(block, lambda n, i: F.when(F.get(flags, i), n["last"]).otherwise(-1)))
-            return let(last, lambda run: F.transform(block, lambda n, i: F.get(gone, i) | (F.get(run, i) >= n["pre"])))
-
-        return let(marked(F.transform(block, lambda n: n["pre"]), chosen), below)
-
-    return F.aggregate(rules, none, sweep)
+def _swept() -> Column:
+    """For each card which nodes of its block the cleanup programs remove, rule after rule, never the block's own node; SQL over c and recipe."""
+    c, gone, rule, n, h, g, m, i = (fresh() for _ in range(8))
+    block = f"{c}.block"
+    base = f"get({block}, 0).pre"
+    view = View(block, base, gone)
+    chosen = f"transform(filter({hits(view, rule)}, {h} -> {h}.at <> {base}), {g} -> {g}.at)"
+    last = lambda flags: running_max_sql(view.flagged(flags, "last", "-1"))
+    sweep = let_sql(marked_sql(view.places(), chosen), lambda flags: let_sql(last(flags), lambda run: f"transform({block}, ({m}, {i}) -> get({gone}, {i}) OR get({run}, {i}) >= {m}.pre)"))
+    swept = f"aggregate(recipe.remove, transform({block}, {n} -> false), ({gone}, {rule}) -> {sweep})"
+    return F.expr(f"transform(c, {c} -> CASE WHEN {block} IS NOT NULL AND size(recipe.remove) > 0 THEN {swept} END)")
 
 
 _BLOCKS = tuple(t for t in markup.FILTER_BLOCKS if t in markup.PLAIN_TAGS)
@@ -229,18 +217,15 @@ def _shown(block: Column) -> Column:
     return markup.without_subtrees(block, lambda n: n["tag"].isin(*markup.SKIP_CONTENT))
 
 
-def _cleaned(recipe: Column, cards: Column, base: Column) -> Column:
+def _cleaned(cards: Column, swept: Column, base: Column) -> Column:
     """Every description with resolved addresses, and what cleanup leaves of it; rules read the page as it was written."""
 
-    def one(c: Column) -> Column:
-        whole = markup.absolute_addresses(c["block"], base)
-        gone = F.when(F.size(recipe["remove"]) > 0, swept(c["block"], recipe["remove"]))
-
+    def one(c: Column, k: Column) -> Column:
         def left(b: Column) -> Column:
             kept = F.when(b["gone"].isNull(), b["whole"]).otherwise(F.filter(b["whole"], lambda n, i: ~F.get(b["gone"], i)))
-            return F.struct(c["pos"].alias("pos"), c["found"].alias("found"), c["picture"].alias("picture"), c["raw"].alias("raw"), kept.alias("kept"), F.when(b["gone"].isNotNull(), b["whole"]).alias("whole"))
+            return F.struct(*[c[f].alias(f) for f in ("pos", "found", "picture", "raw")], kept.alias("kept"), F.when(b["gone"].isNotNull(), b["whole"]).alias("whole"))
 
-        return let(F.struct(whole.alias("whole"), gone.alias("gone")), left)
+        return let(F.struct(markup.absolute_addresses(c["block"], base).alias("whole"), F.get(swept, k).alias("gone")), left)
 
     return F.transform(cards, one)
 
@@ -296,7 +281,7 @@ def _dated(cards: Column, recipe: Column, observed: Column) -> Column:
     return F.transform(cards, one)
 
 
-def _stories(cards: Column, recipe: Column) -> Column:
+def _stories(cards: Column, recipe: Column, asks: dict[str, bool]) -> Column:
     """Identity, warnings and the verdict of the feed's rules."""
     stated = lambda k: F.get(recipe["fields"], k)["stated"]
     attribute = lambda k: F.get(recipe["fields"], k)["attr"]
@@ -327,13 +312,13 @@ def _stories(cards: Column, recipe: Column) -> Column:
             date_raw = F.when(from_attr, c["datetime"]).otherwise(raw(2))
             no_date = F.concat(F.lit(X.NO_DATE), X.mismatch("Date", X.WANT_DATE, date_raw, node(2), F.when(from_attr, "datetime").otherwise(attribute(2))), F.lit(X.FIRST_SEEN_USED))
             emptied = c["content"]["emptied"]
-            notes = F.array(
-                F.when(title == "", empty_title).when(~valid, empty_link),
-                F.when(valid & stated(3) & emptied, F.lit(X.CLEANED_AWAY)),
-                F.when(valid & stated(3) & ~emptied & (strip(c["content"]["html"]) == ""), no_content),
-                F.when(valid & stated(4) & (c["image"] == ""), no_image),
-                F.when(valid & stated(2) & c["date"]["published"].isNull(), no_date),
-            )
+            parts = {
+                "": [F.when(title == "", empty_title).when(~valid, empty_link)],
+                "content": [F.when(valid & stated(3) & emptied, F.lit(X.CLEANED_AWAY)), F.when(valid & stated(3) & ~emptied & (strip(c["content"]["html"]) == ""), no_content)],
+                "image": [F.when(valid & stated(4) & (c["image"] == ""), no_image)],
+                "date": [F.when(valid & stated(2) & c["date"]["published"].isNull(), no_date)],
+            }
+            notes = F.array(*[note for part, some in parts.items() if not part or asks[part] for note in some])
             warnings = F.transform(F.filter(notes, lambda x: x.isNotNull()), lambda x: F.concat(number, x))
             return F.struct(
                 c["pos"].alias("pos"),
@@ -367,30 +352,58 @@ def _verdicts(found: Column, recipe: Column) -> Column:
     return F.transform(found, one)
 
 
-def read_pages(captures: DataFrame, compiled_recipes: DataFrame, keep: tuple[str, ...] = ("page_id", "feed_id", "url", "captured_at")) -> DataFrame:
+def used(compiled_recipes: DataFrame) -> dict[str, bool]:
+    """Which parts of a page the recipes of a table ask for; stages that none asks for are left out of the plan."""
+    r = F.col("recipe")
+    asks = {
+        "content": F.get(r["fields"], BODY)["stated"], "remove": F.size(r["remove"]) > 0, "image": F.get(r["fields"], IMAGE)["stated"],
+        "date": F.get(r["fields"], DATE)["stated"], "rules": F.size(r["rules"]) > 0,
+    }
+    row = compiled_recipes.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in asks.items()]).first()
+    return row.asDict()
+
+
+def _without_content(cards: Column) -> Column:
+    nothing = F.struct(F.lit("").alias("html"), F.lit("").alias("text"), F.lit(False).alias("emptied"))
+    return F.transform(cards, lambda c: F.struct(*[c[f].alias(f) for f in ("pos", "found", "picture", "raw")], nothing.alias("content")))
+
+
+def _without_date(cards: Column) -> Column:
+    none = F.struct(F.lit(None).cast("timestamp").alias("published"), F.lit(False).alias("estimated"), F.lit("").alias("source"))
+    return F.transform(cards, lambda c: F.struct(*[c[f].alias(f) for f in ("pos", "found", "raw", "content", "url", "image")], F.lit("").alias("datetime"), none.alias("date")))
+
+
+def read_pages(captures: DataFrame, compiled_recipes: DataFrame, keep: tuple[str, ...] = ("page_id", "feed_id", "url", "captured_at"), asks: dict[str, bool] | None = None) -> DataFrame:
     """Every page read by its feed's recipe: matches, cards and error, as ``extract.read_pages`` gives for one recipe.
 
     Pages of feeds without a recipe, or with one that was refused, are left out. ``version`` says which recipe was used.
+    ``asks`` is what ``used`` tells of the table, looked up if not given.
     """
+    asks = used(compiled_recipes) if asks is None else asks
     known = compiled_recipes.filter(F.col("recipe").isNotNull()).select("feed_id", "version", "recipe")
     joined = captures.join(known, "feed_id")
     nodes, recipe = F.col("nodes"), F.col("recipe")
     kept = [*keep, "version", "recipe"]
-    rows = joined.select(*dict.fromkeys([*kept, "url", "captured_at"]), markup.page_nodes("html").alias("nodes"))
     seen = [*dict.fromkeys([*kept, "url", "captured_at"])]
-    rows = rows.select(*seen, "nodes", pin(X.page_base(nodes, F.col("url"))).alias("base"), pin(_matched(nodes, recipe)).alias("m"))
-    rows = rows.select(*seen, "nodes", "base", F.size("m.cards").alias("matches"), pin(_picked(nodes, recipe, F.col("m"))).alias("c"))
+    rows = joined.select(*seen, markup.page_nodes("html").alias("nodes"))
+    rows = rows.select(*seen, "nodes", pin(X.page_base(nodes, F.col("url"))).alias("base"), pin(_matched()).alias("m"))
+    rows = rows.select(*seen, "nodes", "base", F.size("m.cards").alias("matches"), pin(_picked()).alias("c"))
     cards, base = F.col("c"), F.col("base")
     rows = rows.select(*seen, "base", "matches", pin(_said(nodes, recipe, cards)).alias("c"))
-    stages: list[Callable[[], Column]] = [
-        lambda: _cleaned(recipe, cards, base),
-        lambda: _published(cards, recipe),
-        lambda: _addressed(cards, recipe, base),
-        lambda: _dated(cards, recipe, F.col("captured_at")),
-        lambda: _stories(cards, recipe),
-        lambda: X._first_wins(cards),
-        lambda: _verdicts(cards, recipe),
-    ]
-    for stage in stages:
-        rows = rows.select(*seen, "base", "matches", pin(stage()).alias("c"))
+
+    def stage(value: Column, *more: Column) -> DataFrame:
+        return rows.select(*seen, "base", "matches", pin(value).alias("c"), *more)
+
+    if asks["content"]:
+        gone = _swept() if asks["remove"] else F.lit(None).cast("array<array<boolean>>")
+        rows = rows.select(*seen, "base", "matches", "c", pin(gone).alias("gone"))
+        rows = stage(_cleaned(cards, F.col("gone"), base))
+        rows = stage(_published(cards, recipe))
+    else:
+        rows = stage(_without_content(cards))
+    rows = stage(_addressed(cards, recipe, base))
+    rows = stage(_dated(cards, recipe, F.col("captured_at")) if asks["date"] else _without_date(cards))
+    rows = stage(_stories(cards, recipe, asks))
+    rows = stage(X._first_wins(cards))
+    rows = stage(_verdicts(cards, recipe) if asks["rules"] else F.transform(cards, lambda s: s.withField("drop_reason", F.lit(None).cast("string"))))
     return X.page_errors(rows.select(*[c for c in kept if c != "recipe"], "matches", F.col("c").alias("all")), (*keep, "version"))

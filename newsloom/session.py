@@ -37,6 +37,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .appName("newsloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
+        # Call sites of Columns are only for error messages; finding them takes most of the time of building a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

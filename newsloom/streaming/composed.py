@@ -34,17 +34,17 @@ FEED_NAMES = [c.split()[0] for c in FEED.split(", ")]
 TEXTS = ("title", "url", "html", "image")
 
 
-def read_listings(captures: DataFrame, compiled: DataFrame) -> DataFrame:
+def read_listings(captures: DataFrame, compiled: DataFrame, asks: dict[str, bool] | None = None) -> DataFrame:
     """captures(page_id, feed_id, url, status, version, interval_s, html, captured_at) -> one row per capture with the stories it lists.
 
-    Only bodies of successful fetches within the size limit are read. Rows whose recipe is unknown list nothing and fail.
+    Only bodies of successful fetches within the size limit are read; captures whose recipe is unknown are left out.
     """
     whole = (F.col("status") == 200) & (F.octet_length("html") <= MAX_BODY)
     rows = captures.withColumn("html", F.when(whole, F.col("html")).otherwise("")).withColumnRenamed("version", "asked")
     known = compiled.withColumnRenamed("feed_id", "of").withColumn("feed_id", F.concat_ws("\n", "of", F.col("version").cast("string")))
     # The recipe of the version that the capture was made for, whatever the feed uses by now.
     rows = rows.withColumn("source", F.col("feed_id")).withColumn("feed_id", F.concat_ws("\n", "source", F.col("asked").cast("string")))
-    read = RT.read_pages(rows, known.drop("of"), ("page_id", "feed_id", "source", "asked", "status", "interval_s", "url", "captured_at"))
+    read = RT.read_pages(rows, known.drop("of"), ("page_id", "feed_id", "source", "asked", "status", "interval_s", "url", "captured_at"), asks or RT.used(compiled))
     kept = F.filter("cards", lambda s: s["reason"].isNull() & s["drop_reason"].isNull())
     stories = F.transform(kept, lambda s: F.struct(s["key"].alias("key"), *[s[c].alias(c) for c in TEXTS], F.unix_timestamp(s["published"]).alias("published")))
     error = F.when(F.col("status") == 200, F.coalesce("error", F.lit(""))).when(F.col("status") == 304, "").otherwise(F.concat(F.lit("http status "), F.col("status").cast("string")))

@@ -79,7 +79,7 @@ def test_programs_select_what_compiled_selectors_do(spark, pages):
     kinds = [("css", s) for s in CSS] + [("xpath", s) for s in XPATH]
     table = spark.createDataFrame([(n, program(s, kind)) for n, (kind, s) in enumerate(kinds)], f"n int, program {PROGRAM.simpleString()}")
     # One plan for all selectors: pages meet the table of programs.
-    got = pages.join(table).select("page_id", "n", pin(hits(View(F.col("nodes")), F.col("program"))).alias("h")).collect()
+    got = pages.join(table).select("page_id", "n", pin(F.expr(hits(View("nodes"), "program"))).alias("h")).collect()
     found = {(r.page_id, r.n): [h["at"] for h in r.h] for r in got}
     n = F.col("nodes")
     for at in range(0, len(kinds), 8):
