@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import discovery, dom, history, keywords
+from newsloom.operators import discovery, dom, extract, history, keywords
 from newsloom.operators.extract import Field, Recipe
 from newsloom.operators import recipe_table as RT
 from newsloom.plans import bindings as B
@@ -110,15 +110,14 @@ def test_composed_refresh_equals_merging_one_capture_after_the_other(spark, tmp_
     timers.with_state_store(spark)
     log = keyed.run_slices(spark, [both.filter(c) for c in cut], changes, f"{tmp_path}/run").cache()
 
+    pages = RT.read_pages(captured.drop("version"), compiled.filter("version = 1"))
+    listed = extract.stories(pages).select("page_id", "feed_id", "key", "title", "url", "html", "image", F.lit("").alias("content_full"), "published").cache()
     feeds = {f: None for f in ("h0", "h1")}
     items = B.empty_items(spark)
     for n, feed, url, status, version, _, html, when in rows:
         if (version == 1 and n > 7) or status != 200 or "<nav>" not in html:
             continue
-        pages = RT.read_pages(captured.filter(F.col("page_id") == n).drop("version"), compiled.filter("version = 1"))
-        from newsloom.operators import extract
-
-        batch = extract.stories(pages).select("feed_id", "key", "title", "url", "html", "image", F.lit("").alias("content_full"), "published")
+        batch = listed.filter(F.col("page_id") == n).drop("page_id")
         row = spark.createDataFrame([(feed, feeds[feed])], "feed_id string, last_changed timestamp")
         merged = history.merge_items(items.filter(F.col("feed_id") == feed), batch, row, F.lit(when))
         kept = history.retain_items(merged, 2)
