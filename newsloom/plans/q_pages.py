@@ -8,7 +8,7 @@ from newsloom.functions import dates, images, markup, text, urls
 from newsloom.functions.columns import first_of, pin
 from newsloom.functions.rules import RuleSet
 from newsloom.functions.selectors import css, document_union, node_value, xpath
-from newsloom.operators import discovery, dom, extract, groups, keywords
+from newsloom.operators import discovery, dom, extract, groups, keywords, recipe_table
 from newsloom.operators.extract import Field, Recipe
 from newsloom.plans import bindings as B
 from newsloom.plans.registry import query
@@ -226,6 +226,31 @@ def project_fields(spark, folder):
     return p.select("page_id", F.explode("cards").alias("c")).select("page_id", F.col("c.pos").alias("pos"), F.col("c.title").alias("title"), F.col("c.url").alias("url"))
 
 
+def twenty_recipes():
+    """Twenty recipes that differ in cards, selector kind, title, and rules."""
+    out = {}
+    for r in range(20):
+        items = {1: "nav li:not(:first-child)", 2: "nav ul > li:nth-child(odd)", 3: "//nav//li"}.get(r % 4, "nav li")
+        kind, inside = ("xpath", ".//a") if r % 4 == 3 else ("css", "a")
+        rules = RuleSet(exclude={"op": "contains_any", "field": "title", "keywords": ["the"]}) if r % 3 == 0 else RuleSet()
+        out[f"r{r}"] = Recipe(kind=kind, items=items, title=Field(inside, "href" if r % 5 == 0 else ""), link=Field(inside), rules=rules)
+    return out
+
+
+@query(
+    "P5_recipe_table",
+    f"""WITH {B.SQL_NAV}, r AS (SELECT *, page_id%20 AS r FROM cards WHERE page_id%11<>0 AND page_id%13<>0),
+ s AS (SELECT *, CASE WHEN r%5=0 THEN href ELSE title END AS t, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS p FROM r WHERE CASE r%4 WHEN 1 THEN pos>0 WHEN 2 THEN pos%2=0 ELSE true END),
+ u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos)=1)
+ SELECT 'r' || r AS feed_id, page_id, p AS pos, t AS title, link AS url FROM u WHERE NOT (r%3=0 AND contains(lower(t),'the'))""",
+)
+def recipe_rows(spark, folder):
+    """Twenty feeds with recipes of their own, read in one plan."""
+    captures = C.read_captures(B.captures(spark, folder)).withColumn("feed_id", F.concat(F.lit("r"), (F.col("page_id") % 20).cast("string")))
+    recipes = recipe_table.compile_recipes(recipe_table.recipe_table(spark, twenty_recipes()))
+    return extract.stories(recipe_table.read_pages(captures, recipes), ("feed_id", "page_id")).select("feed_id", "page_id", "pos", "title", "url")
+
+
 @query("P6_resolve_url", f"WITH {B.SQL_NAV} SELECT page_id, pos, link FROM cards")
 def resolve(spark, folder):
     p = B.table(spark, folder, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit(B.CARD), F.lit(1)).alias("h"))

@@ -225,7 +225,7 @@ def _refusals(kinds: pa.Array, selectors: pa.Array, rules: pa.Array) -> pa.Array
 
 
 _refusals.__annotations__ = {"kinds": pa.Array, "selectors": pa.Array, "rules": pa.Array, "return": pa.Array}
-refusals = F.arrow_udf(_refusals, returnType="array<struct<rule:string,message:string>>")
+refusals = F.arrow_udf(_refusals, returnType=T.ArrayType(T.StructType([T.StructField("rule", _S), T.StructField("message", _S)])))
 
 
 def lint_contents(feeds: DataFrame) -> DataFrame:
