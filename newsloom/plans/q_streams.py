@@ -164,12 +164,12 @@ def outage_stream(spark, folder):
  s AS (SELECT *, coalesce(max(CASE WHEN error='' AND kind='purchase' THEN ended END) OVER w, min(CASE WHEN error='' THEN ended END) OVER w) AS started,
   lead(ended) OVER (PARTITION BY feed_id ORDER BY ended, run_id) AS after FROM t WINDOW w AS (PARTITION BY feed_id ORDER BY ended, run_id ROWS UNBOUNDED PRECEDING)),
  q AS (SELECT *, error='' AND coalesce(ended - started >= thr, false) AS quiet FROM s),
- p AS (SELECT feed_id, ended AS at, run_id, 0 AS turn, quiet FROM q
+ p AS (SELECT feed_id, ended AS "at", run_id, 0 AS turn, quiet FROM q
   UNION ALL SELECT feed_id, started + thr, run_id, 1, true FROM q WHERE error='' AND NOT quiet AND started + thr < after
   UNION ALL SELECT feed_id, started + thr, run_id, 1, true FROM q WHERE error='' AND NOT quiet AND after IS NULL AND (started + thr)*1000 <= (SELECT max(epoch_ms(ts)) FROM events)),
  l AS (SELECT *, lag(quiet, 1, false) OVER (PARTITION BY feed_id ORDER BY run_id_at, turn) AS was FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY first_at, run_id, turn) AS run_id_at FROM
-  (SELECT p.*, min(at) OVER (PARTITION BY feed_id, run_id) AS first_at FROM p)))
- SELECT feed_id, at, CASE WHEN quiet THEN 'quiet' ELSE 'resumed' END AS event FROM l WHERE quiet<>was""",
+  (SELECT p.*, min("at") OVER (PARTITION BY feed_id, run_id) AS first_at FROM p)))
+ SELECT feed_id, "at", CASE WHEN quiet THEN 'quiet' ELSE 'resumed' END AS event FROM l WHERE quiet<>was""",
 )
 def quiet_stream(spark, folder):
     """All runs in three deliveries; crossings with and without an event are those that M2 gives at every moment."""
@@ -183,11 +183,11 @@ def quiet_stream(spark, folder):
     return keyed.run_slices(spark, deliveries(rows, "ended"), timers.quiet_stream, scratch(spark, "quiet")).select("feed_id", "at", "event")
 
 
-SQL_TRIES = f"""WITH RECURSIVE {B.SQL_RUNS}, d AS (SELECT feed_id, ended - ended%86400 AS at, 'k' || run_id%5 AS key, max(run_id) AS run_id FROM runs GROUP BY 1, 2, 3),
- mid AS (SELECT min(at) + (max(at) - min(at))//2 AS m FROM d),
- tries AS (SELECT d.feed_id, d.at, d.key, d.run_id, CASE WHEN d.at > m AND d.run_id%9<>0 THEN 2 ELSE 1 END AS version, d.run_id%2=0 AS kept,
+SQL_TRIES = f"""WITH RECURSIVE {B.SQL_RUNS}, d AS (SELECT feed_id, ended - ended%86400 AS "at", 'k' || run_id%5 AS key, max(run_id) AS run_id FROM runs GROUP BY 1, 2, 3),
+ mid AS (SELECT min("at") + (max("at") - min("at"))//2 AS m FROM d),
+ tries AS (SELECT d.feed_id, d."at", d.key, d.run_id, CASE WHEN d."at" > m AND d.run_id%9<>0 THEN 2 ELSE 1 END AS version, d.run_id%2=0 AS kept,
   CASE kind WHEN 'error' THEN 'fault' WHEN 'view' THEN 'deferred' WHEN 'purchase' THEN 'stored' END AS outcome FROM d JOIN runs USING (run_id), mid),
- v AS (SELECT *, max(version) OVER (PARTITION BY feed_id ORDER BY at) AS current FROM tries)"""
+ v AS (SELECT *, max(version) OVER (PARTITION BY feed_id ORDER BY "at") AS current FROM tries)"""
 
 
 def article_tries(spark, folder):
@@ -209,24 +209,24 @@ def memory_changes(spark, folder):
 @query(
     "ST6_article_memory_stream",
     SQL_TRIES
-    + """, n AS (SELECT *, dense_rank() OVER (PARTITION BY feed_id ORDER BY at) AS turn FROM v WHERE version=current),
- m AS (SELECT feed_id, key, turn, at, version, outcome, kept, NULL::BIGINT AS tried, 0 AS count, NULL::BIGINT AS retry, false AS unkept, false AS has FROM n WHERE false
-  UNION ALL SELECT feed_id, key, turn, at, version, outcome, kept, x.tried, x.count, x.retry, x.unkept, x.has FROM (
-   SELECT n.feed_id, n.key, n.turn, n.at, n.version, n.outcome, n.kept,
+    + """, n AS (SELECT *, dense_rank() OVER (PARTITION BY feed_id ORDER BY "at") AS turn FROM v WHERE version=current),
+ m AS (SELECT feed_id, key, turn, "at", version, outcome, kept, NULL::BIGINT AS tried, 0 AS count, NULL::BIGINT AS retry, false AS unkept, false AS has FROM n WHERE false
+  UNION ALL SELECT feed_id, key, turn, "at", version, outcome, kept, x.tried, x.count, x.retry, x.unkept, x.has FROM (
+   SELECT n.feed_id, n.key, n.turn, n."at", n.version, n.outcome, n.kept,
     CASE WHEN n.outcome IS NULL THEN {'tried': NULL, 'count': NULL, 'retry': NULL, 'unkept': NULL, 'has': false}
      WHEN n.outcome='stored' AND n.kept THEN {'tried': NULL, 'count': NULL, 'retry': NULL, 'unkept': NULL, 'has': false}
-     WHEN n.outcome='stored' THEN {'tried': n.at, 'count': 0, 'retry': NULL, 'unkept': true, 'has': true}
-     WHEN n.outcome='fault' THEN {'tried': n.at, 'count': 1, 'retry': n.at+3600, 'unkept': false, 'has': true}
-     ELSE {'tried': n.at, 'count': 0, 'retry': NULL, 'unkept': false, 'has': true} END AS x
+     WHEN n.outcome='stored' THEN {'tried': n."at", 'count': 0, 'retry': NULL, 'unkept': true, 'has': true}
+     WHEN n.outcome='fault' THEN {'tried': n."at", 'count': 1, 'retry': n."at"+3600, 'unkept': false, 'has': true}
+     ELSE {'tried': n."at", 'count': 0, 'retry': NULL, 'unkept': false, 'has': true} END AS x
    FROM n ANTI JOIN n p ON p.feed_id=n.feed_id AND p.key=n.key AND p.turn=n.turn-1 AND p.version=n.version)
-  UNION ALL SELECT feed_id, key, turn, at, version, outcome, kept, x.tried, x.count, x.retry, x.unkept, x.has FROM (
-   SELECT n.feed_id, n.key, n.turn, n.at, n.version, n.outcome, n.kept,
+  UNION ALL SELECT feed_id, key, turn, "at", version, outcome, kept, x.tried, x.count, x.retry, x.unkept, x.has FROM (
+   SELECT n.feed_id, n.key, n.turn, n."at", n.version, n.outcome, n.kept,
     CASE WHEN n.outcome IS NULL THEN {'tried': m.tried, 'count': m.count, 'retry': m.retry, 'unkept': m.unkept, 'has': m.has}
      WHEN n.outcome='stored' AND n.kept THEN {'tried': NULL, 'count': NULL, 'retry': NULL, 'unkept': NULL, 'has': false}
-     WHEN n.outcome='stored' THEN {'tried': n.at, 'count': 0, 'retry': NULL, 'unkept': true, 'has': true}
-     WHEN n.outcome='fault' AND (NOT m.has OR m.retry IS NULL OR m.retry<=n.at) THEN
-      {'tried': n.at, 'count': coalesce(m.count,0)+1, 'retry': n.at + least(3600*(1<<greatest(least(coalesce(m.count,0),5),0)::INT),86400), 'unkept': false, 'has': true}
-     ELSE {'tried': n.at, 'count': coalesce(m.count,0), 'retry': m.retry, 'unkept': false, 'has': true} END AS x
+     WHEN n.outcome='stored' THEN {'tried': n."at", 'count': 0, 'retry': NULL, 'unkept': true, 'has': true}
+     WHEN n.outcome='fault' AND (NOT m.has OR m.retry IS NULL OR m.retry<=n."at") THEN
+      {'tried': n."at", 'count': coalesce(m.count,0)+1, 'retry': n."at" + least(3600*(1<<greatest(least(coalesce(m.count,0),5),0)::INT),86400), 'unkept': false, 'has': true}
+     ELSE {'tried': n."at", 'count': coalesce(m.count,0), 'retry': m.retry, 'unkept': false, 'has': true} END AS x
    FROM m JOIN n ON n.feed_id=m.feed_id AND n.key=m.key AND n.turn=m.turn+1 AND n.version=m.version)),
  z AS (SELECT feed_id, max(turn) AS turn FROM n GROUP BY feed_id)
  SELECT feed_id, key, version, tried, count, coalesce(retry,0) AS retry, unkept FROM m JOIN z USING (feed_id, turn) WHERE has""",
@@ -283,18 +283,19 @@ def composed_recipes(spark, folder):
 
 
 def composed_changes(spark, folder):
-    """Captures and edits in four deliveries by time."""
+    """Captures and edits in three deliveries by time."""
     captured, edits = composed_captures(spark, folder)
     timers.with_state_store(spark)
     recipes = composed_recipes(spark, folder).cache()
+    asks = RT.used(recipes)
     kinds = captured.select(F.lit("capture").alias("row"), "*").unionByName(edits.select(F.lit("edit").alias("row"), "feed_id", "version", F.col("at").alias("captured_at"), "interval_s"), allowMissingColumns=True)
 
     def changes(arrived: DataFrame) -> DataFrame:
-        listings = composed.read_listings(arrived.filter(F.col("row") == "capture"), recipes)
+        listings = composed.read_listings(arrived.filter(F.col("row") == "capture"), recipes, asks)
         edited = composed.edit_rows(arrived.filter(F.col("row") == "edit").withColumnRenamed("captured_at", "at"))
         return composed.refresh_changes(listings.unionByName(edited))
 
-    return keyed.run_slices(spark, deliveries(kinds, "captured_at", 4), changes, scratch(spark, "composed"))
+    return keyed.run_slices(spark, deliveries(kinds, "captured_at"), changes, scratch(spark, "composed"))
 
 
 @query(
@@ -304,7 +305,7 @@ def composed_changes(spark, folder):
  QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY min(t) DESC, encode(key)) <= 500""",
 )
 def composed_items(spark, folder):
-    """The histories after four deliveries: recipe versions, rules by feed, failures, unchanged pages, retention."""
+    """The histories after three deliveries: recipe versions, rules by feed, failures, unchanged pages, retention."""
     return composed.items_after(composed_changes(spark, folder)).select("feed_id", "key", "title", "published", "first_seen", "last_seen", "last_changed")
 
 
@@ -324,7 +325,7 @@ def composed_items(spark, folder):
   LEFT JOIN (SELECT feed_id, count(*) AS stale FROM c ANTI JOIN fresh USING (page_id) GROUP BY feed_id) n USING (feed_id)""",
 )
 def composed_feeds(spark, folder):
-    """The feed rows after four deliveries, and how many results of the old recipe were refused."""
+    """The feed rows after three deliveries, and how many results of the old recipe were refused."""
     changes = composed_changes(spark, folder)
     stale = changes.filter(F.col("kind") == "stale").groupBy("feed_id").agg(F.count("*").alias("stale"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

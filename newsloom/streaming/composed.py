@@ -97,8 +97,9 @@ class FeedHistory(StatefulProcessor):
         self.feed_state.update(tuple(feed[c] for c in FEED_NAMES))
         out.append({"kind": "feed", **{("feed_changed" if c == "last_changed" else c): v for c, v in feed.items()}})
         frame = pd.DataFrame([{**r, "feed_id": feed_id, "turn": turn} for turn, r in enumerate(out)], columns=NAMES)
-        numbers = [c.split()[0] for c in CHANGES.split(", ") if c.split()[1] in ("long", "int")]
-        yield frame.astype({c: "Int64" for c in numbers} | {"reported": "boolean"})
+        # Plain objects for texts: columns of several Arrow chunks can't leave the worker.
+        kinds = {"long": "Int64", "int": "Int64", "boolean": "boolean", "string": object}
+        yield frame.astype({name: kinds[kind] for name, kind in (c.split() for c in CHANGES.split(", "))})
 
     def _run(self, feed_id: str, feed: dict, stories: dict, touched: set, capture) -> list[dict]:
         now, out = int(capture.at), []

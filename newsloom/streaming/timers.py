@@ -61,13 +61,13 @@ class Outages(StatefulProcessor):
             seen = at if seen is None else max(seen, at)
         self.state.update((sent, seen, announced))
         _rearm(self.handle, seen + self.silence_s if announced else None)
-        yield pd.DataFrame(out, columns=["kind", "at", "event"])
+        yield pd.DataFrame(out, columns=["kind", "at", "event"]).astype({"kind": object, "event": object})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         sent, seen, announced = self.state.get()
         out = [(key[0], seen + self.silence_s, "closed")] if announced else []
         self.state.update((sent, seen, False))
-        yield pd.DataFrame(out, columns=["kind", "at", "event"])
+        yield pd.DataFrame(out, columns=["kind", "at", "event"]).astype({"kind": object, "event": object})
 
     def close(self) -> None:
         pass
@@ -112,13 +112,13 @@ class QuietFeeds(StatefulProcessor):
         self.state.update((since, story, healthy, quiet, threshold))
         waits = healthy and not quiet and threshold is not None and started is not None
         _rearm(self.handle, started + threshold if waits else None)
-        yield pd.DataFrame(out, columns=["feed_id", "at", "event"])
+        yield pd.DataFrame(out, columns=["feed_id", "at", "event"]).astype({"feed_id": object, "event": object})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         since, story, healthy, quiet, threshold = self.state.get()
         out = [(key[0], (story if story is not None else since) + threshold, "quiet")] if not quiet else []
         self.state.update((since, story, healthy, True, threshold))
-        yield pd.DataFrame(out, columns=["feed_id", "at", "event"])
+        yield pd.DataFrame(out, columns=["feed_id", "at", "event"]).astype({"feed_id": object, "event": object})
 
     def close(self) -> None:
         pass
@@ -168,7 +168,7 @@ class ArticleMemory(StatefulProcessor):
             self.version.update((current,))
         out += [(key[0], None, current, None, None, None, None, "late", late)] if late else []
         numbered = [(*row, turn) for turn, row in enumerate(out)]
-        yield pd.DataFrame(numbered, columns=[c.split()[0] for c in MEMORY_OUT.split(", ")]).astype({c: "Int64" for c in ("version", "tried", "count", "retry", "rows", "turn")})
+        yield pd.DataFrame(numbered, columns=[c.split()[0] for c in MEMORY_OUT.split(", ")]).astype({c: "Int64" for c in ("version", "tried", "count", "retry", "rows", "turn")} | {c: object for c in ("feed_id", "key", "event")})
 
     def _row(self, feed: str, story: str, version: int | None, entry: tuple | None, event: str) -> tuple:
         return (feed, story, version, *(entry or (None, None, None, None)), event, 1)
