@@ -108,12 +108,15 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = Fal
     """
     tune(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
-    joined = _keyed(docs).join(dropped_lines(docs, least_docs, whole), "_k", "left")
+    # Other columns travel as one struct, so that they can't clash with those added on the way.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest_of_row = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")] if others else []
+    joined = _keyed(docs.select("doc_id", "text", *rest_of_row)).join(dropped_lines(docs, least_docs, whole), "_k", "left")
     lines = _lines(F.col("text").cast("string"))
     rest = F.filter(lines, lambda line, at: ~F.array_contains("_dropped", at))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     counts = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_dropped"), F.lit(0))]
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]
     known = F.col("text").isNotNull()
     return joined.select(*columns, *(F.when(known & (c >= 0), c).otherwise(0).cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_dropped"), strict=True)))
 

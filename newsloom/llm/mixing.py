@@ -65,22 +65,33 @@ def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies, the number of times the mix repeats each.
 
     A null text has size 0; a source of size 0 has target 0 and no copies. A null source is a source of its own.
-    Rows that share a doc_id are drawn alike. An empty table gives none. Other columns stay, those named like the
-    added ones are replaced.
+    Rows that share a doc_id are drawn alike, and repeated rows each count with their size. Texts of any length are
+    counted whole. Sources whose size over weight is equal fill up by code point. An empty table gives none. Other
+    columns stay, whatever their names; those named like the added ones are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", word_count("text"))
+    # Other columns travel as one struct, so that they can't clash with those added on the way.
+    known = ("doc_id", "source", "text")
+    others = [c for c in docs.columns if c not in known]
+    rest_of_row = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")] if others else []
+    columns = [F.col(c) if c in known else F.col("_row")[c].alias(c) for c in docs.columns]
+    sized = docs.select(*known, *rest_of_row, word_count("text").alias("size"))
     targets = stored(source_targets(docs.select("source", word_count("text").alias("size"))).withColumnRenamed("source", "_source"), "targets")
     if targets.count() <= SENT_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = whole + F.when(draw("doc_id", seed) < rate - whole, 1).otherwise(0)
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("copies", copies.cast("long"))
+    planned = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return planned.select(*columns, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed documents: every row as often as its plan says, with the columns of docs."""
+    """The mixed documents: every row as often as its plan says, with the columns of docs.
+
+    Null texts and sources, repeated rows, ties and an empty table are dealt with as mix_plan states; rows of size 0 in
+    a source with words are drawn like others. Columns of any name stay.
+    """
     # The copies of one document are a few by the cap, so the repeat never fans out.
     planned = mix_plan(docs.select("doc_id", "source", "text", whole_row(docs)), seed).filter(F.col("copies") > 0)
     return planned.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -24,6 +24,8 @@ from newsloom.session import tune
 
 #: Labelled documents of either label that the fit takes, features it keeps, documents a feature must occur in, rounds, shrinkage.
 TRAIN, FEATURES, LEAST, ROUNDS, SHRINK = 4000, 8192, 5, 200, 1e-4
+#: Bytes of text of either label that the fit reads at most.
+SAMPLE_BYTES = 1 << 28
 #: Bytes of the word beginnings that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 THRESHOLD = 0.3
@@ -162,12 +164,34 @@ def _features(model: Model):
     return run
 
 
+def docs_of_sample(chosen: DataFrame, most: int) -> DataFrame:
+    """The different texts of the chosen ids, about 2 * most and at most SAMPLE_BYTES of either label."""
+    spark = chosen.sparkSession
+    texts = stored(chosen.distinct().withColumn("lot", F.xxhash64(F.lit(31), "doc_id", "text")).repartition(16), "labelled")
+    found = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    held = F.when(F.col("toxic") == 1, found.get(1, 0)).otherwise(found.get(0, 0))
+    thin = texts.filter(F.pmod("lot", F.lit(1_000_000)) / 1_000_000.0 * held < 2 * most)
+    kept = []
+    for toxic, n in found.items():
+        room, lots = SAMPLE_BYTES, []
+        for r in sorted(thin.filter(F.col("toxic") == toxic).select("lot", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()):
+            if r["size"] <= room:
+                room -= r["size"]
+                lots.append(r["lot"])
+        kept += [(lot, n / len(lots)) for lot in lots]
+    # A few thousand lots of either label, by the bound above.
+    lots = F.broadcast(spark.createDataFrame(kept, "lot long, times double").distinct())
+    return texts.join(lots, "lot").select("toxic", (F.col("weight") * F.col("times")).alias("weight"), "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     """A model of the labelled documents that aren't held out; about most of either label, chosen by a hash of the id.
 
     The driver fits on the sampled documents' known features, at most FEATURES of them, picked by chi-square over
     counts made in tasks. Sampled labels weigh by their share, so scores keep the labels' rates. A document with several
-    labels counts as toxic if one says so; null labels and other values are left out.
+    labels counts as toxic if one says so; null labels and other values are left out. Equal texts of one doc_id count
+    once. Where labelled ids hold several texts, about 2 * most texts of either label are fitted on, by a hash of id
+    and text, and of these no more than SAMPLE_BYTES of either label; the weights make up for the others.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out("doc_id"))
@@ -176,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     share = F.pmod(mixed("doc_id", 29), F.lit(1_000_000)) / 1_000_000.0
     taken = known.filter(share * total < most).select("doc_id", "toxic", F.greatest(total / most, F.lit(1.0)).alias("weight"))
     # The chosen labels are bounded by most, so sending them to every task is.
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id").select("toxic", "weight", "text")
-    chosen = stored(chosen.repartition(16), "labelled")
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id")
+    chosen = docs_of_sample(chosen, most)
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     seen = chosen.mapInArrow(_occurrences, "feature long, bad long, every long").groupBy("feature").agg(F.sum("bad").alias("a"), F.sum("every").alias("n")).filter(F.col("n") >= LEAST)

@@ -6,7 +6,9 @@ apart: one of the two margins is at most half of that, so visiting all cells wit
 vectors. A caller who knows that differences point in random directions of all columns may cut the reach to sure standard
 deviations of one, sure / sqrt(columns) of the whole; vectors that vary in few directions lose links by that. A pair that
 meets in two cells is counted in one of them. Equal vectors are one class with a count, and the members and the visitors
-of a cell are cut into blocks of bounded size.
+of a cell are cut into blocks of bounded size. Vectors are first scaled by a power of two, which is exact, so that no square
+over- or underflows. Vectors of several lengths share the cells, short ones filled up with zeros, but link only with
+vectors of their own length.
 """
 
 from __future__ import annotations
@@ -20,13 +22,18 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import in_parts, mixed, stored, table
 from newsloom.llm.components import components
-from newsloom.llm.vectors import consecutive, finite, matrix, packed, unpacked, usual_length
+from newsloom.llm.vectors import consecutive, filled, finite, padded
 from newsloom.session import tune
 
 #: Rows that k-means is fitted on, cells at most, rounds of k-means, and rows of a block.
 SAMPLE, MOST_CELLS, ROUNDS, BLOCK = 8192, 2048, 8, 1024
 
 
+def balanced(rows: np.ndarray) -> np.ndarray:
+    """Each row scaled by the power of two that brings its largest component between 1/2 and 1."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids of unit rows, seeded by every row in turn that is far from those before."""
     cells = max(1, min(cells, len(rows)))
@@ -48,7 +55,8 @@ def _assign(centroids: np.ndarray, threshold: float, width: int, sure: float | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = matrix(batch.column("vector"), width)
+            rows, lengths = padded(batch.column("vector"), width)
+            rows = balanced(rows)
             unit = rows / np.linalg.norm(rows, axis=1)[:, None]
             near = unit @ centroids.T
             home = np.argmax(near, axis=1)
@@ -58,8 +66,9 @@ def _assign(centroids: np.ndarray, threshold: float, width: int, sure: float | N
             who, cell = np.nonzero(visits)
             lists = pa.array([np.flatnonzero(v).astype("<i4").tobytes() for v in visits], pa.binary())
             taken = pa.array(who)
+            cells = pa.array([r[:n].tobytes() for r, n in zip(rows.astype(kind), lengths.tolist(), strict=True)], pa.binary())
             yield pa.record_batch(
-                [pa.array(cell.astype(np.int32)), pa.array(home[who].astype(np.int32)), lists.take(taken), batch.column("cid").take(taken), batch.column("n").take(taken), packed(rows.astype(kind)).take(taken)],
+                [pa.array(cell.astype(np.int32)), pa.array(home[who].astype(np.int32)), lists.take(taken), batch.column("cid").take(taken), batch.column("n").take(taken), cells.take(taken)],
                 names=["cell", "home", "visits", "cid", "n", "vector"],
             )
 
@@ -71,13 +80,18 @@ def _compare(threshold: float, width: int, kind: str):
         cell, i, j = key
         side = np.asarray(rows.column("side"))
         cid, home, n = (np.asarray(rows.column(c)) for c in ("cid", "home", "n"))
-        data = unpacked(rows.column("vector").to_pylist(), width, kind).astype(np.float64)
+        cells = rows.column("vector").to_pylist()
+        long = np.array([len(c) for c in cells]) // np.dtype(kind).itemsize
+        full = b"".join(c.ljust(width * np.dtype(kind).itemsize, b"\0") for c in cells)
+        data = np.frombuffer(full, dtype=kind).reshape(-1, width).astype(np.float64)
         length = np.sqrt((data * data).sum(axis=1))
         left = np.flatnonzero(side == i)
         right = left if i == j else np.flatnonzero(side == j)
         if not len(left) or not len(right):
             return None
         linked = (data[left] @ data[right].T) / (length[left][:, None] * length[right][None, :]) >= threshold
+        if (long != long[0]).any():
+            linked &= long[left][:, None] == long[right][None, :]
         at_home = home == cell
         linked &= (cid[left][:, None] != cid[right][None, :]) & (at_home[left][:, None] | at_home[right][None, :])
         apart = np.nonzero(linked & (home[left][:, None] != home[right][None, :]))
@@ -122,8 +136,8 @@ def _compare(threshold: float, width: int, kind: str):
 def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, sure: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row with columns vec_id and embedding.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or are not of the table's most frequent
-    length link with nothing. Repeated rows are vectors of their own and link with each other. A null vec_id counts as
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, the others with
+    vectors of their own length, however small or large their components. Repeated rows are vectors of their own and link with each other. A null vec_id counts as
     a vector, its component_id is the smallest known vec_id of its group. An empty table gives none. Other columns are
     not read.
     """
@@ -131,14 +145,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK, s
     kind = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     rows = stored(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")), "vectors")
     sound = finite("vector") & F.exists("vector", lambda x: x != 0)
-    width = usual_length(rows.filter(sound), "vector")
-    rows = rows.withColumn("ok", F.coalesce(sound & (F.size("vector") == width), F.lit(False)))
+    width = rows.filter(sound).agg(F.max(F.size("vector"))).first()[0]
+    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
     rows = rows.withColumn("h1", F.when(F.col("ok"), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("ok"), mixed("vector", 5)))
     grouped = rows.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     sample = classes.select("vector", "cid").orderBy(mixed("cid", 3)).limit(SAMPLE).select("vector").collect()
     if sample:
-        fit = np.array([r[0] for r in sample])
+        fit = balanced(filled([r[0] for r in sample], width))
         fit /= np.linalg.norm(fit, axis=1)[:, None]
         cells = min(MOST_CELLS, max(1, round(classes.count() ** 0.5 / 2)))
         centroids = spherical_kmeans(fit, cells)

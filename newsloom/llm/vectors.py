@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -18,23 +18,23 @@ def finite(vector: Column | str) -> Column:
     return F.coalesce(good & (F.size(v) > 0), F.lit(False))
 
 
-def usual_length(rows: DataFrame, vector: str) -> int:
-    """The most frequent vector length, the smaller of equals; 0 without rows."""
-    top = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return top["n"] if top else 0
-
-
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column without nulls as a matrix of doubles."""
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
 
 
-def unpacked(cells: Iterable[bytes], width: int, kind: str = "<f8") -> np.ndarray:
-    return np.frombuffer(b"".join(cells), dtype=kind).reshape(-1, width)
+def padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column without nulls as a matrix of doubles, short rows filled up with zeros, and the rows' own lengths."""
+    lengths = np.asarray(column.value_lengths(), dtype=np.int64)
+    if (lengths == width).all():
+        return matrix(column, width), lengths
+    rows = np.zeros((len(lengths), width))
+    rows[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return rows, lengths
 
 
-def packed(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def filled(rows: list[list[float]], width: int) -> np.ndarray:
+    return padded(pa.array(rows, pa.list_(pa.float64())), width)[0]
 
 
 def consecutive(batches: Iterator[pa.RecordBatch], keys: list[str], make: Callable[[tuple, pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:

@@ -222,3 +222,24 @@ def test_whole_tables_match_sql(spark, name):
     columns = sorted(df.columns)
     expected = con.sql(entry.oracle_sql()[name]).select(*[f'"{c}"' for c in columns]).fetchall()
     assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_vectors_of_several_lengths_and_extreme_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 4))
+    rows = [(k, (base[k % 6] * scale).tolist()) for k, scale in enumerate(np.repeat([1e-300, 1e-200, 1.0, 1e200, 1e300], 6))]
+    rows += [(100 + k, v) for k, v in enumerate([[1.0, 0.0], [2.0, 1e-5], [1.0, 0.0, 0.0], [1.0, 1e-5, 0.0], [3.0], [-2.0], [5e-324, 0.0]])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectordup.near_vectors(vectors_frame(spark, [(i, v, 0, 1, 1) for i, v in rows]), block=4).collect()}
+    want = {}
+    for n in (1, 2, 3, 4):
+        want |= brute_vectors([(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows if len(v) == n])
+    assert found == want and found[100] == (2, 100) and found[102] == (1, 102)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    schema = "doc_id long, text string, _k int, _dropped string, _row string, line string, leaf string"
+    frame = spark.createDataFrame([(k, f"{w}\nthe line of all", k, "d", "r", "l", "f") for k, w in enumerate("apple river stone cloud tiger".split())], schema)
+    for found in (linededup.dedup_lines(frame), linededup.cleaned(frame)):
+        rows = found.collect()
+        assert found.columns[:7] == frame.columns and all(tuple(r)[2:7] == (r.doc_id, "d", "r", "l", "f") for r in rows)
+        assert sorted(len(r.text.split("\n")) for r in rows) == [1, 1, 1, 1, 2]

@@ -327,3 +327,41 @@ def test_leaves_cover_their_rows():
     found = covertree.leaves(rows, 32)
     assert sorted(np.concatenate([f[0] for f in found]).tolist()) == list(range(len(rows))) and len(found) >= 8
     assert all(np.sqrt(((rows[m] - c) ** 2).sum(axis=1)).max() <= r + 1e-9 for m, c, r in found)
+
+
+def test_products_take_every_row(spark):
+    """Rows that share a vec_id, vectors of several lengths, and scores that doubles don't hold."""
+    rng = np.random.default_rng(12)
+    rows = [(k % 300, rng.integers(-3, 4, size=2 + k % 3).astype(float).tolist()) for k in range(1200)]
+    rows += [(1000, [float(2**24 + 1), 1.0, 1.0, 1.0, 1.0])] + [(1001 + k, [float(2**24 + k), float(k), 0.0, 1.0, 0.0]) for k in range(40)] + [(20, [7.0] * 9)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, whole int")
+    found = defaultdict(list)
+    for r in covertree.top_products(frame, F.col("vec_id") % 20 == 0, 7).collect():
+        found[r.query_id].append((r.rank, -r.score, r.vec_id))
+    want = defaultdict(set)
+    for i, v in rows:
+        for j, w in rows:
+            if i % 20 == 0 and i != j and len(v) == len(w):
+                want[i].add((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), j))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in found.items()} == {q: sorted(v)[:7] for q, v in want.items()}
+
+
+def test_plan_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "a b", "s", 5, "x", "y")], "doc_id long, text string, source string, _source int, _row string, weight string")
+    row = mixing.mix_plan(frame).first()
+    assert row.asDict() == {"doc_id": 1, "text": "a b", "source": "s", "_source": 5, "_row": "x", "weight": "y", "size": 2, "source_size": 2, "target": row.target, "copies": row.copies}
+
+
+def test_toxicity_fit_is_bounded_where_one_id_repeats(spark, monkeypatch):
+    words = "sun rain wind snow hail fog".split()
+    rows = [doc(k, f"you {'vile scum' if k % 2 else 'good friend'} {words[k % 6]} {words[k % 5]}.") for k in range(0, 400)]
+    rows += [doc(1, f"vile scum {k} {words[k % 6]}.") for k in range(3000)] + [doc(1, "the same vile text.")] * 500 + [doc(3, "vile scum " * 60000)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda names, at, sentence, owner, label, weight: seen.append(label) or fit(names, at, sentence, owner, label, weight))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 500_000)
+    model = toxicity.train(docs_frame(spark, rows), labels, most=300)
+    assert len(seen[0]) < 1200
+    told = {r.doc_id: r.predicted for r in toxicity.score_documents(docs_frame(spark, rows[:400]), model).collect()}
+    assert sum(told[k] == k % 2 for k in told) >= 390
