@@ -8,6 +8,7 @@ alone. Where a space is followed by more white space or nothing, the whole text
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from array import array
 
@@ -16,6 +17,8 @@ import numpy as np
 #: Words remembered by a task, and characters of a word that is still remembered.
 REMEMBERED, WORD = 250_000, 48
 SPECIAL = "<|endoftext|>"
+#: A space that doesn't begin a word.
+_ODD = re.compile(r" (?:\s|\Z)")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -28,20 +31,27 @@ class _Whole(Exception):
     pass
 
 
-class _Words(dict):
-    def __init__(self, encoder: BytePair, lead: str) -> None:
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
+class _Words:
+    """Ids of words after a space; those of a text that aren't known yet are encoded together."""
 
-    def __missing__(self, word: str) -> bytes:
-        if self.lead and (not word or word[0].isspace()):
-            raise _Whole
-        found = self.encoder.plain(self.lead + word)
-        if len(word) <= WORD:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+    def __init__(self, encoder: BytePair) -> None:
+        self.encoder = encoder
+        self.known: dict[str, bytes] = {}
+
+    def of(self, words: list[str]) -> bytes:
+        known = self.known
+        new = list(set(words).difference(known))
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, self.encoder.together(new), strict=True))
+        out = b"".join(map(known.__getitem__, words))
+        if new and max(map(len, new)) > WORD:
+            for w in new:
+                if len(w) > WORD:
+                    del known[w]
+        return out
 
 
 class BytePair:
@@ -57,7 +67,9 @@ class BytePair:
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.kind = np.dtype(self.code).newbyteorder("<")
         self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-        self.first, self.spaced = _Words(self, ""), _Words(self, " ")
+        self.spaced = _Words(self)
+        self.leads = np.zeros(self.size, dtype=bool)
+        self.leads[[b for a, b in ranks.items() if a.startswith(b" ")]] = True
 
     def plain(self, text: str) -> bytes:
         ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
@@ -66,10 +78,22 @@ class BytePair:
             out.byteswap()
         return out.tobytes()
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space: ids that begin with a space begin a word."""
+        text = " " + " ".join(words)
+        if _ODD.search(text):
+            raise _Whole
+        if SPECIAL in text:
+            return [self.plain(" " + w) for w in words]
+        ids = np.array(self.encoding.encode_ordinary(text), dtype=self.kind)
+        at = np.flatnonzero(self.leads[ids]) * self.kind.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+
     def encode(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         try:
-            return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+            return self.plain(head) + self.spaced.of(rest)
         except _Whole:
             return self.plain(text)
 

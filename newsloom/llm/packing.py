@@ -28,6 +28,10 @@ from newsloom.session import tune
 WINDOW, SHARD_TOKENS = 1024, 1 << 21
 #: BM25's constants, neighbours that are tried together, best first, until none is left.
 K1, B, NEIGHBOURS = 1.2, 0.75, 16
+#: Tokens that a document counts for at least when shards are cut, so that a shard's documents are bounded as well.
+LEAST_TOKENS = 64
+#: Terms that at least this share of a shard's documents hold are multiplied as a matrix of at most so many numbers, for so many seeds at once.
+DENSE, DENSE_CELLS, SEEDS = 1 / 16, 1 << 22, 64
 #: Numbers of a document's sketch, rows that the tree is fitted on, cells a shard has, sampled rows a cell needs.
 SKETCH, SAMPLE, CELLS, CELL_ROWS = 32, 8192, 4, 2
 
@@ -43,13 +47,23 @@ def _encode(path: str | None, end: int):
     return run
 
 
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of every different term of every document, by document and term."""
+    if not docs:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, [len(d) for d in docs]) + np.concatenate(docs)
+    both.sort()
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, dtype=np.int64)
+    return both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
+
+
 def _frequencies(kind: str):
     """Documents that hold each id, summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            held = np.concatenate([np.unique(np.frombuffer(i, dtype=kind)) for i in batch.column("ids").to_pylist()] or [np.zeros(0, dtype=kind)])
+            held = _terms([np.frombuffer(i, dtype=kind) for i in batch.column("ids").to_pylist()])[1]
             found = np.bincount(held, minlength=len(total))
             found[: len(total)] += total
             total = found
@@ -59,24 +73,55 @@ def _frequencies(kind: str):
 
 
 class Shard:
-    """The inverted index of one shard: for each id the documents that hold it with their BM25 weights."""
+    """The index of one shard: its documents' terms with BM25 weights, by term for rare ones, as a matrix for common ones.
+
+    Only documents that are still wanted are held; ``keep`` leaves out the others. Scores of the seeds that come next
+    are made together for the matrix, and one by one for the postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        sizes = np.array([len(t) for t in terms])
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
-        owner = np.repeat(np.arange(len(docs)), sizes)
+        owner, term, tf = _terms(docs)
         length = np.array([len(d) for d in docs], dtype=np.float64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
+        held = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(held >= max(2, DENSE * len(docs)))
+        common = common[np.argsort(-held[common], kind="stable")][: DENSE_CELLS // max(1, len(docs))]
+        column = np.full(len(idf), -1)
+        column[common] = np.arange(len(common))
+        dense = column[term] >= 0
+        self.matrix = np.zeros((len(docs), len(common)), dtype=np.float32)
+        self.matrix[owner[dense], column[term[dense]]] = weight[dense]
+        self.held = self.matrix > 0
+        owner, term, weight = owner[~dense], term[~dense], weight[~dense]
+        self.queries = np.split(term, np.searchsorted(owner, np.arange(1, len(docs))))
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.count = len(docs)
-        self.queries = np.split(term, np.cumsum(sizes)[:-1])
-
-    def scores(self, doc: int) -> np.ndarray:
-        runs = [slice(self.start[t], self.start[t + 1]) for t in self.queries[doc]]
-        return np.bincount(np.concatenate([self.owner[r] for r in runs]), weights=np.concatenate([self.weight[r] for r in runs]), minlength=self.count)
+        self.term, self.owner, self.weight = term[order], owner[order], weight[order]
+        self.docs, self.terms = np.arange(len(docs)), len(idf)
+        self.ready: dict[int, np.ndarray] = {}
+        self.place()
+
+    def place(self) -> None:
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=self.terms))))
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leaves out all documents but the wanted ones, given for those held now."""
+        number = np.cumsum(wanted) - 1
+        stays = wanted[self.owner]
+        self.term, self.owner, self.weight = self.term[stays], number[self.owner[stays]], self.weight[stays]
+        self.docs, self.matrix = self.docs[wanted], self.matrix[wanted]
+        self.ready = {}
+        self.place()
+
+    def scores(self, doc: int, coming: np.ndarray) -> np.ndarray:
+        """The scores of the documents held, in their order; coming names seeds that follow, this one first."""
+        if doc not in self.ready:
+            together = coming[:SEEDS]
+            self.ready = dict(zip(together.tolist(), self.held[together].astype(np.float32) @ self.matrix.T, strict=True))
+        out = self.ready[doc].astype(np.float64)
+        terms = self.queries[doc]
+        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return out + np.bincount(self.owner[at], weights=self.weight[at], minlength=len(out))
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, names: list | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -105,15 +150,31 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         left[d] -= n
         return n
 
-    for seed in order:
+    for turn, seed in enumerate(order):
         while left[seed]:
             used = take(seed, window, 0)
             if used < window:
-                near = index.scores(seed)
-                near[(left == 0) | (name == name[seed])] = 0
+                wanted = left[index.docs] > 0
+                if wanted.sum() < 0.7 * len(wanted):
+                    index.keep(wanted)
+                after = order[turn : turn + 4 * SEEDS]
+                near = index.scores(seed, np.concatenate(([seed], after[left[after] > 0])))
+                near[(left[index.docs] == 0) | (name[index.docs] == name[seed])] = 0
+                # The best few first; all others are sorted only if these leave room.
+                best = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS] if len(near) > NEIGHBOURS else np.arange(len(near))
+                rest, at = None, 0
                 while used < window:
-                    some = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS] if len(near) > NEIGHBOURS else np.arange(len(near))
-                    some = [d for d in some[np.lexsort((some, -near[some]))] if near[d] > 0]
+                    if at:
+                        if rest is None:
+                            near[best] = 0
+                            rest = np.flatnonzero(near > 0)
+                            rest = rest[np.lexsort((index.docs[rest], -near[rest]))]
+                        best = rest[(at - 1) * NEIGHBOURS : at * NEIGHBOURS]
+                    else:
+                        best = best[near[best] > 0]
+                        best = best[np.lexsort((index.docs[best], -near[best]))]
+                    at += 1
+                    some = index.docs[best].tolist()
                     if not some:
                         break
                     for d in some:
@@ -122,7 +183,6 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                     for d in some:
                         if used < window and left[d]:
                             used += take(d, window - used, used)
-                    near[some] = 0
                 # Without neighbours left, the shortest unused rests close the window.
                 while used < window and spare >= 0:
                     if left[order[spare]]:
@@ -142,8 +202,10 @@ def _sketches(ids: list, idf: np.ndarray, kind: str) -> np.ndarray:
     """Unit random projections of the documents' weighted terms."""
     directions = _directions(len(idf))
     out = np.zeros((len(ids), SKETCH))
-    for k, i in enumerate(ids):
-        terms = np.unique(np.frombuffer(i, dtype=kind))
+    owner, term, _ = _terms([np.frombuffer(i, dtype=kind) for i in ids])
+    ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+    for k in range(len(ids)):
+        terms = term[ends[k] : ends[k + 1]]
         out[k] = idf[terms] @ directions[terms]
     return out / np.maximum(np.linalg.norm(out, axis=1), 1e-300)[:, None]
 
@@ -217,13 +279,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
 
     ids holds the piece's token ids as little-endian unsigned 32-bit numbers; each document ends with the id end, so a
     null or empty text is that id alone. A piece lies at offset in its sequence of at most window ids. Rows that share a
-    doc_id, or have none, are documents of their own. An empty table gives none. Columns other than doc_id and text are
+    doc_id, or have none, are documents of their own; they spread over shards, and neighbours of equal score are taken
+    by their order in the shard, by doc_id and text. Very long texts are full windows but for their rest; a document of a few
+    tokens counts for LEAST_TOKENS of a shard, so that many short ones spread. An empty table gives none. Columns other than doc_id and text are
     not read. path names the ranks of the vocabulary.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     coded = stored(rows.mapInArrow(_encode(path, end), "doc_id long, ids binary, tokens long"), "token-ids")
-    total = coded.agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    total = coded.agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.greatest("tokens", F.lit(LEAST_TOKENS))), F.lit(0)).alias("cost")).first()
     e = encoder(path)
     # One number for each id of the vocabulary.
     held = np.zeros(e.size + 1)
@@ -231,17 +295,18 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         if r["id"] < len(held):
             held[r["id"]] = r["docs"]
     idf = np.log1p((total["docs"] - held + 0.5) / (held + 0.5))
-    shards = max(1, math.ceil(total["tokens"] / shard_tokens))
-    key = F.xxhash64("doc_id", "ids")
+    # The stored rows are read alike each time, so the number of a row tells repeats apart and a task's rerun gives the same.
+    shards = max(1, math.ceil(total["cost"] / shard_tokens))
+    key = F.xxhash64("doc_id", "ids", F.monotonically_increasing_id())
     if shards == 1:
         dealt = coded.select(F.lit(0).alias("shard"), "doc_id", "ids")
     else:
-        share = in_parts(key, math.ceil(total["docs"] / SAMPLE), 12) == 0
-        sample = coded.filter(share).limit(2 * SAMPLE).mapInArrow(_sampled(idf, e.kind.str), "sketch binary, tokens long").collect() or [(np.ones(SKETCH).tobytes(), 1)]
-        tree = Tree(np.array([np.frombuffer(r[0]) for r in sample]), np.array([r[1] for r in sample]), CELLS * shards)
+        share = in_parts(key, math.ceil(total["docs"] / SAMPLE), 12)
+        sample = coded.withColumn("share", share).filter("share = 0").limit(2 * SAMPLE).mapInArrow(_sampled(idf, e.kind.str), "sketch binary, tokens long").collect() or [(np.ones(SKETCH).tobytes(), 1)]
+        tree = Tree(np.array([np.frombuffer(r[0]) for r in sample]), np.array([max(r[1], LEAST_TOKENS) for r in sample]), CELLS * shards)
         numbered = coded.select((in_parts(key, 1 << 20) / (1 << 20)).alias("u"), "doc_id", "ids")
         dealt = numbered.mapInArrow(_deal(tree, idf, e.kind.str, shards), "shard int, doc_id long, ids binary")
-    sorted_shards = dealt.repartition("shard").sortWithinPartitions("shard")
+    sorted_shards = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
     mean = max(1.0, total["tokens"] / max(1, total["docs"]))
     return sorted_shards.mapInArrow(_pack(idf, mean, e.kind.str, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
