@@ -1,8 +1,7 @@
-"""Byte-level BPE ids of texts, word by word with a bounded memory of words seen.
+"""Byte-level BPE ids of texts, long texts in parts.
 
 The ids are those of the tokenizer file with special tokens in a text recognised. The vocabulary comes as ranks, whose
-merges are the same; a single space before a word always begins a new piece of the pattern, so words can be encoded
-alone. Where a space is followed by more white space or nothing, the whole text is encoded at once.
+merges are the same; a single space between two words always begins a new piece of the pattern, so long texts are cut there.
 """
 
 from __future__ import annotations
@@ -14,11 +13,10 @@ from array import array
 
 import numpy as np
 
-#: Words remembered by a task, and characters of a word that is still remembered.
-REMEMBERED, WORD = 250_000, 48
+#: Characters of a text that are encoded at once at least.
+PART = 1 << 20
 SPECIAL = "<|endoftext|>"
-#: A space that doesn't begin a word.
-_ODD = re.compile(r" (?:\s|\Z)")
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -27,33 +25,6 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-class _Whole(Exception):
-    pass
-
-
-class _Words:
-    """Ids of words after a space; those of a text that aren't known yet are encoded together."""
-
-    def __init__(self, encoder: BytePair) -> None:
-        self.encoder = encoder
-        self.known: dict[str, bytes] = {}
-
-    def of(self, words: list[str]) -> bytes:
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self.encoder.together(new), strict=True))
-        out = b"".join(map(known.__getitem__, words))
-        if new and max(map(len, new)) > WORD:
-            for w in new:
-                if len(w) > WORD:
-                    del known[w]
-        return out
-
-
 class BytePair:
     """Ids as runs of little-endian unsigned numbers: two bytes each where the vocabulary allows it, else four."""
 
@@ -67,9 +38,6 @@ class BytePair:
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.kind = np.dtype(self.code).newbyteorder("<")
         self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-        self.spaced = _Words(self)
-        self.leads = np.zeros(self.size, dtype=bool)
-        self.leads[[b for a, b in ranks.items() if a.startswith(b" ")]] = True
 
     def plain(self, text: str) -> bytes:
         ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
@@ -78,24 +46,16 @@ class BytePair:
             out.byteswap()
         return out.tobytes()
 
-    def together(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space: ids that begin with a space begin a word."""
-        text = " " + " ".join(words)
-        if _ODD.search(text):
-            raise _Whole
-        if SPECIAL in text:
-            return [self.plain(" " + w) for w in words]
-        ids = np.array(self.encoding.encode_ordinary(text), dtype=self.kind)
-        at = np.flatnonzero(self.leads[ids]) * self.kind.itemsize
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
-
     def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            return self.plain(head) + self.spaced.of(rest)
-        except _Whole:
+        if len(text) <= PART:
             return self.plain(text)
+        parts, at = [], 0
+        while at < len(text):
+            border = _BORDER.search(text, at + PART)
+            upto = border.start() if border else len(text)
+            parts.append(self.plain(text[at:upto]))
+            at = upto
+        return b"".join(parts)
 
 
 _held: dict[str | None, BytePair] = {}

@@ -32,6 +32,15 @@ def test_byte_pair_ids_are_the_tokenizers():
         assert np.frombuffer(e.encode(text), dtype=e.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    e = bytepair.BytePair()
+    text = " ".join(t for t in ODD if t)
+    whole = e.encode(text)
+    for part in (1, 7, 100):
+        monkeypatch.setattr(bytepair, "PART", part)
+        assert e.encode(text) == whole
+
+
 def check_packing(texts, rows, window=1024):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
