@@ -56,10 +56,11 @@ def retain_runs(runs: DataFrame, n: int = MAX_RUNS) -> DataFrame:
 
 def read_runs(runs: DataFrame, n: int = MAX_RUNS) -> DataFrame:
     """Latest runs per feed, newest first; unreadable details become NULL, the summary stays."""
-    latest = first_n_per_group(runs, ["feed_id"], [F.col("run_id").desc()], n, ["run_id"], "n")
-    trace = F.from_json("details", TRACE, {"mode": "PERMISSIVE"})
-    usable = (F.octet_length("details") <= MAX_DETAILS) & (trace["version"] == 1)
-    return latest.withColumn("trace", F.when(usable, trace))
+    # Only details within bounds go through the ranking, unless the caller asks for the stored text itself.
+    bounded = runs.withColumn("_readable", F.when(F.octet_length("details") <= MAX_DETAILS, F.col("details")))
+    latest = first_n_per_group(bounded, ["feed_id"], [F.col("run_id").desc()], n, ["run_id"], "n")
+    trace = F.from_json("_readable", TRACE, {"mode": "PERMISSIVE"})
+    return latest.withColumn("trace", F.when(trace["version"] == 1, trace)).drop("_readable")
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def traced(spark, folder):
                        F.lit(',"duration_ms":'), (F.col("run_id") * 1000).cast("string"), F.lit(',"matches":'), F.col("count").cast("string"), F.lit(',"error":"at https://x.example/y","warnings":["w"]}'))
     good = F.concat(F.lit('{"version":'), F.when(k == 1, "2").otherwise("1"), F.lit(',"recipe_version":-3,"requested_mode":"","selector_type":"css","duration_ms":9999999,"attempts":['), attempt, F.lit(","), attempt, F.lit(","), attempt, F.lit("]}"))
     details = F.when(k == 2, "{broken").when(k == 3, F.concat(good, F.repeat(F.lit(" "), 65536))).otherwise(good)
-    return B.runs(spark, folder).withColumn("details", details)
+    return B.by_rows(B.runs(spark, folder).drop("props"), 100000, "run_id").withColumn("details", details)
 
 
 @query("S8_runs_scan", f"WITH {B.SQL_RUNS} SELECT feed_id, run_id, n, run_id%5 IN (0,4) AS has_trace FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY run_id DESC) AS n FROM runs) WHERE n<=50")
