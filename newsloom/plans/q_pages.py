@@ -511,7 +511,7 @@ def published_precedence(spark, folder):
 )
 def zone_lookup(spark, folder):
     """EST and EDT on New York dates of any season take the zone's own nearest meaning."""
-    o = B.table(spark, folder, "orders").select(
+    o = B.by_rows(B.table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), 200000, "o_orderkey").select(
         "o_orderkey", F.lit("America/New_York").alias("tz"), F.when(F.col("o_orderkey") % 2 == 0, "EST").otherwise("EDT").alias("zone"), F.col("o_orderdate").cast("timestamp").alias("wall")
     )
     return dates.zone_lookup(o, dates.zone_table(spark, ["America/New_York", "Europe/Berlin"]), ["o_orderkey"]).select("o_orderkey", "zone_offset")
