@@ -111,21 +111,27 @@ def lint_rules(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
         F.count("*").alias("words"),
         F.count_if((F.trim("keyword") == "") | (F.char_length(F.trim("keyword")) > R.MAX_KEYWORD_LENGTH)).alias("bad_words"),
     )
+    group, leaf = F.col("op").isin(*R.GROUPS), F.col("op").isin(*R.LEAVES)
+    narrow = nodes.select(
+        "set_id", "node_id", "depth", group.alias("group"), leaf.alias("leaf"),
+        (F.coalesce("field", F.lit("")) != "").alias("has_field"), (~F.coalesce("field", F.lit("")).isin(*R.FIELDS)).alias("bad_field"),
+    )
+    # Both sides grow with the rule sets, however small a plan takes them to be: neither is ever broadcast.
     full = (
-        nodes.join(kids, ["set_id", "node_id"], "left")
-        .join(words, ["set_id", "node_id"], "left")
+        narrow.join(kids.hint("merge"), ["set_id", "node_id"], "left")
+        .join(words.hint("merge"), ["set_id", "node_id"], "left")
         .na.fill(0, ["children", "words", "bad_words"])
     )
-    group, leaf = F.col("op").isin(*R.GROUPS), F.col("op").isin(*R.LEAVES)
+    group, leaf = F.col("group"), F.col("leaf")
     flags = full.groupBy("set_id").agg(
         F.count("*").alias("nodes"),
         F.max("depth").alias("depth"),
         F.sum("words").alias("keywords"),
         F.sum("bad_words").alias("bad_keywords"),
         F.count_if(~group & ~leaf).alias("bad_ops"),
-        F.count_if(group & ((F.col("children") == 0) | (F.col("words") > 0) | (F.coalesce("field", F.lit("")) != ""))).alias("bad_groups"),
+        F.count_if(group & ((F.col("children") == 0) | (F.col("words") > 0) | F.col("has_field"))).alias("bad_groups"),
         F.count_if(leaf & ((F.col("children") > 0) | (F.col("words") == 0))).alias("bad_leaves"),
-        F.count_if(leaf & ~F.coalesce("field", F.lit("")).isin(*R.FIELDS)).alias("bad_fields"),
+        F.count_if(leaf & F.col("bad_field")).alias("bad_fields"),
     )
     checks = [
         ("nodes", F.col("nodes") > R.MAX_NODES),

@@ -255,7 +255,9 @@ def filter_usage(spark, folder):
 )
 def filter_bounds(spark, folder):
     """Rule sets of growing size made from the customers, some too deep or too large."""
-    c = B.table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("set"), F.col("c_custkey").cast("string")).alias("set_id"))
+    # A customer becomes some 250 rows.
+    customers = B.by_rows(B.table(spark, folder, "customer").select("c_custkey"), 5000, "c_custkey")
+    c = customers.select("c_custkey", F.concat(F.lit("set"), F.col("c_custkey").cast("string")).alias("set_id"))
     k = F.col("c_custkey")
     count = (1 + k % 130).cast("int")
     root = c.select("set_id", F.lit(1).alias("node_id"), F.lit(0).alias("parent_id"), F.lit(1).alias("depth"), F.lit("any").alias("op"), F.lit(None).cast("string").alias("field"))
