@@ -17,6 +17,7 @@ from newsloom.functions import dates, images, markup
 from newsloom.functions.columns import first_of, let, pin
 from newsloom.functions.markup import attr, is_text
 from newsloom.functions.rules import RuleSet, decide
+from newsloom.functions.scans import places_before
 from newsloom.functions.selectors import Loose, css, node_value, xpath
 from newsloom.functions.text import collapse, ellipsize, escape_html, field_sample, quoted, redact, sha, strip
 from newsloom.functions.urls import MAX_URL, resolve_url
@@ -86,7 +87,9 @@ def _found(nodes: Column, card: Column, recipe: Recipe, spec: Field, page_matche
         return card
     if recipe.kind == "xpath":
         return first_of(xpath(nodes, spec.selector, card))
-    return first_of(F.filter(page_matches, lambda m: (card["pre"] < m["pre"]) & (m["pre"] <= card["last"])))
+    # Matches stand in document order, so the first one after the card's start is found by halving.
+    before = places_before(page_matches, lambda m: m["pre"] <= card["pre"])
+    return let(F.get(page_matches, before), lambda m: F.when(m["pre"] <= card["last"], m))
 
 
 def _is_attribute(node: Column) -> Column:
@@ -323,12 +326,16 @@ def _story(s: Column, recipe: Recipe) -> Column:
 
 
 def _first_wins(found: Column) -> Column:
-    """Later valid cards repeating an earlier card's key are dropped silently."""
-    valid = lambda s: s["reason"].isNull()
-    return F.filter(
-        found,
-        lambda s, i: s["reason"].isNotNull() | ~F.exists(F.slice(found, 1, i), lambda t: valid(t) & (t["key"] == s["key"])),
-    )
+    """Later valid cards repeating an earlier card's key are dropped silently; one sort finds each key's first card."""
+    valid = F.filter(F.transform(found, lambda s, i: F.struct(s["key"].alias("key"), i.alias("i"), s["reason"].isNull().alias("valid"))), lambda k: k["valid"])
+
+    def keep(keys: Column) -> Column:
+        first = F.filter(keys, lambda k, j: (j == 0) | (F.get(keys, j - 1)["key"] != k["key"]))
+        rejected = F.filter(F.transform(found, lambda s, i: F.when(s["reason"].isNotNull(), i)), lambda i: i.isNotNull())
+        places = F.array_sort(F.concat(F.transform(first, lambda k: k["i"]), rejected))
+        return F.transform(places, lambda i: F.get(found, i))
+
+    return let(F.array_sort(valid), keep)
 
 
 def _with_verdict(s: Column, rules: RuleSet) -> Column:

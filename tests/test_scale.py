@@ -79,3 +79,27 @@ def test_rule_sets_are_never_broadcast(spark):
     found = rulesets.lint_rules(nodes, words)
     assert sorted(map(tuple, found.collect())) == [("s", 2, 2, 2, "keyword text"), ("t", 1, 1, 0, "operator")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_match_and_first_key_are_found_without_comparing_pairs(spark):
+    """Nested and empty cards, fields before, inside and after them, repeated and missing keys."""
+    html = "<b>t0</b><div><p>x</p></div><div><b>t1</b><div><b>t2</b></div></div><div><b>t1</b></div><div><b></b></div><b>t9</b><div><b>t2</b></div><div><b>t3</b></div>"
+    page = spark.createDataFrame([(1, "f", "https://x.example/", html), (2, "f", "https://x.example/", "<p>none</p>")], "page_id long, feed_id string, url string, html string").withColumn("captured_at", F.lit("2024-01-01").cast("timestamp"))
+    recipe = extract.Recipe(items="div", title=extract.Field("b"))
+    pages = extract.read_pages(page, recipe)
+    got = {r.page_id: [(c.pos, c.title, c.reason is None) for c in r.cards] for r in pages.collect()}
+    assert got == {1: [(0, "", False), (1, "t1", True), (2, "t2", True), (4, "", False), (6, "t3", True)], 2: []}
+    assert "exists(slice" not in plan(pages)
+
+
+def test_a_page_of_thousand_cards_takes_no_million_steps(spark):
+    cards = [(f"k{n % 900}", None if n % 7 else "no title") for n in range(1000)]
+    found = spark.createDataFrame([(cards,)], "found array<struct<key string, reason string>>")
+    kept = found.select(extract._first_wins(F.col("found")).alias("k")).first().k
+    seen, want = set(), []
+    for key, reason in cards:
+        if reason is not None or key not in seen:
+            want.append((key, reason))
+        if reason is None:
+            seen.add(key)
+    assert [tuple(r) for r in kept] == want
