@@ -1,5 +1,6 @@
 """What grows with the input: plans without wide rows, broadcasts or pairs, and few calls of keyed state."""
 
+import hashlib
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates
 from newsloom.operators import extract, keywords, rulesets, runs
-from newsloom.streaming import timers
+from newsloom.streaming import keyed, timers
 
 
 class Handle:
@@ -53,6 +54,30 @@ def test_a_quiet_timer_is_set_once_a_batch_without_asking_for_timers():
     assert [(r.at, r.event) for r in out] == [(5000, "quiet")]
 
 
+def test_a_feed_is_read_and_written_once_a_batch_from_one_cell_a_run():
+    handle, feed = Handle(), keyed.FeedStates()
+    feed.init(handle)
+    runs_seen = [(300, 3, 500, 0, "a\tb"), (100, 1, 200, "", ""), (200, 2, 500, 99999, "x")]
+    rows = [Row(feed_id="f", run="\t".join(map(str, (at, n, status, retry, 900, error)))) for at, n, status, retry, error in runs_seen]
+    out = list(feed.handleInputRows(("f",), iter(rows), None))
+    jitter = int(hashlib.sha256(b"f").hexdigest()[:2], 16) % 30
+    assert handle.calls == ["get", "update"] and handle.value == tuple(out[0])[1:] == (2, 300, 100, 300 + 240 + jitter, "a\tb")
+    # Older than the state, then unchanged after a success.
+    late = list(feed.handleInputRows(("f",), iter([Row(feed_id="f", run="250\t9\t200\t\t900\t"), Row(feed_id="f", run="400\t\t304\t\t900\t")]), None))
+    assert tuple(late[0])[1:] == (0, 400, 400, 400 + 900 + jitter, "")
+
+
+def test_runs_without_feed_or_interval_have_no_due_time(spark, tmp_path):
+    at = [datetime(1970, 1, 1) + timedelta(seconds=s) for s in (100, 200, 300)]
+    rows = [(None, 1, at[0], 304, "", 60, 900), ("f", 2, at[1], 200, "", 60, None), ("f", 3, None, 500, "x", 60, 900), ("g", 4, at[2], None, None, None, 900)]
+    runs_seen = spark.createDataFrame(rows, "feed_id string, run_id long, ended timestamp, status int, error string, retry_after int, interval_s int")
+    found = keyed.run_slices(spark, [runs_seen], keyed.feed_states, f"{tmp_path}/run").collect()
+    jitter = int(hashlib.sha256(b"g").hexdigest()[:2], 16) % 30
+    assert sorted((r[:6] for r in map(tuple, found)), key=str) == sorted(
+        [(None, 1, 100, 0, None, keyed.FIRST_304), ("f", 0, 200, 200, None, ""), ("g", 0, 300, 300, 1200 + jitter, "")], key=str
+    )
+
+
 def test_stored_details_are_not_ranked(spark):
     rows = [("f", n, "x" * 100 + str(n) if n == 3 else '{"version":%d}' % (1 + n % 2)) for n in range(5)] + [("f", 9, '{"version":1}' + " " * runs.MAX_DETAILS)]
     found = runs.read_runs(spark.createDataFrame(rows, "feed_id string, run_id long, details string").repartition(2), 4)
