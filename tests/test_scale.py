@@ -78,6 +78,15 @@ def test_runs_without_feed_or_interval_have_no_due_time(spark, tmp_path):
     )
 
 
+def test_a_story_is_read_once_a_batch_and_written_when_it_changed():
+    handle, story = Handle(), keyed.StoryChanges()
+    story.init(handle)
+    listed = lambda *rows: [tuple(r) for r in story.handleInputRows(("f", "k"), iter([Row(feed_id="f", key="k", digest=d, at=at) for d, at in rows]), None)]
+    assert listed(("b", 2), ("a", 1)) == [("f", "k", "new")] and handle.value == ("b",)
+    assert listed(("b", 3)) == [] and handle.calls == ["get", "update", "get"]
+    assert listed(("b", 4), ("c", 4)) == [("f", "k", "changed")] and handle.value == ("c",)
+
+
 def test_stored_details_are_not_ranked(spark):
     rows = [("f", n, "x" * 100 + str(n) if n == 3 else '{"version":%d}' % (1 + n % 2)) for n in range(5)] + [("f", 9, '{"version":1}' + " " * runs.MAX_DETAILS)]
     found = runs.read_runs(spark.createDataFrame(rows, "feed_id string, run_id long, details string").repartition(2), 4)
