@@ -352,7 +352,8 @@ def mistaken_documents(spark, folder):
         .otherwise('{"type":"css","items":"li","title":{"selector":"a"},"settle_ms":20}')
     )
     feed = F.concat(F.lit('{"title":"'), F.col("c_name"), F.lit('","url":"https://c.example/","interval":60,"recipe":'), recipe, F.lit("}"))
-    return B.table(spark, folder, "customer").select(k.alias("doc_id"), F.concat(F.lit(f'{{"format":"{RC.FORMAT}","version":1,"feeds":['), feed, F.lit("]}")).alias("value"))
+    customers = B.by_rows(B.table(spark, folder, "customer").select("c_custkey", "c_name"), 5000, "c_custkey")
+    return customers.select(k.alias("doc_id"), F.concat(F.lit(f'{{"format":"{RC.FORMAT}","version":1,"feeds":['), feed, F.lit("]}")).alias("value"))
 
 
 @query(
@@ -378,7 +379,8 @@ def recipe_contents(spark, folder):
         F.lit(f'{{"format":"{RC.FORMAT}","version":1,"feeds":[{{"title":"t","url":"https://c.example/","interval":60,"recipe":{{"type":"'), F.when(k % 8 == 3, "xpath").otherwise("css"),
         F.lit('","items":"'), items, F.lit('","title":{"selector":"'), F.when(k % 8 == 3, ".//a").otherwise("a"), F.lit('"},"filters":{"include":'), rule, F.lit("}}}]}"),
     )
-    docs = B.table(spark, folder, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("doc_id"), text.alias("value"))
+    customers = B.by_rows(B.table(spark, folder, "customer").select("c_custkey"), 5000, "c_custkey")
+    docs = customers.select(F.concat(F.lit("c"), k.cast("string")).alias("doc_id"), text.alias("value"))
     rows = RC.explode_feeds(RC.recipe_feeds(docs), ["doc_id"]).withColumnRenamed("doc_id", "feed_id")
     found = RC.lint_contents(rows)
     return found.select("feed_id", "rule", F.when(F.col("rule") == "filters", F.col("message")).otherwise("").alias("message"))

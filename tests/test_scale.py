@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates
 from newsloom.operators import extract, keywords, rulesets, runs
+from newsloom.plans import q_feeds
+from newsloom.sources import recipes
 from newsloom.streaming import keyed, timers
 
 
@@ -87,6 +89,16 @@ def test_a_story_is_read_once_a_batch_and_written_when_it_changed():
     assert listed(("b", 4), ("c", 4)) == [("f", "k", "changed")] and handle.value == ("c",)
 
 
+def test_recipe_files_are_dealt_and_their_feeds_parsed_once(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("c_custkey"), F.lit("c").alias("c_name")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for query in (q_feeds.recipe_contents, q_feeds.recipe_mistakes):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    text = '{"format":"newsloom.recipes","version":1,"feeds":[{"title":"t","recipe":{"type":"css","title":{"foo":"b"}}}]}'
+    read = recipes.recipe_feeds(spark.createDataFrame([(text,), ("{",), (None,)], "value string"))
+    assert [r.error for r in read.select("error").collect()] == ["unknown field title.foo", "the file is not one JSON document", "the file is not one JSON document"]
+    assert plan(read.select("error")).count("$.feeds") == 1 and "_feeds" not in read.columns
+
+
 def test_stored_details_are_not_ranked(spark):
     rows = [("f", n, "x" * 100 + str(n) if n == 3 else '{"version":%d}' % (1 + n % 2)) for n in range(5)] + [("f", 9, '{"version":1}' + " " * runs.MAX_DETAILS)]
     found = runs.read_runs(spark.createDataFrame(rows, "feed_id string, run_id long, details string").repartition(2), 4)
