@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -213,6 +214,25 @@ def test_vectors_edge_cases(spark):
     assert vectordup.near_vectors(vectors_frame(spark, [(1, None, 0, 1, 1)])).first().kept
 
 
+def test_vectors_are_not_written_once_a_visit(spark, monkeypatch, tmp_path):
+    """1,500 vectors of 64 columns each visit several cells; two groups of near copies lie over all chunks."""
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(1500, 64)).astype("<f4")
+    data[::10] = data[0] + 0.05 * rng.normal(size=(150, 64))
+    data[1::500] = data[1]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(8)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectordup.near_vectors(frame, block=64).collect()}
+    unit = data / np.linalg.norm(data.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    assert found == {k: (linked[k].sum() - 1, linked[k].argmax()) for k in range(len(data))} and linked.sum() > 20000
+    written = 0
+    for part in tmp_path.rglob("*.parquet"):
+        held = pq.read_table(part)
+        written += sum(held.num_rows if c == "vector" else sum(len(v) // 256 for v in held[c].to_pylist()) for c in ("vector", "vectors") if c in held.column_names)
+    assert written == 2 * len(data) - 2
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_whole_tables_match_sql(spark, name):
     con = duckdb.connect()
