@@ -17,7 +17,7 @@ from newsloom.functions import dates, images, markup
 from newsloom.functions.columns import first_of, let, pin
 from newsloom.functions.markup import attr, is_text
 from newsloom.functions.rules import RuleSet, decide
-from newsloom.functions.scans import places_before
+from newsloom.functions.scans import halving_steps, places_before
 from newsloom.functions.selectors import Loose, css, node_value, xpath
 from newsloom.functions.text import collapse, ellipsize, escape_html, field_sample, quoted, redact, sha, strip
 from newsloom.functions.urls import MAX_URL, resolve_url
@@ -73,10 +73,12 @@ def page_base(nodes: Column, url: Column) -> Column:
 
 
 def _matches(nodes: Column, recipe: Recipe, spec: Field) -> Column:
-    """Matches of a field's selector on the whole page; XPath is evaluated per card instead."""
+    """Matches of a field's selector on the whole page and the steps they are halved by; XPath is evaluated per card instead."""
     if spec.selector in ("", ".") or recipe.kind == "xpath":
-        return F.array().cast(markup.NODES)
-    return css(nodes, spec.selector)
+        matches = F.array().cast(markup.NODES)
+    else:
+        matches = css(nodes, spec.selector)
+    return let(matches, lambda m: F.struct(m.alias("nodes"), halving_steps(m).alias("steps")))
 
 
 def _found(nodes: Column, card: Column, recipe: Recipe, spec: Field, page_matches: Column) -> Column:
@@ -88,8 +90,8 @@ def _found(nodes: Column, card: Column, recipe: Recipe, spec: Field, page_matche
     if recipe.kind == "xpath":
         return first_of(xpath(nodes, spec.selector, card))
     # Matches stand in document order, so the first one after the card's start is found by halving.
-    before = places_before(page_matches, lambda m: m["pre"] <= card["pre"])
-    return let(F.get(page_matches, before), lambda m: F.when(m["pre"] <= card["last"], m))
+    before = places_before(page_matches["nodes"], page_matches["steps"], lambda m: m["pre"] <= card["pre"])
+    return let(F.get(page_matches["nodes"], before), lambda m: F.when(m["pre"] <= card["last"], m))
 
 
 def _is_attribute(node: Column) -> Column:
@@ -332,10 +334,11 @@ def _first_wins(found: Column) -> Column:
     def keep(keys: Column) -> Column:
         first = F.filter(keys, lambda k, j: (j == 0) | (F.get(keys, j - 1)["key"] != k["key"]))
         rejected = F.filter(F.transform(found, lambda s, i: F.when(s["reason"].isNotNull(), i)), lambda i: i.isNotNull())
-        places = F.array_sort(F.concat(F.transform(first, lambda k: k["i"]), rejected))
+        places = F.sort_array(F.concat(F.transform(first, lambda k: k["i"]), rejected))
         return F.transform(places, lambda i: F.get(found, i))
 
-    return let(F.array_sort(valid), keep)
+    # No element is null, and sort_array takes no lambda for each comparison.
+    return let(F.sort_array(valid), keep)
 
 
 def _with_verdict(s: Column, rules: RuleSet) -> Column:

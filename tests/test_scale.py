@@ -1,13 +1,15 @@
 """What grows with the input: plans without wide rows, broadcasts or pairs, and few calls of keyed state."""
 
 import hashlib
+import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from newsloom.functions import dates
+from newsloom.functions import dates, tokens
 from newsloom.operators import extract, keywords, rulesets, runs
 from newsloom.plans import q_feeds
 from newsloom.sources import recipes
@@ -184,3 +186,22 @@ def test_words_of_equal_hashes_and_long_texts_are_told_apart(monkeypatch):
     for text, found in zip(texts, index.held(texts), strict=True):
         told = {w for w, n in names.items() if n in found.tolist()}
         assert {w for w in words if w in text} == told & set(words) and all(w in text for w in told)
+
+
+def test_first_cards_are_sorted_without_a_lambda_and_halved_by_steps_of_the_page(spark):
+    page = spark.createDataFrame([(1, "f", "https://x.example/", "<li><b>t</b></li>" * 5 + "<li><b>u</b>")], "page_id long, feed_id string, url string, html string").withColumn("captured_at", F.lit("2024-01-01").cast("timestamp"))
+    pages = extract.read_pages(page, extract.Recipe(items="li", title=extract.Field("b")))
+    assert [(c.pos, c.title) for c in pages.first().cards] == [(0, "t"), (5, "u")]
+    assert "array_sort(" not in plan(pages) and plan(pages).count("filter([1,2,4") <= 5
+
+
+def test_siblings_of_a_batch_are_numbered_page_by_page():
+    rng = random.Random(6)
+    htmls = ["".join(rng.choice(["<ul>", "<li>x", "</ul>", "<p>", "<b>y</b>", "</p>", "<br>"]) for _ in range(rng.randint(0, 40))) for _ in range(50)] + [None, "", "z"]
+    for nodes in tokens.read_batch(pa.array(htmls, pa.string())).to_pylist():
+        for n in nodes:
+            assert nodes[n["pre"]] is n
+            level = [m["pre"] for m in nodes if m["parent"] == n["parent"] and m["tag"] != "#text"]
+            alike = [p for p in level if nodes[p]["tag"] == n["tag"]]
+            want = (0, 0, 0, 0) if n["tag"] == "#text" else (level.index(n["pre"]) + 1, len(level) - level.index(n["pre"]), alike.index(n["pre"]) + 1, len(alike) - alike.index(n["pre"]))
+            assert tuple(n[c] for c in ("sib", "rsib", "tsib", "rtsib")) == want
